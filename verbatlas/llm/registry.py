@@ -1,7 +1,7 @@
 """The queries of this package and their SQL, for the entry file."""
 
-from verbatlas.llm import bpe, chat, quality_classifier, quality_rules, sharding
+from verbatlas.llm import bpe, chat, language_id, quality_classifier, quality_rules, sharding
 
-MODULES = (bpe, sharding, chat, quality_rules, quality_classifier)
+MODULES = (bpe, sharding, chat, quality_rules, language_id, quality_classifier)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
