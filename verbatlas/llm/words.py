@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _MULT = 0x9E3779B97F4A7C15
@@ -87,7 +88,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def slices(texts: pa.Array, limit: int = 4_000_000) -> list[tuple[int, int]]:
     """Ranges of rows of at most limit bytes each (one row at least), to bound memory."""
     out, at = [], 0
-    sizes = np.array([0 if x is None else x for x in pa.compute.binary_length(texts).to_pylist()], np.int64)
+    sizes = np.array([0 if x is None else x for x in pc.binary_length(texts).to_pylist()], np.int64)
     while at < len(texts):
         k = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), limit, "right")))
         out.append((at, min(k, len(texts))))
