@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -26,19 +27,27 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints; a temporary one is set only where spark.checkpoint.dir is unset, as in tests on one machine."""
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if found.isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "verbatlas-checkpoints"))
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return found.get()
+
+
 def stash(df: DataFrame) -> DataFrame:
-    """Compute df once and cut its lineage with a reliable checkpoint.
-
-    The files go to the folder in spark.checkpoint.dir. Only where that is unset, as in tests on one
-    machine, a temporary folder is set.
-    """
-    spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "verbatlas-checkpoints")
-        spark.sparkContext.setCheckpointDir(folder)
+    """Compute df once and cut its lineage with a reliable checkpoint in the shared folder."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it again."""
+    target = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(target)
+    return df.sparkSession.read.parquet(target)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
