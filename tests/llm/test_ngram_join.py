@@ -135,3 +135,14 @@ def test_components(spark):
             root[y] = x
     assert got == {x: find(x) for x in root}
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_keep_one(spark):
+    long = " ".join(f"a{i}" for i in range(80))
+    rows = [(3, long), (1, long + " b"), (9, None), (9, None), (8, ""), (5, "x y z"), (5, "x y z"), (5, long), (6, "X Y z"), (None, "p q"), (7, "unlike all others in here yes")]
+    df = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, root int")
+    kept = nj.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert got == sorted([(1, long + " b"), (9, None), (9, None), (8, ""), (5, "x y z"), (None, "p q"), (7, rows[-1][1])], key=repr)
+    assert nj.keep_one(df.limit(0)).count() == 0

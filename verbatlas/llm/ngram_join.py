@@ -44,8 +44,11 @@ from verbatlas.session import ship, stash, table
 SIZE = 5
 #: Shingles and sets that a task gathers before it sends them on.
 FLUSH_TOKENS, FLUSH_SETS = 2_000_000, 60_000
-#: Bits of a shingle's hash that the count uses. A collision makes a shingle look shared, which is harmless.
-COUNT_BITS = 48
+#: Bits of a shingle's hash that the count uses beyond those that would just tell all shingles apart. A
+#: collision makes a shingle look shared, which costs a little time and no link.
+SPARE_BITS = 5
+#: Rows of a narrow table (two numbers) up to which it is broadcast; beyond, joins shuffle.
+BROADCAST_ROWS = 1_000_000
 MANY = 65_535
 #: Sets of a chunk in step 3, rounds, and pairs derived in a chunk beyond the pivots' own.
 CHUNK, ROUNDS, DERIVED = 2_048, 2, 20_000
@@ -97,8 +100,8 @@ def digest(s: np.ndarray) -> tuple[int, int]:
 class _Gathered:
     """Distinct sets of a task's rows until they are sent on, as rows and as blocks for the count."""
 
-    def __init__(self, buckets_log: int):
-        self.log, self.number = buckets_log, 0
+    def __init__(self, buckets_log: int, bits: int):
+        self.log, self.bits, self.number = buckets_log, bits, 0
         self.clear()
 
     def clear(self) -> None:
@@ -107,20 +110,20 @@ class _Gathered:
         self.rows: list[tuple] = []
         self.tokens = 0
 
-    def add(self, doc_id, s: np.ndarray) -> None:
+    def add(self, doc_id, key, s: np.ndarray) -> None:
         d = digest(s)
         place = None
         if len(s) and d not in self.at:
             place = self.at[d] = len(self.sets)
             self.sets.append(s)
             self.tokens += len(s)
-        self.rows.append((doc_id, len(s), *d, place))
+        self.rows.append((doc_id, key, len(s), *d, place))
 
     def full(self) -> bool:
         return self.tokens >= FLUSH_TOKENS or len(self.sets) >= FLUSH_SETS or len(self.rows) >= 4 * FLUSH_SETS
 
     def batches(self, part: int) -> Iterator[list[tuple]]:
-        """Rows (doc_id, n, d1, d2, batch, place, own, bucket, block): of documents, then of blocks.
+        """Rows (doc_id, key, n, d1, d2, batch, place, own, bucket, block): of documents, then of blocks.
 
         A document's bucket is negative and its batch's own; so both kinds pass one exchange.
         """
@@ -129,7 +132,7 @@ class _Gathered:
         own = np.zeros(len(self.sets), np.int64)
         blocks = []
         if self.sets:
-            h = (np.concatenate(self.sets).view(_U) >> _U(64 - COUNT_BITS)).astype(np.int64)
+            h = (np.concatenate(self.sets).view(_U) >> _U(64 - self.bits)).astype(np.int64)
             of = np.repeat(np.arange(len(self.sets)), [len(s) for s in self.sets])
             order = np.argsort(h, kind="stable")
             h, of = h[order], of[order]
@@ -138,29 +141,30 @@ class _Gathered:
             many = np.repeat(times > 1, times)
             own = np.bincount(of[many], minlength=len(self.sets))
             h, ref = h[first], np.where(times > 1, MANY, of[first]).astype("<u2")
-            rest = COUNT_BITS - self.log
+            rest = self.bits - self.log
             bounds = np.searchsorted(h >> rest, np.arange((1 << self.log) + 1))
             low = h & ((1 << rest) - 1)
             for k in np.flatnonzero(np.diff(bounds)):
                 a, b = bounds[k], bounds[k + 1]
                 x = low[a:b]
-                # high bytes first: sorted values make them long runs, that compress well
-                blocks.append((int(k), b"".join([int(b - a).to_bytes(4, "little"), (x >> 32).astype("<u2").tobytes(), (x & 0xFFFFFFFF).astype("<u4").tobytes(), ref[a:b].tobytes()])))
-        yield [(i, n, d1, d2, batch, p, None if p is None else int(own[p]), -1 - batch, None) for i, n, d1, d2, p in self.rows]
+                # byte by byte, the highest first: sorted values make long runs there, that compress well
+                planes = [((x >> shift) & 255).astype(np.uint8).tobytes() for shift in range(8 * ((rest - 1) // 8), -1, -8)]
+                blocks.append((int(k), b"".join([int(b - a).to_bytes(4, "little"), *planes, ref[a:b].tobytes()])))
+        yield [(i, key, n, d1, d2, batch, p, None if p is None else int(own[p]), -1 - batch, None) for i, key, n, d1, d2, p in self.rows]
         for k in range(0, len(blocks), 64):
-            yield [(None, None, None, None, batch, None, None, bucket, raw) for bucket, raw in blocks[k : k + 64]]
+            yield [(None, None, None, None, None, batch, None, None, bucket, raw) for bucket, raw in blocks[k : k + 64]]
         self.clear()
 
 
-_SCAN = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("batch", pa.int64()), ("place", pa.int32()), ("own", pa.int64()), ("bucket", pa.int64()), ("block", pa.binary())])
+_SCAN = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("batch", pa.int64()), ("place", pa.int32()), ("own", pa.int64()), ("bucket", pa.int64()), ("block", pa.binary())])
 
 
-def _scan(docs: DataFrame, buckets_log: int) -> DataFrame:
+def _scan(docs: DataFrame, buckets_log: int, bits: int) -> DataFrame:
     """A row for each document, and blocks of shingles for the count; one pass over the texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        gathered = _Gathered(buckets_log)
+        gathered = _Gathered(buckets_log, bits)
 
         def out() -> Iterator[pa.RecordBatch]:
             for rows in gathered.batches(context.partitionId() if context else 0):
@@ -169,17 +173,17 @@ def _scan(docs: DataFrame, buckets_log: int) -> DataFrame:
 
         for batch in batches:
             for lo, hi in slices(batch.column(1)):
-                ids = batch.column(0).slice(lo, hi - lo).to_pylist()
-                for i, s in zip(ids, shingle_sets(batch.column(1).slice(lo, hi - lo)), strict=True):
-                    gathered.add(i, s)
+                ids, keys = (batch.column(k).slice(lo, hi - lo).to_pylist() for k in (0, 2))
+                for i, key, s in zip(ids, keys, shingle_sets(batch.column(1).slice(lo, hi - lo)), strict=True):
+                    gathered.add(i, key, s)
                     if gathered.full():
                         yield from out()
         yield from out()
 
-    return docs.mapInArrow(work, "doc_id long, n long, d1 long, d2 long, batch long, place int, own long, bucket long, block binary")
+    return docs.mapInArrow(work, "doc_id long, key long, n long, d1 long, d2 long, batch long, place int, own long, bucket long, block binary")
 
 
-_COUNTED = pa.schema([*list(_SCAN)[:7], ("places", pa.binary()), ("counts", pa.binary())])
+_COUNTED = pa.schema([*list(_SCAN)[:8], ("places", pa.binary()), ("counts", pa.binary())])
 
 
 def _count_shared(bucket: pa.Table) -> pa.Table:
@@ -189,15 +193,18 @@ def _count_shared(bucket: pa.Table) -> pa.Table:
     """
     if bucket.column("bucket")[0].as_py() < 0:
         nothing = pa.nulls(bucket.num_rows, pa.binary())
-        return pa.table([*(bucket.column(f.name) for f in list(_SCAN)[:7]), nothing, nothing], schema=_COUNTED)
+        return pa.table([*(bucket.column(f.name) for f in list(_SCAN)[:8]), nothing, nothing], schema=_COUNTED)
     batch = bucket.column("batch").to_numpy()
     parts, refs = [], []
     for raw in bucket.column("block"):
         raw = raw.as_buffer()
         n = int.from_bytes(raw.slice(0, 4).to_pybytes(), "little")
-        x = np.frombuffer(raw, "<u2", n, 4).astype(np.int64) << 32
-        parts.append(x | np.frombuffer(raw, "<u4", n, 4 + 2 * n).astype(np.int64))
-        refs.append(np.frombuffer(raw, "<u2", n, 4 + 6 * n))
+        planes = (raw.size - 4) // n - 2
+        x = np.zeros(n, np.int64)
+        for k in range(planes):
+            x = (x << 8) | np.frombuffer(raw, np.uint8, n, 4 + k * n)
+        parts.append(x)
+        refs.append(np.frombuffer(raw[4 + planes * n :], "<u2", n))
     src = np.repeat(np.arange(len(batch)), [len(x) for x in parts])
     h, ref = np.concatenate(parts), np.concatenate(refs).astype(np.int64)
     order = np.argsort(h, kind="stable")
@@ -211,8 +218,8 @@ def _count_shared(bucket: pa.Table) -> pa.Table:
     bounds = np.searchsorted(keys >> 16, np.arange(len(batch) + 1))
     has = [k for k in range(len(batch)) if bounds[k + 1] > bounds[k]]
     cut = [slice(bounds[k], bounds[k + 1]) for k in has]
-    none = [pa.nulls(len(has), f.type) for f in list(_SCAN)[:7]]
-    none[4] = pa.array(batch[has], pa.int64())
+    none = [pa.nulls(len(has), f.type) for f in list(_SCAN)[:8]]
+    none[5] = pa.array(batch[has], pa.int64())
     places = pa.array([(keys[c] & 0xFFFF).astype("<u2").tobytes() for c in cut], pa.binary())
     return pa.table([*none, places, pa.array([counts[c].astype("<u4").tobytes() for c in cut], pa.binary())], schema=_COUNTED)
 
@@ -227,10 +234,16 @@ def _sum_shared(table_: pa.Table) -> pa.Table:
     return pa.table({"batch": pa.array(np.full(len(at), batch, np.int64)), "place": pa.array(at.astype(np.int32)), "others": pa.array(total[at])})
 
 
-def _buckets_log(docs: DataFrame) -> int:
-    """Buckets for the count, from the size that Spark expects of the table: some MB of shingles each."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(16, max(6, (min(size, 2**60) // 4_000_000).bit_length()))
+def _sizes(docs: DataFrame) -> tuple[int, int]:
+    """The logarithm of the buckets for the count and the bits of a hash, from the size that Spark expects of the table."""
+    size = min(2**56, int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+    log = min(16, max(6, (size // 4_000_000).bit_length()))
+    return log, min(60, max(log + 16, (size // 4).bit_length() + SPARE_BITS))
+
+
+def _near(df: DataFrame) -> DataFrame:
+    """A narrow written table, to be broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 # -- step 3: clusters in a chunk ------------------------------------------------------------------
@@ -370,8 +383,8 @@ def _between(sets: DataFrame) -> DataFrame:
     # sets whose first shingles, in the order of the hashes, are all within one component are done
     start = sets.select("nid", "comp", F.explode(F.slice("tokens", F.lit(1), least("n").cast("int"))).alias("h"))
     across = lambda df: df.groupBy("h").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("h", "c")
-    open_ = start.join(across(start), "h", "left_semi").select("nid").distinct()
-    rest = stash(sets.join(open_, "nid", "left_semi"))
+    open_ = stash(start.select("h", "nid").join(across(start), "h", "left_semi").select("nid").distinct())
+    rest = stash(sets.join(_near(open_), "nid", "left_semi"))
     # prefixes anew, rarest shingles first: those within one component come before all others
     tokens = rest.select("nid", "n", "comp", F.explode("tokens").alias("h"))
     shared = tokens.join(across(tokens), "h").groupBy("nid", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("x"))
@@ -413,7 +426,8 @@ def candidates(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """
     nodes = rows.where("n > 0").groupBy("d1", "d2").agg(F.max("n").alias("n"), F.max("shared").alias("shared"), F.min("doc_id").alias("doc_id"))
     open_ = nodes.where("n - shared < n - (3 * n + 3) div 4 + 1").select("doc_id", "d1", "d2")
-    wanted = open_.select(F.col("doc_id").alias("_id")).distinct().hint("shuffle_hash")
+    open_ = stash(open_)
+    wanted = _near(open_.select(F.col("doc_id").alias("_id")).distinct())
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"]), "left_semi")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,30 +444,56 @@ def candidates(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
     sets = texts.select("doc_id", "text").mapInArrow(work, "d1 long, d2 long, n long, tokens array<long>, " + ", ".join(f"k{r} long" for r in range(ROUNDS)))
     # one row for each set: rows with equal doc_id may differ in text, or repeat it
-    once = sets.join(open_.select("d1", "d2").distinct(), ["d1", "d2"], "left_semi")
+    once = sets.join(_near(open_.select("d1", "d2")), ["d1", "d2"], "left_semi")
     return once.groupBy("d1", "d2").agg(*(F.first(c).alias(c) for c in ("n", "tokens", *(f"k{r}" for r in range(ROUNDS))))).withColumnRenamed("d1", "nid").drop("d2")
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs."""
+def text_key(text_col: str = "text"):
+    """A number for a row's text, by which rows with one doc_id are told apart."""
+    return F.xxhash64(F.col(text_col))
+
+
+def rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, key (of the text), n, root for each row of docs. Rows with a root, and n above 0, form its component."""
     ship(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    fields = "doc_id long, n long, d1 long, d2 long, batch long, place int, own long"
-    seen = stash(_scan(narrow, _buckets_log(narrow)).groupBy("bucket").applyInArrow(_count_shared, f"{fields}, places binary, counts binary"))
+    fields = "doc_id long, key long, n long, d1 long, d2 long, batch long, place int, own long"
+    scan = _scan(narrow.withColumn("key", text_key()), *_sizes(narrow))
+    seen = stash(scan.groupBy("bucket").applyInArrow(_count_shared, f"{fields}, places binary, counts binary"))
     counted = seen.where("places is not null").select("batch", "places", "counts").groupBy("batch").applyInArrow(_sum_shared, "batch long, place int, others long")
     rows = seen.where("places is null").drop("places", "counts")
-    rows = stash(rows.join(counted, ["batch", "place"], "left").select("doc_id", "n", "d1", "d2", (F.coalesce("own", F.lit(0)) + F.coalesce("others", F.lit(0))).alias("shared")))
+    rows = stash(rows.join(counted, ["batch", "place"], "left").select("doc_id", "key", "n", "d1", "d2", (F.coalesce("own", F.lit(0)) + F.coalesce("others", F.lit(0))).alias("shared")))
     sets = stash(candidates(narrow, rows))
     edges = stash(_cluster_round(sets, "k0", 0).union(_cluster_round(sets, "k1", 1)))
-    found = connected(edges)
+    found = _near(connected(edges))
     placed = sets.join(found, sets["nid"] == found["node"], "left").select("nid", "n", "tokens", F.coalesce("root", "nid").alias("comp"))
-    late = _between(stash(placed))
+    late = _between(placed)
     roots = stash(connected(edges.union(stash(late))))
-    # the smallest doc_id of each component, over all rows of its sets
-    owned = rows.where("n > 0").join(roots, F.col("d1") == F.col("node"), "left").select("doc_id", "n", "d1", F.coalesce("root", "d1").alias("root"))
-    names = owned.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    full = owned.join(names, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.union(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return rows.join(roots, F.col("d1") == F.col("node"), "left").select("doc_id", "key", "n", F.coalesce("root", "d1").alias("root"))
+
+
+def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id of the component) for each row of docs."""
+    rows = rooted(docs, id_col, text_col)
+    full = rows.where("n > 0")
+    names = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    out = full.join(names, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return out.union(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without all but one row of each component (that with the smallest doc_id); rows with empty sets stay."""
+    own = docs.columns
+    rows = stash(rooted(docs, id_col, text_col).withColumn("full", F.col("n") > 0))
+    best = rows.where("full").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("x")).select("x.doc_id", "x.key", F.lit(True).alias("full"))
+    chosen = stash(best.union(rows.where("not full").select("doc_id", "key", "full").distinct()).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "full").withColumnRenamed("full", "_full"))
+    near = _near(chosen)
+    marked = docs.withColumn("_text_key", text_key(text_col))
+    kept = marked.join(near, F.col(id_col).cast("long").eqNullSafe(near["_id"]) & (F.col("_text_key") == near["_key"]))
+    repeated = rows.where("full").groupBy("doc_id", "key").count().where("count > 1").limit(1).count()
+    if repeated:  # equal rows: one of them stays
+        kept = kept.where("_full").dropDuplicates([id_col, "_text_key"]).union(kept.where("not _full"))
+    return kept.select(*own)
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
