@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from verbatlas.llm import components
 from verbatlas.llm import ngram_join as nj
 from verbatlas.llm.components import connected
 
@@ -86,6 +87,8 @@ def test_against_all_pairs(spark, seed, monkeypatch):
         monkeypatch.setattr(nj, "FLUSH_SETS", 11)
     if seed == 2:  # nothing found before the lists, and long lists dealt out
         monkeypatch.setattr(nj, "_cluster_round", lambda sets, column, salt: sets.select(nj.F.col("nid").alias("a"), nj.F.col("nid").alias("b")).limit(0))
+        monkeypatch.setattr(components, "LOCAL_LINKS", 0)
+        monkeypatch.setattr(nj, "PICKS", 3)
         monkeypatch.setattr(nj, "LIST", 4)
         monkeypatch.setattr(nj, "BLOCK", 3)
     assert run(spark, rows) == brute(rows)
@@ -118,7 +121,9 @@ def test_cluster_finds_components():
     assert seen == set(range(60))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, 10**6])
+def test_components(spark, local, monkeypatch):
+    monkeypatch.setattr(components, "LOCAL_LINKS", local)
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5), (None, 3)]
     got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -146,3 +151,14 @@ def test_keep_one(spark):
     got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
     assert got == sorted([(1, long + " b"), (9, None), (9, None), (8, ""), (5, "x y z"), (None, "p q"), (7, rows[-1][1])], key=repr)
     assert nj.keep_one(df.limit(0)).count() == 0
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(8)
+    for size, change in ((20, 4), (200, 60), (3000, 900)):
+        a = np.unique(rng.integers(-(2**62), 2**62, size))
+        b = np.unique(np.concatenate([a[change:], rng.integers(-(2**62), 2**62, change)]))
+        x, y = (np.frombuffer(nj.sketch(s), np.uint64) for s in (a, b))
+        assert len(x) * 64 == nj.SKETCH
+        apart = int(np.bitwise_count(x ^ y).sum())
+        assert apart <= len(np.setxor1d(a, b)) and (size > 200 or apart > 0.7 * len(np.setxor1d(a, b)))

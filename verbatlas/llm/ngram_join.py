@@ -56,6 +56,11 @@ CHUNK, ROUNDS, DERIVED = 2_048, 2, 20_000
 LIST = 4_096
 #: Entries of a block that is skipped or read.
 BLOCK = 64
+#: Rounds in which components are joined by single pairs before all pairs are looked at.
+PICKS = 1
+#: Bits of a set's sketch: the parity of the shingles in each of so many classes. Two sets differ in at
+#: least as many shingles as their sketches differ in bits.
+SKETCH = 512
 _U = np.uint64
 
 
@@ -97,6 +102,11 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int(one.view(np.int64)[0]), int(two.view(np.int64)[0])
 
 
+def sketch(s: np.ndarray) -> bytes:
+    at = (mix(s.view(_U) ^ _U(0x2545F4914F6CDD1D)) >> _U(64 - SKETCH.bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+
+
 class _Gathered:
     """Distinct sets of a task's rows until they are sent on, as rows and as blocks for the count."""
 
@@ -343,13 +353,18 @@ def _cluster_round(sets: DataFrame, column: str, salt: int) -> DataFrame:
 
 
 # -- step 4: what lies between components ---------------------------------------------------------
-def list_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, side: np.ndarray, crossed: bool) -> tuple[np.ndarray, np.ndarray]:
+def list_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, side: np.ndarray, crossed: bool, pick: int | None = None, marks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of entries of one inverted list that may link, of different components.
 
     Entries are ordered by size and position and read in blocks; a block is skipped by its sizes, or when
-    its first position leaves too few shingles. crossed: only pairs of entries of different sides.
+    its first position leaves too few shingles, or when it lies within the entry's own component.
+    crossed: only pairs of entries of different sides. pick: one pair for each entry at most, the first
+    (0), the last (1) or one between (2, ...). marks: sketches, a row of 64-bit numbers for each entry;
+    pairs whose sketches differ in more bits than linked sets may differ in shingles are left out.
     """
     order = np.lexsort((pos, n))
+    if marks is not None:
+        marks = marks[order]
     n, pos, comp, side = n[order], pos[order], comp[order], side[order]
     starts = np.arange(0, len(n), BLOCK)
     least_n, most_n = n[starts], n[np.append(starts[1:], len(n)) - 1]
@@ -357,28 +372,66 @@ def list_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, side: np.ndarra
     left = n - pos
     most_left = np.maximum.reduceat(left, starts)
     least_comp, most_comp = np.minimum.reduceat(comp, starts), np.maximum.reduceat(comp, starts)
-    if least_comp.min() == most_comp.max():
-        return (np.zeros(0, np.int64),) * 2
     found_a, found_b = [], []
-    for i in range(len(n) - 1):
+    for i in range(len(n) - 1 if least_comp.min() != most_comp.max() else 0):
         fits = (most_n >= n[i]) & (3 * least_n <= 4 * n[i]) & (starts + BLOCK > i + 1)
         fits &= (least_comp != comp[i]) | (most_comp != comp[i])
         fits &= linked(np.minimum(left[i], most_left), n[i], np.maximum(least_n, n[i]))
-        for k in np.flatnonzero(fits):
+        blocks = np.flatnonzero(fits)
+        for k in blocks if pick in (None, 0) else blocks[::-1] if pick == 1 else np.roll(blocks, i % max(1, len(blocks))):
             a, b = max(starts[k], i + 1), min(starts[k] + BLOCK, len(n))
             ok = (comp[a:b] != comp[i]) & linked(np.minimum(left[i], left[a:b]), n[i], n[a:b])
             if crossed:
                 ok &= side[a:b] != side[i]
             hit = np.flatnonzero(ok) + a
+            if marks is not None and len(hit):
+                apart = np.bitwise_count(marks[hit] ^ marks[i]).sum(axis=1)
+                hit = hit[7 * apart.astype(np.int64) <= n[hit] + n[i]]
+            if pick is not None and len(hit):
+                hit = hit[[0 if pick == 0 else -1 if pick == 1 else (i * pick) % len(hit)]]
             found_a.append(np.full(len(hit), i))
             found_b.append(hit)
+            if pick is not None and len(hit):
+                break
     if not found_a:
         return (np.zeros(0, np.int64),) * 2
     return order[np.concatenate(found_a)], order[np.concatenate(found_b)]
 
 
+def _pairs(dealt: DataFrame, pick: int | None) -> DataFrame:
+    """Pairs a, b that may link, by the inverted lists; with pick, one for each two components at most."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for group in _groups(batches, 3):
+            if group.num_rows < 2:
+                continue
+            _, i, j, nid, n, comp, pos, side = (group.column(k).to_numpy() for k in range(8))
+            marks = np.frombuffer(b"".join(group.column(8).to_pylist()), np.uint64).reshape(len(n), -1)
+            a, b = list_pairs(n, pos, comp, side, bool(i[0] != j[0]), pick, marks)
+            if not len(a):
+                continue
+            a, b = np.where(comp[a] < comp[b], a, b), np.where(comp[a] < comp[b], b, a)
+            by = (comp, comp) if pick is not None else (nid, nid)
+            keys = list(zip(by[0][a].tolist(), by[1][b].tolist(), strict=True))
+            new = [k for k, key in enumerate(keys) if key not in seen and not seen.add(key)]
+            if len(seen) > 500_000:
+                seen = set()
+            if new:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (comp[a[new]], comp[b[new]], nid[a[new]], nid[b[new]])], ["ca", "cb", "a", "b"])
+
+    found = dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(work, "ca long, cb long, a long, b long")
+    if pick is None:
+        return found.distinct()
+    return found.groupBy("ca", "cb").agg(F.min(F.struct("a", "b")).alias("x")).select("ca", "cb", "x.a", "x.b")
+
+
 def _between(sets: DataFrame) -> DataFrame:
-    """Verified links a, b between components, of sets (nid, n, tokens, comp)."""
+    """Verified links a, b between components, of sets (nid, n, tokens, sketch, comp).
+
+    Components are joined by one pair each for a few rounds, and only then are all pairs looked at that
+    still lie between components: most pairs of a dense group are never made.
+    """
     least = lambda n: F.expr(f"{n} - (3 * {n} + 3) div 4 + 1")  # noqa: E731  shingles of a prefix
     # sets whose first shingles, in the order of the hashes, are all within one component are done
     start = sets.select("nid", "comp", F.explode(F.slice("tokens", F.lit(1), least("n").cast("int"))).alias("h"))
@@ -387,35 +440,38 @@ def _between(sets: DataFrame) -> DataFrame:
     rest = stash(sets.join(_near(open_), "nid", "left_semi"))
     # prefixes anew, rarest shingles first: those within one component come before all others
     tokens = rest.select("nid", "n", "comp", F.explode("tokens").alias("h"))
-    shared = tokens.join(across(tokens), "h").groupBy("nid", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("x"))
+    shared = tokens.join(across(tokens), "h").groupBy("nid", "n").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("x"))
     own = F.col("n") - F.size("x")
     entries = (
         shared.where(own < least("n"))
-        .select("nid", "n", "comp", own.alias("own"), F.posexplode(F.slice("x", F.lit(1), (least("n") - own).cast("int"))).alias("at", "x"))
-        .select(F.col("x.h").alias("h"), F.ceil(F.col("x.c") / LIST).alias("blocks"), "nid", "n", "comp", (F.col("own") + F.col("at")).alias("pos"))
+        .select("nid", "n", own.alias("own"), F.posexplode(F.slice("x", F.lit(1), (least("n") - own).cast("int"))).alias("at", "x"))
+        .select(F.col("x.h").alias("h"), F.ceil(F.col("x.c") / LIST).alias("blocks"), "nid", "n", (F.col("own") + F.col("at")).alias("pos"))
     )
     side = F.pmod(F.xxhash64("nid"), F.col("blocks"))
-    dealt = entries.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("h", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "nid", "n", "comp", "pos", "side")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        for group in _groups(batches, 3):
-            if group.num_rows < 2:
-                continue
-            cols = [group.column(k).to_numpy() for k in range(group.num_columns)]
-            a, b = list_pairs(cols[4], cols[6], cols[5], cols[7], bool(cols[1][0] != cols[2][0]))
-            pairs = set(zip(np.minimum(cols[3][a], cols[3][b]).tolist(), np.maximum(cols[3][a], cols[3][b]).tolist(), strict=True)) - seen
-            if pairs:
-                x, y = zip(*pairs, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
-                seen = seen | pairs if len(seen) < 200_000 else set()
-
-    pairs = dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(work, "a long, b long").distinct()
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = entries.withColumn("side", side).withColumn("other", other).select("h", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "nid", "n", "pos", "side")
+    dealt = stash(dealt.join(rest.select("nid", "sketch"), "nid"))
     x = rest.select(F.col("nid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     y = rest.select(F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     common = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(x, "a").join(y, "b").where(linked(common, F.col("na"), F.col("nb"))).select("a", "b")
+
+    def verified(pick: int | None) -> DataFrame:
+        with_comp = dealt.join(_near(comps), "nid").select("h", "i", "j", "nid", "n", "comp", "pos", "side", "sketch")
+        return stash(_pairs(with_comp, pick).join(x, "a").join(y, "b").where(linked(common, F.col("na"), F.col("nb"))).select("ca", "cb", "a", "b"))
+
+    comps = stash(rest.select("nid", "comp"))
+    found = []
+    for pick in range(PICKS):
+        links = verified(pick)
+        found.append(links.select("a", "b"))
+        if not links.count():
+            break
+        roots = _near(connected(links, "ca", "cb"))
+        comps = stash(comps.join(roots, comps["comp"] == roots["node"], "left").select("nid", F.coalesce("root", "comp").alias("comp")))
+    out = verified(None).select("a", "b")
+    for links in found:
+        out = out.union(links)
+    return out
 
 
 # -- the operator ---------------------------------------------------------------------------------
@@ -437,15 +493,15 @@ def candidates(docs: DataFrame, rows: DataFrame) -> DataFrame:
                 for s in shingle_sets(batch.column(1).slice(lo, hi - lo)):
                     if len(s):
                         d = digest(s)
-                        made.append((*d, len(s), s, *(int(mix(s.view(_U) * _U(2 * r + 3)).min().view(np.int64)) for r in range(ROUNDS))))
+                        made.append((*d, len(s), s, sketch(s), *(int(mix(s.view(_U) * _U(2 * r + 3)).min().view(np.int64)) for r in range(ROUNDS))))
                 if made:
-                    types = [pa.int64()] * 3 + [pa.list_(pa.int64())] + [pa.int64()] * ROUNDS
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)], ["d1", "d2", "n", "tokens", *(f"k{r}" for r in range(ROUNDS))])
+                    types = [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.binary()] + [pa.int64()] * ROUNDS
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)], ["d1", "d2", "n", "tokens", "sketch", *(f"k{r}" for r in range(ROUNDS))])
 
-    sets = texts.select("doc_id", "text").mapInArrow(work, "d1 long, d2 long, n long, tokens array<long>, " + ", ".join(f"k{r} long" for r in range(ROUNDS)))
+    sets = texts.select("doc_id", "text").mapInArrow(work, "d1 long, d2 long, n long, tokens array<long>, sketch binary, " + ", ".join(f"k{r} long" for r in range(ROUNDS)))
     # one row for each set: rows with equal doc_id may differ in text, or repeat it
     once = sets.join(_near(open_.select("d1", "d2")), ["d1", "d2"], "left_semi")
-    return once.groupBy("d1", "d2").agg(*(F.first(c).alias(c) for c in ("n", "tokens", *(f"k{r}" for r in range(ROUNDS))))).withColumnRenamed("d1", "nid").drop("d2")
+    return once.groupBy("d1", "d2").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "sketch", *(f"k{r}" for r in range(ROUNDS))))).withColumnRenamed("d1", "nid").drop("d2")
 
 
 def text_key(text_col: str = "text"):
@@ -466,9 +522,9 @@ def rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     sets = stash(candidates(narrow, rows))
     edges = stash(_cluster_round(sets, "k0", 0).union(_cluster_round(sets, "k1", 1)))
     found = _near(connected(edges))
-    placed = sets.join(found, sets["nid"] == found["node"], "left").select("nid", "n", "tokens", F.coalesce("root", "nid").alias("comp"))
+    placed = sets.join(found, sets["nid"] == found["node"], "left").select("nid", "n", "tokens", "sketch", F.coalesce("root", "nid").alias("comp"))
     late = _between(placed)
-    roots = stash(connected(edges.union(stash(late))))
+    roots = stash(connected(edges.union(late)))
     return rows.join(roots, F.col("d1") == F.col("node"), "left").select("doc_id", "key", "n", F.coalesce("root", "d1").alias("root"))
 
 

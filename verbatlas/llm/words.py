@@ -85,7 +85,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return Hasher(b)(s, e), first
 
 
-def slices(texts: pa.Array, limit: int = 4_000_000) -> list[tuple[int, int]]:
+def slices(texts: pa.Array, limit: int = 2_000_000) -> list[tuple[int, int]]:
     """Ranges of rows of at most limit bytes each (one row at least), to bound memory."""
     out, at = [], 0
     sizes = np.array([0 if x is None else x for x in pc.binary_length(texts).to_pylist()], np.int64)
