@@ -1,6 +1,426 @@
-"""Registered queries over the given tables, and the SQL that gives the same rows."""
+"""Registered queries over the given tables, and the SQL that gives the same rows.
+
+Every query runs over whole tables and whole texts. The language side is rule-based (see
+functions.providers), so that both sides can say what a word, a verb and a lemma is.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from verbatlas.functions.providers import AUXILIARIES, ContextCountLM
+from verbatlas.functions.text import masked
+from verbatlas.operators import extract, frequency, groups, spelling, textgroups
+from verbatlas.session import table
+from verbatlas.sources import grouptables
+
+SIZE, OVERLAP = 1_000, 100
+TOP = 5
+#: Groups of the queries; `er` and `th` are in two groups.
+GROUPS = {
+    "being": ["be", "have", "is"],
+    "doing": ["do", "will", "can", "er"],
+    "endings": ["er", "on", "re", "th", "an"],
+    "others": ["th", "in", "at", "or", "en", "nt", "st"],
+}
+#: The same for the fused profile: keys are words as they stand.
+FUSED_GROUPS = {"being": ["be", "is", "are", "was"], "of": ["of", "in", "on", "by"], "small": ["a", "to", "in"]}
+LOOKED_UP = [" Be ", "have", "er", "missing"]
+THRESHOLD = 0.5
+WHERE = '{{ role }} in ["user", "system"] and not {{ nothing }} and {{ text }} != ""'
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of whole documents."""
+    return extract.sentences(_docs(spark, sf_dir).withColumn("chunk_start", F.lit(0).cast("long")), "text").drop("chunk_start")
+
+
+def _verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.verbs(_sentences(spark, sf_dir))
+
+
+def verb_lemma_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frequency.counts(_verbs(spark, sf_dir).select("lemma"), "lemma")
+
+
+def verb_surface_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frequency.counts(_verbs(spark, sf_dir).select("surface_lower"), "surface_lower")
+
+
+def _chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract.sentences(extract.char_chunks(_docs(spark, sf_dir), "text", SIZE, OVERLAP))
+    return extract.unique_sentences(found, ["doc_id"])
+
+
+def char_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.char_chunks(_docs(spark, sf_dir), "text", SIZE, OVERLAP)
+
+
+def sentence_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunked(spark, sf_dir).select("doc_id", "chunk_start", "sent_start", "sent_index", "sentence")
+
+
+def verb_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cols = ["doc_id", "chunk_start", "sent_start", "sent_index", "token_index", "lemma", "surface_lower", F.col("span_text").alias("span"), "sentence"]
+    return extract.verbs(_chunked(spark, sf_dir)).select(*cols)
+
+
+def verb_occurrences_no_aux(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.verbs(_sentences(spark, sf_dir), include_aux=False).groupBy("doc_id").agg(F.count("*").alias("verbs"))
+
+
+def row_verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verbs of a table's text column: rows of conversations."""
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("row"), "role", "text")
+    return extract.verbs_of_rows(rows, "row", "text").select("row", "role", "sent_index", "token_index", "lemma", F.col("span_text").alias("span"))
+
+
+def freq_filter_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return frequency.filter_by_count(rows, "l_partkey", least=30)
+
+
+def freq_filter_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return frequency.filter_by_count(rows, "l_partkey", least=20, most=28)
+
+
+def distinct_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frequency.distinct_values(table(spark, sf_dir, "lineitem"), "l_partkey")
+
+
+def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frequency.counts(table(spark, sf_dir, "events").select("event_type", "event_id"), "event_type", "event_id")
+
+
+def sample_exact_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frequency.sample(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), 100, "doc_id", seed=7)
+
+
+def mask_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _verbs(spark, sf_dir)
+    return rows.select("doc_id", "sent_start", "token_index", masked("sentence", "span.start", "span.end").alias("masked_text"))
+
+
+def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sents = _sentences(spark, sf_dir)
+    rows = extract.with_context(extract.verbs(sents), sentence_col="sentence")
+    return ContextCountLM(extract.trigrams(sents)).predict(rows, TOP)
+
+
+def masked_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _predicted(spark, sf_dir).select("doc_id", "sent_start", "token_index", F.posexplode("preds").alias("at", "p"))
+    return rows.select("doc_id", "sent_start", "token_index", (F.col("at") + 1).alias("rank"), F.col("p.token").alias("token"), F.round("p.prob", 9).alias("prob"))
+
+
+def groups_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [["a", " ", "b ", "c"], ["run", "x", "think, know", ""], ["walk", "run", " y"], ["run", "", "", "go"]]
+    std = grouptables.from_rows(spark, rows).withColumn("profile", F.lit("standard"))
+    return std.union(grouptables.from_rows(spark, rows, "fused").withColumn("profile", F.lit("fused")))
+
+
+_TAGS = [("think", "100", "1", "", ""), ("run", "50", "", "1", ""), ("jump", "x", "1", "", ""), ("both", "5", "1", "1", ""), ("none", "5", "0", "", "#N/A"), ("walk", "9", "1", "", ""), ("", "3", "1", "", "")]
+
+
+def tag_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matrix = spark.createDataFrame([(i, *r) for i, r in enumerate(_TAGS)], "row_ord long, Lemma string, Freq string, g1 string, g2 string, skipme string")
+    return grouptables.tags_to_columns(grouptables.tags_long(matrix, ["skipme"]), ["g1", "g2"])
+
+
+def _group_names() -> list[str]:
+    return [f"group_prob_{g}" for g in GROUPS]
+
+
+def _probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.row_probabilities(_predicted(spark, sf_dir), grouptables.from_columns(spark, GROUPS))
+
+
+def _rounded(names: list[str]) -> list:
+    return [F.round(f"`{c}`", 9).alias(c) for c in names]
+
+
+def group_prob_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _probabilities(spark, sf_dir).select("doc_id", "sent_start", "token_index", "lemma", *_rounded(_group_names()))
+
+
+def _ordered(df: DataFrame) -> DataFrame:
+    """row_ord, an integer in the order of document, sentence and token."""
+    return df.withColumn("row_ord", F.col("doc_id") * F.lit(10**9) + F.col("sent_start") * 1000 + F.col("token_index"))
+
+
+def group_prob_short_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _ordered(_probabilities(spark, sf_dir))
+    return groups.short_form(rows, _group_names(), "row_ord").select("row_ord", "lemma", "lemma_count", *_rounded(_group_names()))
+
+
+def group_prob_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = groups.row_probabilities(_predicted(spark, sf_dir), grouptables.from_columns(spark, FUSED_GROUPS), "fused", count_active=True)
+    return rows.select("doc_id", "sent_start", "token_index", *_rounded(list(FUSED_GROUPS)), "group_count")
+
+
+def _means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _ordered(_probabilities(spark, sf_dir)).select("row_ord", "lemma", *_rounded(_group_names()))
+    means = groups.lemma_means(rows, _group_names(), order_col="row_ord")
+    return means.withColumn("mean", F.round("mean", 6))
+
+
+def lemma_group_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _means(spark, sf_dir).select("lemma", "group", "mean", "n")
+
+
+def lemma_best_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.best_groups(_means(spark, sf_dir), THRESHOLD).select("lemma", "best", "mean", "second", "n")
+
+
+def lemma_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.best_groups(_means(spark, sf_dir), THRESHOLD).where("is_ambiguous").select("lemma", "best")
+
+
+def groups_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.groups_ranked(_means(spark, sf_dir), THRESHOLD).select("group", "rank", "lemma", "mean", "is_ambiguous")
+
+
+def groups_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _group_names()
+    rows = groups.groups_ranked(_means(spark, sf_dir), THRESHOLD)
+    return groups.ragged(rows, names, "group", "lemma", "rank")
+
+
+def text_verb_group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return textgroups.verb_group_counts(rows, grouptables.from_columns(spark, GROUPS)).drop("text")
+
+
+def where_filtered_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return textgroups.verb_group_counts(rows, grouptables.from_columns(spark, GROUPS), where=WHERE).drop("text")
+
+
+def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return textgroups.run_statistics(text_verb_group_counts(spark, sf_dir))
+
+
+def lemma_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _ordered(_predicted(spark, sf_dir))
+    hits = textgroups.lookup(rows, LOOKED_UP, "row_ord", top_k=2)
+    return hits.select("row_ord", "lemma", "sentence", F.concat_ws(" ", F.transform("preds", lambda p: p["token"])).alias("tokens"))
+
+
+def lookup_by_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = textgroups.lookup(_ordered(_verbs(spark, sf_dir)), LOOKED_UP, "row_ord")
+    return textgroups.by_lemma(hits, "row_ord").select("lemma", "n", F.get("sentences", F.lit(0)).alias("first_sentence"))
+
+
+def inflection_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verbs = _verbs(spark, sf_dir)
+    clauses = verbs.select("doc_id", "sent_start", "lemma", F.col("sentence").alias("sentence_text")).distinct()
+    lemmas = textgroups.qualifying_lemmas(frequency.counts(verbs.select("lemma"), "lemma"), 10)
+    return textgroups.inflection_matches(clauses, lemmas).select("doc_id", "sent_start", "lemma", "inflected_form")
+
+
+def context_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.context_patterns(_verbs(spark, sf_dir), 1)
+
+
+def _known_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents: the list that the spelling queries hold right."""
+    words = _docs(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("freq"))
+
+
+def spell_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the conversations that no document has."""
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("row"), "text")
+    tokens = spelling.checked_tokens(rows, "row", "text").where("word rlike '^[a-z]+$'")
+    return spelling.unknown_words(tokens, _known_words(spark, sf_dir))
+
+
+_FIXES = [("the", "THE", "replace"), ("thea", "these", "replace"), ("and", "", "ignore"), ("reth", "", "add")]
+
+
+def spell_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("row"), "text")
+    fixes = spark.createDataFrame(_FIXES, "word string, replacement string, action string")
+    known = _known_words(spark, sf_dir).where("word not in ('the', 'thea')").select("word")
+    out, _, _ = spelling.apply_decisions(rows, "row", "text", fixes, known)
+    return out
+
+
+def spell_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(w,) for w in ("thng", "iss", "wass", "blee", "zzzzzz")], "word string")
+    return spelling.suggestions(rows, _known_words(spark, sf_dir), most_edits=1, n=3).select("word", F.concat_ws(" ", "suggestions").alias("suggestions"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        verb_lemma_counts, verb_surface_counts, char_chunks, sentence_dedupe, verb_occurrences, verb_occurrences_no_aux, row_verbs, freq_filter_min, freq_filter_range,
+        distinct_values, value_counts, sample_exact_n, mask_sentences, masked_topk, groups_long, tag_pivot, group_prob_rows, group_prob_short_running,
+        group_prob_fused, lemma_group_means, lemma_best_group, lemma_ambiguous, groups_ranked, groups_ragged, text_verb_group_counts, where_filtered_counts,
+        run_stats, lemma_lookup, lookup_by_lemma, inflection_match, context_patterns, spell_unknown, spell_auto, spell_suggestions,
+    )
+}
+
+# -- the same in SQL ------------------------------------------------------------------------------
+_AUX_CASE = "CASE w " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in AUXILIARIES.items()) + " END"
+_AUX_LIST = ", ".join(f"'{k}'" for k in AUXILIARIES)
+
+
+def _lemma_sql(w: str = "w") -> str:
+    case = _AUX_CASE.replace("CASE w", f"CASE {w}")
+    return f"coalesce({case}, CASE WHEN {w} LIKE '%ing' AND length({w}) >= 5 THEN left({w}, length({w}) - 3) WHEN {w} LIKE '%ed' AND length({w}) >= 4 THEN left({w}, length({w}) - 2) ELSE {w} END)"
+
+
+def _sentence_sql(source: str, keys: str, text: str, out: str) -> str:
+    """CTEs that cut `text` of `source` into sentences with their starts, and these into words with spans."""
+    return f"""
+{out}_p AS (SELECT {keys}, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM (SELECT {keys}, regexp_extract_all({text}, '[^.!?]*[.!?]+|[^.!?]+') AS p FROM {source})),
+{out}_o AS (SELECT {keys}, i, piece, coalesce(sum(length(piece)) OVER (PARTITION BY {keys} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ofs FROM {out}_p),
+{out} AS (
+  SELECT {keys}, CAST(ofs + length(piece) - length(regexp_replace(piece, '^[\\s\\p{{Z}}]+', '')) AS BIGINT) AS rel, regexp_replace(regexp_replace(piece, '^[\\s\\p{{Z}}]+', ''), '[\\s\\p{{Z}}]+$', '') AS sentence
+  FROM {out}_o WHERE regexp_replace(piece, '[\\s\\p{{Z}}]+', '', 'g') <> '')"""
+
+
+def _word_sql(source: str, keys: str, out: str) -> str:
+    """CTE `out`: keys, i (from 0), start, surface w of each word of `sentence`."""
+    return f"""
+{out}_p AS (SELECT {keys}, sentence, unnest(p) AS piece, generate_subscripts(p, 1) AS k FROM (SELECT {keys}, sentence, regexp_extract_all(sentence, '[A-Za-z]+|[^A-Za-z]+') AS p FROM {source})),
+{out}_o AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY {keys}, sentence ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM {out}_p),
+{out} AS (SELECT {keys}, sentence, CAST(row_number() OVER (PARTITION BY {keys}, sentence ORDER BY k) - 1 AS INT) AS i, CAST(start AS INT) AS start, lower(piece) AS w FROM {out}_o WHERE regexp_matches(piece, '^[A-Za-z]'))"""
+
+
+_IS_AUX = f"w IN ({_AUX_LIST})"
+_IS_VERB = f"({_IS_AUX} OR (length(w) >= 4 AND (w LIKE '%ed' OR w LIKE '%ing')))"
+_DOC_SENTENCES = "d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') AS text FROM documents)," + _sentence_sql("(SELECT doc_id, coalesce(text, '') AS text FROM documents)", "doc_id", "text", "s0") + ", s AS (SELECT doc_id, rel AS sent_start, sentence FROM s0)"
+_DOC_WORDS = _DOC_SENTENCES + "," + _word_sql("s", "doc_id, sent_start", "t")
+_DOC_VERBS = _DOC_WORDS + f", v AS (SELECT *, {_lemma_sql()} AS lemma FROM t WHERE {_IS_VERB})"
+_CHUNKS = f"""
+d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') AS text FROM documents),
+c AS (
+  SELECT doc_id, k * {SIZE - OVERLAP} AS chunk_start, substring(text, CAST(k * {SIZE - OVERLAP} + 1 AS BIGINT), {SIZE}) AS chunk_text
+  FROM (SELECT doc_id, text, unnest(range(0, greatest(0, CAST(ceil((length(text) - {SIZE}) / {SIZE - OVERLAP}.0) AS BIGINT)) + 1)) AS k FROM d WHERE length(text) > 0))"""
+_UNIQUE = (
+    _CHUNKS + "," + _sentence_sql("c", "doc_id, chunk_start", "chunk_text", "s0")
+    + """, f AS (SELECT doc_id, CAST(chunk_start + rel AS BIGINT) AS sent_start, sentence, min(chunk_start) AS chunk_start FROM s0 GROUP BY ALL),
+s AS (SELECT doc_id, chunk_start, sent_start, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY chunk_start, sent_start, sentence) - 1 AS BIGINT) AS sent_index, sentence FROM f)"""
+)
+_LM = (
+    _DOC_VERBS
+    + f""", n AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY doc_id, sent_start ORDER BY i), '') AS l, coalesce(lead(w) OVER (PARTITION BY doc_id, sent_start ORDER BY i), '') AS r FROM t),
+cnt AS (SELECT l, r, w AS token, count(*) AS c FROM n GROUP BY ALL),
+top AS (SELECT l, r, token, c, row_number() OVER (PARTITION BY l, r ORDER BY c DESC, token) AS rank, sum(c) OVER (PARTITION BY l, r) AS total FROM cnt),
+p AS (
+  SELECT n.doc_id, n.sent_start, n.sentence, n.i AS token_index, {_lemma_sql('n.w')} AS lemma, CAST(top.rank AS INT) AS rank, top.token, top.c / top.total AS prob
+  FROM n JOIN top ON n.l = top.l AND n.r = top.r WHERE top.rank <= {TOP} AND {_IS_VERB.replace('w IN', 'n.w IN').replace('length(w)', 'length(n.w)').replace('(w LIKE', '(n.w LIKE').replace('OR w LIKE', 'OR n.w LIKE')})"""
+)
+
+
+def _values(table_: dict[str, list[str]]) -> str:
+    return ", ".join(f"('{x}', '{g}')" for g, xs in table_.items() for x in xs)
+
+
+_KEYS = "doc_id, sent_start, token_index"
+_GROUPED = (
+    _LM
+    + f""", g AS (SELECT DISTINCT {_lemma_sql('x')} AS k, grp FROM (VALUES {_values(GROUPS)}) AS q(x, grp)),
+h AS (SELECT {_KEYS}, lemma, token, prob, {_lemma_sql('token')} AS k FROM p),
+gp AS (
+  SELECT {_KEYS}, lemma, {', '.join(f"round(coalesce(sum(CASE WHEN EXISTS (SELECT 1 FROM g WHERE g.k = h.k AND g.grp = '{x}') THEN prob END), 0), 9) AS group_prob_{x}" for x in GROUPS)}
+  FROM h GROUP BY {_KEYS}, lemma),
+ord AS (SELECT *, doc_id * 1000000000 + sent_start * 1000 + token_index AS row_ord FROM gp)"""
+)
+_MEANS = (
+    _GROUPED
+    + f""", lm AS (SELECT lemma, count(*) AS n, min(row_ord) AS first_ord, {', '.join(f'sum(group_prob_{x}) AS s{k}' for k, x in enumerate(GROUPS))} FROM ord GROUP BY lemma),
+m AS ({' UNION ALL '.join(f"SELECT lemma, 'group_prob_{x}' AS grp, {k} AS pos, round(s{k} / n, 6) AS mean, n, first_ord FROM lm" for k, x in enumerate(GROUPS))}),
+b AS (
+  SELECT lemma, max(n) AS n, min(first_ord) AS first_ord, arg_min(grp, (-mean, pos)) AS best, max(mean) AS mean, (list(mean ORDER BY mean DESC))[2] AS second FROM m GROUP BY lemma),
+r AS (
+  SELECT best AS grp, CAST(row_number() OVER (PARTITION BY best ORDER BY mean DESC, first_ord, lemma) AS INT) AS rank, lemma, mean, mean > 0 AND second >= {THRESHOLD} * mean AS is_ambiguous FROM b)"""
+)
+_CONV_COUNTS = (
+    "c AS (SELECT conv_id, turn, role, coalesce(text, '') AS sentence FROM conversations)," + _word_sql("(SELECT DISTINCT * FROM c)", "conv_id, turn, role", "t")
+    + f""", v AS (SELECT *, {_lemma_sql()} AS k FROM t WHERE {_IS_VERB}),
+g AS (SELECT DISTINCT {_lemma_sql('x')} AS k, grp FROM (VALUES {_values(GROUPS)}) AS q(x, grp)),
+vg AS (SELECT conv_id, turn, role, sentence, count(*) AS total, {', '.join(f"count(*) FILTER (WHERE EXISTS (SELECT 1 FROM g WHERE g.k = v.k AND g.grp = '{x}')) AS n_{x}" for x in GROUPS)} FROM v GROUP BY ALL),
+counted AS (
+  SELECT c.conv_id, c.turn, c.role, c.sentence AS text, coalesce(total, 0) AS total_verb_count, {', '.join(f'coalesce(n_{x}, 0) AS group_count_{x}' for x in GROUPS)}
+  FROM c LEFT JOIN vg ON c.conv_id = vg.conv_id AND c.turn = vg.turn AND c.role = vg.role AND c.sentence = vg.sentence)"""
+)
+_NAMES = ", ".join(f"group_prob_{x}" for x in GROUPS)
+_FUSED = (
+    _LM
+    + f""", g AS (SELECT DISTINCT x AS k, grp FROM (VALUES {_values(FUSED_GROUPS)}) AS q(x, grp)),
+h AS (SELECT {_KEYS}, prob, token AS k FROM p),
+gp AS (SELECT {_KEYS}, {', '.join(f"round(coalesce(sum(CASE WHEN EXISTS (SELECT 1 FROM g WHERE g.k = h.k AND g.grp = '{x}') THEN prob END), 0), 9) AS {x}" for x in FUSED_GROUPS)} FROM h GROUP BY {_KEYS})"""
+)
+_FREQ = "SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, count(*) OVER (PARTITION BY l_partkey) AS n FROM lineitem) WHERE n "
+_TOKENS = """
+c AS (SELECT conv_id || '/' || turn AS row, regexp_replace(regexp_replace(coalesce(text, ''), '^\\s+', ''), '\\s+$', '') AS text FROM conversations),
+k AS (SELECT row, unnest(p) AS token, generate_subscripts(p, 1) AS ofs FROM (SELECT row, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS p FROM c)),
+x AS (SELECT *, regexp_replace(regexp_replace(token, '^[.,!?;:"''()\\[\\]{}]+', ''), '[.,!?;:"''()\\[\\]{}]+$', '') AS core FROM k),
+known AS (SELECT w AS word, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) GROUP BY 1)"""
+#: Regular forms by the rules of the built-in inflector, for lemmas that end in no `e` or `y`, or in them.
+_FORMS = """
+f0 AS (
+  SELECT lemma AS w, regexp_matches(lemma, '^[^aeiou]*[aeiou][bdgklmnprt]$') AS dbl, lemma LIKE '%e' AND NOT lemma LIKE '%ee' AS fe, regexp_matches(lemma, '[^aeiou]y$') AS y FROM q),
+f1 AS (SELECT *, CASE WHEN dbl THEN w || right(w, 1) WHEN fe THEN left(w, length(w) - 1) ELSE w END AS stem FROM f0),
+f2 AS (
+  SELECT w, list_distinct([w, CASE WHEN y THEN left(w, length(w) - 1) || 'ies' WHEN regexp_matches(w, '(s|x|z|ch|sh|o)$') THEN w || 'es' ELSE w || 's' END, stem || 'ing', CASE WHEN y THEN left(w, length(w) - 1) || 'ied' ELSE stem || 'ed' END]) AS forms FROM f1)"""
+
+ORACLE_SQL = {
+    "verb_lemma_counts": f"WITH {_DOC_VERBS} SELECT lemma, count(*) AS freq FROM v GROUP BY lemma",
+    "verb_surface_counts": f"WITH {_DOC_VERBS} SELECT w AS surface_lower, count(*) AS freq FROM v GROUP BY w",
+    "char_chunks": f"WITH {_CHUNKS} SELECT doc_id, chunk_start, chunk_text FROM c",
+    "sentence_dedupe": f"WITH {_UNIQUE} SELECT * FROM s",
+    "verb_occurrences": f"WITH {_UNIQUE}," + _word_sql("s", "doc_id, chunk_start, sent_start, sent_index", "t")
+    + f" SELECT doc_id, chunk_start, sent_start, sent_index, i AS token_index, {_lemma_sql()} AS lemma, w AS surface_lower, start || '-' || (start + length(w)) AS span, sentence FROM t WHERE {_IS_VERB}",
+    "verb_occurrences_no_aux": f"WITH {_DOC_VERBS} SELECT doc_id, count(*) AS verbs FROM v WHERE NOT {_IS_AUX} GROUP BY doc_id",
+    "row_verbs": "WITH c AS (SELECT conv_id || '/' || turn AS row, role, text FROM conversations WHERE trim(text) <> '')," + _sentence_sql("c", "row, role", "text", "s0")
+    + ", f AS (SELECT row, role, sentence, min(rel) AS ofs FROM s0 GROUP BY ALL), s AS (SELECT row, role, sentence, CAST(row_number() OVER (PARTITION BY row ORDER BY ofs) - 1 AS BIGINT) AS sent_index FROM f),"
+    + _word_sql("s", "row, role, sent_index", "t") + f" SELECT row, role, sent_index, i AS token_index, {_lemma_sql()} AS lemma, start || '-' || (start + length(w)) AS span FROM t WHERE {_IS_VERB}",
+    "freq_filter_min": _FREQ + ">= 30",
+    "freq_filter_range": _FREQ + "BETWEEN 20 AND 28",
+    "distinct_values": "SELECT count(DISTINCT l_partkey) AS unique_values, count(*) AS rows FROM lineitem",
+    "value_counts": "SELECT event_type, count(*) AS freq FROM events GROUP BY event_type",
+    "sample_exact_n": "SELECT doc_id, lang, n_chars FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 100",
+    "mask_sentences": f"WITH {_DOC_VERBS} SELECT doc_id, sent_start, i AS token_index, ' ' || regexp_replace(regexp_replace(left(sentence, start) || '<mask>' || substring(sentence, start + length(w) + 1), '^\\s+', ''), '\\s+$', '') AS masked_text FROM v",
+    "masked_topk": f"WITH {_LM} SELECT {_KEYS}, rank, token, round(prob, 9) AS prob FROM p",
+    "groups_long": "SELECT * FROM (VALUES ('run', 'a', 0, 'standard'), ('x', 'b', 1, 'standard'), ('think, know', 'c', 2, 'standard'), ('walk', 'a', 0, 'standard'), ('run', 'b', 1, 'standard'), ('y', 'c', 2, 'standard'), "
+    "('run', 'a', 0, 'fused'), ('x', ' ', 1, 'fused'), ('think', 'b ', 2, 'fused'), ('know', 'b ', 2, 'fused'), ('walk', 'a', 0, 'fused'), ('run', ' ', 1, 'fused'), ('y', 'b ', 2, 'fused'), ('go', 'c', 3, 'fused')) AS q(lemma, \"group\", group_pos, profile)",
+    "tag_pivot": "WITH t AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{a}', '{b}', '{c}', '{d}')" for i, (a, b, c, d, _) in enumerate(_TAGS)) + """) AS q(ord, lemma, freq, g1, g2)),
+u AS (SELECT ord, lemma, CASE WHEN g1 = '1' THEN 'g1' ELSE 'g2' END AS grp FROM t WHERE lemma <> '' AND TRY_CAST(freq AS BIGINT) IS NOT NULL AND (g1 = '1') <> (g2 = '1')),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY grp ORDER BY ord) AS INT) AS rank FROM u)
+SELECT rank, coalesce(max(CASE WHEN grp = 'g1' THEN lemma END), '') AS g1, coalesce(max(CASE WHEN grp = 'g2' THEN lemma END), '') AS g2 FROM n GROUP BY rank""",
+    "group_prob_rows": f"WITH {_GROUPED} SELECT {_KEYS}, lemma, {_NAMES} FROM ord",
+    "group_prob_short_running": f"WITH {_GROUPED} SELECT row_ord, lemma, CAST(row_number() OVER (PARTITION BY lemma ORDER BY row_ord) AS BIGINT) AS lemma_count, {_NAMES} FROM ord",
+    "group_prob_fused": f"WITH {_FUSED} SELECT {_KEYS}, {', '.join(FUSED_GROUPS)}, CAST({' + '.join(f'CAST({x} > 0 AS INT)' for x in FUSED_GROUPS)} AS INT) AS group_count FROM gp",
+    "lemma_group_means": f"WITH {_MEANS} SELECT lemma, grp AS \"group\", mean, n FROM m",
+    "lemma_best_group": f"WITH {_MEANS} SELECT lemma, best, mean, second, n FROM b",
+    "lemma_ambiguous": f"WITH {_MEANS} SELECT lemma, best FROM b WHERE mean > 0 AND second >= {THRESHOLD} * mean",
+    "groups_ranked": f"WITH {_MEANS} SELECT grp AS \"group\", rank, lemma, mean, is_ambiguous FROM r",
+    "groups_ragged": f"WITH {_MEANS} SELECT rank, {', '.join(f'''coalesce(max(CASE WHEN grp = 'group_prob_{x}' THEN lemma END), '') AS group_prob_{x}''' for x in GROUPS)} FROM r GROUP BY rank",
+    "text_verb_group_counts": f"WITH {_CONV_COUNTS} SELECT * EXCLUDE (text) FROM counted",
+    "where_filtered_counts": f"WITH {_CONV_COUNTS} SELECT * EXCLUDE (text) FROM counted WHERE role IN ('user', 'system') AND text <> ''",
+    "run_stats": f"WITH {_CONV_COUNTS}, z AS (SELECT *, {' + '.join(f'group_count_{x}' for x in GROUPS)} AS hits FROM counted) SELECT count(*) AS rows_written, CAST(count(*) FILTER (WHERE total_verb_count > 0) AS BIGINT) AS rows_with_verbs, CAST(count(*) FILTER (WHERE hits > 0) AS BIGINT) AS rows_with_hits, CAST(sum(total_verb_count) AS BIGINT) AS verbs, CAST(sum(hits) AS BIGINT) AS group_verbs FROM z",
+    "lemma_lookup": f"WITH {_LM} SELECT doc_id * 1000000000 + sent_start * 1000 + token_index AS row_ord, lemma, sentence, string_agg(token, ' ' ORDER BY rank) AS tokens FROM p WHERE lemma IN ('be', 'have', 'er', 'missing') AND rank <= 2 GROUP BY ALL",
+    "lookup_by_lemma": f"WITH {_DOC_VERBS} SELECT upper(lemma) AS lemma, count(*) AS n, arg_min(sentence, doc_id * 1000000000 + sent_start * 1000 + i) AS first_sentence FROM v WHERE lemma IN ('be', 'have', 'er', 'missing') GROUP BY 1",
+    "inflection_match": f"WITH {_DOC_VERBS}, q AS (SELECT lemma FROM v WHERE lemma <> 'be' GROUP BY lemma HAVING count(*) >= 10)," + _FORMS + """,
+cl AS (SELECT DISTINCT doc_id, sent_start, lemma, sentence FROM v WHERE lemma IN (SELECT lemma FROM q)),
+hit AS (SELECT cl.doc_id, cl.sent_start, cl.lemma, fm FROM cl JOIN (SELECT w, unnest(forms) AS fm FROM f2) AS e ON e.w = cl.lemma WHERE regexp_matches(lower(sentence), '(^|[^\\p{L}\\p{N}\\p{M}_])' || fm || '($|[^\\p{L}\\p{N}\\p{M}_])'))
+SELECT doc_id, sent_start, lemma, min(fm) AS inflected_form FROM hit GROUP BY doc_id, sent_start, lemma HAVING count(*) = 1""",
+    "context_patterns": f"WITH {_DOC_WORDS}, n AS (SELECT w, lag(w) OVER z AS l, lead(w) OVER z AS r FROM t WINDOW z AS (PARTITION BY doc_id, sent_start ORDER BY i)) SELECT concat_ws(' ', l, w, r) AS pattern, count(*) AS freq FROM n WHERE {_IS_VERB} GROUP BY 1",
+    "spell_unknown": f"WITH {_TOKENS} SELECT DISTINCT lower(core) AS word FROM x WHERE regexp_matches(lower(core), '^[a-z]+$') AND lower(core) NOT IN (SELECT word FROM known)",
+    "spell_auto": f"""WITH {_TOKENS},
+fix AS (SELECT *, CASE WHEN lower(core) = 'the' THEN replace(token, core, 'THE') WHEN lower(core) = 'thea' THEN replace(token, core, 'these') ELSE token END AS fixed FROM x)
+SELECT c.row, coalesce(string_agg(fixed, ' ' ORDER BY ofs), '') AS corrected, CAST(count(*) FILTER (WHERE fixed <> token) AS BIGINT) AS corrections, CAST(count(*) FILTER (WHERE core <> '') AS BIGINT) AS words_checked
+FROM c LEFT JOIN fix ON c.row = fix.row GROUP BY c.row""",
+    "spell_suggestions": f"""WITH {_TOKENS}, w AS (SELECT unnest(['thng', 'iss', 'wass', 'blee', 'zzzzzz']) AS word),
+n AS (SELECT w.word, known.word AS k, row_number() OVER (PARTITION BY w.word ORDER BY freq DESC, known.word) AS rank FROM w JOIN known ON levenshtein(w.word, known.word) = 1)
+SELECT word, string_agg(k, ' ' ORDER BY rank) AS suggestions FROM n WHERE rank <= 3 GROUP BY word""",
+}
