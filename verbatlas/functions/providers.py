@@ -166,9 +166,9 @@ def lemmatized(df: DataFrame, token_col: str, lemmatizer: Lemmatizer, out_col: s
     key = canonical_token(token_col)
     if not getattr(lemmatizer, "by_distinct", False):
         return df.withColumn(out_col, F.lower(lemmatizer.lemma(key)))
-    words = df.select(key.alias("_key")).distinct()
-    words = words.select(F.col("_key"), F.lower(lemmatizer.lemma(F.col("_key"))).alias(out_col))
-    return df.withColumn("_key", key).join(words, "_key", "left").drop("_key")
+    words = df.select(key.alias("_word")).distinct()
+    words = words.select("_word", F.lower(lemmatizer.lemma(F.col("_word"))).alias(out_col))
+    return df.withColumn("_word", key).join(words, "_word", "left").drop("_word")
 
 
 class ContextCountLM:

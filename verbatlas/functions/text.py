@@ -6,6 +6,7 @@ import math
 import re
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -126,11 +127,10 @@ def tiles(text: Column | str, pattern: str) -> Column:
 
 def ten_digits(c: Column | str) -> Column:
     """The number as C's %.10g writes it. An Arrow function, for sinks only."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def write(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None or v != v and not isinstance(v, float) else format(v, ".10g"), na_action="ignore")
+        return values.map(lambda v: format(v, ".10g"), na_action="ignore")
 
     return write(as_column(c).cast("double"))
 

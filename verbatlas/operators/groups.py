@@ -42,9 +42,9 @@ def wide_to_array(df: DataFrame, out_col: str = "preds") -> DataFrame:
 
 
 def array_to_wide(df: DataFrame, k: int, preds_col: str = "preds") -> DataFrame:
-    """The array as columns token_1, prob_1, ..., token_k, prob_k."""
+    """The array as columns token_1, prob_1, ..., token_k, prob_k, in its place."""
     cells = [c for i in range(k) for c in (F.get(preds_col, F.lit(i))["token"].alias(f"token_{i + 1}"), F.get(preds_col, F.lit(i))["prob"].alias(f"prob_{i + 1}"))]
-    return df.select(*(c for c in df.columns if c != preds_col), *cells)
+    return df.select(*(x for c in df.columns for x in (cells if c == preds_col else [c])))
 
 
 def row_lemma(c: Column | str, profile: str = "standard") -> Column:
@@ -126,6 +126,8 @@ def lemma_means(rows: DataFrame, group_cols: list[str], lemma_col: str = "lemma"
     """
     cell = lambda c: F.coalesce(number(F.col(f"`{c}`").cast("string")), F.lit(0.0))
     order = F.col(order_col) if order_col else F.lit(0).cast("long")
+    if not group_cols:
+        raise ValueError("no group columns")
     sums = (
         rows.where(strip(lemma_col) != "")
         .groupBy(strip(lemma_col).alias("lemma"))

@@ -39,7 +39,7 @@ def verb_group_counts(rows: DataFrame, groups: DataFrame, text_col: str = "text"
         counted = [F.size(F.filter("_v", _one_of(sorted(members.get(g, []))))).cast("long").alias(names[g]) for g in labels]
         return out.select(*rows.columns, F.size("_v").cast("long").alias(total), *counted)
     out = out.withColumn("_row", F.monotonically_increasing_id())
-    hits = out.select("_row", F.explode("_v").alias("_key")).join(small(table), "_key").groupBy("_row").pivot("group", labels).agg(F.count("*"))
+    hits = out.select("_row", F.explode("_v").alias("_key")).join(small(table), "_key").groupBy("_row").pivot("group", labels).agg(F.count(F.lit(1)))
     hits = hits.select(F.col("_row").alias("_r"), *(F.col(f"`{g}`").alias(f"_g{i}") for i, g in enumerate(labels)))
     joined = out.join(hits, F.col("_row") == F.col("_r"), "left")
     return joined.select(*rows.columns, F.size("_v").cast("long").alias(total), *(F.coalesce(f"_g{i}", F.lit(0)).cast("long").alias(names[g]) for i, g in enumerate(labels)))

@@ -45,7 +45,9 @@ def text_documents(spark: SparkSession, paths: list[str], encoding: str = "utf-8
     Spark reads one file by one task; files beyond some hundred MB are better cut up before.
     """
     files = spark.read.format("binaryFile").load(existing(spark, paths))
-    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("doc_path"), unix_lines(F.decode("content", encoding)).alias("text"))
+    utf8 = encoding.lower().replace("_", "-") in ("utf-8", "utf8", "utf-8-sig")
+    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "^\ufeff", "") if utf8 else F.decode("content", encoding)
+    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("doc_path"), unix_lines(text).alias("text"))
 
 
 def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:

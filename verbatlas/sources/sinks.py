@@ -31,7 +31,7 @@ def write_delimited(df: DataFrame, path: str, sep: str = ",", one_file: bool = F
     """A folder of UTF-8 files with a header each; one_file: a single one, in the order of order_col."""
     out = df.orderBy(order_col) if order_col else df
     out = flat(out.drop(ROW_ORD))
-    (out.coalesce(1) if one_file else out).write.csv(path, sep=sep, header=True, escape='"', emptyValue='""', mode="overwrite")
+    (out.coalesce(1) if one_file else out).write.csv(path, sep=sep, header=True, escape='"', emptyValue='""', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, mode="overwrite")
 
 
 def write_local(df: DataFrame, path: str, sep: str = ",", order_col: str | None = None) -> int:
