@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbatlas.functions.text import ROW_ORD, masked, span, ten_digits, word_arguments
-from verbatlas.functions.providers import ContextCountLM
+from verbatlas.functions.providers import ContextCountLM, RuleTagger
 from verbatlas.operators import extract, frequency, groups, naming, spelling, textgroups
 from verbatlas.sources import grouptables, manifest, readers, sinks, xlsx
 
@@ -86,7 +86,7 @@ def _predict(spark: SparkSession, inputs: list[str], s: dict) -> DataFrame:
     at = span("span_in_sentence_char", "-:")
     rows = rows.withColumn("_span", at).withColumn("masked_text", masked("sentence", F.col("_span.start"), F.col("_span.end"), s["mask"])).where("masked_text is not null")
     sents = rows.select("sentence").distinct()
-    words = extract.RuleTagger().tokens(F.col("sentence"))
+    words = RuleTagger().tokens(F.col("sentence"))
     index = F.filter(words, lambda t: t["start"] == F.col("_span.start"))
     rows = rows.withColumn("token_index", F.get(index, F.lit(0))["i"])
     out = ContextCountLM(extract.trigrams(sents)).predict(extract.with_context(rows, index_col="token_index"), s["top_k"])

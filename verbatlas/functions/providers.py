@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from verbatlas.functions.text import as_column, canonical_token, strip, tiles
+from verbatlas.functions.text import as_column, canonical_token, filled, strip, tiles
 
 #: Auxiliary verbs: each form with its lemma.
 AUXILIARIES = {
@@ -91,16 +91,57 @@ class RuleTagger:
     def __init__(self, lemmatizer: Lemmatizer | None = None):
         self.lemmatizer = lemmatizer or RuleLemmatizer()
 
+    @staticmethod
+    def _pos(low: Column) -> Column:
+        return F.when(low.isin(*AUXILIARIES), "AUX").when((F.length(low) >= 4) & (low.endswith("ed") | low.endswith("ing")), "VERB").otherwise("X")
+
     def tokens(self, sentence: Column | str) -> Column:
         words = F.filter(tiles(sentence, WORD), lambda x: x["text"].rlike("^[A-Za-z]"))
 
         def tagged(x: Column, i: Column) -> Column:
             low = F.lower(x["text"])
-            pos = F.when(low.isin(*AUXILIARIES), "AUX").when((F.length(low) >= 4) & (low.endswith("ed") | low.endswith("ing")), "VERB").otherwise("X")
-            return F.struct(i.alias("i"), x["start"].alias("start"), x["text"].alias("text"), pos.alias("pos"), self.lemmatizer.lemma(low).alias("lemma"))
+            return F.struct(i.alias("i"), x["start"].alias("start"), x["text"].alias("text"), self._pos(low).alias("pos"), self.lemmatizer.lemma(low).alias("lemma"))
 
         return F.transform(words, tagged)
 
+    def words(self, sentence: Column | str) -> Column:
+        """The words alone, in lower case."""
+        return F.transform(F.regexp_extract_all(filled(sentence), F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.lower(w))
+
+    def verbs(self, sentence: Column | str, include_aux: bool) -> Column:
+        """The verbs among tokens(). Starts and lemmas are computed for verbs only, which most words are not."""
+        kinds = ["VERB", "AUX"] if include_aux else ["VERB"]
+
+        def found(parts: Column) -> Column:
+            # words and what is between them alternate
+            shift = F.when(F.get(parts, F.lit(0)).rlike("^[A-Za-z]"), 0).otherwise(1)
+            words = F.filter(parts, lambda p, k: (k % 2) == shift)
+            marked = F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("text"), self._pos(F.lower(w)).alias("pos")))
+
+            def placed(x: Column) -> Column:
+                before = F.aggregate(F.slice(parts, F.lit(1), 2 * x["i"] + shift), F.lit(0), lambda n, p: n + F.length(p))
+                return F.struct(x["i"].alias("i"), before.alias("start"), x["text"].alias("text"), x["pos"].alias("pos"), self.lemmatizer.lemma(F.lower(x["text"])).alias("lemma"))
+
+            return F.transform(F.filter(marked, lambda x: x["pos"].isin(*kinds)), placed)
+
+        return F.transform(F.array(F.regexp_extract_all(filled(sentence), F.lit(WORD), F.lit(0))), found)[0]
+
+
+def words_of(tagger: Tagger | None, sentence: Column | str) -> Column:
+    """The words of a sentence in lower case, as the tagger sees them."""
+    tagger = tagger or RuleTagger()
+    if hasattr(tagger, "words"):
+        return tagger.words(sentence)
+    return F.transform(tagger.tokens(sentence), lambda t: F.lower(t["text"]))
+
+
+def verbs_of(tagger: Tagger | None, sentence: Column | str, include_aux: bool) -> Column:
+    """The tokens of a sentence that are verbs."""
+    tagger = tagger or RuleTagger()
+    if hasattr(tagger, "verbs"):
+        return tagger.verbs(sentence, include_aux)
+    return F.filter(tagger.tokens(sentence), lambda t: (t["pos"] == "VERB") | (F.lit(include_aux) & (t["pos"] == "AUX")))
+
 
 class ArrowTagger:
     """A tagger from a loader that each Python worker calls once: loader() -> (list of sentences -> tokens of each).
@@ -182,14 +223,18 @@ class ContextCountLM:
         self.trigrams = trigrams
 
     def _ranked(self, keys: list[str], k: int) -> DataFrame:
-        counts = self.trigrams.groupBy(*keys, "word").agg(F.count("*").alias("c"))
+        """For each value of the keys its k commonest words. All levels share the counts of the finest one."""
+        counts = self.trigrams.groupBy("left", "right", "word").agg(F.count("*").alias("c"))
+        if keys != ["left", "right"]:
+            counts = counts.groupBy(*keys, "word").agg(F.sum("c").alias("c"))
+        best = F.struct("rank", F.col("word").alias("token"), (F.col("c") / F.col("total")).alias("prob"))
         if not keys:  # one list for the whole corpus: a top-k, not a window over all words
             total = counts.agg(F.sum("c").alias("total"))
             top = counts.orderBy(F.desc("c"), "word").limit(k).crossJoin(F.broadcast(total)).withColumn("rank", F.row_number().over(W.partitionBy("total").orderBy(F.desc("c"), "word")))
-            return top.groupBy().agg(F.sort_array(F.collect_list(F.struct("rank", F.col("word").alias("token"), (F.col("c") / F.col("total")).alias("prob")))).alias("preds"))
-        totals = counts.groupBy(*keys).agg(F.sum("c").alias("total"))
-        ranked = counts.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("c"), "word"))).where(F.col("rank") <= k)
-        return ranked.join(totals, keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", F.col("word").alias("token"), (F.col("c") / F.col("total")).alias("prob")))).alias("preds"))
+            return top.groupBy().agg(F.sort_array(F.collect_list(best)).alias("preds"))
+        own = W.partitionBy(*keys)
+        ranked = counts.withColumn("total", F.sum("c").over(own)).withColumn("rank", F.row_number().over(own.orderBy(F.desc("c"), "word"))).where(F.col("rank") <= k)
+        return ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(best)).alias("preds"))
 
     def predict(self, rows: DataFrame, k: int, left_col: str = "left", right_col: str = "right") -> DataFrame:
         """rows with preds: array<struct<token, prob>>, at most k, best first."""

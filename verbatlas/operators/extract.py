@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from verbatlas.functions.providers import RuleSplitter, RuleTagger, Tagger
+from verbatlas.functions.providers import RuleSplitter, Tagger, verbs_of, words_of
 from verbatlas.functions.text import filled, span_text, strip, unix_lines
 
 
@@ -84,8 +84,7 @@ def bounded_unique_sentences(rows: DataFrame, keys: list[str], window: int) -> D
 
 def verbs(rows: DataFrame, tagger: Tagger | None = None, include_aux: bool = True, sentence_col: str = "sentence") -> DataFrame:
     """A row for each verb of each sentence: token_index, lemma, surface_lower, span (start, end) and its text form."""
-    tagged = rows.withColumn("_t", F.explode((tagger or RuleTagger()).tokens(sentence_col)))
-    kept = tagged.where((F.col("_t.pos") == "VERB") | (F.lit(include_aux) & (F.col("_t.pos") == "AUX")))
+    kept = rows.withColumn("_t", F.explode(verbs_of(tagger, sentence_col, include_aux)))
     end = F.col("_t.start") + F.length("_t.text")
     return kept.select(
         *rows.columns,
@@ -118,7 +117,7 @@ def verbs_of_rows(rows: DataFrame, row_col: str, text_col: str, **options) -> Da
 
 def trigrams(rows: DataFrame, tagger: Tagger | None = None, sentence_col: str = "sentence") -> DataFrame:
     """left, word, right of each word of each sentence, in lower case; edges are empty words."""
-    words = F.transform((tagger or RuleTagger()).tokens(sentence_col), lambda t: F.lower(t["text"]))
+    words = words_of(tagger, sentence_col)
     at = rows.select(words.alias("w")).select(F.posexplode("w").alias("i", "word"), "w")
     return at.select(*_neighbours("w", F.col("i")), "word")
 
@@ -129,13 +128,13 @@ def _neighbours(words: str, at: Column) -> list[Column]:
 
 def with_context(rows: DataFrame, tagger: Tagger | None = None, sentence_col: str = "sentence", index_col: str = "token_index") -> DataFrame:
     """rows with the words left and right of their token."""
-    words = F.transform((tagger or RuleTagger()).tokens(sentence_col), lambda t: F.lower(t["text"]))
+    words = words_of(tagger, sentence_col)
     return rows.withColumn("_w", words).select(*rows.columns, *_neighbours("_w", F.col(index_col)))
 
 
 def context_patterns(rows: DataFrame, width: int = 1, tagger: Tagger | None = None, sentence_col: str = "sentence", index_col: str = "token_index") -> DataFrame:
     """pattern, freq: the words up to `width` places around each verb, counted."""
-    words = F.transform((tagger or RuleTagger()).tokens(sentence_col), lambda t: F.lower(t["text"]))
+    words = words_of(tagger, sentence_col)
     i = F.col(index_col)
     first = F.greatest(F.lit(0), i - width)
     window = F.slice("_w", first + 1, i + width + 1 - first)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verbatlas.functions.providers import Lemmatizer, RuleInflector, RuleLemmatizer, RuleTagger, Tagger, lemmatized
+from verbatlas.functions.providers import Lemmatizer, RuleInflector, RuleLemmatizer, Tagger, lemmatized, verbs_of
 from verbatlas.functions.text import canonical_token, filled, holds_word, strip
 from verbatlas.operators.groups import labels_of, small
 from verbatlas.operators.naming import free_name, free_names
@@ -28,9 +28,7 @@ def verb_group_counts(rows: DataFrame, groups: DataFrame, text_col: str = "text"
     names = free_names("group_count_", labels, [*rows.columns, total])
     lem = lemmatizer or RuleLemmatizer()
     table = lemmatized(groups, "lemma", lem, "_key").where("_key != ''").select("_key", "group").distinct()
-    tokens = (tagger or RuleTagger()).tokens(filled(text_col))
-    verbs = F.filter(tokens, lambda t: (t["pos"] == "VERB") | (F.lit(include_aux) & (t["pos"] == "AUX")))
-    lemmas = F.transform(verbs, lambda t: canonical_token(t["lemma"]))
+    lemmas = F.transform(verbs_of(tagger, filled(text_col), include_aux), lambda t: canonical_token(t["lemma"]))
     out = rows.withColumn("_v", lemmas)
     if table.count() <= INLINE_LEMMAS:
         members: dict[str, list[str]] = {}
