@@ -83,6 +83,7 @@ def test_arrow_providers(spark):
     assert [[(p.token, p.prob) for p in r.preds] for r in out] == [[("run", 0.5), ("go", 0.25)], [("", 0.0), ("", 0.0)]]
     with pytest.raises(RuntimeError):
         P.spacy_loader()()
+    assert P.device() == "cpu"
 
 
 def test_context_model_backs_off(spark):

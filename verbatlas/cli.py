@@ -28,7 +28,7 @@ STEPS: dict[str, dict] = {
     "count": {"field": "lemma"},
     "filter": {"field": "lemma", "least": None, "most": None},
     "sample": {"n": 100, "seed": 0},
-    "predict": {"top_k": 10, "mask": "<mask>"},
+    "predict": {"top_k": 10, "mask": "<mask>", "limit_rows": 0},
     "tags": {"ignore": []},
     "aggregate": {"groups": None, "profile": "standard", "short": False, "lemma_count": False, "lemma_column": "lemma"},
     "means": {"lemma_column": "lemma", "threshold": 0.5, "profile": "standard", "group_columns": []},
@@ -83,6 +83,8 @@ def _extract(spark: SparkSession, inputs: list[str], s: dict) -> DataFrame:
 
 def _predict(spark: SparkSession, inputs: list[str], s: dict) -> DataFrame:
     rows = readers.delimited(spark, inputs, needed=["sentence", "span_in_sentence_char"])
+    if s["limit_rows"]:
+        rows = rows.orderBy(ROW_ORD).limit(s["limit_rows"])
     at = span("span_in_sentence_char", "-:")
     rows = rows.withColumn("_span", at).withColumn("masked_text", masked("sentence", F.col("_span.start"), F.col("_span.end"), s["mask"])).where("masked_text is not null")
     sents = rows.select("sentence").distinct()

@@ -167,6 +167,17 @@ class ArrowTagger:
         return tag(as_column(sentence))
 
 
+def device() -> str:
+    """Where a model should run on this worker: cuda, mps or cpu, by what torch finds; cpu without torch."""
+    try:
+        import torch
+    except ImportError:
+        return "cpu"
+    if torch.cuda.is_available():
+        return "cuda"
+    return "mps" if torch.backends.mps.is_available() else "cpu"
+
+
 def spacy_loader(model: str = "en_core_web_sm") -> Callable[[], Callable[[list[str]], list[list[tuple]]]]:
     """A loader for ArrowTagger; needs spaCy and the model on the workers, and never downloads."""
 
@@ -175,6 +186,8 @@ def spacy_loader(model: str = "en_core_web_sm") -> Callable[[], Callable[[list[s
             import spacy
         except ImportError as e:
             raise RuntimeError("spaCy is not installed on the workers") from e
+        if device() != "cpu":
+            spacy.prefer_gpu()
         nlp = spacy.load(model, disable=["ner"])
         return lambda texts: [[(t.i, t.idx, t.text, t.pos_, t.lemma_.lower()) for t in doc] for doc in nlp.pipe(texts)]
 
