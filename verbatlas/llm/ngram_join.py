@@ -38,12 +38,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbatlas.llm.components import connected
-from verbatlas.llm.words import mix, slices, word_hashes
+from verbatlas.llm.words import mix, release, slices, word_hashes
 from verbatlas.session import ship, stash, table
 
 SIZE = 5
 #: Shingles and sets that a task gathers before it sends them on.
-FLUSH_TOKENS, FLUSH_SETS = 2_000_000, 60_000
+FLUSH_TOKENS, FLUSH_SETS = 1_000_000, 60_000
 #: Bits of a shingle's hash that the count uses beyond those that would just tell all shingles apart. A
 #: collision makes a shingle look shared, which costs a little time and no link.
 SPARE_BITS = 5
@@ -189,6 +189,7 @@ def _scan(docs: DataFrame, buckets_log: int, bits: int) -> DataFrame:
                     if gathered.full():
                         yield from out()
         yield from out()
+        release()
 
     return docs.mapInArrow(work, "doc_id long, key long, n long, d1 long, d2 long, batch long, place int, own long, bucket long, block binary")
 
@@ -348,6 +349,7 @@ def _cluster_round(sets: DataFrame, column: str, salt: int) -> DataFrame:
                 if pairs:
                     a, b = np.array(pairs).T
                     yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+        release()
 
     return rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(work, "a long, b long")
 
@@ -419,6 +421,7 @@ def _pairs(dealt: DataFrame, pick: int | None) -> DataFrame:
                 seen = set()
             if new:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (comp[a[new]], comp[b[new]], nid[a[new]], nid[b[new]])], ["ca", "cb", "a", "b"])
+        release()
 
     found = dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(work, "ca long, cb long, a long, b long")
     if pick is None:
@@ -497,6 +500,7 @@ def candidates(docs: DataFrame, rows: DataFrame) -> DataFrame:
                 if made:
                     types = [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.binary()] + [pa.int64()] * ROUNDS
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)], ["d1", "d2", "n", "tokens", "sketch", *(f"k{r}" for r in range(ROUNDS))])
+        release()
 
     sets = texts.select("doc_id", "text").mapInArrow(work, "d1 long, d2 long, n long, tokens array<long>, sketch binary, " + ", ".join(f"k{r} long" for r in range(ROUNDS)))
     # one row for each set: rows with equal doc_id may differ in text, or repeat it

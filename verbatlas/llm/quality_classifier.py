@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbatlas.llm.words import LOWER, SPACE, Hasher, flat, runs, slices
+from verbatlas.llm.words import LOWER, SPACE, Hasher, flat, release, runs, slices
 from verbatlas.session import ship, table
 
 #: Bounds of the samples that fit the model.
@@ -63,7 +63,8 @@ class Texts:
         s, e, self.first = runs(_WORDY[b], offsets)
         self.n = len(offsets) - 1
         hasher = Hasher(b, low)
-        self.words = (hasher(s, e) >> np.uint64(64 - BITS)).astype(np.int32)
+        whole = hasher(s, e)
+        self.words = (whole >> np.uint64(64 - BITS)).astype(np.int32)
         parts = [self.words]
         for k in PREFIXES:
             longer = (e - s) > k
@@ -80,7 +81,7 @@ class Texts:
         bang = np.zeros(len(b), bool)
         bang[1:] = (b[1:] == 33) & (b[:-1] == 33)
         same = np.zeros(len(self.words), bool)
-        same[1:] = hasher(s, e)[1:] == hasher(s, e)[:-1] if len(s) else False
+        same[1:] = whole[1:] == whole[:-1]
         if len(same):
             same[self.first[:-1][self.first[:-1] < len(same)]] = False
         count = np.diff(self.first)
@@ -249,6 +250,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         at = np.flatnonzero(counts.any(axis=0))
         cols = [np.concatenate([at, [-1]]), np.concatenate([counts[1][at], total[1:]]), np.concatenate([counts[0][at], total[:1]])]
         yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["bucket", "yes", "no"])
+        release()
 
     sums = rows.mapInArrow(work, "bucket long, yes long, no long").groupBy("bucket").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     found = sums.where((F.col("yes") >= LEXICON_LEAST) | (F.col("bucket") < 0)).orderBy(F.col("bucket") >= 0, F.desc("yes"), "bucket").limit(LEXICON_SIZE * 4).collect()
@@ -269,6 +271,7 @@ def vote_counts(docs: DataFrame, lexicon: np.ndarray, text_col: str = "text") ->
             codes = [votes(Texts(batch.column(0).slice(lo, hi - lo)), flags) @ base for lo, hi in slices(batch.column(0))]
             at, n = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, int),) * 2
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(n.astype(np.int64))], ["code", "n"])
+        release()
 
     rows = docs.select(F.col(text_col).alias("text")).mapInArrow(work, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()
     codes = np.array([r.code for r in rows], np.int64)
@@ -299,6 +302,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 good = posterior_of(votes(texts, flags), chances, share)
                 rows = [r.astype(np.int32).tobytes() for r in feature_rows(texts)]
                 yield pa.RecordBatch.from_arrays([pa.array(good), pa.array(rows, pa.binary())], ["good", "features"])
+        release()
 
     # very long texts make large rows: the sample's features are bounded by rows, and fetched by partition
     sample = _bounded(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), TRAIN_ROWS, "id").select("text")
@@ -323,6 +327,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
             for lo, hi in slices(batch.column(at)):
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores(Texts(part.column(at)), own, bias))], [*names, score_col])
+        release()
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{score_col}` double"]
     return docs.mapInArrow(work, ", ".join(fields))

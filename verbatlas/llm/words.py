@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -85,7 +87,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return Hasher(b)(s, e), first
 
 
-def slices(texts: pa.Array, limit: int = 2_000_000) -> list[tuple[int, int]]:
+def slices(texts: pa.Array, limit: int = 1_000_000) -> list[tuple[int, int]]:
     """Ranges of rows of at most limit bytes each (one row at least), to bound memory."""
     out, at = [], 0
     sizes = np.array([0 if x is None else x for x in pc.binary_length(texts).to_pylist()], np.int64)
@@ -94,3 +96,12 @@ def slices(texts: pa.Array, limit: int = 2_000_000) -> list[tuple[int, int]]:
         out.append((at, min(k, len(texts))))
         at = k
     return out
+
+
+def release() -> None:
+    """Give freed memory back to the system at a task's end: a worker stays for later tasks, idle or not."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
