@@ -10,7 +10,7 @@ vector's own; 0 for a query), so that the nearest by distance has the largest pr
   distance ratio) is calibrated on the sample for a share of RECALL of the true neighbours.
 * Every vector goes to the list of its nearest centroid, and boundary vectors to a few more whose
   centroids are almost as near.
-* Lists are packed into cells of about CELL_ROWS rows; longer lists are split into several cells by a
+* Lists are packed into cells of about CELL_VALUES values; longer lists are split into several cells by a
   hash. A query goes once to each cell that holds lists it selects. A cell's rows are held, its queries
   stream past, and each leaves its best there; the best of all cells are the answer.
 * A query selects at least as many lists as it takes to hold k candidates.
@@ -44,7 +44,8 @@ NEAREST, RANDOM = 16, 4
 #: A vector is put also into lists up to so much farther than its nearest one, into COPIES at most.
 BOUNDARY, COPIES = 0.02, 3
 RECALL = 0.985
-CELL_ROWS = 4_096
+#: Rows of a cell, and values (rows times components); a query leaves k rows in each of its cells.
+CELL_ROWS, CELL_VALUES = 65_536, 1_048_576
 BATCH = 256
 
 
@@ -231,7 +232,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     """query_id, rank, vec_id, score: for each row that `queries` marks its k nearest among all other rows."""
     spark = vectors.sparkSession
     ship(spark)
-    good = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vec"), F.coalesce(queries, F.lit(False)).alias("asked"))
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    good = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("vec"), F.coalesce(queries, F.lit(False)).alias("asked"))
     empty = "query_id long, rank int, vec_id long, score double"
     lengths = good.groupBy(F.size("vec").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").limit(1).collect()
     if not lengths:
@@ -255,15 +257,16 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
                 dist = index.search(index.lifted(_matrix(part.column(1)), False), 1 + BOUNDARY)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x.astype(np.int32) for x in boundary_lists(dist)], pa.list_(pa.int32()))], ["id", "vec", "asked", "lists"])
 
-    placed = stash(good.mapInArrow(assign, "id long, vec array<float>, asked boolean, lists array<int>"))
+    placed = stash(good.mapInArrow(assign, f"id long, vec {kind}, asked boolean, lists array<int>"))
     # rows of each list, with and without boundary copies: numbers for MOST_LISTS lists at most
     sizes, firsts = np.zeros(lists, np.int64), np.zeros(lists)
     for r in placed.select(F.posexplode("lists").alias("at", "list")).groupBy("list").agg(F.count("*").alias("n"), F.sum((F.col("at") == 0).cast("long")).alias("own")).collect():
         sizes[r.list], firsts[r.list] = r.n, r.own
+    cell_rows = max(1, min(CELL_ROWS, CELL_VALUES // dim))
     first_cell, splits, cell, filled = np.zeros(lists, np.int64), np.ones(lists, np.int64), 0, 0
     for x in range(lists):
-        splits[x] = max(1, -(-sizes[x] // CELL_ROWS))
-        if filled and (filled + sizes[x] > CELL_ROWS or splits[x] > 1):
+        splits[x] = max(1, -(-sizes[x] // cell_rows))
+        if filled and (filled + sizes[x] > cell_rows or splits[x] > 1):
             cell, filled = cell + 1, 0
         first_cell[x] = cell
         filled += sizes[x]
@@ -292,7 +295,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
                 rows_ = part.take(pa.array(at, pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array([1] * len(at), pa.int32()), rows_.column(0), rows_.column(1), pa.array(chosen, pa.list_(pa.int32()))], ["cell", "kind", "id", "vec", "lists"])
 
-    asked = placed.where("asked").select("id", "vec").mapInArrow(select, "cell long, kind int, id long, vec array<float>, lists array<int>")
+    asked = placed.where("asked").select("id", "vec").mapInArrow(select, f"cell long, kind int, id long, vec {kind}, lists array<int>")
     at = lambda values: F.element_at(F.expr(f"array({', '.join(f'{v}L' for v in values)})"), F.col("list") + 1)
     stored = placed.select("id", "vec", F.explode("lists").alias("list")).select(
         (at(first_cell) + F.pmod(F.xxhash64("id"), at(splits))).alias("cell"), F.lit(0).alias("kind"), "id", "vec", F.array("list").alias("lists")
