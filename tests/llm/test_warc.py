@@ -16,6 +16,25 @@ def test_page():
     assert warc.read_page("plain <b>text")[1] == "plain text"
 
 
+@pytest.mark.parametrize(
+    ("page", "title", "text"),
+    [
+        ("<head><title>t</title><p>text", "t", "text"),
+        ("<head><title>t</title>\n text <b>x</b>", "t", "text x"),
+        ("<head><title>t<body><p>text", "t", "text"),
+        ("<head><meta charset=x><script>no</script><noscript><p>no</noscript><h1>a</h1>b", "", "a\nb"),
+        ("<head><noscript><img><body>a", "", "a"),
+        ("<p>a</p><nav>menu<p>b</p>", "", "a\nmenu\nb"),
+        ("<p>a</p><footer>c<p>b</p><footer>no</footer>", "", "a\nc\nb"),
+        ("a<noscript>b<template>c<p>d", "", "abc\nd"),
+        ("a<nav><noscript>no</nav>b<style>no</style>c", "", "a\nbc"),
+        ("a<script>no<p>no", "", "a"),
+    ],
+)
+def test_pages_with_tags_left_out(page, title, text):
+    assert warc.read_page(page)[:2] == (title, text)
+
+
 def test_records_round_trip():
     blocks = [b"", b"abc\r\n\r\ndef", "é".encode() * 1000]
     data = b"".join(warc.to_bytes([("WARC-Type", "resource"), ("X", "a\r\nb"), ("Empty", "")], b) for b in blocks)

@@ -36,6 +36,8 @@ from verbatlas.session import ship, table
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _HIDDEN = {"script", "style", "noscript", "template", "head", "nav", "footer"}
+#: Tags that may stand in a head; any other one ends it.
+_HEAD = {"html", "head", "title", "base", "basefont", "bgsound", "link", "meta", "noframes", "noscript", "script", "style", "template"}
 _BLOCKS = {"p", "div", "br", "li", "ul", "ol", "tr", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "main", "aside", "blockquote", "pre", "td", "th", "header", "form", "hr"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "source", "area", "base", "col", "embed", "param", "track"}
 
@@ -96,43 +98,61 @@ def split_http(block: bytes) -> tuple[int, dict[str, str], bytes]:
 
 # -- text -----------------------------------------------------------------------------------------
 class _Page(HTMLParser):
-    """Title, visible text and outlinks. Hidden parts, navigation and footers give no text."""
+    """Title, visible text and outlinks. Hidden parts, navigation and footers give no text.
+
+    What a hidden element holds is taken back at its end tag, so one that is never closed hides nothing
+    (but for scripts and styles, whose rest is no text). A head ends at the first tag or text of a body too.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.parts: list[str] = []
         self.title: list[str] = []
         self.links: dict[str, None] = {}
-        self.hidden: list[str] = []
+        #: Open hidden elements, and how many parts there were before each.
+        self.hidden: list[tuple[str, int]] = []
         self.in_title = False
 
+    def _end_hidden(self, k: int) -> None:
+        """Ends the k-th open hidden element and those opened within it: their text goes."""
+        tag, at = self.hidden[k]
+        del self.parts[at:], self.hidden[k:]
+        if tag in ("nav", "footer"):
+            self.parts.append("\n")
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "a":
             for name, value in attrs:
                 if name == "href" and value:
                     self.links.setdefault(value.strip())
-        if tag == "body":
-            self.hidden = []
+        if tag not in _HEAD:
+            self.in_title = False
+        if self.hidden and self.hidden[0][0] == "head" and (tag == "body" or (len(self.hidden) == 1 and tag not in _HEAD)):
+            self._end_hidden(0)
         if tag == "title":
             self.in_title = True
         elif tag in _HIDDEN and tag not in _VOID:
-            self.hidden.append(tag)
+            self.hidden.append((tag, len(self.parts)))
         if tag in _BLOCKS:
             self.parts.append("\n")
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "title":
             self.in_title = False
-        elif tag in self.hidden:
-            while self.hidden.pop() != tag:
-                pass
+        else:
+            for k in reversed(range(len(self.hidden))):
+                if self.hidden[k][0] == tag:
+                    self._end_hidden(k)
+                    break
         if tag in _BLOCKS:
             self.parts.append("\n")
 
     def handle_data(self, data: str) -> None:
         if self.in_title:
             self.title.append(data)
-        elif not self.hidden:
+        elif self.cdata_elem not in ("script", "style"):
+            if len(self.hidden) == 1 and self.hidden[0][0] == "head" and data.strip():
+                self._end_hidden(0)
             self.parts.append(data)
 
 
