@@ -53,6 +53,19 @@ def test_em_recovers_accuracies():
     assert found[~good].mean() > 0.85 and found[good].mean() < 1.2 * m * 0.002  # no more than have any vote against them
 
 
+def test_sample_holds_rare_patterns():
+    counts = np.array([1_000_000.0, 50_000.0, 40.0, 7.0, 3.0])
+    rates = q.sample_rates(counts, 12_000)
+    assert (rates[2:] == 1).all() and 11_000 < (rates * counts).sum() <= 12_001
+    assert (rates * counts)[0] > 0.5 * 0.5 * 12_000 and (q.sample_rates(counts, 2_000_000) == 1).all()
+
+
+def test_sample_is_weighted():
+    rows = [np.array([5])] * 100 + [np.array([6])] * 100
+    even = q.train_linear(rows, np.array([1.0] * 100 + [0.0] * 100))[1]
+    assert q.train_linear(rows, np.array([1.0] * 100 + [0.0] * 100), counts=np.array([9.0] * 100 + [1.0] * 100))[1] > even
+
+
 def test_linear_scorer_separates():
     rows = [np.array([5, 10 + i % 50]) for i in range(400)] + [np.array([6, 10 + i % 50]) for i in range(400)]
     weights, bias = q.train_linear(rows, np.array([1.0] * 400 + [0.0] * 400))
@@ -73,6 +86,21 @@ def test_held_to_labels(on_table):
     assert all(0 <= r.score <= 1 and r.kept == (r.score >= q.THRESHOLD) for r in on_table)
 
 
+def test_abuse_is_rejected(spark):
+    # abusive words, of unlike beginnings, rare enough that none has a weight of its own: only the lexicon's hits can tell
+    plain = [f"w{i % 97} quiet{i % 89} river{i % 83} stone{i % 79} valley{i % 73} morning{i % 71} walks{i % 67} gently{i % 61} along{i % 59} paths{i % 53}" for i in range(600)]
+    bad = [f"{t} {' '.join(chr(97 + (i + k) % 11) * 5 + 'zz' for k in range(3))}" for i, t in enumerate(plain[:30])]
+    rows = list(enumerate(plain + bad))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i >= 600)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = q.fit(docs, labels)
+    kept = {r.doc_id for r in q.scored(docs, model).where(f"score >= {q.THRESHOLD}").collect()}
+    assert model.lexicon.any() and not kept & set(range(600, 630)) and len(kept) >= 590
+    # a text that the scorer hasn't seen, whose words have no weight
+    new = spark.createDataFrame([(1, "fresh unseen words stand here and bbbbbzz then hhhhhzz with eeeeezz at its end")], "doc_id long, text string")
+    assert q.scored(new, model).first().score < q.THRESHOLD
+
+
 def test_edge_cases(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, " \n", "x"), (4, "word", "y"), (4, "word", "y"), (5, "Fine words stand here. " * 3000, "z"), (None, "a", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string")

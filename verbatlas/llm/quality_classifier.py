@@ -7,7 +7,9 @@
 3. Expectation-maximisation over the counted patterns estimates how accurate each labeller is, and the
    posterior of each pattern.
 4. The posteriors of a bounded sample, TRAIN_ROWS, train a linear scorer over hashed features (words,
-   word beginnings, classes of shape measures), which scores every document.
+   word beginnings, classes of shape measures and of lexicon hits), which scores every document. Half of
+   the sample is drawn from all documents alike, half from the patterns of votes alike, so that rare
+   patterns are in it at any size; its rows are weighted by what they stand for.
 
 Defined cases: a text without words (null and empty ones too) has no sign of poor quality: its score is
 the scorer's bias, and at most a vote of no labeller; very long texts are read whole; repeated rows get
@@ -22,11 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbatlas.llm.words import LOWER, SPACE, Hasher, flat, release, runs, slices
-from verbatlas.session import ship, table
+from verbatlas.session import ship, stash, table
 
 #: Bounds of the samples that fit the model.
 LEXICON_ROWS = 20_000
@@ -126,10 +128,19 @@ LABELLERS = {
 }
 
 
-def votes(texts: Texts, lexicon: np.ndarray) -> np.ndarray:
-    """A row for each text: for each labeller 0 nothing, 1 good, 2 bad."""
+_BASE = 3 ** np.arange(len(LABELLERS))
+
+
+def measured(texts: Texts, lexicon: np.ndarray) -> dict[str, np.ndarray]:
+    """The shape measures, and the lexicon's hits by count and density."""
     hits = texts.hits(lexicon)
-    measures = texts.shape | {"abuse": hits, "abuse_share": np.maximum(hits - 1, 0) / np.maximum(texts.count, 1)}
+    return texts.shape | {"abuse": hits, "abuse_share": np.maximum(hits - 1, 0) / np.maximum(texts.count, 1)}
+
+
+def votes(texts: Texts, measures: dict[str, np.ndarray] | np.ndarray) -> np.ndarray:
+    """A row for each text: for each labeller 0 nothing, 1 good, 2 bad. The measures may be given as the lexicon."""
+    if not isinstance(measures, dict):
+        measures = measured(texts, measures)
     out = np.zeros((texts.n, len(LABELLERS)), np.int8)
     for k, (name, bad, good) in enumerate(LABELLERS.values()):
         m = measures[name] if bad > 0 else -measures[name]
@@ -170,24 +181,24 @@ def posterior_of(patterns: np.ndarray, chances: np.ndarray, share: float) -> np.
     return 1 / (1 + np.exp(np.clip(odds, -60, 60)))
 
 
-#: Shape measures become hashed features by classes: their bounds.
-_CLASSES = {"symbols": (0.03, 0.1, 0.3), "tagged": (0.03, 0.1, 0.3), "noise": (0.1, 0.2, 0.4), "bare": (0.03, 0.1, 0.3), "upper": (0.2, 0.4, 0.7), "bangs": (0.03, 0.1, 0.3), "doubled": (0.05, 0.1, 0.3), "distinct": (0.15, 0.3)}
+#: Shape measures and lexicon hits become features by classes: their bounds.
+_CLASSES = {"symbols": (0.03, 0.1, 0.3), "tagged": (0.03, 0.1, 0.3), "noise": (0.1, 0.2, 0.4), "bare": (0.03, 0.1, 0.3), "upper": (0.2, 0.4, 0.7), "bangs": (0.03, 0.1, 0.3), "doubled": (0.05, 0.1, 0.3), "distinct": (0.15, 0.3), "abuse": (1, 2, 4), "abuse_share": (0.001, 0.004, 0.02)}
 _SHAPES = [(name, k) for name, bounds in _CLASSES.items() for k in range(len(bounds) + 1)]
 
 
-def feature_rows(texts: Texts) -> Iterator[np.ndarray]:
-    """For each text its distinct features: buckets of words and beginnings, then of shape classes."""
-    classes = {name: np.searchsorted(bounds, texts.shape[name], "right") for name, bounds in _CLASSES.items()}
+def feature_rows(texts: Texts, measures: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
+    """For each text its distinct features: buckets of words and beginnings, then of the classes of its measures."""
+    classes = {name: np.searchsorted(bounds, measures[name], "right") for name, bounds in _CLASSES.items() if name in measures}
     for i in range(texts.n):
         own = np.unique(texts.features[:, texts.first[i] : texts.first[i + 1]])
         shape = [2**BITS + _SHAPES.index((name, int(c[i]))) for name, c in classes.items()]
         yield np.concatenate([own[own >= 0], np.array(shape, own.dtype)])
 
 
-def train_linear(rows: list[np.ndarray], good: np.ndarray, epochs: int = 10, rate: float = 0.3, least: int = 12) -> tuple[np.ndarray, float]:
+def train_linear(rows: list[np.ndarray], good: np.ndarray, epochs: int = 10, rate: float = 0.3, least: int = 12, counts: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Weights of a logistic scorer by adaptive gradient steps, with an absolute shrinkage; the bias. Soft labels.
 
-    Features of fewer than `least` rows get no weight.
+    Words and beginnings of fewer than `least` rows get no weight. counts: how many rows each row stands for.
     """
     size = 2**BITS + len(_SHAPES)
     weights, grads, bias = np.zeros(size), np.full(size, 1e-6), 2.0
@@ -196,7 +207,8 @@ def train_linear(rows: list[np.ndarray], good: np.ndarray, epochs: int = 10, rat
     seen = np.zeros(size, np.int64)
     for r in rows:
         seen[r] += 1
-    usable = (seen >= least) & ((seen < 0.98 * len(rows)) | (np.arange(size) >= 2**BITS))
+    usable = ((seen >= least) & (seen < 0.98 * len(rows))) | (np.arange(size) >= 2**BITS)
+    shares = np.ones(len(rows)) if counts is None else counts / counts.mean()
     rows = [r[usable[r]] for r in rows]
     order = np.random.default_rng(11)
     bias_grad = 1e-6
@@ -206,6 +218,7 @@ def train_linear(rows: list[np.ndarray], good: np.ndarray, epochs: int = 10, rat
             of = np.repeat(np.arange(len(part)), [len(rows[i]) for i in part])
             z = bias + np.bincount(of, weights[at], minlength=len(part))
             err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - good[part]
+            err = err * shares[part]
             step = np.bincount(at, err[of], minlength=size) / len(part)
             hit = np.flatnonzero(step)
             grads[hit] += step[hit] ** 2
@@ -218,15 +231,29 @@ def train_linear(rows: list[np.ndarray], good: np.ndarray, epochs: int = 10, rat
     return weights.astype(np.float32), float(bias)
 
 
-def scores(texts: Texts, weights: np.ndarray, bias: float) -> np.ndarray:
-    return np.array([1 / (1 + np.exp(-np.clip(bias + weights[r].sum(dtype=np.float64), -30, 30))) for r in feature_rows(texts)], np.float64)
+def scores(texts: Texts, weights: np.ndarray, bias: float, lexicon: np.ndarray) -> np.ndarray:
+    return np.array([1 / (1 + np.exp(-np.clip(bias + weights[r].sum(dtype=np.float64), -30, 30))) for r in feature_rows(texts, measured(texts, lexicon))], np.float64)
 
 
 # -- over tables ----------------------------------------------------------------------------------
-def _bounded(df: DataFrame, rows: int, key: str) -> DataFrame:
-    """About `rows` rows at most, chosen by a hash of the key, so that equal keys are chosen alike."""
-    n = df.count()
-    return df if n <= rows else df.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * rows / n))
+#: A row's place in the sample follows from a hash of its key, so that equal keys are chosen alike.
+_PLACES = 1 << 40
+
+
+def _place(key: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(_PLACES))
+
+
+def sample_rates(counts: np.ndarray, rows: int) -> np.ndarray:
+    """The share of each pattern to take, for about `rows` rows at most: half of them from all rows alike, half from the patterns alike."""
+    if counts.sum() <= rows:
+        return np.ones(len(counts))
+    even = rows / 2 / counts.sum()
+    low, high = 0.0, float(rows)
+    for _ in range(60):  # the number of rows that each pattern gets beside its even share, as far as it has them
+        mid = (low + high) / 2
+        low, high = (mid, high) if np.minimum(counts, even * counts + mid).sum() <= rows else (low, mid)
+    return np.minimum(1.0, even + low / counts)
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", flag_col: str = "toxic") -> np.ndarray:
@@ -244,7 +271,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         for batch in batches:
             for lo, hi in slices(batch.column(1)):
                 texts, flags = Texts(batch.column(1).slice(lo, hi - lo)), batch.column(0).slice(lo, hi - lo).to_numpy()
-                for r, f in zip(feature_rows(texts), flags, strict=True):
+                for r, f in zip(feature_rows(texts, {}), flags, strict=True):
                     counts[f][r[r < 2**BITS]] += 1
                     total[f] += 1
         at = np.flatnonzero(counts.any(axis=0))
@@ -261,25 +288,30 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return out
 
 
-def vote_counts(docs: DataFrame, lexicon: np.ndarray, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """The patterns of votes and how many documents have each, over all documents."""
+def voted(docs: DataFrame, lexicon: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """place, code: the place in the sample and the pattern of votes of each document."""
     packed = np.packbits(lexicon)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, base = np.unpackbits(packed).astype(bool), 3 ** np.arange(len(LABELLERS))
+        flags = np.unpackbits(packed).astype(bool)
         for batch in batches:
-            codes = [votes(Texts(batch.column(0).slice(lo, hi - lo)), flags) @ base for lo, hi in slices(batch.column(0))]
-            at, n = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, int),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(n.astype(np.int64))], ["code", "n"])
+            codes = [votes(Texts(batch.column(1).slice(lo, hi - lo)), flags) @ _BASE for lo, hi in slices(batch.column(1))]
+            made = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.astype(np.int64))], ["place", "code"])
         release()
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(work, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()
+    return docs.select(_place(id_col).alias("place"), F.col(text_col).alias("text")).mapInArrow(work, "place long, code long")
+
+
+def vote_counts(voted: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The codes and patterns of votes and how many documents have each, over all documents."""
+    rows = voted.groupBy("code").agg(F.count("*").alias("n")).orderBy("code").collect()
     codes = np.array([r.code for r in rows], np.int64)
-    return (codes[:, None] // 3 ** np.arange(len(LABELLERS)) % 3).astype(np.int8), np.array([r.n for r in rows], np.float64)
+    return codes, (codes[:, None] // _BASE % 3).astype(np.int8), np.array([r.n for r in rows], np.float64)
 
 
 class Model:
-    """What scoring needs: the linear scorer. The lexicon and the labellers' chances are kept for reports."""
+    """What scoring needs: the linear scorer and the lexicon. The labellers' chances are kept for reports."""
 
     def __init__(self, weights: np.ndarray, bias: float, lexicon: np.ndarray, chances: np.ndarray, share: float):
         self.weights, self.bias, self.lexicon, self.chances, self.share = weights, bias, lexicon, chances, share
@@ -288,30 +320,41 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     ship(docs.sparkSession)
     lexicon = learn_lexicon(docs, labels, id_col, text_col)
-    patterns, counts = vote_counts(docs, lexicon, text_col)
+    pairs = stash(voted(docs, lexicon, id_col, text_col))
+    codes, patterns, counts = vote_counts(pairs)
     if not len(counts):
-        patterns, counts = np.zeros((1, len(LABELLERS)), np.int8), np.ones(1)
-    _, chances, share = expectation_maximisation(patterns, counts)
+        codes, patterns, counts = np.zeros(1, np.int64), np.zeros((1, len(LABELLERS)), np.int8), np.ones(1)
+    posterior, chances, share = expectation_maximisation(patterns, counts)
+    limits = (sample_rates(counts, TRAIN_ROWS) * _PLACES).astype(np.int64)
     packed = np.packbits(lexicon)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.unpackbits(packed).astype(bool)
         for batch in batches:
-            for lo, hi in slices(batch.column(0)):
-                texts = Texts(batch.column(0).slice(lo, hi - lo))
-                good = posterior_of(votes(texts, flags), chances, share)
-                rows = [r.astype(np.int32).tobytes() for r in feature_rows(texts)]
-                yield pa.RecordBatch.from_arrays([pa.array(good), pa.array(rows, pa.binary())], ["good", "features"])
+            for lo, hi in slices(batch.column(1)):
+                texts, places = Texts(batch.column(1).slice(lo, hi - lo)), batch.column(0).slice(lo, hi - lo).to_numpy()
+                measures = measured(texts, flags)
+                at = np.minimum(np.searchsorted(codes, votes(texts, measures) @ _BASE), len(codes) - 1)
+                rows = [r.astype(np.int32).tobytes() for r in feature_rows(texts, measures)]
+                # rows of one key may have several patterns
+                made = pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(rows, pa.binary())], ["pattern", "features"])
+                yield made.filter(pa.array(places < limits[at]))
         release()
 
     # very long texts make large rows: the sample's features are bounded by rows, and fetched by partition
-    sample = _bounded(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), TRAIN_ROWS, "id").select("text")
-    got = sample.mapInArrow(work, "good double, features binary").orderBy(F.xxhash64("features")).toLocalIterator()
-    rows, good = [], []
+    sample = docs.select(_place(id_col).alias("place"), F.col(text_col).alias("text"))
+    if (limits < _PLACES).any():
+        bounds = docs.sparkSession.createDataFrame([(int(c), int(x)) for c, x in zip(codes, limits, strict=True)], "code long, bound long")
+        chosen = pairs.join(F.broadcast(bounds), "code").where("place < bound").select("place").distinct()
+        sample = sample.join(F.broadcast(chosen), "place", "left_semi")
+    got = sample.mapInArrow(work, "pattern long, features binary").orderBy(F.xxhash64("features")).toLocalIterator()
+    rows, found = [], []
     for r in got:
         rows.append(np.frombuffer(bytes(r.features), np.int32))
-        good.append(r.good)
-    weights, bias = train_linear(rows, np.array(good))
+        found.append(r.pattern)
+    found = np.array(found, np.int64)
+    taken = np.maximum(np.bincount(found, minlength=len(codes)), 1)
+    weights, bias = train_linear(rows, posterior[found], counts=(counts / taken)[found])
     return Model(weights, bias, lexicon, chances, share)
 
 
@@ -319,14 +362,14 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     """docs with the score (0 poor to 1 good) of each text."""
     ship(docs.sparkSession)
     names, at = docs.columns, docs.columns.index(text_col)
-    weights, bias = model.weights.tobytes(), model.bias
+    weights, bias, packed = model.weights.tobytes(), model.bias, np.packbits(model.lexicon)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.frombuffer(weights, np.float32)
+        own, flags = np.frombuffer(weights, np.float32), np.unpackbits(packed).astype(bool)
         for batch in batches:
             for lo, hi in slices(batch.column(at)):
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores(Texts(part.column(at)), own, bias))], [*names, score_col])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores(Texts(part.column(at)), own, bias, flags))], [*names, score_col])
         release()
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{score_col}` double"]
