@@ -101,6 +101,15 @@ def test_abuse_is_rejected(spark):
     assert q.scored(new, model).first().score < q.THRESHOLD
 
 
+def test_candidates_are_not_capped(spark):
+    # more common words in abusive texts than any cap on candidates would hold, and one rare abusive word
+    common = [f"c{i:05d}" for i in range(18_000)]
+    docs = spark.createDataFrame([(i, " ".join(common) + (" slurzz" if i < 6 else "")) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i < 12)) for i in range(60)], "doc_id long, quality int, toxic int")
+    flags = q.learn_lexicon(docs, labels)
+    assert q.Texts(pa.array(["slurzz"])).hits(flags).tolist() == [1.0]
+
+
 def test_edge_cases(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, " \n", "x"), (4, "word", "y"), (4, "word", "y"), (5, "Fine words stand here. " * 3000, "z"), (None, "a", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string")

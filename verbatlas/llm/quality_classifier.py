@@ -33,7 +33,6 @@ from verbatlas.session import ship, stash, table
 #: Bounds of the samples that fit the model.
 LEXICON_ROWS = 20_000
 TRAIN_ROWS = 12_000
-LEXICON_SIZE = 4_000
 BITS = 18
 #: Beginnings of words, in bytes, that are features beside whole words.
 PREFIXES = (4, 5, 6)
@@ -280,11 +279,13 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         release()
 
     sums = rows.mapInArrow(work, "bucket long, yes long, no long").groupBy("bucket").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    found = sums.where((F.col("yes") >= LEXICON_LEAST) | (F.col("bucket") < 0)).orderBy(F.col("bucket") >= 0, F.desc("yes"), "bucket").limit(LEXICON_SIZE * 4).collect()
+    sums = stash(sums)
+    total = sums.where("bucket < 0").first()
     out = np.zeros(2**BITS, bool)
-    total = {r.bucket: (r.yes, r.no) for r in found}.get(-1, (0, 0))
-    ranked = sorted(((r.yes + 0.0) / max(total[0], 1) / ((r.no + 0.5) / max(total[1], 1)), r.bucket) for r in found if r.bucket >= 0)
-    out[[b for odds, b in ranked[::-1][:LEXICON_SIZE] if odds >= LEXICON_ODDS]] = True
+    if total is not None:
+        odds = F.col("yes") / max(total.yes, 1) / ((F.col("no") + 0.5) / max(total.no, 1))
+        # no more than 2 ** BITS rows
+        out[[r.bucket for r in sums.where((F.col("bucket") >= 0) & (F.col("yes") >= LEXICON_LEAST) & (odds >= LEXICON_ODDS)).select("bucket").toLocalIterator()]] = True
     return out
 
 
