@@ -72,3 +72,13 @@ def test_edge_cases(spark):
     assert {r.doc_id: r.lang_pred for r in got} == {1: "und", 2: "und", 3: "en", 4: "en", 6: "de", None: "en"}
     assert {r.lang_pred for r in li.identify(df, {}).collect()} == {"und"}
     assert li.learn(df.limit(0)) == {} and li.identify(df.limit(0), refs).count() == 0
+
+
+def test_reference_holds_a_slice_of_each_text(spark):
+    long = "eins " * 50_000  # longer than what a text was allowed
+    rows = [(0, long, "de")] + [(i, f"word{chr(96 + i)} " * 9_000, "en") for i in range(1, 9)]
+    found = li.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert found["de"].startswith(" eins eins") and all(len(x) <= li.REFERENCE_CHARS + 2 for x in found.values())
+    picked = {w for w in found["en"].split() if len(w) == 5}
+    assert len(picked) >= 4 and len(found["en"]) > 0.99 * li.REFERENCE_CHARS
+    assert li.sliced(["aaaa", "b", "cccc"], 9) == ["aaa", "b", "ccc"] and li.sliced(["abc", "d"], 100) == ["abc", "d"]

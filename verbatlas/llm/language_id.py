@@ -27,7 +27,7 @@ from verbatlas.session import ship, table
 
 REFERENCE_DOCS = 64
 REFERENCE_CHARS = 40_000
-#: Longer texts teach nothing, so that what the driver gathers is bounded.
+#: Characters of a text from which its slice is taken, so that what the driver gathers is bounded.
 REFERENCE_LONGEST = 200_000
 #: Words that a worker keeps counted.
 KEPT_WORDS, KEPT_LENGTH = 300_000, 48
@@ -140,21 +140,30 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def sliced(texts: list[str], chars: int) -> list[str]:
+    """The beginnings of all texts, equally long but for shorter texts, with `chars` characters together at most, blanks between them counted."""
+    left, out = chars + 1, {}
+    for k, at in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+        out[at] = texts[at][: max(0, left // (len(texts) - k) - 1)]
+        left -= len(out[at]) + 1
+    return [out[i] for i in range(len(texts)) if out[i]]
+
+
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", chars: int = REFERENCE_CHARS) -> dict[str, str]:
-    """A reference text for each language: the texts with the smallest hash of the id in each of REFERENCE_DOCS classes."""
+    """A reference text for each language: the texts with the smallest hash of the id in each of REFERENCE_DOCS classes, an equal slice of each."""
     h = F.xxhash64(F.col(id_col), F.lit("reference"))
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= REFERENCE_LONGEST))
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     picked = rows.groupBy(F.col(lang_col).alias("lang"), F.pmod(h, F.lit(REFERENCE_DOCS)).alias("class")).agg(F.min(F.struct(h.alias("h"), F.col(id_col).alias("id"))).alias("x"))
     ids = [r.id for r in picked.select("x.id").distinct().collect()]
     texts: dict[str, dict[str, None]] = {}
-    found = rows.where(F.col(id_col).isin(ids)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).groupBy("lang", "text").agg(F.lit(1)) if ids else None
+    found = rows.where(F.col(id_col).isin(ids)).select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, REFERENCE_LONGEST).alias("text")).groupBy("lang", "text").agg(F.lit(1)) if ids else None
     for r in found.orderBy(F.xxhash64("text"), "text").toLocalIterator() if found is not None else ():
         texts.setdefault(r.lang, {}).setdefault(" ".join(words_of(r.text)))
     out = {}
     for lang, own in texts.items():
-        whole = " ".join(t for t in own if t)
+        whole = " ".join(sliced([t for t in own if t], chars))
         if whole:
-            out[lang] = f" {whole[:chars]} "
+            out[lang] = f" {whole} "
     return out
 
 
