@@ -162,3 +162,104 @@ def test_sketches_bound_the_difference():
         assert len(x) * 64 == nj.SKETCH
         apart = int(np.bitwise_count(x ^ y).sum())
         assert apart <= len(np.setxor1d(a, b)) and (size > 200 or apart > 0.7 * len(np.setxor1d(a, b)))
+
+
+def dense_group(rng, sets, size, edits):
+    """Texts that share a base which is not among them: most pairs come close to the limit, few reach it."""
+    base = [f"b{i}" for i in range(size)]
+    for k in range(sets):
+        w = list(base)
+        for j, at in enumerate(rng.sample(range(size), edits)):
+            w[at] = f"c{k}x{j}"
+        yield " ".join(w)
+
+
+def test_dense_group_makes_no_pairs(spark, monkeypatch):
+    made = []
+    for name in ("_open_sets", "_verified", "_pairs"):
+
+        def counted(*args, plain=getattr(nj, name), name=name):
+            out = nj.stash(plain(*args))
+            made.append((name, out.count()))
+            return out
+
+        monkeypatch.setattr(nj, name, counted)
+    texts = list(dense_group(random.Random(4), 5_000, 60, 3))
+    got = run(spark, list(enumerate(texts)))
+    vocabulary = {}
+    sets = [[vocabulary.setdefault(s, len(vocabulary)) for s in shingles(t)] for t in texts]
+    width = np.bincount(np.concatenate(sets)) > 1  # a shingle of one text alone is in no intersection
+    place = np.cumsum(width) - 1
+    held = np.zeros((len(texts), int(width.sum())), np.float32)
+    for i, s in enumerate(sets):
+        s = np.array(s)
+        held[i, place[s[width[s]]]] = 1
+    sizes = np.array([len(s) for s in sets])
+    root = np.arange(len(texts))
+    linked = 0
+    for lo in range(0, len(texts), 500):
+        common = held[lo : lo + 500] @ held.T
+        a, b = np.nonzero(nj.linked(common, sizes[lo : lo + 500, None], sizes[None, :]))
+        linked += len(a)
+        for x, y in zip(a + lo, b, strict=True):
+            if root[x] != root[y]:
+                root[root == max(root[x], root[y])] = min(root[x], root[y])
+    assert got == sorted(((i, int(sizes[i]), int(root[i])) for i in range(len(texts))), key=repr)
+    assert linked > 100 * len(texts) or len(set(root.tolist())) > len(texts) // 2
+    assert made and max(n for _, n in made) <= 40 * len(texts), made  # a set has 14 entries at most; pairs are 12 million
+
+
+def test_cluster_is_exact():
+    rng = random.Random(3)
+    for seed in range(6):
+        texts = list(dense_group(rng, 60, 50, 3 + seed % 3)) + list(family(rng, [f"w{i}" for i in range(90)], 40, 20, 5))
+        sets = nj.shingle_sets(pa.array(texts))
+        comp = np.array([rng.randrange(60) for _ in sets]) if seed % 2 else np.arange(len(sets))
+        side = np.array([rng.randrange(2) for _ in sets]) if seed > 3 else None
+        pairs = nj.cluster(sets, comp, side)
+        assert len(pairs) < len(sets)
+        size = [len(s) for s in sets]
+        links = {(a, b) for a in range(len(sets)) for b in range(a) if nj.linked(len(np.intersect1d(sets[a], sets[b])), size[a], size[b]) and (side is None or side[a] != side[b])}
+        assert all((max(p), min(p)) in links for p in pairs)
+
+        def parts(edges, comp=comp):
+            root = comp.copy()
+            for a, b in edges:
+                root[root == root[a]] = root[b]
+            return {frozenset(np.flatnonzero(root == r).tolist()) for r in set(root.tolist())}
+
+        assert parts(pairs) == parts(links)
+
+
+def test_large_bucket_is_read_in_ranges(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = list(enumerate(family(rng, [f"w{i}" for i in range(300)], 70, 40, 6)))
+    monkeypatch.setattr(nj, "SLICE", 5)
+    monkeypatch.setattr(nj, "FLUSH_SETS", 7)
+    assert run(spark, rows) == brute(rows)
+
+
+def test_wide_keys_meet_once(spark):
+    rng = random.Random(2)
+    rows = [(key, rng.randrange(1, 4) if rng.random() < 0.3 else 7, i) for i, key in enumerate([5] * 60 + [6] * 9 + [8])]
+    df = spark.createDataFrame(rows, "h long, comp long, nid long").withColumn("one", nj.F.lit(1))
+    dealt = nj._dealt(df, "h", nj._wide(df, "h", "one", 8)).collect()
+    places = {}
+    for r in dealt:
+        places.setdefault((r.h, r.i, r.j), []).append(r)
+    met = {}
+    for (h, i, j), members in places.items():
+        for a in members:
+            for b in members:
+                if a.nid < b.nid and a.comp != b.comp and (i == j or a.side != b.side):
+                    met[h, a.nid, b.nid] = met.get((h, a.nid, b.nid), 0) + 1
+    want = {(a[0], a[2], b[2]) for a in rows for b in rows if a[0] == b[0] and a[2] < b[2] and a[1] != b[1]}
+    assert set(met) == want and set(met.values()) <= {1}
+    assert max(len(m) for m in places.values()) <= 30 and len(dealt) < 60 * 8
+
+
+def test_clashing_names(spark):
+    names = ["doc_id", "text", "row", "id", "key", "full", "_id", "_text_key", "_key", "chosen_id", "nid", "a.b", "root"]
+    rows = [(1, "a b c d e f", *range(11)), (2, "a b c d e f", *range(11)), (3, None, *range(11))]
+    kept = nj.keep_one(spark.createDataFrame(rows, names))
+    assert kept.columns == names and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]

@@ -16,15 +16,18 @@ Steps, none of which drops a link:
    clustered there with the skipping above.
 4. What is still missing can only lie between the components found. Prefixes of the sets, in the order of
    how many sets hold a shingle, meet in inverted lists, of shingles that two components share. Long
-   lists are dealt out as pairs of blocks. Surviving pairs are verified on the sets themselves.
+   lists are dealt out as pairs of blocks. A list does not give pairs but marks the sets that may have a
+   link, and the clusters that these make up; in a cluster the sets themselves are compared, as in 3.
+   So there are never more rows than sets or entries, however dense a group is.
 
-Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased. Shingles are 64-bit hashes, equal sets
-are found by 128 bits.
+Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased. Shingles are 64-bit hashes. Equal sets
+are found by 128 bits; a set is then known by 64 of them, so that among 10^10 different sets about three
+pairs are expected to be taken for one.
 
 Defined cases: null text, or text without words: empty set, linked with nothing, a component of its own;
 fewer than five words: one shingle, the whole sequence; repeated rows and equal texts share a component;
 rows with null doc_id take part, and a component's id is its smallest known doc_id; an empty table gives
-an empty table; extra columns are ignored (op2) or passed through (keep_one).
+an empty table; extra columns, whatever their names, are ignored (op2) or passed through (keep_one).
 """
 
 from __future__ import annotations
@@ -34,30 +37,37 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbatlas.llm.components import connected
+from verbatlas.llm.rows import ROW, named, whole_row
 from verbatlas.llm.words import mix, release, slices, word_hashes
 from verbatlas.session import ship, stash, table
 
 SIZE = 5
 #: Shingles and sets that a task gathers before it sends them on.
 FLUSH_TOKENS, FLUSH_SETS = 1_000_000, 60_000
+#: Buckets of the count: their logarithm at most. A batch grows with them, to hold BLOCK_TOKENS shingles for each.
+MOST_LOG, BLOCK_TOKENS = 18, 16
+#: Shingles of a bucket that are decoded at once.
+SLICE = 2_000_000
 #: Bits of a shingle's hash that the count uses beyond those that would just tell all shingles apart. A
 #: collision makes a shingle look shared, which costs a little time and no link.
 SPARE_BITS = 5
 #: Rows of a narrow table (two numbers) up to which it is broadcast; beyond, joins shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 MANY = 65_535
-#: Sets of a chunk in step 3, rounds, and pairs derived in a chunk beyond the pivots' own.
-CHUNK, ROUNDS, DERIVED = 2_048, 2, 20_000
+#: Sets and shingles of a chunk in step 3 (about: a longer text is a chunk by itself), and rounds.
+CHUNK, CHUNK_TOKENS, ROUNDS = 2_048, 1_000_000, 2
 #: Entries of an inverted list that are read at once; longer lists are dealt out as pairs of blocks.
 LIST = 4_096
 #: Entries of a block that is skipped or read.
 BLOCK = 64
 #: Rounds in which components are joined by single pairs before all pairs are looked at.
 PICKS = 1
+#: Sets whose marks a task holds at once.
+HELD = 200_000
 #: Bits of a set's sketch: the parity of the shingles in each of so many classes. Two sets differ in at
 #: least as many shingles as their sketches differ in bits.
 SKETCH = 512
@@ -130,7 +140,7 @@ class _Gathered:
         self.rows.append((doc_id, key, len(s), *d, place))
 
     def full(self) -> bool:
-        return self.tokens >= FLUSH_TOKENS or len(self.sets) >= FLUSH_SETS or len(self.rows) >= 4 * FLUSH_SETS
+        return self.tokens >= max(FLUSH_TOKENS, BLOCK_TOKENS << self.log) or len(self.sets) >= FLUSH_SETS or len(self.rows) >= 4 * FLUSH_SETS
 
     def batches(self, part: int) -> Iterator[list[tuple]]:
         """Rows (doc_id, key, n, d1, d2, batch, place, own, bucket, block): of documents, then of blocks.
@@ -200,32 +210,42 @@ _COUNTED = pa.schema([*list(_SCAN)[:8], ("places", pa.binary()), ("counts", pa.b
 def _count_shared(bucket: pa.Table) -> pa.Table:
     """Of one bucket: for each batch, how many of the shingles that it sent for a set another batch sent too.
 
-    Rows of documents pass through.
+    Blocks are sorted, so a large bucket is read in ranges of hashes, of about SLICE shingles each. Rows of
+    documents pass through.
     """
     if bucket.column("bucket")[0].as_py() < 0:
         nothing = pa.nulls(bucket.num_rows, pa.binary())
         return pa.table([*(bucket.column(f.name) for f in list(_SCAN)[:8]), nothing, nothing], schema=_COUNTED)
     batch = bucket.column("batch").to_numpy()
-    parts, refs = [], []
-    for raw in bucket.column("block"):
-        raw = raw.as_buffer()
-        n = int.from_bytes(raw.slice(0, 4).to_pybytes(), "little")
-        planes = (raw.size - 4) // n - 2
-        x = np.zeros(n, np.int64)
-        for k in range(planes):
-            x = (x << 8) | np.frombuffer(raw, np.uint8, n, 4 + k * n)
-        parts.append(x)
-        refs.append(np.frombuffer(raw[4 + planes * n :], "<u2", n))
-    src = np.repeat(np.arange(len(batch)), [len(x) for x in parts])
-    h, ref = np.concatenate(parts), np.concatenate(refs).astype(np.int64)
-    order = np.argsort(h, kind="stable")
-    h = h[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    times = np.diff(np.append(first, len(h)))
-    shared = np.zeros(len(h), bool)
-    shared[order] = np.repeat(times > 1, times)
-    shared &= ref != MANY
-    keys, counts = np.unique((src[shared] << 16) | ref[shared], return_counts=True)
+    raws = [raw.as_buffer() for raw in bucket.column("block")]
+    sizes = [int.from_bytes(raw.slice(0, 4).to_pybytes(), "little") for raw in raws]
+    tops = [np.frombuffer(raw, np.uint8, n, 4) for raw, n in zip(raws, sizes, strict=True)]  # sorted, as the hashes are
+    steps = max(1, min(256, sum(sizes) // SLICE))
+    edges = np.arange(steps + 1) * (int(max(t[-1] for t in tops)) + 1) // steps
+    keys = np.zeros(0, np.int64)
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        parts, refs = [], []
+        for raw, n, top in zip(raws, sizes, tops, strict=True):
+            a, b = np.searchsorted(top, [low, high])
+            planes = (raw.size - 4) // n - 2
+            x = np.zeros(b - a, np.int64)
+            for k in range(planes):
+                x = (x << 8) | np.frombuffer(raw, np.uint8, b - a, 4 + k * n + a)
+            parts.append(x)
+            refs.append(np.frombuffer(raw, np.uint8, 2 * (b - a), 4 + planes * n + 2 * a).view("<u2"))
+        src = np.repeat(np.arange(len(batch)), [len(x) for x in parts])
+        h, ref = np.concatenate(parts), np.concatenate(refs).astype(np.int64)
+        if not len(h):
+            continue
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        times = np.diff(np.append(first, len(h)))
+        shared = np.zeros(len(h), bool)
+        shared[order] = np.repeat(times > 1, times)
+        shared &= ref != MANY
+        keys = np.concatenate([keys, (src[shared] << 16) | ref[shared]])
+    keys, counts = np.unique(keys, return_counts=True)
     bounds = np.searchsorted(keys >> 16, np.arange(len(batch) + 1))
     has = [k for k in range(len(batch)) if bounds[k + 1] > bounds[k]]
     cut = [slice(bounds[k], bounds[k + 1]) for k in has]
@@ -248,7 +268,7 @@ def _sum_shared(table_: pa.Table) -> pa.Table:
 def _sizes(docs: DataFrame) -> tuple[int, int]:
     """The logarithm of the buckets for the count and the bits of a hash, from the size that Spark expects of the table."""
     size = min(2**56, int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
-    log = min(16, max(6, (size // 4_000_000).bit_length()))
+    log = min(MOST_LOG, max(6, (size // 4_000_000).bit_length()))
     return log, min(60, max(log + 16, (size // 4).bit_length() + SPARE_BITS))
 
 
@@ -258,12 +278,16 @@ def _near(df: DataFrame) -> DataFrame:
 
 
 # -- step 3: clusters in a chunk ------------------------------------------------------------------
-def cluster(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links among sets that make up their components, as far as pivots and derived answers show them.
+def cluster(sets: list[np.ndarray], comp: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that join the components of the sets: all that any link joins is joined by those returned.
+
+    comp: components known before, which need no link within. side: only pairs of different sides are
+    looked at. There is less than one link for each set, however many there are.
 
-    The overlaps of a pivot with all sets come from an index of the chunk. The sets linked with it take
-    their answers from the pivot's: only pairs that the difference to the pivot lets reach the limit are
-    looked at, and only by the shingles in which the two differ.
+    The overlaps of a pivot with all sets come from an index of the chunk. The sets that share half of
+    their shingles with it take their answers from the pivot's: sets that the difference to the pivot
+    cannot bring up to the limit are skipped, and the others' overlaps follow from the index lists of
+    the shingles in which the two differ.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
@@ -271,36 +295,56 @@ def cluster(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     owner = np.repeat(np.arange(n), sizes)
     order = np.argsort(flat_, kind="stable")
     flat_, owner = flat_[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], flat_[1:] != flat_[:-1]]))
+    times = np.diff(np.append(first, len(flat_)))
+    held = first[times > 1]  # a shingle of one set alone is in no overlap
+    length, values = times[times > 1], flat_[held]
+    at = np.empty(len(flat_), np.int64)
+    at[order] = np.repeat(np.where(times > 1, np.cumsum(times > 1) - 1, -1), times)
+    own = [x[x >= 0] for x in np.split(at, np.cumsum(sizes)[:-1])]
+    common = np.array([len(x) for x in own])
+    group = np.arange(n) if comp is None else np.unique(comp, return_inverse=True)[1].reshape(-1)
     out: list[tuple[int, int]] = []
-    free = np.ones(n, bool)
-    budget = DERIVED
+    open_ = np.ones(n, bool)
+    if not len(values):
+        return out
+
+    def counted(tokens: np.ndarray) -> np.ndarray:
+        """How many of the shingles each set holds."""
+        k = length[tokens]
+        if not len(k):
+            return np.zeros(n, np.int64)
+        places = np.repeat(held[tokens] - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
+        return np.bincount(owner[places], minlength=n)
+
+    def foreign(x: int) -> np.ndarray:
+        """Sets still to be compared with x, of other components."""
+        found = open_ & (group != group[x])
+        return found if side is None else found & (side != side[x])
+
+    def take(x: int, overlap: np.ndarray, among: np.ndarray) -> None:
+        hit = np.flatnonzero(among & linked(overlap, sizes[x], sizes))
+        for z in hit:
+            if group[z] != group[x]:
+                out.append((int(x), int(z)))
+                group[group == group[z]] = group[x]
+
     for x in np.argsort(-sizes, kind="stable"):
-        if not free[x]:
+        if not open_[x]:
             continue
-        lo, hi = np.searchsorted(flat_, sets[x], "left"), np.searchsorted(flat_, sets[x], "right")
-        length = hi - lo
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
-        overlap = np.bincount(owner[at], minlength=n)
-        near = free & linked(overlap, sizes[x], sizes)
-        near[x] = False
-        free[x] = False
-        members = np.flatnonzero(near).tolist()
-        out += [(int(x), m) for m in members]
-        free[members] = False
-        while members and budget > 0:
-            y = members.pop()
-            beyond = sizes[y] - overlap[y]
-            reach = np.flatnonzero(free & (overlap > 0) & linked(np.minimum(overlap + beyond, sizes), sizes[y], sizes))
-            if not len(reach) or len(reach) > 16:
-                continue
-            less, more = np.setdiff1d(sets[x], sets[y], assume_unique=True), np.setdiff1d(sets[y], sets[x], assume_unique=True)
-            for z in reach:
-                budget -= 1
-                common = overlap[z] - np.isin(less, sets[z], assume_unique=True).sum() + np.isin(more, sets[z], assume_unique=True).sum()
-                if linked(common, sizes[y], sizes[z]):
-                    out.append((int(y), int(z)))
-                    free[z] = False
-                    members.append(int(z))
+        open_[x] = False
+        among = foreign(x)
+        if not among.any():
+            continue
+        base = counted(own[x])
+        take(x, base, among)
+        followers = np.flatnonzero(open_ & (2 * base >= np.maximum(sizes, 1)))
+        for y in followers[np.argsort(-base[followers], kind="stable")]:
+            open_[y] = False
+            reach = foreign(y) & linked(np.minimum(np.minimum(base + common[y] - base[y], common), common[y]), sizes[y], sizes)
+            if reach.any():
+                less, more = np.setdiff1d(own[x], own[y], assume_unique=True), np.setdiff1d(own[y], own[x], assume_unique=True)
+                take(y, base - counted(less) + counted(more), reach)
     return out
 
 
@@ -334,11 +378,12 @@ def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 
 def _cluster_round(sets: DataFrame, column: str, salt: int) -> DataFrame:
-    """Links a, b among the sets that share a smallest hash, in chunks of about CHUNK sets."""
-    hot = stash(sets.groupBy(F.col(column).alias("key")).agg(F.count("*").alias("of")).where(F.col("of") > CHUNK))
+    """Links a, b among the sets that share a smallest hash, in chunks of about CHUNK sets and CHUNK_TOKENS shingles."""
+    chunks = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_TOKENS))
+    hot = stash(sets.groupBy(F.col(column).alias("key")).agg(chunks.alias("chunks"), F.count("*").alias("of")).where("chunks > 1 and of > 1").drop("of"))
     few = hot.count() <= 10_000
     rows = sets.select(F.col(column).alias("key"), "nid", "tokens").join(F.broadcast(hot) if few else hot, "key", "left")
-    chunk = F.coalesce(F.pmod(F.xxhash64("nid", F.lit(salt)), F.ceil(F.col("of") / CHUNK)), F.lit(0))
+    chunk = F.coalesce(F.pmod(F.xxhash64("nid", F.lit(salt)), F.col("chunks")), F.lit(0))
     rows = rows.select("key", chunk.cast("long").alias("chunk"), "nid", "tokens")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,22 +445,74 @@ def list_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, side: np.ndarra
     return order[np.concatenate(found_a)], order[np.concatenate(found_b)]
 
 
-def _pairs(dealt: DataFrame, pick: int | None) -> DataFrame:
-    """Pairs a, b that may link, by the inverted lists; with pick, one for each two components at most."""
+def list_spans(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, side: np.ndarray, crossed: bool, marks: np.ndarray, root: np.ndarray, marked: np.ndarray) -> None:
+    """Joins, in root, the components of entries of one inverted list that may link, and marks these entries.
+
+    The same pairs are looked at as by list_pairs, but those of which nothing new follows are skipped:
+    two marked entries whose components are joined already. So a dense group is read once, not in pairs.
+    """
+    order = np.lexsort((pos, n))
+    n, pos, comp, side, marks = n[order], pos[order], comp[order], side[order], marks[order]
+    own_root, own_marked = root[order], marked[order]
+    starts = np.arange(0, len(n), BLOCK)
+    least_n, most_n = n[starts], n[np.append(starts[1:], len(n)) - 1]
+    left = n - pos
+    most_left = np.maximum.reduceat(left, starts)
+    least_comp, most_comp = np.minimum.reduceat(comp, starts), np.maximum.reduceat(comp, starts)
+    stale = True
+    for i in range(len(n) - 1 if least_comp.min() != most_comp.max() else 0):
+        if stale:
+            least_root, most_root = np.minimum.reduceat(own_root, starts), np.maximum.reduceat(own_root, starts)
+            all_marked = np.logical_and.reduceat(own_marked, starts)
+            stale = False
+        fits = (most_n >= n[i]) & (3 * least_n <= 4 * n[i]) & (starts + BLOCK > i + 1)
+        fits &= (least_comp != comp[i]) | (most_comp != comp[i])
+        if own_marked[i]:
+            fits &= ~(all_marked & (least_root == own_root[i]) & (most_root == own_root[i]))
+        fits &= linked(np.minimum(left[i], most_left), n[i], np.maximum(least_n, n[i]))
+        for k in np.flatnonzero(fits):
+            a, b = max(starts[k], i + 1), min(starts[k] + BLOCK, len(n))
+            ok = (comp[a:b] != comp[i]) & linked(np.minimum(left[i], left[a:b]), n[i], n[a:b])
+            if own_marked[i]:
+                ok &= ~(own_marked[a:b] & (own_root[a:b] == own_root[i]))
+            if crossed:
+                ok &= side[a:b] != side[i]
+            hit = np.flatnonzero(ok) + a
+            if len(hit):
+                apart = np.bitwise_count(marks[hit] ^ marks[i]).sum(axis=1)
+                hit = hit[7 * apart.astype(np.int64) <= n[hit] + n[i]]
+            if len(hit):
+                own_marked[i] = own_marked[hit] = True
+                for other in np.unique(own_root[hit]):
+                    own_root[own_root == other] = own_root[i]
+                stale = True
+    root[order], marked[order] = own_root, own_marked
+
+
+def _list_columns(group: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    """i, j, nid, n, comp, pos, side of the entries, and their sketches."""
+    marks = np.frombuffer(b"".join(group.column(8).to_pylist()), np.uint64).reshape(group.num_rows, -1)
+    return [group.column(k).to_numpy() for k in range(1, 8)], marks
+
+
+def _by_list(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+
+
+def _pairs(dealt: DataFrame, pick: int) -> DataFrame:
+    """Pairs a, b that may link, by the inverted lists: one for each entry, and for each two components, at most."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for group in _groups(batches, 3):
             if group.num_rows < 2:
                 continue
-            _, i, j, nid, n, comp, pos, side = (group.column(k).to_numpy() for k in range(8))
-            marks = np.frombuffer(b"".join(group.column(8).to_pylist()), np.uint64).reshape(len(n), -1)
+            (i, j, nid, n, comp, pos, side), marks = _list_columns(group)
             a, b = list_pairs(n, pos, comp, side, bool(i[0] != j[0]), pick, marks)
             if not len(a):
                 continue
             a, b = np.where(comp[a] < comp[b], a, b), np.where(comp[a] < comp[b], b, a)
-            by = (comp, comp) if pick is not None else (nid, nid)
-            keys = list(zip(by[0][a].tolist(), by[1][b].tolist(), strict=True))
+            keys = list(zip(comp[a].tolist(), comp[b].tolist(), strict=True))
             new = [k for k, key in enumerate(keys) if key not in seen and not seen.add(key)]
             if len(seen) > 500_000:
                 seen = set()
@@ -423,17 +520,102 @@ def _pairs(dealt: DataFrame, pick: int | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (comp[a[new]], comp[b[new]], nid[a[new]], nid[b[new]])], ["ca", "cb", "a", "b"])
         release()
 
-    found = dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(work, "ca long, cb long, a long, b long")
-    if pick is None:
-        return found.distinct()
+    found = _by_list(dealt).mapInArrow(work, "ca long, cb long, a long, b long")
     return found.groupBy("ca", "cb").agg(F.min(F.struct("a", "b")).alias("x")).select("ca", "cb", "x.a", "x.b")
 
 
+def _open_sets(dealt: DataFrame) -> DataFrame:
+    """nid, comp, root: the sets that may still have a link to another component, and a component joined with theirs.
+
+    A task gives a row for each set that it marks, so no more rows than entries.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roots: dict[int, int] = {}
+        comps: dict[int, int] = {}  # of marked sets
+
+        def find(x: int) -> int:
+            while roots.setdefault(x, x) != x:
+                roots[x] = x = roots[roots[x]]
+            return x
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if comps:
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in (comps.keys(), comps.values(), map(find, comps.values()))], ["nid", "comp", "root"])
+
+        for group in _groups(batches, 3):
+            if group.num_rows < 2:
+                continue
+            (i, j, nid, n, comp, pos, side), marks = _list_columns(group)
+            root = np.array([find(c) for c in comp.tolist()], np.int64)
+            before = root.copy()
+            marked = np.array([x in comps for x in nid.tolist()])
+            list_spans(n, pos, comp, side, bool(i[0] != j[0]), marks, root, marked)
+            for c, r in set(zip(before.tolist(), root.tolist(), strict=True)):
+                roots[find(c)] = find(r)
+            comps.update(zip(nid[marked].tolist(), comp[marked].tolist(), strict=True))
+            if len(comps) > HELD:
+                yield from out()
+                roots, comps = {}, {}
+        yield from out()
+        release()
+
+    return _by_list(dealt).mapInArrow(work, "nid long, comp long, root long")
+
+
+def _dealt(rows: DataFrame, key: str, wide: DataFrame) -> DataFrame:
+    """rows (with key, comp, nid) with i, j, side: where the rows of a key meet.
+
+    wide: key, major, majors, minors for the keys that are too large for one place: the component with
+    the most rows, in how many blocks those are dealt out, and the others. Every two rows of a key with
+    different components meet in one place: a row of another component goes to all blocks, a row of the
+    major one only to those of the others, so that a key that one component holds costs no square.
+    """
+    if not wide.count():
+        return rows.select("*", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).cast("long").alias("side"))
+    wide = wide.select(F.col(key).alias("_key"), "major", "majors", "minors")
+    joined = rows.join(_near(wide), F.col(key) == F.col("_key"), "left")
+    major = F.coalesce(F.col("comp") == F.col("major"), F.lit(False))
+    minors, majors = (F.coalesce(F.col(c), F.lit(1)).cast("long") for c in ("minors", "majors"))
+    total = F.when(F.col("major").isNull(), F.lit(1).cast("long")).otherwise(minors + majors)
+    side = F.when(F.col("major").isNull(), F.lit(0).cast("long")).otherwise(F.when(major, minors + F.pmod(F.xxhash64("nid"), majors)).otherwise(F.pmod(F.xxhash64("nid"), minors)))
+    places = joined.withColumn("side", side).withColumn("_upto", F.when(major, minors).otherwise(total)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_upto") - 1)))
+    return places.withColumns({"i": F.least("side", "_other"), "j": F.greatest("side", "_other")}).drop("_key", "major", "majors", "minors", "_upto", "_other")
+
+
+def _wide(rows: DataFrame, key: str, size: str, most: int) -> DataFrame:
+    """key, major, majors, minors of the keys with more than one place: size is what a row takes of `most`."""
+    by = rows.groupBy(key, "comp").agg(F.sum(size).alias("s")).groupBy(key).agg(F.sum("s").alias("s"), F.max(F.struct("s", "comp")).alias("top"))
+    blocks = lambda x: F.greatest(F.lit(1), F.ceil(x / most)).cast("long")
+    return stash(by.where(F.col("s") > most).select(key, F.col("top.comp").alias("major"), blocks(F.col("top.s")).alias("majors"), blocks(F.col("s") - F.col("top.s")).alias("minors")))
+
+
+def _verified(sets: DataFrame, open_: DataFrame) -> DataFrame:
+    """Links a, b that join components, among the open sets (nid, comp, cluster): the sets of a cluster meet and are compared there."""
+    rows = sets.drop("comp").join(open_, "nid").select("cluster", "comp", "nid", "n", "tokens")
+    size = F.greatest(F.lit(CHUNK_TOKENS // CHUNK), F.col("n"))
+    wide = _wide(rows.select("cluster", "comp", size.alias("size")), "cluster", "size", CHUNK_TOKENS)
+    met = _dealt(rows, "cluster", wide).select("cluster", "i", "j", "side", "comp", "nid", "tokens")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3):
+            if group.num_rows > 1:
+                _, i, j, side, comp, nid = (group.column(k).to_numpy() for k in range(6))
+                pairs = cluster(_lists(group.column(6)), comp, side if i[0] != j[0] else None)
+                if pairs:
+                    a, b = np.array(pairs).T
+                    yield pa.RecordBatch.from_arrays([pa.array(nid[a]), pa.array(nid[b])], ["a", "b"])
+        release()
+
+    return met.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(work, "a long, b long")
+
+
 def _between(sets: DataFrame) -> DataFrame:
     """Verified links a, b between components, of sets (nid, n, tokens, sketch, comp).
 
-    Components are joined by one pair each for a few rounds, and only then are all pairs looked at that
-    still lie between components: most pairs of a dense group are never made.
+    Components are joined by one pair each for a few rounds. Only then are all lists read for what may
+    still lie between components: not for pairs, but for the sets that take part and the clusters that
+    they make up. Within a cluster the sets themselves are compared, and links that span it come out.
     """
     least = lambda n: F.expr(f"{n} - (3 * {n} + 3) div 4 + 1")  # noqa: E731  shingles of a prefix
     # sets whose first shingles, in the order of the hashes, are all within one component are done
@@ -443,35 +625,35 @@ def _between(sets: DataFrame) -> DataFrame:
     rest = stash(sets.join(_near(open_), "nid", "left_semi"))
     # prefixes anew, rarest shingles first: those within one component come before all others
     tokens = rest.select("nid", "n", "comp", F.explode("tokens").alias("h"))
-    shared = tokens.join(across(tokens), "h").groupBy("nid", "n").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("x"))
+    shared = tokens.join(across(tokens), "h").groupBy("nid", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("x"))
     own = F.col("n") - F.size("x")
-    entries = (
+    entries = stash(
         shared.where(own < least("n"))
-        .select("nid", "n", own.alias("own"), F.posexplode(F.slice("x", F.lit(1), (least("n") - own).cast("int"))).alias("at", "x"))
-        .select(F.col("x.h").alias("h"), F.ceil(F.col("x.c") / LIST).alias("blocks"), "nid", "n", (F.col("own") + F.col("at")).alias("pos"))
+        .select("nid", "n", "comp", own.alias("own"), F.posexplode(F.slice("x", F.lit(1), (least("n") - own).cast("int"))).alias("at", "x"))
+        .select(F.col("x.h").alias("h"), F.col("x.c").alias("c"), "nid", "n", "comp", (F.col("own") + F.col("at")).alias("pos"))
     )
-    side = F.pmod(F.xxhash64("nid"), F.col("blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = entries.withColumn("side", side).withColumn("other", other).select("h", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "nid", "n", "pos", "side")
+    long = entries.where(F.col("c") > LIST).withColumn("one", F.lit(1))
+    dealt = _dealt(entries, "h", _wide(long, "h", "one", LIST)).select("h", "i", "j", "nid", "n", "pos", "side")
     dealt = stash(dealt.join(rest.select("nid", "sketch"), "nid"))
     x = rest.select(F.col("nid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     y = rest.select(F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     common = F.size(F.array_intersect("ta", "tb"))
-
-    def verified(pick: int | None) -> DataFrame:
-        with_comp = dealt.join(_near(comps), "nid").select("h", "i", "j", "nid", "n", "comp", "pos", "side", "sketch")
-        return stash(_pairs(with_comp, pick).join(x, "a").join(y, "b").where(linked(common, F.col("na"), F.col("nb"))).select("ca", "cb", "a", "b"))
+    with_comp = lambda: dealt.join(_near(comps), "nid").select("h", "i", "j", "nid", "n", "comp", "pos", "side", "sketch")
 
     comps = stash(rest.select("nid", "comp"))
     found = []
     for pick in range(PICKS):
-        links = verified(pick)
+        links = stash(_pairs(with_comp(), pick).join(x, "a").join(y, "b").where(linked(common, F.col("na"), F.col("nb"))).select("ca", "cb", "a", "b"))
         found.append(links.select("a", "b"))
         if not links.count():
             break
         roots = _near(connected(links, "ca", "cb"))
         comps = stash(comps.join(roots, comps["comp"] == roots["node"], "left").select("nid", F.coalesce("root", "comp").alias("comp")))
-    out = verified(None).select("a", "b")
+    marked = stash(_open_sets(with_comp()).distinct())
+    clusters = connected(marked, "comp", "root")
+    marked = marked.select("nid", "comp").distinct()
+    in_clusters = marked.join(_near(clusters), F.col("comp") == F.col("node")).select("nid", "comp", F.col("root").alias("cluster"))
+    out = stash(_verified(rest, stash(in_clusters)))
     for links in found:
         out = out.union(links)
     return out
@@ -508,17 +690,17 @@ def candidates(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return once.groupBy("d1", "d2").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "sketch", *(f"k{r}" for r in range(ROUNDS))))).withColumnRenamed("d1", "nid").drop("d2")
 
 
-def text_key(text_col: str = "text"):
+def text_key(text: Column) -> Column:
     """A number for a row's text, by which rows with one doc_id are told apart."""
-    return F.xxhash64(F.col(text_col))
+    return F.xxhash64(text)
 
 
 def rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key (of the text), n, root for each row of docs. Rows with a root, and n above 0, form its component."""
     ship(docs.sparkSession)
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
     fields = "doc_id long, key long, n long, d1 long, d2 long, batch long, place int, own long"
-    scan = _scan(narrow.withColumn("key", text_key()), *_sizes(narrow))
+    scan = _scan(narrow.withColumn("key", text_key(F.col("text"))), *_sizes(narrow))
     seen = stash(scan.groupBy("bucket").applyInArrow(_count_shared, f"{fields}, places binary, counts binary"))
     counted = seen.where("places is not null").select("batch", "places", "counts").groupBy("batch").applyInArrow(_sum_shared, "batch long, place int, others long")
     rows = seen.where("places is null").drop("places", "counts")
@@ -543,17 +725,16 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without all but one row of each component (that with the smallest doc_id); rows with empty sets stay."""
-    own = docs.columns
     rows = stash(rooted(docs, id_col, text_col).withColumn("full", F.col("n") > 0))
     best = rows.where("full").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("x")).select("x.doc_id", "x.key", F.lit(True).alias("full"))
-    chosen = stash(best.union(rows.where("not full").select("doc_id", "key", "full").distinct()).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "full").withColumnRenamed("full", "_full"))
+    chosen = stash(best.union(rows.where("not full").select("doc_id", "key", "full").distinct()).select(F.col("doc_id").alias("chosen_id"), F.col("key").alias("chosen_key"), "full"))
     near = _near(chosen)
-    marked = docs.withColumn("_text_key", text_key(text_col))
-    kept = marked.join(near, F.col(id_col).cast("long").eqNullSafe(near["_id"]) & (F.col("_text_key") == near["_key"]))
+    marked = docs.select(whole_row(), named(id_col).cast("long").alias("id"), text_key(named(text_col)).alias("key"))
+    kept = marked.join(near, F.col("id").eqNullSafe(F.col("chosen_id")) & (F.col("key") == F.col("chosen_key")))
     repeated = rows.where("full").groupBy("doc_id", "key").count().where("count > 1").limit(1).count()
     if repeated:  # equal rows: one of them stays
-        kept = kept.where("_full").dropDuplicates([id_col, "_text_key"]).union(kept.where("not _full"))
-    return kept.select(*own)
+        kept = kept.where("full").dropDuplicates(["id", "key"]).union(kept.where("not full"))
+    return kept.select(f"{ROW}.*")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
