@@ -59,3 +59,11 @@ def test_clean_documents_stay(spark):
     got = q.op8_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed").selectExpr("quality", "kept").collect()
     good = [r.kept for r in got if r.quality == 1]
     assert sum(good) >= 0.98 * len(good)
+
+
+def test_clashing_names(spark):
+    names = ["doc_id", "text", "lang", "source", "row", "lo_symbols", "hi_repeats", "_lang", "_source", "kept", "n_words", "_w", "_q__w", "a.b", "measure"]
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(i, text if i else "short", "en", None, *range(11)) for i in range(5)]
+    out = q.keep_good(spark.createDataFrame(rows, ", ".join(f"`{n}` {'string' if n in ('text', 'lang', 'source') else 'long'}" for n in names)))
+    assert out.columns == names and sorted(map(tuple, out.collect())) == rows[1:]

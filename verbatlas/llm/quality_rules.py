@@ -10,7 +10,7 @@ and lies within all limits.
 
 Defined cases: a null text counts as empty and fails the base rules; null language or source is a
 group of its own; repeated rows are judged one by one, alike; an empty table gives an empty table;
-other columns are ignored (op8) or passed through (keep_good).
+other columns, whatever their names, are ignored (op8) or passed through (keep_good).
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from verbatlas.llm.rows import ROW, whole_row
 from verbatlas.session import stash, table
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -156,10 +157,9 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with their own columns. The measures are computed for the limits and again for the verdict, so that no text is shuffled."""
-    own = docs.columns
-    rows = measured(docs, prefix="_q_")
-    return judged(rows, limits(sketch(rows, prefix="_q_")), prefix="_q_").where("_q_kept").select(*own)
+    """The rows of docs that are kept, with their own columns. The measures are computed once and written beside the rows, so that no text is shuffled."""
+    rows = stash(measured(docs.select(whole_row(), "lang", "source", "text")).drop("text"))
+    return judged(rows, limits(sketch(rows))).where("kept").select(f"{ROW}.*")
 
 
 def _oracle() -> str:
