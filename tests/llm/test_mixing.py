@@ -110,3 +110,26 @@ def test_edge_cases(spark):
     assert mx.mix(docs.limit(0), labels).count() == 0
     odd = docs.where("doc_id is not null").withColumn("lang", mx.F.concat(mx.F.lit("d"), mx.F.col("doc_id")))  # an odd number of domains
     assert mx.mix(odd, odd.select("doc_id")).count() >= 6
+
+
+def test_more_words_than_a_packed_sum_holds(spark):
+    words = np.zeros((2, mx.BUCKETS), np.int64)
+    words[0] = mx.LARGEST
+    model = mx.Classifier(["a", "b"], [(words[0] + (words[1] << 32)).tolist()])
+    texts = ["w " * 1_000, "w " * 4_198_500, "w " * (mx.SUMMED + 1)]
+    rows = mx.with_membership(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).select("n_words", "part").collect()
+    assert [(r.n_words, r.part) for r in rows] == [(len(t) // 2, [mx.STEPS, 0]) for t in texts]
+
+
+def test_clashing_names(spark):
+    names = ["doc_id", "text", "lang", "row", "id", "domain", "part", "rate", "copies", "n_words", "_x_part", "_m", "a.b"]
+    rows = [(i, "alpha beta" if i % 2 else "gamma delta", "a" if i % 2 else "b", *range(10)) for i in range(20)]
+    docs = spark.createDataFrame(rows, names)
+    out = mx.mix(docs, docs.select("doc_id"))
+    assert out.columns == names and {tuple(r) for r in out.collect()} == set(rows)
+
+
+def test_many_domains_are_taken_together(spark):
+    docs = spark.range(700).selectExpr("id as doc_id", "concat('w', cast(least(id % 100, 90) as string)) as text", "concat('d', cast(least(id % 100, 90) as string)) as lang")
+    model = mx.train(docs, "doc_id", "text", "lang")
+    assert len(model.domains) == mx.MOST_DOMAINS and mx.OTHERS in model.domains and "d90" in model.domains

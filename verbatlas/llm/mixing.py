@@ -13,7 +13,8 @@
 
 Defined cases: a text without words (null too) has equal posteriors and no weight; with no labelled rows
 every rate is 1; repeated rows get equal rates and copies; ties of posteriors go to the first domain by
-name; an empty table gives an empty table; columns with clashing names pass through mix unharmed.
+name; an empty table gives an empty table; mix passes columns through whatever their names are; of more
+than MOST_DOMAINS domains the rarer ones are taken together; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -25,15 +26,19 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verbatlas.llm.rows import ROW, named, whole_row
 from verbatlas.session import stash, table
 
 SPACE = " \t\n\x0b\x0c\r"
 TRAIN_ROWS = 20_000
 BUCKETS = 4_096
-#: Domains at most; a label beyond the most frequent ones is an error.
-MOST_DOMAINS = 64
-#: Log-odds are whole multiples of 1 / SCALE, up to LARGEST of them a word; two domains share a 64-bit sum.
-SCALE, LARGEST = 64, 1_023
+#: Domains at most; with more of them, all but the most frequent are one domain, OTHERS.
+MOST_DOMAINS, OTHERS = 64, "(others)"
+#: Log-odds are whole multiples of 1 / SCALE. Two domains share a 64-bit sum, over SUMMED words at most, so
+#: that neither half runs over: a word has fewer than 2 ** 12 multiples, as 64 is beyond any log-odds here.
+SCALE, LARGEST, SUMMED = 64, 4_095, 1 << 20
+#: Different posteriors up to which their rates are a broadcast table; beyond, each row computes its own.
+BROADCAST_ROWS = 100_000
 #: Words that count fully; the log-odds of longer texts are scaled down to as many.
 EVIDENCE = 20
 STEPS = 1_000
@@ -72,10 +77,12 @@ def train(labelled: DataFrame, id_col: str, text_col: str, domain_col: str) -> C
     n = rows.count()
     if n > TRAIN_ROWS:
         rows = rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("train")), F.lit(1_000_000)) < int(1_000_000 * TRAIN_ROWS / n))
-    sums = rows.select(F.col(domain_col).cast("string").alias("domain"), F.explode(words(text_col)).alias("w")).groupBy("domain", _bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n"))
-    names = [r.domain for r in sums.select("domain").distinct().orderBy("domain").limit(MOST_DOMAINS + 1).collect()]
-    if len(names) > MOST_DOMAINS:
-        raise ValueError(f"more than {MOST_DOMAINS} domains")
+    rows = rows.select(F.col(domain_col).cast("string").alias("domain"), text_col)
+    most = [r.domain for r in rows.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(MOST_DOMAINS + 1).collect()]
+    if len(most) > MOST_DOMAINS:
+        rows = rows.withColumn("domain", F.when(F.col("domain").isin(most[: MOST_DOMAINS - 1]), F.col("domain")).otherwise(OTHERS))
+    sums = stash(rows.select("domain", F.explode(words(text_col)).alias("w")).groupBy("domain", _bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n")))
+    names = [r.domain for r in sums.select("domain").distinct().orderBy("domain").collect()]  # MOST_DOMAINS at most
     counts = np.full((len(names), BUCKETS), 0.5)
     for r in sums.collect():  # MOST_DOMAINS * BUCKETS rows at most
         counts[names.index(r.domain), r.b] += r.n
@@ -89,8 +96,17 @@ def train(labelled: DataFrame, id_col: str, text_col: str, domain_col: str) -> C
 
 
 def _looked_up(at: Column, values: Column) -> Column:
-    """The sum of the values at the places given."""
-    return F.aggregate(at, F.lit(0).cast("long"), lambda a, i: a + F.element_at(values, i))
+    """The sums of both halves of the values at the places given, in an array of two."""
+    packed = lambda places: F.aggregate(places, F.lit(0).cast("long"), lambda a, i: a + F.element_at(values, i))
+    low = lambda s: s.bitwiseAND(F.lit(2**32 - 1))
+    halves = lambda s: F.array(low(s), F.shiftrightunsigned(s, 32))
+    cuts = F.sequence(F.lit(0), F.floor((F.size(at) - 1) / F.lit(SUMMED)).cast("int"))
+    long = F.aggregate(
+        F.transform(cuts, lambda k: packed(F.slice(at, k * SUMMED + 1, SUMMED))),
+        F.array(F.lit(0).cast("long"), F.lit(0).cast("long")),
+        lambda a, s: F.array(a[0] + low(s), a[1] + F.shiftrightunsigned(s, 32)),
+    )
+    return F.when(F.size(at) <= SUMMED, _let(packed(at), halves)).otherwise(long)
 
 
 def with_membership(docs: DataFrame, model: Classifier, text_col: str = "text", prefix: str = "") -> DataFrame:
@@ -101,8 +117,7 @@ def with_membership(docs: DataFrame, model: Classifier, text_col: str = "text",
         sums = [_looked_up(at, F.expr(f"array({', '.join(f'{v}L' for v in packed)})")) for packed in model.packed]
         # both halves of each sum, as log-odds for EVIDENCE words at most
         damp = F.greatest(F.lit(1.0), F.size(at) / F.lit(float(EVIDENCE))) * float(SCALE)
-        halves = F.flatten(F.transform(F.array(*sums), lambda s: F.array(s.bitwiseAND(F.lit(2**32 - 1)), F.shiftrightunsigned(s, 32))))
-        logits = F.transform(F.slice(halves, 1, size), lambda x: x / damp)
+        logits = F.transform(F.slice(F.flatten(F.array(*sums)), 1, size), lambda x: x / damp)
         weights = _let(logits, lambda x: _let(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top))))
         total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
         return _let(weights, lambda x: _let(total(x), lambda t: F.transform(x, lambda v: F.rint(v / t * STEPS).cast("int"))))
@@ -129,6 +144,14 @@ class Plan:
     reached: np.ndarray
     steps: list[tuple[float, np.ndarray]]
     least: float
+    #: Each posterior that occurs.
+    parts: DataFrame | None = None
+
+    def rated(self, members: DataFrame) -> DataFrame:
+        """members (with part) with rate: computed once for each posterior, as long as there are few."""
+        if self.parts is None or not self.steps or self.parts.count() > BROADCAST_ROWS:
+            return members.withColumn("rate", self.rate("part"))
+        return members.join(F.broadcast(stash(self.parts.select("part", self.rate("part").alias("rate")))), "part", "left")
 
     def rate(self, part: str) -> Column:
         if not self.steps:
@@ -151,7 +174,7 @@ def solve(members: DataFrame, domains: list[str], targets: dict[str, float] | No
     size = len(domains)
     if not size:
         return Plan([], *(np.zeros(0),) * 3, [], least)
-    groups = stash(members.where("n_words > 0").groupBy("part").agg(F.sum("n_words").cast("double").alias("t")))
+    groups = stash(members.groupBy("part").agg(F.sum("n_words").cast("double").alias("t")))
     p = F.expr(_posterior("part"))
     first = groups.select("t", p.alias("p")).agg(
         *(F.sum(F.col("t") * F.col("p")[i]) for i in range(size)),
@@ -172,7 +195,7 @@ def solve(members: DataFrame, domains: list[str], targets: dict[str, float] | No
     scale = 1.0 / np.maximum(np.diag(second), 1e-9 * second.max())
     root = np.sqrt(scale)
     pace = 1.0 / np.linalg.eigvalsh(root[:, None] * second * root[None, :]).max()
-    plan = Plan(domains, start, goal, start * max(1.0, least), [], least)
+    plan = Plan(domains, start, goal, start * max(1.0, least), [], least, groups.select("part"))
     before, moment, errors = plan.reached, 1.0, []
     for _ in range(MOST_ROUNDS):
         if np.abs(plan.reached - goal).max() <= TOLERANCE * goal.max():
@@ -194,7 +217,7 @@ def solve(members: DataFrame, domains: list[str], targets: dict[str, float] | No
 
 def _copies(rate: Column, id_col: str) -> Column:
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("copies")), F.lit(1_000_000)) / 1_000_000.0
-    return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")
+    return _let(rate, lambda r: (F.floor(r) + F.when(draw < r - F.floor(r), 1).otherwise(0)).cast("long"))
 
 
 def labelled_by(docs: DataFrame, labels: DataFrame, domain_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,25 +240,28 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = solve(members, model.domains)
     names = F.expr(f"array({', '.join(repr(d) for d in model.domains)})") if model.domains else F.array().cast("array<string>")
     best = F.array_max("part")
-    rate = plan.rate("part")
-    return members.select(
+    return plan.rated(members).select(
         "doc_id",
         "n_words",
         F.get(names, (F.array_position("part", best) - 1).cast("int")).alias("domain"),
         (best / F.lit(float(STEPS))).alias("membership"),
-        rate.alias("rate"),
-        _copies(rate, "doc_id").alias("copies"),
+        "rate",
+        _copies(F.col("rate"), "doc_id").alias("copies"),
     )
 
 
 def mix(docs: DataFrame, labels: DataFrame, domain_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] | None = None, least: float = 1.0) -> DataFrame:
-    """docs, each row as often as its rate says, with the same columns. With least = 1 no row is lost."""
-    own = docs.columns
-    model = train(labelled_by(docs, labels, domain_col, id_col, text_col), id_col, text_col, domain_col)
-    members = with_membership(docs, model, text_col, prefix="_x_")
-    plan = solve(members.select(F.col("_x_n_words").alias("n_words"), F.col("_x_part").alias("part")), model.domains, targets, least)
-    times = F.sequence(F.lit(1).cast("long"), F.col("_x_copies"))
-    return members.withColumn("_x_copies", _copies(plan.rate("_x_part"), id_col)).where("_x_copies > 0").withColumn("_x_time", F.explode(times)).select(*own)
+    """docs, each row as often as its rate says, with the same columns. With least = 1 no row is lost.
+
+    Each text is classified once: the rows are written with their posteriors.
+    """
+    narrow = docs.select(named(id_col).alias("id"), named(text_col).alias("text"), named(domain_col).alias("domain"))
+    model = train(labelled_by(narrow, labels.select(named(id_col).alias("id")), "domain", "id"), "id", "text", "domain")
+    rows = docs.select(whole_row(), named(id_col).alias("id"), named(text_col).alias("text"))
+    members = stash(with_membership(rows, model).drop("text"))
+    plan = solve(members.select("n_words", "part"), model.domains, targets, least)
+    times = plan.rated(members).select(ROW, _copies(F.col("rate"), "id").alias("copies")).where("copies > 0")
+    return times.select(ROW, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(f"{ROW}.*")
 
 
 QUERIES = {"op7_mixing": op7_mixing}
