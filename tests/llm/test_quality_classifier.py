@@ -120,3 +120,11 @@ def test_edge_cases(spark):
     got = q.scored(docs.drop("score"), model).collect()
     assert len(got) == len(rows) and len({r.score for r in got if r.doc_id == 4}) == 1
     assert q.keep_good(docs.limit(0), labels).count() == 0
+
+
+def test_clashing_names(spark):
+    names = ["doc_id", "text", "row", "score", "_score", "place", "a.b", "Score2"]
+    rows = [(i, "some plain words about nothing much", *range(6)) for i in range(12)]
+    docs = spark.createDataFrame(rows, names)
+    out = q.keep_good(docs, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"))
+    assert out.columns == names and sorted(map(tuple, out.collect())) == rows

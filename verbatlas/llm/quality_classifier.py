@@ -26,7 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from verbatlas.llm.rows import ROW, whole_row
 from verbatlas.llm.words import LOWER, SPACE, Hasher, flat, release, runs, slices
 from verbatlas.session import ship, stash, table
 
@@ -360,9 +362,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """docs with the score (0 poor to 1 good) of each text."""
+    """docs with the score (0 poor to 1 good) of each text, as the last column."""
     ship(docs.sparkSession)
-    names, at = docs.columns, docs.columns.index(text_col)
+    names, at = [*docs.columns, score_col], docs.columns.index(text_col)
     weights, bias, packed = model.weights.tobytes(), model.bias, np.packbits(model.lexicon)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,11 +372,10 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
         for batch in batches:
             for lo, hi in slices(batch.column(at)):
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores(Texts(part.column(at)), own, bias, flags))], [*names, score_col])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores(Texts(part.column(at)), own, bias, flags))], names)
         release()
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{score_col}` double"]
-    return docs.mapInArrow(work, ", ".join(fields))
+    return docs.mapInArrow(work, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
 
 
 #: Documents with a lower score are rejected.
@@ -383,7 +384,8 @@ THRESHOLD = 0.5
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier, fitted on them, doesn't reject."""
-    return scored(docs, fit(docs, labels), score_col="_score").where(F.col("_score") >= THRESHOLD).drop("_score")
+    rows = docs.select(whole_row(), "text")
+    return scored(rows, fit(docs, labels)).where(F.col("score") >= THRESHOLD).select(f"{ROW}.*")
 
 
 def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
