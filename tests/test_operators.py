@@ -5,6 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from verbatlas.functions.providers import RuleTagger
 from verbatlas.operators import extract, frequency, groups, naming, spelling, textgroups
 from verbatlas.plans import workflow
 from verbatlas.plans.rowpred import PredicateError, compile_predicate
@@ -288,3 +289,33 @@ def test_workflow(spark):
     out = workflow.analyse(docs, grouptables.from_columns(spark, {"be": ["be"], "jump": ["jump"]}), workflow.Options(least=2, top_k=3))
     assert {r.lemma for r in out.verbs.collect()} == {"be", "jump"}
     assert {r.lemma: r.best for r in out.best.collect()}["be"] == "group_prob_be"
+
+
+def test_corrections_of_repeated_and_null_ids(spark):
+    rows = [("a", "x y"), ("a", "z"), ("a", "z"), (None, "x"), (None, "x (x) x"), ("b", None), ("b", " "), ("c", "Y x")]
+    df = spark.createDataFrame(rows, "id string, text string")
+    out = spelling.corrected(df, "id", "text", spark.createDataFrame([("x", "XX")], "word string, replacement string"), spark.createDataFrame([("y",)], "word string"))
+    want = [("a", "XX y", 1, 2), ("a", "z", 0, 1), ("a", "z", 0, 1), (None, "XX", 1, 1), (None, "XX (XX) XX", 3, 3), ("b", "", 0, 0), ("b", "", 0, 0), ("c", "Y XX", 1, 2)]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_rows_with_one_id_stay_apart(spark):
+    rows = [(1, "u", "He walked. He walked. She was."), (1, "v", "It rained."), (None, "w", "He walked.")]
+    got = extract.verbs_of_rows(spark.createDataFrame(rows, "row long, role string, text string"), "row", "text").select("row", "role", "sent_index", "lemma")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, "u", 0, "walk"), (1, "u", 1, "be"), (1, "v", 0, "rain"), (None, "w", 0, "walk")], key=repr)
+
+
+def test_null_keys_are_drawn_like_others(spark):
+    df = spark.createDataFrame([(k if k < 1000 else None, k) for k in range(1003)], "k long, v long")
+    picked = [sum(r.k is None for r in frequency.sample(df, 3, "k", seed=s).collect()) for s in range(12)]
+    assert sum(picked) < 6
+    ties = spark.createDataFrame([(1, i) for i in range(50)], "k long, v long")
+    assert {r.v for r in frequency.sample(ties, 5, "k").collect()} == {r.v for r in frequency.sample(ties.repartition(7), 5, "k").collect()}
+
+
+def test_verb_counts_equal_those_of_sentences(spark):
+    docs = spark.createDataFrame([("He walked. She's walking, being BEING! a.b.was-is",), (None,), ("",)], "text string")
+    by_word = {tuple(r) for r in extract.verb_counts(docs).collect()}
+    tagger = RuleTagger()
+    tagger.by_word = False
+    assert by_word == {tuple(r) for r in extract.verb_counts(docs, tagger=tagger).collect()} == {("walk", 2), ("be", 4)}

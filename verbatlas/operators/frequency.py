@@ -53,15 +53,17 @@ def filter_by_count(df: DataFrame, field: str, least: int | None = None, most: i
 def sample(df: DataFrame, n: int, key_col: str, seed: int | str = 0) -> DataFrame:
     """Exactly n rows, the same for the same seed: those with the smallest digests of seed and key.
 
-    The choice is a top-n, so no more than n rows of each task travel. Ties (equal keys) fall by key.
+    The choice is a top-n, so no more than n rows of each task travel. A null key has a digest of its own.
+    Rows with equal keys are told apart by a hash of their other columns; maps are left out of it.
     """
     if n < 0:
         raise ValueError("n must be 0 or more")
     total = df.count()
     if n > total:
         raise ValueError(f"a sample of {n} from {total} rows")
-    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key_col).cast("string")))
-    return df.withColumn("_draw", draw).orderBy("_draw", key_col).limit(n).drop("_draw")
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key_col).cast("string"), F.lit("\x00null"))))
+    rest = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]
+    return df.withColumns({"_draw": draw, "_rest": F.xxhash64(*rest)}).orderBy("_draw", key_col, "_rest").limit(n).drop("_draw", "_rest")
 
 
 def sample_like_python(df: DataFrame, n: int, seed: int | None = None, order_col: str = ROW_ORD) -> DataFrame:

@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from verbatlas.functions.text import core_of_token, filled, strip
 
 
+def _tokens(text_col: str) -> Column:
+    return F.filter(F.split(strip(text_col), r"(?U)\s+"), lambda t: t != "")
+
+
 def checked_tokens(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, at, token, core, word (lower case): the tokens between white space; core is empty where nothing is to check."""
-    tokens = F.filter(F.split(strip(text_col), r"(?U)\s+"), lambda t: t != "")
-    out = rows.select(F.col(id_col), F.posexplode(tokens).alias("at", "token"))
+    out = rows.select(F.col(id_col), F.posexplode(_tokens(text_col)).alias("at", "token"))
     core = core_of_token("token")
     return out.withColumn("core", core).withColumn("word", F.lower("core"))
 
@@ -69,16 +72,19 @@ def corrected(rows: DataFrame, id_col: str, text_col: str, replacements: DataFra
     tokens are joined by single blanks.
     """
     tokens = checked_tokens(rows, id_col, text_col)
-    wrong = unknown_words(tokens, known, ignored).join(replacements.select(F.lower("word").alias("word"), "replacement"), "word")
+    wrong = unknown_words(tokens, known, ignored).join(replacements.select(F.lower("word").alias("word"), "replacement").dropDuplicates(["word"]), "word")
+    # rows are told apart by id and text, so that a repeated or null id mixes nothing; equal rows are counted and given back
+    keyed = rows.select(F.col(id_col).alias("id"), F.md5(filled(text_col)).alias("key"), filled(text_col).alias("text"))
+    tokens = keyed.select("id", "key", F.posexplode_outer(_tokens("text")).alias("at", "token")).withColumn("core", filled(core_of_token("token"))).withColumn("word", F.lower("core"))
     joined = tokens.join(wrong, "word", "left")
     fixed = F.when(F.col("replacement").isNotNull(), F.replace("token", "core", "replacement")).otherwise(F.col("token"))
-    made = joined.withColumn("fixed", fixed).groupBy(id_col).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "fixed"))), lambda x: x["fixed"]), " ").alias("corrected"),
-        F.sum(F.when(F.col("replacement").isNotNull() & (F.col("fixed") != F.col("token")), 1).otherwise(0)).cast("long").alias("corrections"),
-        F.sum(F.when(F.col("core") != "", 1).otherwise(0)).cast("long").alias("words_checked"),
+    count = lambda test: F.size(F.filter("x", test)).cast("long")
+    made = joined.groupBy("id", "key").agg(
+        F.sort_array(F.collect_set(F.when(F.col("at").isNotNull(), F.struct("at", fixed.alias("fixed"), (F.col("replacement").isNotNull() & (fixed != F.col("token"))).alias("changed"), (F.col("core") != "").alias("checked"))))).alias("x"),
+        F.sum(F.when(F.coalesce("at", F.lit(0)) == 0, 1).otherwise(0)).alias("times"),
     )
-    out = rows.select(F.col(id_col)).join(made, id_col, "left")
-    return out.select(id_col, filled("corrected").alias("corrected"), F.coalesce("corrections", F.lit(0).cast("long")).alias("corrections"), F.coalesce("words_checked", F.lit(0).cast("long")).alias("words_checked"))
+    out = made.select("id", "x", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return out.select(F.col("id").alias(id_col), F.array_join(F.transform("x", lambda x: x["fixed"]), " ").alias("corrected"), count(lambda x: x["changed"]).alias("corrections"), count(lambda x: x["checked"]).alias("words_checked"))
 
 
 def apply_decisions(rows: DataFrame, id_col: str, text_col: str, decisions: DataFrame, known: DataFrame, ignored: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
