@@ -88,6 +88,9 @@ class TableLemmatizer:
 class RuleTagger:
     """AUX by table; VERB by the endings `ed` and `ing` of words of four letters or more; else X."""
 
+    #: A word's tag does not depend on the words around it.
+    by_word = True
+
     def __init__(self, lemmatizer: Lemmatizer | None = None):
         self.lemmatizer = lemmatizer or RuleLemmatizer()
 
@@ -235,28 +238,35 @@ class ContextCountLM:
         """trigrams: left, word, right of every word of a corpus."""
         self.trigrams = trigrams
 
-    def _ranked(self, keys: list[str], k: int) -> DataFrame:
-        """For each value of the keys its k commonest words. All levels share the counts of the finest one."""
-        counts = self.trigrams.groupBy("left", "right", "word").agg(F.count("*").alias("c"))
-        if keys != ["left", "right"]:
-            counts = counts.groupBy(*keys, "word").agg(F.sum("c").alias("c"))
+    @staticmethod
+    def _ranked(counts: DataFrame, keys: list[str], k: int) -> DataFrame:
+        """For each value of the keys its k commonest words. counts: keys, word, c."""
         best = F.struct("rank", F.col("word").alias("token"), (F.col("c") / F.col("total")).alias("prob"))
+        listed = F.transform(F.sort_array(F.collect_list(best)), lambda x: F.struct(x["token"].alias("token"), x["prob"].alias("prob"))).alias("preds")
         if not keys:  # one list for the whole corpus: a top-k, not a window over all words
             total = counts.agg(F.sum("c").alias("total"))
             top = counts.orderBy(F.desc("c"), "word").limit(k).crossJoin(F.broadcast(total)).withColumn("rank", F.row_number().over(W.partitionBy("total").orderBy(F.desc("c"), "word")))
-            return top.groupBy().agg(F.sort_array(F.collect_list(best)).alias("preds"))
-        own = W.partitionBy(*keys)
-        ranked = counts.withColumn("total", F.sum("c").over(own)).withColumn("rank", F.row_number().over(own.orderBy(F.desc("c"), "word"))).where(F.col("rank") <= k)
-        return ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(best)).alias("preds"))
+            return top.groupBy().agg(listed)
+        # totals are summed apart, so that each task sends k words of a key at most to the ranking
+        total = counts.groupBy(*keys).agg(F.sum("c").alias("total"))
+        ranked = counts.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("c"), "word"))).where(F.col("rank") <= k)
+        return ranked.join(total, keys).groupBy(*keys).agg(listed)
 
     def predict(self, rows: DataFrame, k: int, left_col: str = "left", right_col: str = "right") -> DataFrame:
-        """rows with preds: array<struct<token, prob>>, at most k, best first."""
-        both = self._ranked(["left", "right"], k).select(F.col("left").alias("_l"), F.col("right").alias("_r"), F.col("preds").alias("_p2"))
-        one = self._ranked(["left"], k).select(F.col("left").alias("_l1"), F.col("preds").alias("_p1"))
-        none = self._ranked([], k).select(F.col("preds").alias("_p0"))
-        out = rows.join(both, (F.col(left_col) == F.col("_l")) & (F.col(right_col) == F.col("_r")), "left").join(one, F.col(left_col) == F.col("_l1"), "left").crossJoin(F.broadcast(none))
-        best = F.coalesce("_p2", "_p1", "_p0")
-        return out.withColumn("preds", F.transform(best, lambda x: F.struct(x["token"].alias("token"), x["prob"].alias("prob")))).drop("_l", "_r", "_l1", "_p2", "_p1", "_p0")
+        """rows with preds: array<struct<token, prob>>, at most k, best first.
+
+        Only contexts that occur in rows are ranked, each once; the rows meet their context's list in one join.
+        """
+        context = rows.select(F.col(left_col).alias("left"), F.col(right_col).alias("right")).distinct()
+        fine = self.trigrams.groupBy("left", "right", "word").agg(F.count("*").alias("c"))
+        by_left = fine.groupBy("left", "word").agg(F.sum("c").alias("c"))
+        by_word = by_left.groupBy("word").agg(F.sum("c").alias("c"))
+        both = self._ranked(fine.join(context, ["left", "right"], "left_semi"), ["left", "right"], k).withColumnRenamed("preds", "_p2")
+        one = self._ranked(by_left.join(context.select("left").distinct(), "left", "left_semi"), ["left"], k).withColumnRenamed("preds", "_p1")
+        none = self._ranked(by_word, [], k).withColumnRenamed("preds", "_p0")
+        lists = context.join(both, ["left", "right"], "left").join(one, "left", "left").crossJoin(F.broadcast(none))
+        lists = lists.select(F.col("left").alias("_l"), F.col("right").alias("_r"), F.coalesce("_p2", "_p1", "_p0").alias("preds"))
+        return rows.join(lists, F.col(left_col).eqNullSafe(F.col("_l")) & F.col(right_col).eqNullSafe(F.col("_r")), "left").drop("_l", "_r")
 
 
 class ArrowMaskedLM:

@@ -92,8 +92,8 @@ def core_of_token(token: Column | str) -> Column:
     return F.regexp_replace(as_column(token), f"^{edge}+|{edge}+$", "")
 
 
-#: Parts whose lengths are added up one by one; beyond, sums of whole blocks are used.
-_BLOCK = 16
+#: Parts whose lengths are added up one by one, and blocks of them; beyond, sums of whole blocks are used.
+_BLOCK, _WIDE = 16, 512
 
 
 def _let(value: Column, use) -> Column:
@@ -109,16 +109,23 @@ def tiles(text: Column | str, pattern: str) -> Column:
     """All matches of a pattern that leaves nothing out, each with its start: array<struct<start, text>>."""
 
     def placed(parts: Column) -> Column:
+        def sums(values: Column, of: int) -> Column:
+            blocks = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(values) / float(of)).cast("int") - 1))
+            return F.transform(blocks, lambda b: _total(F.slice(values, b * of + 1, of)))
+
         def by_blocks(lengths: Column) -> Column:
-            blocks = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(lengths) / float(_BLOCK)).cast("int") - 1))
-            sums = F.transform(blocks, lambda b: _total(F.slice(lengths, b * _BLOCK + 1, _BLOCK)))
-            before = lambda s: F.transform(s, lambda x, b: _total(F.slice(s, F.lit(1), b)))
+            """What stands before a part: whole wide blocks, whole blocks within that, single parts within that."""
+
+            def starts(small: Column) -> Column:
+                def within(wide: Column) -> Column:
+                    before = lambda x, b: wide_before(wide, b) + _total(F.slice(small, F.floor(b / (_WIDE / _BLOCK)).cast("int") * (_WIDE // _BLOCK) + 1, b % (_WIDE // _BLOCK)))
+                    return F.transform(small, before)
 
-            def start(first: Column, i: Column) -> Column:
-                b = F.floor(i / float(_BLOCK)).cast("int")
-                return F.get(first, b) + _total(F.slice(lengths, b * _BLOCK + 1, i - b * _BLOCK))
+                return _let(sums(small, _WIDE // _BLOCK), within)
 
-            return _let(_let(sums, before), lambda first: F.transform(parts, lambda x, i: F.struct(start(first, i).alias("start"), x.alias("text"))))
+            wide_before = lambda wide, b: _total(F.slice(wide, F.lit(1), F.floor(b / (_WIDE / _BLOCK)).cast("int")))
+            start = lambda first, i: F.get(first, F.floor(i / float(_BLOCK)).cast("int")) + _total(F.slice(lengths, F.floor(i / float(_BLOCK)).cast("int") * _BLOCK + 1, i % _BLOCK))
+            return _let(_let(sums(lengths, _BLOCK), starts), lambda first: F.transform(parts, lambda x, i: F.struct(start(first, i).alias("start"), x.alias("text"))))
 
         return _let(F.transform(parts, lambda x: F.length(x)), by_blocks)
 

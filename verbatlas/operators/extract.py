@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from verbatlas.functions.providers import RuleSplitter, Tagger, verbs_of, words_of
+from verbatlas.functions.providers import RuleSplitter, RuleTagger, Tagger, verbs_of, words_of
 from verbatlas.functions.text import filled, span_text, strip, unix_lines
+from verbatlas.operators.frequency import counts
 
 
 def char_chunks(docs: DataFrame, text_col: str = "text", size: int = 2_000_000, overlap: int = 5_000) -> DataFrame:
@@ -107,19 +108,36 @@ def verbs_of_rows(rows: DataFrame, row_col: str, text_col: str, **options) -> Da
 
     The table's other columns stay beside their row's verbs, by name.
     """
-    texts = rows.where(strip(text_col) != "").withColumn("chunk_start", F.lit(0).cast("long"))
+    splitter = options.pop("splitter", None) or RuleSplitter()
+    found = F.array_distinct(F.transform(splitter.sentences(text_col), lambda x: x["text"]))
     carried = [c for c in rows.columns if c not in (row_col, text_col)]
-    found = sentences(texts, text_col).groupBy(row_col, "sentence").agg(F.min("sent_start").alias("_at"), *(F.first(c).alias(c) for c in carried))
-    number = F.row_number().over(W.partitionBy(row_col).orderBy("_at")) - 1
-    numbered = found.withColumn("sent_index", number.cast("long")).withColumns({"chunk_start": F.lit(0).cast("long"), "sent_start": F.lit(0).cast("long")}).drop("_at")
+    numbered = rows.where(strip(text_col) != "").select(row_col, *carried, F.posexplode(found).alias("sent_index", "sentence"))
+    nothing = F.lit(0).cast("long")
+    numbered = numbered.withColumns({"sent_index": F.col("sent_index").cast("long"), "chunk_start": nothing, "sent_start": nothing})
     return verbs(numbered, **options)
 
 
+def verb_counts(docs: DataFrame, field: str = "lemma", text_col: str = "text", tagger: Tagger | None = None, include_aux: bool = True) -> DataFrame:
+    """field (lemma or surface_lower), freq: how often each occurs among the verbs of the texts, most frequent first.
+
+    A tagger that looks at single words tells verbs among the distinct words, which are counted first: texts
+    are not cut into sentences, and no word is tagged twice. Any other tagger sees all sentences.
+    """
+    tagger = tagger or RuleTagger()
+    if not getattr(tagger, "by_word", False):
+        found = sentences(docs.select(text_col).withColumn("chunk_start", F.lit(0).cast("long")), text_col)
+        return counts(verbs(found, tagger, include_aux).select(field), field)
+    words = docs.select(F.explode(tagger.words(text_col)).alias("surface_lower")).groupBy("surface_lower").agg(F.count("*").alias("n"))
+    verb = words.withColumn("_t", F.get(tagger.verbs("surface_lower", include_aux), F.lit(0))).where("_t is not null").withColumn("lemma", F.lower("_t.lemma"))
+    return verb.groupBy(field).agg(F.sum("n").alias("freq")).orderBy(F.desc("freq"), field)
+
+
 def trigrams(rows: DataFrame, tagger: Tagger | None = None, sentence_col: str = "sentence") -> DataFrame:
     """left, word, right of each word of each sentence, in lower case; edges are empty words."""
     words = words_of(tagger, sentence_col)
-    at = rows.select(words.alias("w")).select(F.posexplode("w").alias("i", "word"), "w")
-    return at.select(*_neighbours("w", F.col("i")), "word")
+    near = lambda w: F.transform(w, lambda x, i: F.struct(F.coalesce(F.get(w, i - 1), F.lit("")).alias("left"), x.alias("word"), F.coalesce(F.get(w, i + 1), F.lit("")).alias("right")))
+    made = F.transform(F.array(words), near)[0]
+    return rows.select(F.explode(made).alias("x")).select("x.left", "x.right", "x.word")
 
 
 def _neighbours(words: str, at: Column) -> list[Column]:

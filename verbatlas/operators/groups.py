@@ -19,9 +19,12 @@ from verbatlas.functions.providers import Lemmatizer, RuleLemmatizer, lemmatized
 from verbatlas.functions.text import canonical_token, number, strip, word_characters
 from verbatlas.operators.frequency import running_count
 from verbatlas.operators.naming import free_names, top_k_of
+from verbatlas.session import stash
 
 #: Rows of a group table up to which it is broadcast. Group tables are made by hand; beyond, joins shuffle.
 BROADCAST_ROWS = 200_000
+#: Rows of a group table up to which it becomes a constant map; beyond, it is joined. Both give the same rows.
+INLINE_ROWS = 5_000
 
 
 def labels_of(groups: DataFrame) -> list[str]:
@@ -79,8 +82,8 @@ def row_probabilities(rows: DataFrame, groups: DataFrame, profile: str = "standa
     labels = labels_of(groups)
     names = free_names("" if profile == "fused" else "group_prob_", labels, rows.columns)
     lem = lemmatizer or RuleLemmatizer()
-    if groups.count() > 5_000 or getattr(lem, "by_distinct", False):
-        keyed = kept.withColumn("_row", F.monotonically_increasing_id())
+    if groups.count() > INLINE_ROWS or getattr(lem, "by_distinct", False):
+        keyed = stash(kept.withColumn("_row", F.monotonically_increasing_id()))  # both sides of the join must see the same numbers
         sums = group_sums(keyed, groups, ["_row"], profile, lem, preds_col).groupBy("_row").pivot("group", labels).agg(F.first("prob"))
         out = keyed.join(sums.select(F.col("_row").alias("_r"), *(F.col(f"`{g}`").alias(f"_g{i}") for i, g in enumerate(labels))), F.col("_row") == F.col("_r"), "left")
         out = out.select(*rows.columns, *(F.coalesce(f"_g{i}", F.lit(0.0)).alias(names[g]) for i, g in enumerate(labels)))

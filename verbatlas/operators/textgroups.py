@@ -10,6 +10,7 @@ from verbatlas.functions.text import canonical_token, filled, holds_word, strip
 from verbatlas.operators.groups import labels_of, small
 from verbatlas.operators.naming import free_name, free_names
 from verbatlas.plans.rowpred import compile_predicate
+from verbatlas.session import stash
 
 #: Groups' lemmas up to which counting takes no join.
 INLINE_LEMMAS = 5_000
@@ -36,7 +37,7 @@ def verb_group_counts(rows: DataFrame, groups: DataFrame, text_col: str = "text"
             members.setdefault(r.group, []).append(r._key)
         counted = [F.size(F.filter("_v", _one_of(sorted(members.get(g, []))))).cast("long").alias(names[g]) for g in labels]
         return out.select(*rows.columns, F.size("_v").cast("long").alias(total), *counted)
-    out = out.withColumn("_row", F.monotonically_increasing_id())
+    out = stash(out.withColumn("_row", F.monotonically_increasing_id()))  # both sides of the join must see the same numbers
     hits = out.select("_row", F.explode("_v").alias("_key")).join(small(table), "_key").groupBy("_row").pivot("group", labels).agg(F.count(F.lit(1)))
     hits = hits.select(F.col("_row").alias("_r"), *(F.col(f"`{g}`").alias(f"_g{i}") for i, g in enumerate(labels)))
     joined = out.join(hits, F.col("_row") == F.col("_r"), "left")

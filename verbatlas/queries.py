@@ -45,11 +45,11 @@ def _verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verb_lemma_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frequency.counts(_verbs(spark, sf_dir).select("lemma"), "lemma")
+    return extract.verb_counts(_docs(spark, sf_dir), "lemma")
 
 
 def verb_surface_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frequency.counts(_verbs(spark, sf_dir).select("surface_lower"), "surface_lower")
+    return extract.verb_counts(_docs(spark, sf_dir), "surface_lower")
 
 
 def _chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
