@@ -297,3 +297,67 @@ class ArrowMaskedLM:
                 yield pd.Series(out)
 
         return rows.withColumn("preds", top(F.col(text_col)))
+
+
+def masked_lm_loader(pair: Callable[[], tuple], batch_words: int = 512) -> Callable[[], Callable[[list[str], int], list]]:
+    """A loader for ArrowMaskedLM from pair() -> (tokenizer, model), called once for each Python worker.
+
+    tokenizer: mask_token_id, encode(text) -> ids (cut to batch_words), decode(id) -> the token's text.
+    model(list of ids) -> for each text its logits, a row over the vocabulary for each place. The first mask
+    counts; a text whose mask was lost (cut off, or never there) gives None. Probabilities are a softmax over
+    the whole vocabulary; equal ones go to the smaller id.
+    """
+
+    def load() -> Callable[[list[str], int], list]:
+        import numpy as np
+
+        tokenizer, model = pair()
+
+        def predict(texts: list[str], k: int) -> list:
+            ids = [list(tokenizer.encode(t))[:batch_words] for t in texts]
+            at = [x.index(tokenizer.mask_token_id) if tokenizer.mask_token_id in x else None for x in ids]
+            out: list = [None] * len(texts)
+            there = [i for i, a in enumerate(at) if a is not None]
+            for i, logits in zip(there, model([ids[i] for i in there]) if there else [], strict=True):
+                z = np.asarray(logits[at[i]], np.float64)
+                p = np.exp(z - z.max())
+                p /= p.sum()
+                out[i] = [(tokenizer.decode(int(j)).strip(), float(p[j])) for j in np.argsort(-p, kind="stable")[:k]]
+            return out
+
+        return predict
+
+    return load
+
+
+def transformers_pair(name: str) -> Callable[[], tuple]:
+    """The tokenizer and model of a folder (or of the workers' cache) for masked_lm_loader; never downloads."""
+
+    def pair() -> tuple:
+        try:
+            import torch
+            from transformers import AutoModelForMaskedLM, AutoTokenizer
+        except ImportError as e:
+            raise RuntimeError("transformers and torch are not installed on the workers") from e
+        tokens = AutoTokenizer.from_pretrained(name, local_files_only=True)
+        net = AutoModelForMaskedLM.from_pretrained(name, local_files_only=True).to(device()).eval()
+
+        class Tokenizer:
+            mask_token_id = tokens.mask_token_id
+
+            @staticmethod
+            def encode(text: str) -> list[int]:
+                return tokens.encode(text, truncation=True)
+
+            @staticmethod
+            def decode(i: int) -> str:
+                return tokens.convert_tokens_to_string([tokens.convert_ids_to_tokens(i)])
+
+        def logits(rows: list[list[int]]) -> list:
+            with torch.no_grad():
+                made = tokens.pad({"input_ids": rows}, return_tensors="pt").to(device())
+                return list(net(**made).logits.float().cpu().numpy())
+
+        return Tokenizer, logits
+
+    return pair

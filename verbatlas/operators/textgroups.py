@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from verbatlas.functions.providers import Lemmatizer, RuleInflector, RuleLemmatizer, Tagger, lemmatized, verbs_of
 from verbatlas.functions.text import canonical_token, filled, holds_word, strip
+from verbatlas.operators.frequency import running_count
 from verbatlas.operators.groups import labels_of, small
 from verbatlas.operators.naming import free_name, free_names
 from verbatlas.plans.rowpred import compile_predicate
@@ -77,6 +78,17 @@ def by_lemma(hits: DataFrame, order_col: str) -> DataFrame:
     return hits.groupBy(F.upper("lemma").alias("lemma")).agg(F.count("*").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct(order_col, "sentence"))), lambda x: x["sentence"]).alias("sentences")).orderBy("lemma")
 
 
+def ranked_hits(hits: DataFrame, order_col: str, most: int = 0) -> DataFrame:
+    """lemma (upper case), place (from 1, in input order), sentence: by_lemma as rows, for lemmas with any number of hits.
+
+    Places are numbered in blocks of the order, so that no lemma is gathered in a row or numbered by one
+    task. most: places beyond it are left out; 0: none.
+    """
+    rows = running_count(hits.select(F.upper("lemma").alias("lemma"), "sentence", order_col), "lemma", order_col, "place")
+    rows = rows.select("lemma", "place", "sentence")
+    return rows.where(F.col("place") <= most) if most else rows
+
+
 def qualifying_lemmas(freqs: DataFrame, least: int = 10, excluded: tuple[str, ...] = ("be",), lemma_col: str = "lemma", freq_col: str = "freq") -> DataFrame:
     """Lemmas with at least that frequency, without the excluded ones."""
     return freqs.where((F.col(freq_col).try_cast("bigint") >= least) & ~F.col(lemma_col).isin(*excluded)).select(F.col(lemma_col).alias("lemma")).distinct()

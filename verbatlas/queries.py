@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verbatlas import table_queries
 from verbatlas.functions.providers import AUXILIARIES, ContextCountLM
 from verbatlas.functions.text import masked
 from verbatlas.operators import extract, frequency, groups, spelling, textgroups
-from verbatlas.session import stash, table
+from verbatlas.session import spread, stash, table
 from verbatlas.sources import grouptables
 
 SIZE, OVERLAP = 1_000, 100
@@ -32,7 +33,7 @@ WHERE = '{{ role }} in ["user", "system"] and not {{ nothing }} and {{ text }} !
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +110,7 @@ def mask_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     sents = _sentences(spark, sf_dir)
-    rows = extract.with_context(extract.verbs(sents), sentence_col="sentence")
+    rows = stash(extract.with_context(extract.verbs(sents), sentence_col="sentence"))  # read twice: for their contexts, and to meet the lists
     return ContextCountLM(extract.trigrams(sents)).predict(rows, TOP)
 
 
@@ -216,6 +217,57 @@ def lookup_by_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textgroups.by_lemma(hits, "row_ord").select("lemma", "n", F.get("sentences", F.lit(0)).alias("first_sentence"))
 
 
+def lookup_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of the lemmas looked up, numbered within its lemma."""
+    hits = textgroups.lookup(_ordered(_verbs(spark, sf_dir)), LOOKED_UP, "row_ord")
+    return textgroups.ranked_hits(hits, "row_ord")
+
+
+def lookup_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 50 hits in input order."""
+    return textgroups.lookup(_ordered(_verbs(spark, sf_dir)), LOOKED_UP, "row_ord", limit=50)
+
+
+def verb_rows_no_aux(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.verbs(_sentences(spark, sf_dir), include_aux=False).select("doc_id", "sent_start", "token_index", "lemma", F.col("span_text").alias("span"))
+
+
+def bounded_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences without repeats as a memory of one sentence sees them."""
+    found = extract.sentences(extract.char_chunks(_docs(spark, sf_dir), "text", SIZE, OVERLAP))
+    return extract.bounded_unique_sentences(found, ["doc_id"], 1)
+
+
+def masked_back_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verbs of the conversations predicted from the documents: contexts that no document has fall back to the word on the left, then to all words."""
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("row"), "role", "text")
+    verbs = extract.with_context(extract.verbs_of_rows(rows, "row", "text"), sentence_col="sentence")
+    out = ContextCountLM(extract.trigrams(_sentences(spark, sf_dir))).predict(verbs, TOP)
+    out = out.select("row", "sent_index", "token_index", F.posexplode("preds").alias("at", "p"))
+    return out.select("row", "sent_index", "token_index", (F.col("at") + 1).alias("rank"), F.col("p.token").alias("token"), F.round("p.prob", 9).alias("prob"))
+
+
+def _many_groups(spark: SparkSession) -> DataFrame:
+    """All strings of two and three letters in two groups: more rows than are written into a plan."""
+    letter = lambda x: F.char(F.lit(97) + x % 26)
+    n = F.col("id")
+    m = n - 676
+    two, three = F.concat(letter(n), letter(F.floor(n / 26))), F.concat(letter(m), letter(F.floor(m / 26)), letter(F.floor(m / 676)))
+    rows = spark.range(676 + 17_576).select(F.when(n < 676, two).otherwise(three).alias("lemma"))
+    late = F.col("lemma") >= "n"
+    return rows.select("lemma", F.when(late, "n_z").otherwise("a_m").alias("group"), late.cast("int").alias("group_pos"))
+
+
+def verb_group_counts_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return textgroups.verb_group_counts(rows, _many_groups(spark)).drop("text")
+
+
+def group_prob_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = groups.row_probabilities(_predicted(spark, sf_dir), _many_groups(spark))
+    return rows.select("doc_id", "sent_start", "token_index", "lemma", *_rounded(["group_prob_a_m", "group_prob_n_z"]))
+
+
 def inflection_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     verbs = _verbs(spark, sf_dir)
     clauses = verbs.select("doc_id", "sent_start", "lemma", F.col("sentence").alias("sentence_text")).distinct()
@@ -280,9 +332,11 @@ QUERIES = {
         verb_lemma_counts, verb_surface_counts, char_chunks, sentence_dedupe, verb_occurrences, verb_occurrences_no_aux, row_verbs, freq_filter_min, freq_filter_range,
         distinct_values, value_counts, sample_exact_n, mask_sentences, masked_topk, groups_long, tag_pivot, group_prob_rows, group_prob_short_running,
         group_prob_fused, lemma_group_means, lemma_best_group, lemma_ambiguous, groups_ranked, groups_ragged, text_verb_group_counts, where_filtered_counts,
+        lookup_sentences, lookup_limited, verb_rows_no_aux, bounded_dedupe, masked_back_off, verb_group_counts_joined, group_prob_joined,
         run_stats, lemma_lookup, lookup_by_lemma, inflection_match, context_patterns, spell_unknown, spell_auto, spell_suggestions,
     )
 }
+QUERIES |= table_queries.QUERIES
 #: Queries whose join is too slow in SQL; tests hold them against brute force.
 WITHOUT_SQL = {f.__name__: f for f in (spell_suggestions_all, spell_auto_all)}
 
@@ -444,3 +498,41 @@ FROM c LEFT JOIN fix ON c.row = fix.row GROUP BY c.row""",
 n AS (SELECT w.word, known.word AS k, row_number() OVER (PARTITION BY w.word ORDER BY freq DESC, known.word) AS rank FROM w JOIN known ON levenshtein(w.word, known.word) = 1)
 SELECT word, string_agg(k, ' ' ORDER BY rank) AS suggestions FROM n WHERE rank <= 3 GROUP BY word""",
 }
+_LETTERS = "(SELECT chr(CAST(97 + range AS INT)) AS c FROM range(26))"
+_MANY = f"""g AS (SELECT DISTINCT {_lemma_sql('x')} AS k, CASE WHEN x >= 'n' THEN 'n_z' ELSE 'a_m' END AS grp
+  FROM (SELECT a.c || b.c AS x FROM {_LETTERS} a, {_LETTERS} b UNION ALL SELECT a.c || b.c || d.c FROM {_LETTERS} a, {_LETTERS} b, {_LETTERS} d))"""
+_HITS = f"WITH {_DOC_VERBS}, h AS (SELECT doc_id * 1000000000 + sent_start * 1000 + i AS row_ord, lemma, sentence FROM v WHERE lemma IN ('be', 'have', 'er', 'missing')) "
+_BACK_OFF = (
+    _DOC_WORDS
+    + """, n AS (SELECT w, coalesce(lag(w) OVER z, '') AS l, coalesce(lead(w) OVER z, '') AS r FROM t WINDOW z AS (PARTITION BY doc_id, sent_start ORDER BY i)),
+c2 AS (SELECT l, r, w AS token, count(*) AS c FROM n GROUP BY ALL), c1 AS (SELECT l, token, sum(c) AS c FROM c2 GROUP BY ALL), c0 AS (SELECT token, sum(c) AS c FROM c1 GROUP BY ALL),
+"""
+    + ", ".join(f"top{k} AS (SELECT *, row_number() OVER ({by} ORDER BY c DESC, token) AS rank, c / sum(c) OVER ({by}) AS prob FROM c{k})" for k, by in ((2, "PARTITION BY l, r"), (1, "PARTITION BY l"), (0, "")))
+    + ", cc AS (SELECT conv_id || '/' || turn AS row, role, text FROM conversations WHERE trim(text) <> '')," + _sentence_sql("cc", "row, role", "text", "q0")
+    + ", f AS (SELECT row, role, sentence, min(rel) AS ofs FROM q0 GROUP BY ALL), q AS (SELECT row, role, sentence, CAST(row_number() OVER (PARTITION BY row ORDER BY ofs) - 1 AS INT) AS sent_index FROM f),"
+    + _word_sql("q", "row, role, sent_index", "u")
+    + f""", x AS (SELECT row, sent_index, i, w, coalesce(lag(w) OVER z, '') AS l, coalesce(lead(w) OVER z, '') AS r FROM u WINDOW z AS (PARTITION BY row, sent_index ORDER BY i)),
+y AS (SELECT * FROM x WHERE {_IS_VERB}),
+lev AS (SELECT *, EXISTS (SELECT 1 FROM c2 WHERE c2.l = y.l AND c2.r = y.r) AS has2, EXISTS (SELECT 1 FROM c1 WHERE c1.l = y.l) AS has1 FROM y),
+b AS (
+  SELECT row, sent_index, i, rank, token, prob FROM lev JOIN top2 ON lev.l = top2.l AND lev.r = top2.r WHERE has2
+  UNION ALL SELECT row, sent_index, i, rank, token, prob FROM lev JOIN top1 ON lev.l = top1.l WHERE NOT has2 AND has1
+  UNION ALL SELECT row, sent_index, i, rank, token, prob FROM lev, (SELECT * FROM top0 WHERE rank <= {TOP}) AS top0 WHERE NOT has2 AND NOT has1)"""
+)
+ORACLE_SQL |= {
+    "lookup_sentences": _HITS + "SELECT upper(lemma) AS lemma, CAST(row_number() OVER (PARTITION BY lemma ORDER BY row_ord) AS BIGINT) AS place, sentence FROM h",
+    "lookup_limited": _HITS + "SELECT * FROM h ORDER BY row_ord LIMIT 50",
+    "verb_rows_no_aux": f"WITH {_DOC_VERBS} SELECT doc_id, sent_start, i AS token_index, lemma, start || '-' || (start + length(w)) AS span FROM v WHERE NOT {_IS_AUX}",
+    "bounded_dedupe": f"WITH {_CHUNKS}," + _sentence_sql("c", "doc_id, chunk_start", "chunk_text", "s0") + """,
+o AS (SELECT doc_id, chunk_start, CAST(chunk_start + rel AS BIGINT) AS sent_start, sentence FROM s0),
+k AS (SELECT *, lag(sent_start) OVER z AS before, lag(sentence) OVER z AS last FROM o WINDOW z AS (PARTITION BY doc_id ORDER BY chunk_start, sent_start))
+SELECT doc_id, chunk_start, sent_start, sentence, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY chunk_start, sent_start) - 1 AS BIGINT) AS sent_index
+FROM k WHERE before IS NULL OR before <> sent_start OR last <> sentence""",
+    "masked_back_off": f"WITH {_BACK_OFF} SELECT row, sent_index, i AS token_index, CAST(rank AS INT) AS rank, token, round(prob, 9) AS prob FROM b WHERE rank <= {TOP}",
+    "verb_group_counts_joined": "WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS sentence FROM conversations)," + _word_sql("(SELECT DISTINCT * FROM c)", "conv_id, turn, role", "t")
+    + f", v AS (SELECT *, {_lemma_sql()} AS k FROM t WHERE {_IS_VERB}), {_MANY}, vg AS (SELECT conv_id, turn, role, sentence, count(DISTINCT i) AS total, count(*) FILTER (WHERE grp = 'a_m') AS am, count(*) FILTER (WHERE grp = 'n_z') AS nz FROM v LEFT JOIN g ON v.k = g.k GROUP BY ALL)"
+    + " SELECT c.conv_id, c.turn, c.role, coalesce(total, 0) AS total_verb_count, coalesce(am, 0) AS group_count_a_m, coalesce(nz, 0) AS group_count_n_z FROM c LEFT JOIN vg ON c.conv_id = vg.conv_id AND c.turn = vg.turn AND c.role = vg.role AND c.sentence = vg.sentence",
+    "group_prob_joined": f"WITH {_LM}, {_MANY}, h AS (SELECT {_KEYS}, lemma, prob, {_lemma_sql('token')} AS k FROM p) SELECT {_KEYS}, lemma, round(coalesce(sum(prob) FILTER (WHERE grp = 'a_m'), 0), 9) AS group_prob_a_m, round(coalesce(sum(prob) FILTER (WHERE grp = 'n_z'), 0), 9) AS group_prob_n_z FROM h LEFT JOIN g ON h.k = g.k GROUP BY {_KEYS}, lemma",
+}
+ORACLE_SQL |= table_queries.ORACLE_SQL
+ORACLE_SQL |= {"tagger_of_workers": ORACLE_SQL["verb_lemma_counts"], "stream_verbs": ORACLE_SQL["verb_lemma_counts"]}

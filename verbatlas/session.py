@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -28,26 +29,63 @@ def ship(spark: SparkSession) -> None:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints; a temporary one is set only where spark.checkpoint.dir is unset, as in tests on one machine."""
+    """The folder for checkpoints. Only on one machine, as in tests, a temporary one stands in where none is set."""
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found.isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "verbatlas-checkpoints"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(given or os.path.join(tempfile.gettempdir(), "verbatlas-checkpoints"))
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
     return found.get()
 
 
 def stash(df: DataFrame) -> DataFrame:
-    """Compute df once and cut its lineage with a reliable checkpoint in the shared folder."""
+    """Compute df once and cut its lineage with a reliable checkpoint in the shared folder.
+
+    Checkpoints go when they are no longer referred to, if spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
     _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A path of its own in the shared folder; nothing is there yet."""
+    return f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def local_scratch(spark: SparkSession) -> Path:
+    """A new folder in the shared folder that Python's own file functions reach."""
+    path = scratch(spark)
+    if "://" in path.replace("file:///", "/"):
+        raise RuntimeError(f"{path} is not on this machine")
+    found = Path(re.sub("^file:/+", "/", path))
+    found.mkdir(parents=True)
+    return found
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again."""
-    target = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    target = f"{scratch(df.sparkSession)}.parquet"
     df.write.parquet(target)
     return df.sparkSession.read.parquet(target)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that `written` gave, once nothing reads it any more."""
+    spark = df.sparkSession
+    folder = _shared_folder(spark)
+    for name in {os.path.dirname(f) for f in df.inputFiles()}:
+        if re.sub("^file:/+", "/", name).startswith(re.sub("^file:/+", "/", folder) + "/"):
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if its files come in fewer pieces than half of them; a large table stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df

@@ -146,3 +146,29 @@ def write_report(means: DataFrame, path: str, threshold: float = 0.5, profile: s
             yield [c for g in labels for c in (lists[g][i] if i < len(lists[g]) else (None, None))]
 
     write_workbook(path, [Sheet("lemma_to_groups", lemma_rows(), "A2", True), Sheet("groups_ranked", ranked_rows(), "A2", True)])
+
+
+def read_sheet(path: str, title: str) -> list[list]:
+    """The cells of a sheet that write_workbook wrote, row by row: text, numbers, and None for cells left out."""
+    import xml.etree.ElementTree as tree
+
+    main = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    with zipfile.ZipFile(path) as z:
+        titles = [s.attrib["name"] for s in tree.fromstring(z.read("xl/workbook.xml")).iter(f"{main}sheet")]
+        if title not in titles:
+            raise ValueError(f"no sheet {title!r}")
+        out = []
+        with z.open(f"xl/worksheets/sheet{titles.index(title) + 1}.xml") as f:
+            for _, row in tree.iterparse(f):
+                if row.tag != f"{main}row":
+                    continue
+                cells: list = []
+                for c in row:
+                    k = 0
+                    for ch in re.sub(r"\d", "", c.attrib["r"]):
+                        k = 26 * k + ord(ch) - 64
+                    text = "".join(t.text or "" for t in c.iter(f"{main}t")) if c.attrib.get("t") == "inlineStr" else float(c.find(f"{main}v").text)
+                    cells += [None] * (k - 1 - len(cells)) + [text]
+                out.append(cells)
+                row.clear()
+    return out
