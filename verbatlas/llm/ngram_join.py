@@ -742,4 +742,19 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_ngram_join": op2_ngram_join}
-ORACLE_SQL: dict[str, str] = {}
+#: All pairs by their common shingles, and components as what can be reached.
+ORACLE_SQL = {
+    "op2_ngram_join": f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT rid, array_to_string(list_slice(w, i, i + {SIZE - 1}), ' ') AS g
+  FROM (SELECT rid, w, unnest(range(1, greatest(2, len(w) - {SIZE - 2}))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+c AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n x ON a = x.rid JOIN n y ON b = y.rid WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r(a, b) AS (SELECT rid, rid FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT any_value(d.doc_id) AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM d LEFT JOIN n ON d.rid = n.rid JOIN r ON r.a = d.rid JOIN d o ON r.b = o.rid GROUP BY d.rid
+"""
+}
