@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import random
 
 import pytest
 
@@ -95,3 +96,51 @@ def test_query_against_plain(spark):
         r = got[p.page_id, "conversion"]
         assert (r.n_chars, r.title, r.n_links, r.target_uri) == (len(text), title, len(links), p.url)
         assert got[p.page_id, "metadata"].refers_to == r.refers_to
+
+
+@pytest.mark.parametrize(("page", "text"), [("a<![foo[x]]>b", "ab"), ("a<![ x", "a"), ("a<![CDATA[x]]>b", "ab"), ("a<![if IE]>b<![endif]>c", "abc"), ("a<!>b", "ab"), ("a<![", "a")])
+def test_marked_sections_are_comments(page, text):
+    assert warc.read_page(page)[1] == text
+
+
+def test_any_markup_is_read():
+    rng = random.Random(6)
+    bits = ["<", ">", "!", "[", "]", "--", "a", " ", "/", "?", "&", ";", "#", "x", '"', "'", "=", "CDATA", "script", "nav", "title", "</", "<!", "<![", "]]>", "DOCTYPE", "\x00", "é", "\n"]
+    for _ in range(4_000):
+        title, text, links = warc.read_page("".join(rng.choice(bits) for _ in range(rng.randint(1, 25))))
+        assert isinstance(text, str) and isinstance(title, str) and isinstance(links, list)
+
+
+def _response(k: int) -> bytes:
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:{k}>"), ("WARC-Payload-Digest", "sha1:SOURCE"), ("WARC-IP-Address", "1.2.3.4")]
+    return warc.to_bytes(headers, b"HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\nServer: s\r\n\r\n" + f"text {k}\r\n\r\nWARC/0 ".encode() * 3)
+
+
+def test_damage_is_skipped(spark, tmp_path):
+    good = [_response(k) for k in range(5)]
+    bad_length = good[1].replace(b"Content-Length: ", b"Content-Length: 9")
+    no_length = good[1].replace(b"Content-Length: ", b"Content-Length: x")
+    files = {
+        "a.warc": (good[0] + bad_length + good[2], {0, 2}),
+        "b.warc": (b"junk\xff\xfe" + good[0] + no_length + good[3], {0, 3}),
+        "c.warc": (good[0] + good[4][:-30], {0}),
+        "d.warc.gz": (b"".join(map(gzip.compress, good)), {0, 1, 2, 3, 4}),
+        "e.warc.gz": (gzip.compress(good[0]) + gzip.compress(good[1])[:-20] + b"\x00" * 20 + gzip.compress(good[2]), {0, 2}),
+        "f.warc.gz": (gzip.compress(b"".join(good)), {0, 1, 2, 3, 4}),
+        "g.warc": (b"", set()),
+        "h.warc": (b"\r\n\r\n", set()),
+    }
+    for name, (data, want) in files.items():
+        for size in (1, 7, 1 << 20):
+            got = [f["warc-record-id"] for f, b in warc.scan_records(warc.file_chunks(data, size)) if f]
+            found = {int(x[5:-1]) for x in got}
+            assert want <= found <= want | {1} and len(got) == len(found), (name, size)
+        (tmp_path / name).write_bytes(data)
+    table = spark.read.format("binaryFile").load(str(tmp_path))
+    rows = warc.read_responses(table)
+    assert rows.count() >= sum(len(w) for _, w in files.values())
+    assert {r.path[-6:] for r in warc.damaged(table).collect()} >= {"a.warc", "b.warc", "c.warc"}
+    out = [r for r in warc.derive(rows).collect() if r.kind == "metadata"]
+    for r in out:
+        about = list(warc.parse_records(bytes(r.warc)))[0][1]
+        assert b"source-warc-payload-digest: sha1:SOURCE" in about and b"source-warc-ip-address: 1.2.3.4" in about and b"source-http-server: s" in about and b"source-block-digest: sha1:" in about

@@ -3,8 +3,9 @@
 A response record is read from the bytes of a WARC file (`read_responses`) or made from a table of pages
 (`pages_to_responses`). For each response `derive` gives two records:
 
-* `metadata`: application/warc-fields, with the fetched status, the source's media type, length and
-  payload digest, the title, and the outlinks in order of first appearance;
+* `metadata`: application/warc-fields, with the fetched status, the source's media type, length, block
+  and payload digest, all other fields of its record's header (the digests that it came with too) and of
+  its HTTP head, the title, and the outlinks in order of first appearance;
 * `conversion`: text/plain, the visible text.
 
 Both carry WARC-Refers-To with the response's record id, its target URI and date, a digest of their own
@@ -14,22 +15,26 @@ that runs again gives the same records. `to_bytes` writes a record in the format
 
 Defined cases: null html is an empty payload with an empty text; null URLs give records without target;
 repeated pages give records of their own with equal ids; an empty table gives an empty table; extra
-columns are ignored. A response whose HTTP head cannot be read is taken as all payload.
+columns are ignored. A response whose HTTP head cannot be read is taken as all payload. Any markup is read
+to its end; damaged parts of a file are skipped up to the next record.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verbatlas.llm.words import slices
 from verbatlas.session import ship, table
 
 #: The date of records from tables that have none.
@@ -57,22 +62,28 @@ def to_bytes(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
 
+def header_fields(head: bytes) -> dict[str, str]:
+    """The fields of a record's header, names in lower case; lines that go on are joined."""
+    fields: dict[str, str] = {}
+    last = None
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and last:
+            fields[last] += " " + line.strip()
+        else:
+            name, _, value = line.partition(":")
+            last = name.strip().lower()
+            fields[last] = value.strip()
+    return fields
+
+
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and block of each record of an uncompressed file."""
+    """Header fields (names in lower case) and block of each record of an uncompressed file; damage is an error."""
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
         if end < 0 or not data.startswith(b"WARC/", at):
             raise ValueError(f"no record at byte {at}")
-        fields: dict[str, str] = {}
-        last = None
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
-            if line[:1] in (" ", "\t") and last:
-                fields[last] += " " + line.strip()
-            else:
-                name, _, value = line.partition(":")
-                last = name.strip().lower()
-                fields[last] = value.strip()
+        fields = header_fields(data[at:end])
         size = int(fields.get("content-length", "0"))
         block = data[end + 4 : end + 4 + size]
         if len(block) < size:
@@ -83,6 +94,71 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             at += 2
 
 
+def scan_records(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str] | None, bytes]]:
+    """The records of a file that comes in pieces, as parse_records gives them; damage does not end the scan.
+
+    What is no record (no WARC line, no length, a block that is cut short or does not end where it should) is
+    skipped up to the next record, and given as None with the bytes that were skipped.
+    """
+    source, held = iter(chunks), bytearray()
+
+    def more() -> bool:
+        for piece in source:
+            if piece:
+                held.extend(piece)
+                return True
+        return False
+
+    while held.strip(b"\r\n") or more():
+        del held[: len(held) - len(held.lstrip(b"\r\n"))]
+        if not held:
+            continue
+        while (end := held.find(b"\r\n\r\n")) < 0 and len(held) < MOST_HEADER and more():
+            pass
+        if end >= 0 and held.startswith(b"WARC/"):
+            fields = header_fields(bytes(held[:end]))
+            length = fields.get("content-length", "")
+            if length.isascii() and length.isdigit():
+                stop = end + 4 + int(length)
+                while len(held) < stop + 4 and more():
+                    pass
+                if len(held) >= stop and (len(held) == stop or bytes(held[stop : stop + 2]) == b"\r\n"):
+                    yield fields, bytes(held[end + 4 : stop])
+                    del held[:stop]
+                    continue
+        lost = bytearray()
+        while (at := held.find(b"WARC/1.", 0 if lost else 1)) < 0:
+            keep = max(1, len(held) - 6)  # the rest may begin the next record's first line
+            lost += held[:keep]
+            del held[:keep]
+            if not more():
+                at = len(held)
+                break
+        yield None, bytes(lost + held[:at])
+        del held[:at]
+
+
+def file_chunks(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of an uncompressed or gzipped file in pieces, member by member; a damaged member ends at its damage."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[k : k + size] for k in range(0, len(data), size))
+        return
+    at = 0
+    while 0 <= at < len(data):
+        member, k = zlib.decompressobj(31), at
+        try:
+            while k < len(data) and not member.eof:
+                piece = member.decompress(data[k : k + size] if not member.unconsumed_tail else member.unconsumed_tail, 4 * size)
+                if not member.unconsumed_tail:
+                    k += size
+                yield piece
+            while member.unconsumed_tail and not member.eof:
+                yield member.decompress(member.unconsumed_tail, 4 * size)
+            at = min(k, len(data)) - len(member.unused_data) if member.eof else len(data)
+        except zlib.error:
+            at = data.find(b"\x1f\x8b\x08", at + 1)
+
+
 def split_http(block: bytes) -> tuple[int, dict[str, str], bytes]:
     """Status, header fields and payload of an HTTP response; status 0 and all payload if it is none."""
     head, found, payload = block.partition(b"\r\n\r\n")
@@ -147,6 +223,11 @@ class _Page(HTMLParser):
         if tag in _BLOCKS:
             self.parts.append("\n")
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """`<![...` is a comment up to the next `>`, or up to the end, whatever it holds."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else len(self.rawdata)
+
     def handle_data(self, data: str) -> None:
         if self.in_title:
             self.title.append(data)
@@ -166,8 +247,12 @@ def read_page(source: str) -> tuple[str, str, list[str]]:
 
 
 # -- tables ---------------------------------------------------------------------------------------
-RESPONSE = "record_id string, target_uri string, date string, block binary"
-_RESPONSE = pa.schema([("record_id", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("block", pa.binary())])
+RESPONSE = "record_id string, target_uri string, date string, fields string, block binary"
+_RESPONSE = pa.schema([("record_id", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("fields", pa.string()), ("block", pa.binary())])
+#: Header fields of a source that its derivatives have in another form, or that hold for its own bytes only.
+_OWN = {"warc-type", "warc-record-id", "warc-target-uri", "warc-date", "content-length", "content-type"}
+#: Bytes of a record's header at most, and of the blocks that are derived at once.
+MOST_HEADER, BATCH_BYTES = 1 << 20, 4_000_000
 DERIVED = (
     "page_id long, source_id string, kind string, record_id string, refers_to string, target_uri string, date string, content_type string, "
     "block_digest string, source_digest string, source_status int, source_type string, title string, n_links int, n_chars long, warc binary"
@@ -189,7 +274,7 @@ def pages_to_responses(pages: DataFrame, id_col: str = "page_id", url_col: str =
         for batch in batches:
             ids, urls, blocks = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [response_block(x.as_py()) for x in batch.column(2)]
             made = [record_id("response", str(i), u or "", digest(b)) for i, u, b in zip(ids, urls, blocks, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made), batch.column(1), pa.array([DATE] * len(ids)), pa.array(blocks, pa.binary())], ["page_id", *_RESPONSE.names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made), batch.column(1), pa.array([DATE] * len(ids)), pa.nulls(len(ids), pa.string()), pa.array(blocks, pa.binary())], ["page_id", *_RESPONSE.names])
 
     return rows.mapInArrow(work, f"page_id long, {RESPONSE}")
 
@@ -197,27 +282,43 @@ def pages_to_responses(pages: DataFrame, id_col: str = "page_id", url_col: str =
 def read_responses(files: DataFrame, content_col: str = "content") -> DataFrame:
     """The response records of whole uncompressed or gzipped WARC files, as Spark's binaryFile source reads them.
 
-    page_id is null: it belongs to tables of pages.
+    page_id is null: it belongs to tables of pages. fields holds the record's header as JSON. Damaged parts are
+    passed over; damaged() counts them.
     """
-    import gzip
-
     ship(files.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column(0):
-                data = raw.as_py() or b""
-                rows = []
-                for fields, block in parse_records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
-                    if fields.get("warc-type") == "response":
-                        rows.append((None, fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-date"), block))
+                rows, held = [], 0
+                for fields, block in scan_records(file_chunks(raw.as_py() or b"")):
+                    if fields and fields.get("warc-type") == "response":
+                        rows.append((None, fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-date"), json.dumps(fields), block))
+                        held += len(block)
+                    if held > BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), *_RESPONSE.types], strict=True)], ["page_id", *_RESPONSE.names])
+                        rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), *_RESPONSE.types], strict=True)], ["page_id", *_RESPONSE.names])
 
     return files.select(F.col(content_col)).mapInArrow(work, f"page_id long, {RESPONSE}")
 
 
-def _pair(page_id, source_id: str | None, uri: str | None, date: str | None, block: bytes | None) -> list[tuple]:
+def damaged(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
+    """path, parts, bytes: how many parts of each file were skipped as damaged, and their bytes; files without are left out."""
+    ship(files.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, raw in zip(batch.column(0), batch.column(1), strict=True):
+                lost = [len(block) for fields, block in scan_records(file_chunks(raw.as_py() or b"")) if fields is None]
+                if lost:
+                    yield pa.RecordBatch.from_arrays([pa.array([path.as_py()]), pa.array([len(lost)], pa.int64()), pa.array([sum(lost)], pa.int64())], ["path", "parts", "bytes"])
+
+    return files.select(F.col(path_col).alias("path"), F.col(content_col).alias("content")).mapInArrow(work, "path string, parts long, bytes long")
+
+
+def _pair(page_id, source_id: str | None, uri: str | None, date: str | None, fields_json: str | None, block: bytes | None) -> list[tuple]:
     """The metadata and the conversion record of one response, as rows of DERIVED."""
     source_id, uri, date = source_id or "", uri or "", date or DATE
     status, fields, payload = split_http(block or b"")
@@ -229,15 +330,17 @@ def _pair(page_id, source_id: str | None, uri: str | None, date: str | None, blo
         source = payload.decode("utf-8", "replace")
     is_html = "html" in kind or not kind
     title, text, links = read_page(source) if is_html else ("", source, [])
-    payload_digest = digest(payload)
-    facts = [("source-status", str(status) if status else ""), ("source-content-type", kind), ("source-length", str(len(payload))), ("source-payload-digest", payload_digest), ("title", title)]
+    payload_digest, source_digest = digest(payload), digest(block or b"")
+    source_fields = [(f"source-{k}", v) for k, v in json.loads(fields_json or "{}").items() if k not in _OWN]
+    facts = [("source-status", str(status) if status else ""), ("source-content-type", kind), ("source-length", str(len(payload))), ("source-block-digest", source_digest), ("source-payload-digest", payload_digest)]
+    facts += [*source_fields, *((f"source-http-{k}", v) for k, v in fields.items() if k != "content-type"), ("title", title)]
     about = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in [*facts, *(("outlink", x) for x in links)] if v).encode()
     out = []
     for name, media, made in (("metadata", "application/warc-fields", about), ("conversion", "text/plain; charset=utf-8", text.encode())):
         own = record_id(name, source_id, uri)
         headers = [
             ("WARC-Type", name), ("WARC-Record-ID", own), ("WARC-Refers-To", source_id), ("WARC-Target-URI", uri), ("WARC-Date", date),
-            ("WARC-Block-Digest", digest(made)), ("WARC-Source-Payload-Digest", payload_digest), ("WARC-Source-Content-Type", kind), ("Content-Type", media),
+            ("WARC-Block-Digest", digest(made)), ("WARC-Source-Block-Digest", source_digest), ("WARC-Source-Payload-Digest", payload_digest), ("WARC-Source-Content-Type", kind), ("Content-Type", media),
         ]
         out.append((page_id, source_id, name, own, source_id, uri or None, date, media, digest(made), payload_digest, status, kind, title, len(links), len(made.decode()), to_bytes(headers, made)))
     return out
@@ -251,8 +354,8 @@ def derive(responses: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo, hi in slices(batch.column(batch.num_columns - 1), BATCH_BYTES):
+                part = batch.slice(lo, hi - lo)
                 rows = [r for x in zip(*(c.to_pylist() for c in part.columns), strict=True) for r in _pair(*x)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
