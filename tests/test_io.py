@@ -214,3 +214,34 @@ def test_stream_windows(spark, tmp_path):
     d = files.unique_stream(stream, ["lemma"], "t", "1 hour").writeStream.format("memory").queryName("u").trigger(availableNow=True).start()
     d.awaitTermination(60)
     assert spark.table("u").count() == 1
+
+
+def test_rows_left_out_are_counted(spark, tmp_path, capsys, monkeypatch):
+    run = lambda *a: cli.main([str(x) for x in a])
+    read = lambda name: list(csv.DictReader(open(tmp_path / name, newline="")))
+    record = lambda name: json.loads((tmp_path / f"{name}.json").read_text())
+    rows = write(tmp_path / "v.csv", "lemma,sentence,span_in_sentence_char\nbe,He is.,3-5\nbe,He is.,3:5\nbe,He is.,x\n ,It was.,3-6\nbe,He is.,5-99\n")
+    assert run("predict", rows, "-o", tmp_path / "m.csv", "--top-k", 1, "--log-file", tmp_path / "log.txt") == 0
+    assert len(read("m.csv")) == 3 and record("m.csv")["statistics"] == {"rows_read": 5, "rows_skipped": 2, "rows_written": 3}
+    assert "2 of 5 rows" in (tmp_path / "log.txt").read_text()
+    g = write(tmp_path / "g.csv", "be,move\nbe,jump\nam,\n")
+    assert run("aggregate", tmp_path / "m.csv", "-o", tmp_path / "a.csv", "--groups", g) == 0
+    assert record("a.csv")["statistics"]["rows_skipped"] == 1 and record("a.csv")["groups"] == {"be": ["am", "be"], "move": ["jump"]}
+    assert run("lookup", tmp_path / "m.csv", "-o", tmp_path / "l.csv", "--lemmas", "be", "--print") == 0
+    assert capsys.readouterr().out.splitlines()[-3:] == ["He is.", "He is.", "2 sentences"]
+    table = write(tmp_path / "rows.csv", "text,k\nit was,a\nfoo is,b\n")
+    assert run("textcount", table, "-o", tmp_path / "c.csv", "--groups", g, "--where", '{{k}} == "a"') == 0
+    assert record("c.csv")["statistics"] == {"rows_read": 2, "rows_filtered": 1, "rows_written": 1}
+    words, fixes = write(tmp_path / "w.txt", "it\nis\nwas\n"), write(tmp_path / "d.csv", "word,action,replacement\nfoo,replace,it\nbar,add,\n")
+    assert run("spell", table, "-o", tmp_path / "sp.csv", "--words", words, "--decisions", fixes, "--patch", tmp_path / "p.diff", "--save-words", tmp_path / "w2") == 0
+    assert "-foo is\n+it is" in (tmp_path / "p.diff").read_text()
+    assert {r.word for r in readers.word_list(spark, str(tmp_path / "w2")).collect()} == {"it", "is", "was", "bar"}
+
+    from verbatlas.table_queries import _toy_pair
+
+    monkeypatch.setattr(cli, "transformers_pair", lambda name: _toy_pair)
+    monkeypatch.setattr(cli, "spacy_loader", lambda name: lambda: lambda texts: [[(0, 0, "Xs", "VERB", "x")] for _ in texts])
+    assert run("predict", rows, "-o", tmp_path / "mm.csv", "--top-k", 2, "--model", "toy") == 0
+    assert [(r["token_1"], r["token_2"]) for r in read("mm.csv")] == [("t2", "t1")] * 3
+    assert run("extract", write(tmp_path / "d.txt", "One. Two."), "-o", tmp_path / "t.csv", "--model", "toy") == 0
+    assert [r["lemma"] for r in read("t.csv")] == ["x", "x"]

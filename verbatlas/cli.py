@@ -2,6 +2,10 @@
 
     python -m verbatlas.cli extract a.txt b.txt --output verbs.csv
     python -m verbatlas.cli count verbs.csv --output freqs.csv --field lemma
+
+`--model` names a trained tagger (extract, textcount) or a masked model (predict) that the workers load; without
+it the built-in rules and counts are used. Rows that cannot be used are left out one by one, counted in the
+record and warned of.
 """
 
 from __future__ import annotations
@@ -16,26 +20,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbatlas.functions.text import ROW_ORD, masked, span, ten_digits, word_arguments
-from verbatlas.functions.providers import ContextCountLM, RuleTagger
+from verbatlas.functions.providers import ArrowMaskedLM, ArrowTagger, ContextCountLM, RuleTagger, Tagger, masked_lm_loader, spacy_loader, transformers_pair
+from verbatlas.session import ship
 from verbatlas.operators import extract, frequency, groups, naming, spelling, textgroups
+from verbatlas.plans.rowpred import compile_predicate
 from verbatlas.sources import grouptables, manifest, readers, sinks, xlsx
 
 log = logging.getLogger("verbatlas")
 
 #: For each step its options with their defaults.
 STEPS: dict[str, dict] = {
-    "extract": {"size": 2_000_000, "overlap": 5_000, "include_aux": False, "encoding": "utf-8", "text_column": None, "paths_file": None, "tsv": False},
+    "extract": {"size": 2_000_000, "overlap": 5_000, "include_aux": False, "encoding": "utf-8", "text_column": None, "paths_file": None, "tsv": False, "model": None},
     "count": {"field": "lemma"},
     "filter": {"field": "lemma", "least": None, "most": None},
     "sample": {"n": 100, "seed": 0},
-    "predict": {"top_k": 10, "mask": "<mask>", "limit_rows": 0},
+    "predict": {"top_k": 10, "mask": "<mask>", "limit_rows": 0, "model": None},
     "tags": {"ignore": []},
     "aggregate": {"groups": None, "profile": "standard", "short": False, "lemma_count": False, "lemma_column": "lemma"},
     "means": {"lemma_column": "lemma", "threshold": 0.5, "profile": "standard", "group_columns": []},
-    "lookup": {"lemmas": "", "limit": 0, "top_k": 0, "lemma_column": "lemma", "sentence_column": "sentence"},
-    "textcount": {"groups": None, "text_column": "text", "where": None, "include_aux": False},
+    "lookup": {"lemmas": "", "limit": 0, "top_k": 0, "lemma_column": "lemma", "sentence_column": "sentence", "print": False},
+    "textcount": {"groups": None, "text_column": "text", "where": None, "include_aux": False, "model": None},
     "inflect": {"clauses": None, "least": 10},
-    "spell": {"words": None, "custom": None, "ignore": None, "decisions": None, "column": "text", "mode": "complete"},
+    "spell": {"words": None, "custom": None, "ignore": None, "decisions": None, "column": "text", "mode": "complete", "patch": None, "save_words": None},
 }
 
 
@@ -48,6 +54,7 @@ def parser() -> argparse.ArgumentParser:
         q.add_argument("-o", "--output")
         q.add_argument("--load-record", help="repeat the run of a record; options given here come first")
         q.add_argument("--strict-checksum", action="store_true")
+        q.add_argument("--log-file", help="messages go there too")
         for name, default in options.items():
             flag = "--" + name.replace("_", "-")
             if isinstance(default, bool):
@@ -68,25 +75,41 @@ def _wide(df: DataFrame, k: int) -> DataFrame:
     return wide.withColumns({f"prob_{i}": ten_digits(f"prob_{i}") for i in range(1, k + 1)})
 
 
+def _tagger(spark: SparkSession, s: dict) -> Tagger | None:
+    """The trained tagger that is named, or None for the built-in one."""
+    if not s.get("model"):
+        return None
+    ship(spark)
+    return ArrowTagger(spacy_loader(s["model"]))
+
+
 def _extract(spark: SparkSession, inputs: list[str], s: dict) -> DataFrame:
     if s["text_column"]:
         rows = readers.numbered_rows(readers.delimited(spark, inputs, encoding=s["encoding"], needed=[s["text_column"]]), s["text_column"])
-        found = extract.verbs_of_rows(rows, "csv_row_number", "text", include_aux=s["include_aux"])
+        found = extract.verbs_of_rows(rows, "csv_row_number", "text", tagger=_tagger(spark, s), include_aux=s["include_aux"])
         return found.orderBy("csv_row_number", "sent_index", "token_index").drop("span").withColumnRenamed("span_text", "span_in_sentence_char")
     docs = readers.text_documents(spark, readers.path_list(inputs, s["paths_file"]), s["encoding"])
-    found = extract.verbs_of_documents(docs, "doc_path", "text", s["size"], s["overlap"], include_aux=s["include_aux"])
+    found = extract.verbs_of_documents(docs, "doc_path", "text", s["size"], s["overlap"], tagger=_tagger(spark, s), include_aux=s["include_aux"])
     return found.orderBy("doc_path", "sent_index", "token_index").select(
         "doc_path", F.col("chunk_start").alias("chunk_start_char"), F.col("sent_start").alias("sent_start_char_in_doc"), F.col("sent_index").alias("sent_index_in_doc_approx"),
         F.col("token_index").alias("token_index_in_sent"), "lemma", "surface_lower", F.col("span_text").alias("span_in_sentence_char"), "sentence",
     )
 
 
-def _predict(spark: SparkSession, inputs: list[str], s: dict) -> DataFrame:
+def _spanned(spark: SparkSession, inputs: list[str], s: dict) -> DataFrame:
+    """The rows to predict, with their span and masked text; both are null where the span is none."""
     rows = readers.delimited(spark, inputs, needed=["sentence", "span_in_sentence_char"])
     if s["limit_rows"]:
         rows = rows.orderBy(ROW_ORD).limit(s["limit_rows"])
-    at = span("span_in_sentence_char", "-:")
-    rows = rows.withColumn("_span", at).withColumn("masked_text", masked("sentence", F.col("_span.start"), F.col("_span.end"), s["mask"])).where("masked_text is not null")
+    return rows.withColumn("_span", span("span_in_sentence_char", "-:")).withColumn("masked_text", masked("sentence", F.col("_span.start"), F.col("_span.end"), s["mask"]))
+
+
+def _predict(spark: SparkSession, inputs: list[str], s: dict) -> DataFrame:
+    rows = _spanned(spark, inputs, s).where("masked_text is not null")
+    if s["model"]:
+        ship(spark)
+        out = ArrowMaskedLM(masked_lm_loader(transformers_pair(s["model"]))).predict(rows, s["top_k"])
+        return _wide(out.drop("_span", "masked_text"), s["top_k"]).orderBy(ROW_ORD)
     sents = rows.select("sentence").distinct()
     words = RuleTagger().tokens(F.col("sentence"))
     index = F.filter(words, lambda t: t["start"] == F.col("_span.start"))
@@ -137,6 +160,35 @@ def _spell(spark: SparkSession, inputs: list[str], s: dict) -> DataFrame:
     return spelling.output_mode(out, s["column"], "corrected", s["mode"])
 
 
+def unusable(spark: SparkSession, step: str, inputs: list[str], s: dict) -> dict[str, int]:
+    """How many rows a step read, and how many of them it leaves out, for the steps that may leave some out."""
+    if step == "predict":
+        rows, name, out = _spanned(spark, inputs, s), "rows_skipped", F.col("masked_text").isNull()
+    elif step == "aggregate":
+        rows, name, out = _table(spark, inputs), "rows_skipped", groups.row_lemma(F.col(s["lemma_column"]), s["profile"]) == ""
+    elif step == "textcount" and s["where"]:
+        rows = _table(spark, inputs)
+        name, out = "rows_filtered", ~F.coalesce(compile_predicate(s["where"], rows.columns), F.lit(False))
+    else:
+        return {}
+    r = rows.agg(F.count("*").alias("n"), F.sum(out.cast("int")).alias("out")).first()
+    if r.out and name == "rows_skipped":
+        log.warning("%d of %d rows cannot be used and are left out", r.out, r.n)
+    return {"rows_read": r.n, name: r.out or 0}
+
+
+def _save_spelling(spark: SparkSession, inputs: list[str], s: dict) -> None:
+    """The patch from the texts to the corrected ones, and the word list with the decisions' additions, where they are asked for."""
+    if s["patch"]:
+        fixed = _spell(spark, inputs, s | {"mode": "complete"})
+        sinks.write_patch(fixed, s["column"], f"{s['column']}_corrected", s["patch"], Path(inputs[0]).name)
+    if s["save_words"]:
+        known = readers.word_list(spark, s["words"])
+        if s["decisions"]:
+            known = known.union(readers.delimited(spark, s["decisions"], order=False).where("action = 'add'").select(F.lower("word").alias("word")))
+        sinks.write_words(known, s["save_words"])
+
+
 def build(spark: SparkSession, step: str, inputs: list[str], s: dict) -> DataFrame:
     """The DataFrame that a step writes."""
     simple: dict[str, Callable[[], DataFrame]] = {
@@ -148,7 +200,7 @@ def build(spark: SparkSession, step: str, inputs: list[str], s: dict) -> DataFra
         "aggregate": lambda: _aggregate(spark, inputs, s),
         "means": lambda: _means_table(_means(spark, inputs, s)),
         "lookup": lambda: textgroups.lookup(groups.wide_to_array(_table(spark, inputs)) if s["top_k"] else _table(spark, inputs), word_arguments(s["lemmas"]), ROW_ORD, s["lemma_column"], s["sentence_column"], s["limit"], s["top_k"]),
-        "textcount": lambda: textgroups.verb_group_counts(_table(spark, inputs), grouptables.read(spark, s["groups"]), s["text_column"], s["where"], include_aux=s["include_aux"]).orderBy(ROW_ORD),
+        "textcount": lambda: textgroups.verb_group_counts(_table(spark, inputs), grouptables.read(spark, s["groups"]), s["text_column"], s["where"], _tagger(spark, s), include_aux=s["include_aux"]).orderBy(ROW_ORD),
         "inflect": lambda: textgroups.inflection_matches(readers.clause_database(spark, s["clauses"]), textgroups.qualifying_lemmas(_table(spark, inputs), s["least"])).orderBy(ROW_ORD),
         "spell": lambda: _spell(spark, inputs, s),
     }
@@ -178,9 +230,16 @@ def main(argv: list[str] | None = None) -> int:
     if upstream and Path(inputs[0]).exists():
         manifest.check_upstream(inputs[0], upstream, args["strict_checksum"])
     run = manifest.Manifest.begin(step, inputs, output, s, defaults, upstream)
+    if args["log_file"]:
+        logging.getLogger().addHandler(handler := logging.FileHandler(args["log_file"], encoding="utf-8"))
+        handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
     run.write()
     spark = SparkSession.builder.appName(f"verbatlas {step}").getOrCreate()
     try:
+        left_out = unusable(spark, step, inputs, s)
+        if step in ("aggregate", "textcount"):
+            table = grouptables.read(spark, s["groups"], s.get("profile", "standard"))
+            run.groups = {r.group: r.lemmas for r in groups.members_of(table).orderBy("group_pos").collect()}  # made by hand, and read by the driver before
         if step == "means" and output.endswith(".xlsx"):
             xlsx.write_report(_means(spark, inputs, s), output, s["threshold"], s["profile"])
             stats = {}
@@ -190,11 +249,15 @@ def main(argv: list[str] | None = None) -> int:
             stats = {}
         else:
             stats = {"rows_written": sinks.write_local(build(spark, step, inputs, s), output, "\t" if output.endswith(".tsv") or s.get("tsv") else ",")}
+        if step == "lookup" and s["print"]:
+            print(*sinks.hit_lines(build(spark, step, inputs, s), ROW_ORD), sep="\n")
+        if step == "spell":
+            _save_spelling(spark, inputs, s)
     except KeyboardInterrupt:
         spark.sparkContext.cancelAllJobs()
         run.finish({}, "stopped")
         return 130
-    run.finish(stats)
+    run.finish(left_out | stats)
     log.info("%s: %s", output, stats)
     return 0
 
