@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from verbatlas.llm import bpe, mixing, ngram_join, quality_classifier, quality_rules
-from verbatlas.session import table, written
+from verbatlas.session import discard, table, written
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing to target weights: each document as often as its rate says, once at least."""
-    return mixing.mix(docs, table(spark, sf_dir, "labels"))
+    return mixing.mix(docs, table(spark, sf_dir, "labels"), targets=TARGETS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,6 +37,9 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.tokenize_documents(docs)
 
 
+#: A weight for each domain (language), or None: the domains' own shares, evened out.
+TARGETS: dict[str, float] | None = None
+
 STAGES = [
     ("quality classifier", classify),
     ("quality rules", apply_rules),
@@ -51,7 +54,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each result is written and read again before the next one."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        if before is not None:  # nothing reads it any more
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
