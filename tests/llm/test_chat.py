@@ -77,3 +77,22 @@ def test_added_conversation(spark):
     r = chat.op5_chat(spark, "/root/testdata/sf0.001").where("conv_id = -7").collect()
     text = "\\### Assistant: </turn> ok"
     assert [tuple(x)[1:5] for x in r] == [want([("user", text), ("assistant", text)])]
+
+
+def test_comments_trim_marks_and_quoted_ends():
+    text = lambda t, **names: "".join(p for p, _ in chat.compile_template(t)([{"role": "u", "text": "a"}, {"role": "v", "text": "b"}], **names))
+    assert text("x{# note }} %} #}y") == "xy"
+    assert text("x \n{%- for m in messages -%}  {{- m.text -}} ;  {% endfor -%}  z") == "xa;  b;  z"
+    assert text("{{ 'a }} b' }}|{% if '%}' == '%}' %}1{% endif %}") == "a }} b|1"
+    assert text("{% for m in messages %}{% if m.role not in 'v' %}{{ m.text }}{% endif %}{% endfor %}") == "a"
+    for bad in ("{% for m in messages %}{{ loop.last }}{% endfor %}", "{{ messages[0] }}", "{% for m in messages %}{{ loop['length'] }}{% endfor %}"):
+        with pytest.raises(chat.TemplateError):
+            chat.compile_template(bad)
+
+
+@pytest.mark.parametrize("kind", ["short", "byte", "int", "string", "decimal(10,0)", "date"])
+def test_ids_of_any_type(spark, kind):
+    value = "2024-01-02" if kind == "date" else "7"
+    rows = spark.createDataFrame([(value, 1, "user", "hi")], "conv_id string, turn long, role string, text string").selectExpr(f"cast(conv_id as {kind}) as conv_id", "turn", "role", "text")
+    for out in (chat.format_conversations(rows), chat.digest_conversations(rows)):
+        assert str(out.first().conv_id) == value

@@ -7,7 +7,7 @@ draws its messages one at a time.
 
 Statements: `for x in y` / `endfor`, `if` / `elif` / `else` / `endif`, `set x = e`, `generation` /
 `endgeneration` (what stands between is under the loss mask). Expressions: literals, names, `a.b` and
-`a['b']` on messages and `loop` (index0, index, first), `+` and `~` (joins text), `==`, `!=`, `in`,
+`a['b']` on messages and `loop` (index0, index, first), `+` and `~` (joins text), `==`, `!=`, `in`, `not in`,
 `and`, `or`, `not`, `a if c else b`, parentheses, and the filters `escape`, `trim`, `upper`, `lower`,
 `title`. There are no calls, no attributes of Python objects, and no way out of the data given.
 
@@ -61,7 +61,11 @@ class TemplateError(ValueError):
     """The template does not follow the grammar."""
 
 
-_PARTS = re.compile(r"\{\{(.*?)\}\}|\{%(.*?)%\}", re.DOTALL)
+_QUOTED = r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\""
+#: Output, statements and comments; a minus sign inside a mark takes away the white space on its side.
+_PARTS = re.compile(rf"\{{\{{(?P<l1>-?)(?P<print>(?:{_QUOTED}|[^'\"])*?)(?P<r1>-?)\}}\}}|\{{%(?P<l2>-?)(?P<statement>(?:{_QUOTED}|[^'\"])*?)(?P<r2>-?)%\}}|\{{#(?P<l3>-?).*?(?P<r3>-?)#\}}", re.DOTALL)
+#: What a loop tells of itself.
+_LOOP = ("index0", "index", "first")
 _TOKEN = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<num>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|[-+~.|()\[\]]))")
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 
@@ -134,19 +138,24 @@ class _Expression:
         if level == len(self.LEVELS):
             return self.postfix()
         left = self.binary(level + 1)
-        while self.peek(*self.LEVELS[level]):
-            op = self.tokens[self.at][1]
-            self.at += 1
-            left = Node(op, (left, self.binary(level + 1 if level != 1 else 2)))
-        return left
+        while True:
+            if self.peek(*self.LEVELS[level]):
+                op = self.tokens[self.at][1]
+                self.at += 1
+                left = Node(op, (left, self.binary(level + 1 if level != 1 else 2)))
+            elif level == 2 and self.peek("not") and self.tokens[self.at + 1 : self.at + 2] == [("name", "in")]:
+                self.at += 2
+                left = Node("not", (Node("in", (left, self.binary(level + 1))),))
+            else:
+                return left
 
     def postfix(self) -> Any:
         value = self.atom()
         while True:
             if self.take("."):
-                value = Node("get", (value, Const(self.name())))
+                value = self.part(value, Const(self.name()))
             elif self.take("["):
-                value = Node("get", (value, self.choice()))
+                value = self.part(value, self.choice())
                 self.need("]")
             elif self.take("|"):
                 value = Node("filter", (value, self.name()))
@@ -155,6 +164,15 @@ class _Expression:
             else:
                 return value
 
+    def part(self, value: Any, key: Any) -> Node:
+        """value.key; a place in the stream of messages, or what a loop does not have, is an error."""
+        name = value.args[0] if isinstance(value, Node) and value.kind == "name" else None
+        if name == "messages" and isinstance(key, Const) and isinstance(key.value, int):
+            raise TemplateError("messages come as a stream: only a for can read them")
+        if name == "loop" and isinstance(key, Const) and not str(key.value).startswith("_") and key.value not in _LOOP:
+            raise TemplateError(f"loop has no {key.value!r}")
+        return Node("get", (value, key))
+
     def atom(self) -> Any:
         if self.at >= len(self.tokens):
             raise TemplateError("an expression ended too early")
@@ -173,19 +191,33 @@ class _Expression:
         raise TemplateError(f"unexpected {text!r}")
 
 
+def _plain(text: str) -> str:
+    """The text between marks; marks left in it hold a string that does not end."""
+    if m := re.search(r"\{\{.*?\}\}|\{%.*?%\}", text, re.DOTALL):
+        raise TemplateError(f"cannot read {m[0]!r}")
+    return text
+
+
 def parse(source: str) -> list:
     """The syntax tree of a template: a list of Const (text) and Node."""
     root: list = []
     stack: list[tuple[str, Node | None, list]] = [("", None, root)]
     at = 0
+    bare = False
     for part in _PARTS.finditer(source):
-        if part.start() > at:
-            stack[-1][2].append(Const(source[at : part.start()]))
-        at = part.end()
-        if part[1] is not None:
-            stack[-1][2].append(Node("print", (_Expression(part[1]).whole(),)))
+        text = _plain(source[at : part.start()])
+        text = text.lstrip() if bare else text
+        if part["l1"] or part["l2"] or part["l3"]:
+            text = text.rstrip()
+        if text:
+            stack[-1][2].append(Const(text))
+        at, bare = part.end(), bool(part["r1"] or part["r2"] or part["r3"])
+        if part["print"] is not None:
+            stack[-1][2].append(Node("print", (_Expression(part["print"]).whole(),)))
             continue
-        word, _, rest = part[2].strip().partition(" ")
+        if part["statement"] is None:  # a comment
+            continue
+        word, _, rest = part["statement"].strip().partition(" ")
         if word == "for":
             m = re.fullmatch(r"\s*([A-Za-z_]\w*)\s+in\s+(.+)", rest, re.DOTALL)
             if not m:
@@ -215,11 +247,13 @@ def parse(source: str) -> list:
                 node = node.args[0]
             stack[-1][2].append(node)
         else:
-            raise TemplateError(f"unexpected statement {part[2].strip()!r}")
+            raise TemplateError(f"unexpected statement {part['statement'].strip()!r}")
     if len(stack) > 1:
         raise TemplateError(f"{stack[-1][0]!r} is not closed")
-    if at < len(source):
-        root.append(Const(source[at:]))
+    tail = _plain(source[at:])
+    tail = tail.lstrip() if bare else tail
+    if tail:
+        root.append(Const(tail))
     return root
 
 
@@ -481,6 +515,7 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE, **n
     ship(conversations.sparkSession)
     rows = ordered_turns(conversations, **names)
     kind = rows.schema["conv"].dataType.simpleString()
+    conv_type = pa_type(kind)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     compile_template(template)
 
@@ -493,13 +528,17 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE, **n
                     spans.append({"start": at, "end": at + len(text)})
                 parts.append(text)
                 at += len(text)
-            yield pa.RecordBatch.from_arrays([pa.array([conv], pa_type(kind)), pa.array(["".join(parts)]), pa.array([spans], span)], ["conv_id", "formatted", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array([conv], conv_type), pa.array(["".join(parts)]), pa.array([spans], span)], ["conv_id", "formatted", "spans"])
 
     return rows.mapInArrow(work, f"conv_id {kind}, formatted string, spans array<struct<start:long,end:long>>")
 
 
 def pa_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    plain = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string()}
+    return plain[kind] if kind in plain else to_arrow_type(_parse_datatype_string(kind))
 
 
 def digest_conversations(conversations: DataFrame, template: str = TEMPLATE, **names: str) -> DataFrame:
@@ -507,13 +546,14 @@ def digest_conversations(conversations: DataFrame, template: str = TEMPLATE, **n
     ship(conversations.sparkSession)
     rows = ordered_turns(conversations, **names)
     kind = rows.schema["conv"].dataType.simpleString()
+    conv_type = pa_type(kind)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = compile_template(template)
         made: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            types = [pa_type(kind), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            types = [conv_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             names_ = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
             batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)], names_)
             made.clear()
