@@ -1,7 +1,7 @@
 """Language identification by cross-parsing entropy.
 
-A reference text for each language is taken from labelled rows (a bounded sample: REFERENCE_DOCS texts,
-REFERENCE_CHARS characters) and becomes a suffix automaton, which accepts exactly the substrings of the
+A reference text for each language is taken from labelled rows (a bounded sample: REFERENCE_DOCS texts, an
+equal slice of the first REFERENCE_LONGEST characters of each, REFERENCE_CHARS characters together) and becomes a suffix automaton, which accepts exactly the substrings of the
 reference. A text is cross-parsed against a reference: cut into phrases, each the longest match that the
 automaton can follow. A word (a run of letters, lower-cased, with a blank on either side) is parsed by
 itself, so that a word's phrases are counted once for each Python worker and added up afterwards. The
