@@ -91,3 +91,29 @@ def test_table(spark):
     got = found(ann.op3_ann(spark, sf))
     want = exact([r.vec_id for r in rows], [r.embedding for r in rows], [i for i, r in enumerate(rows) if r.vec_id % 20 == 0])
     assert set(got) == set(want) and recall(got, want) >= 0.95
+
+
+def test_wide_search_equals_all():
+    """A ratio of infinity gives the exact answer, ties and repeated vectors included."""
+    rng = np.random.default_rng(6)
+    index = ann.fit(rng.normal(size=(9000, 10)), 60_000, 60.0, 20)
+    points = index.lifted(rng.normal(size=(70, 10)), True)
+    node, dist = index.nearest(points, np.inf)
+    assert (np.sort(node, axis=1) == np.arange(len(index.centroids))).all()
+    assert (np.diff(dist, axis=1) >= 0).all()
+    assert np.allclose(np.take_along_axis(ann._distances(points, index.centroids), node, axis=1), dist)
+    few, _ = index.nearest(points, 1.0, least=1)
+    assert few.shape[1] < len(index.centroids)  # the work follows what is selected
+
+
+def test_exact_mode(spark):
+    rng = np.random.default_rng(8)
+    v = np.round(rng.normal(size=(1500, 6)), 1)
+    v[700:760] = v[3]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = found(ann.search(df, F.col("vec_id") % 20 == 0, ratio=float("inf")))
+    assert got == exact(range(1500), v, range(0, 1500, 20))
+
+
+def test_lists_follow_the_table():
+    assert [ann.wanted_lists(n) for n in (1, 2, 100, 60_000, 10**6, 10**8)] == [1, 2, 16, 256, 1024, ann.MOST_LISTS]

@@ -3,7 +3,7 @@
 Inner products become distances by one more component (the root of the largest squared norm less the
 vector's own; 0 for a query), so that the nearest by distance has the largest product.
 
-* Fit, on the driver, on a bounded sample (SAMPLE_ROWS rows, SAMPLE_VALUES values): the sample is halved
+* Fit, on the driver, on a bounded sample (SAMPLE_ROWS rows, SAMPLE_VALUES values at most): the sample is halved
   again and again at the median along its widest direction, which gives lists of equal size; each list's
   mean is its centroid. Centroids are searched by a graph in memory: the nearest neighbours of each, and
   some links at random. How much farther than the nearest a list may be and still be searched (the
@@ -37,8 +37,10 @@ from pyspark.sql import functions as F
 
 from verbatlas.session import ship, stash, table
 
-SAMPLE_ROWS, SAMPLE_VALUES = 16_384, 4_000_000
-MOST_LISTS = 4_096
+#: The sample has LIST_ROWS rows for each list wanted (the root of the table's rows), within these bounds.
+SAMPLE_ROWS, SAMPLE_VALUES, LIST_ROWS = 131_072, 8_000_000, 16
+LEAST_SAMPLE = 16_384
+MOST_LISTS = 8_192
 #: Links of each centroid to its nearest, and at random.
 NEAREST, RANDOM = 16, 4
 #: A vector is put also into lists up to so much farther than its nearest one, into COPIES at most.
@@ -47,6 +49,10 @@ RECALL = 0.985
 #: Rows of a cell, and values (rows times components); a query leaves k rows in each of its cells.
 CELL_ROWS, CELL_VALUES = 65_536, 1_048_576
 BATCH = 256
+#: Centroids that a point keeps at first while the graph is searched.
+WIDTH = 64
+#: Centroids expanded at least before a vector is put into lists.
+ASSIGN_LEAST = 32
 
 
 @dataclass
@@ -62,46 +68,77 @@ class Index:
         more = np.zeros(len(v)) if query else np.sqrt(np.maximum(0.0, self.top - (v * v).sum(axis=1)))
         return np.hstack([v, more[:, None]])
 
-    def search(self, points: np.ndarray, ratio: float, enough: np.ndarray | None = None, k: int = 0, least: int = 8) -> np.ndarray:
-        """Distances of each point to the centroids that the graph search came to; others are infinite.
+    def nearest(self, points: np.ndarray, ratio: float, enough: np.ndarray | None = None, k: int = 0, least: int = 8, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+        """For each point the nearest centroids that the graph search came to, nearest first, and their distances.
 
         The nearest open centroids are expanded while they are within `ratio` of the nearest one, while
         fewer than `least` were expanded, or while those expanded hold (by `enough`) fewer than k rows.
+        A point keeps the `width` nearest it came to; where all of them were expanded it is searched again
+        with four times as many, so the work follows the lists selected, not the number of centroids.
+        Where there are fewer, the number is -1 and the distance infinite.
         """
         n, m = len(points), len(self.centroids)
-        norms = (self.centroids**2).sum(axis=1)
-        dist, open_ = np.full((n, m), np.inf), np.zeros((n, m), bool)
-        done, rows = np.zeros((n, m), bool), np.arange(n)
-        own = (points**2).sum(axis=1)
-
-        def visit(at: np.ndarray, nodes: np.ndarray) -> None:
-            """nodes: for each of the points `at` a row of centroids."""
-            d = own[at][:, None] + norms[nodes] - 2 * np.einsum("ij,ikj->ik", points[at], self.centroids[nodes])
-            d = np.sqrt(np.maximum(d, 0.0))
-            new = ~done[at[:, None], nodes] & ~open_[at[:, None], nodes]
-            r, c = np.nonzero(new)
-            dist[at[r], nodes[r, c]] = d[r, c]
-            open_[at[r], nodes[r, c]] = True
-
-        visit(rows, np.broadcast_to(np.linspace(0, m - 1, min(m, 8)).astype(int), (n, min(m, 8))))
-        active = rows
+        width = min(width, m)
+        norms, own = (self.centroids**2).sum(axis=1), (points**2).sum(axis=1)
+        node, dist = np.full((n, width), -1), np.full((n, width), np.inf)
+        done, seen = np.zeros((n, width), bool), np.zeros(n * m, bool)
+        count, held = np.zeros(n, np.int64), np.zeros(n)
+        at_once = max(1, width // 16)
+
+        def visit(flat: np.ndarray) -> None:
+            """flat: point * m + centroid, in order, each once."""
+            flat = flat[~seen[flat]]
+            if not len(flat):
+                return
+            seen[flat] = True
+            r, c = np.divmod(flat, m)
+            d = np.sqrt(np.maximum(own[r] + norms[c] - 2 * np.einsum("ij,ij->i", points[r], self.centroids[c]), 0.0))
+            at, first, times = np.unique(r, return_index=True, return_counts=True)
+            row = np.repeat(np.arange(len(at)), times)
+            col = width + np.arange(len(r)) - first[row]
+            more = width + times.max()
+            nodes, dists, dones = np.full((len(at), more), -1), np.full((len(at), more), np.inf), np.zeros((len(at), more), bool)
+            nodes[:, :width], dists[:, :width], dones[:, :width] = node[at], dist[at], done[at]
+            nodes[row, col], dists[row, col] = c, d
+            order = np.argsort(dists, axis=1, kind="stable")[:, :width]
+            node[at], dist[at], done[at] = (np.take_along_axis(x, order, axis=1) for x in (nodes, dists, dones))
+
+        starts = np.unique(np.linspace(0, m - 1, min(m, 8)).astype(int))
+        visit((np.arange(n)[:, None] * m + starts).ravel())
+        active = np.arange(n)
         while len(active):
-            held = np.where(open_[active], dist[active], np.inf)
-            node = held.argmin(axis=1)
-            near = held[np.arange(len(active)), node]
-            best = dist[active].min(axis=1)
-            go = near <= ratio * best + 1e-12
-            go |= done[active].sum(axis=1) < least
-            if enough is not None:
-                go |= (done[active] @ enough) < k
-            go &= np.isfinite(near)
-            active, node = active[go], node[go]
-            if not len(active):
+            open_ = ~done[active] & (node[active] >= 0)
+            place = np.cumsum(open_, axis=1)
+            limit = ratio * np.maximum(dist[active, :1], 1e-300) + 1e-12
+            short = (count[active] < least) | (held[active] < k if enough is not None else False)
+            go = open_ & (place <= at_once) & ((dist[active] <= limit) | (short[:, None] & (place == 1)))
+            r, p = np.nonzero(go)
+            r = active[r]
+            if not len(r):
                 break
-            open_[active, node] = False
-            done[active, node] = True
-            visit(active, self.links[node])
-        return dist
+            done[r, p] = True
+            nodes = node[r, p]
+            np.add.at(count, r, 1)
+            if enough is not None:
+                np.add.at(held, r, enough[nodes])
+            active = np.unique(r)
+            visit(np.unique((r[:, None] * m + self.links[nodes]).ravel()))
+        again = np.flatnonzero(done.all(axis=1)) if width < m else np.zeros(0, int)
+        if len(again):
+            more_node, more_dist = self.nearest(points[again], ratio, enough, k, least, 4 * width)
+            spare = more_node.shape[1] - width
+            node = np.pad(node, ((0, 0), (0, spare)), constant_values=-1)
+            dist = np.pad(dist, ((0, 0), (0, spare)), constant_values=np.inf)
+            node[again], dist[again] = more_node, more_dist
+        return node, dist
+
+    def search(self, points: np.ndarray, ratio: float) -> np.ndarray:
+        """Distances of each point to all centroids; infinite where `nearest` does not give one."""
+        node, dist = self.nearest(points, ratio)
+        out = np.full((len(points), len(self.centroids)), np.inf)
+        r, p = np.nonzero(node >= 0)
+        out[r, node[r, p]] = dist[r, p]
+        return out
 
 
 def _halved(points: np.ndarray, lists: int) -> np.ndarray:
@@ -132,38 +169,50 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _graph(centroids: np.ndarray) -> np.ndarray:
     """Row i: the centroids that i links to. The next one by number is always among them, so all can be reached."""
     m = len(centroids)
-    d = _distances(centroids, centroids)
-    near = np.argsort(d, axis=1, kind="stable")[:, 1 : NEAREST + 1] if m > 1 else np.zeros((m, 0), int)
+    near = np.vstack([np.argsort(_distances(centroids[lo : lo + 512], centroids), axis=1, kind="stable")[:, 1 : NEAREST + 1] for lo in range(0, m, 512)])
     rng = np.random.default_rng(17)
     ring = (np.arange(m)[:, None] + 1) % m
     return np.hstack([near, ring, rng.integers(0, m, (m, RANDOM))])
 
 
+def _boundary(nodes: np.ndarray, dist: np.ndarray) -> list[np.ndarray]:
+    """The same as boundary_lists from numbers and distances of lists, nearest first."""
+    keep = dist[:, :COPIES] <= (1 + BOUNDARY) * dist[:, :1] + 1e-12
+    return [x[k] for x, k in zip(nodes[:, :COPIES], keep, strict=True)]
+
+
 def boundary_lists(dist: np.ndarray) -> list[np.ndarray]:
     """For each point the list of its nearest centroid first, then those almost as near."""
     order = np.argsort(dist, axis=1, kind="stable")[:, :COPIES]
-    out = []
-    for d, o in zip(dist, order, strict=True):
-        out.append(o[d[o] <= (1 + BOUNDARY) * d[o[0]] + 1e-12])
-    return out
+    return _boundary(order, np.take_along_axis(dist, order, axis=1))
 
 
-def fit(sample: np.ndarray, rows: int, top: float, k: int) -> Index:
-    """sample: vectors; rows: of the whole table; top: the largest squared norm there."""
+def wanted_lists(rows: int) -> int:
+    """Lists for a table: a power of two, about the root of its rows, MOST_LISTS at most."""
     lists = 1
-    while lists * lists < rows and lists < MOST_LISTS and lists * 16 <= len(sample):
+    while lists * lists < rows and lists < MOST_LISTS:
         lists *= 2
+    return lists
+
+
+def fit(sample: np.ndarray, rows: int, top: float, k: int) -> Index:
+    """sample: vectors; rows: of the whole table; top: the largest squared norm there."""
+    lists = wanted_lists(rows)
+    while lists > 1 and lists // 2 * LIST_ROWS > len(sample):
+        lists //= 2
     index = Index(np.zeros((1, 1)), np.zeros((1, 1), int), top, 1.0)
     index.centroids = _halved(index.lifted(sample, False), lists)
     index.links = _graph(index.centroids)
     # the ratio at which a share of RECALL of the sample's own neighbours lies in selected lists
-    asked = sample[:: max(1, len(sample) // 256)][:256]
-    products = asked @ sample.T
-    true = np.argsort(-products, axis=1, kind="stable")[:, : k + 1]
+    asked, best = sample[:: max(1, len(sample) // 256)][:256], min(k + 1, len(sample))
+    true = np.vstack([np.argpartition(-(asked[lo : lo + 32] @ sample.T), best - 1, axis=1)[:, :best] for lo in range(0, len(asked), 32)])
     to = _distances(index.lifted(asked, True), index.centroids)
     to = to / np.maximum(to.min(axis=1, keepdims=True), 1e-12)
-    own = boundary_lists(_distances(index.lifted(sample, False), index.centroids))
-    need = np.array([to[i, own[j]].min() for i, js in enumerate(true) for j in js])
+    rows_, place = np.unique(true, return_inverse=True)
+    own: list[np.ndarray] = []
+    for lo in range(0, len(rows_), 512):
+        own += boundary_lists(_distances(index.lifted(sample[rows_[lo : lo + 512]], False), index.centroids))
+    need = np.array([to[i, own[j]].min() for i, js in enumerate(place.reshape(true.shape)) for j in js])
     index.ratio = float(np.quantile(need, RECALL)) if len(need) else 1.0
     return index
 
@@ -228,8 +277,11 @@ def _ranked(rows: dict, queries: pa.RecordBatch, k: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["query_id", "vec_id", "score"])
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: for each row that `queries` marks its k nearest among all other rows."""
+def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", ratio: float | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: for each row that `queries` marks its k nearest among all other rows.
+
+    ratio: the distance ratio instead of the calibrated one; infinity searches every list, which is exact.
+    """
     spark = vectors.sparkSession
     ship(spark)
     kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
@@ -242,20 +294,23 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     good = good.where(F.size("vec") == dim)
     square = F.aggregate(F.col("vec"), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     top = good.agg(F.max(square)).first()[0] * (1 + 1e-12)
-    take = max(1, min(SAMPLE_ROWS, SAMPLE_VALUES // dim))
+    take = max(1, min(SAMPLE_ROWS, SAMPLE_VALUES // dim, max(LEAST_SAMPLE, LIST_ROWS * wanted_lists(rows))))
     order = F.xxhash64("id", "vec")
     picked = good.where(F.pmod(order, F.lit(1_000_000)) < int(min(1.0, 1.1 * take / rows) * 1_000_000) + 1) if rows > take else good
     sample = picked.select("vec").orderBy(order).limit(take).toArrow()
-    model = spark.sparkContext.broadcast(fit(_matrix(sample.column("vec")), rows, top, k))
-    lists = len(model.value.centroids)
+    fitted = fit(_matrix(sample.column("vec")), rows, top, k)
+    if ratio is not None:
+        fitted.ratio = ratio
+    model = spark.sparkContext.broadcast(fitted)
+    lists = len(fitted.centroids)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = model.value
         for batch in batches:
             for lo in range(0, batch.num_rows, BATCH):
                 part = batch.slice(lo, BATCH)
-                dist = index.search(index.lifted(_matrix(part.column(1)), False), 1 + BOUNDARY)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x.astype(np.int32) for x in boundary_lists(dist)], pa.list_(pa.int32()))], ["id", "vec", "asked", "lists"])
+                near = index.nearest(index.lifted(_matrix(part.column(1)), False), 1 + BOUNDARY, least=ASSIGN_LEAST)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x.astype(np.int32) for x in _boundary(*near)], pa.list_(pa.int32()))], ["id", "vec", "asked", "lists"])
 
     placed = stash(good.mapInArrow(assign, f"id long, vec {kind}, asked boolean, lists array<int>"))
     # rows of each list, with and without boundary copies: numbers for MOST_LISTS lists at most
@@ -279,14 +334,14 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
         for batch in batches:
             for lo in range(0, batch.num_rows, BATCH):
                 part = batch.slice(lo, BATCH)
-                dist = index.search(index.lifted(_matrix(part.column(1)), True), index.ratio, own, k + 1)
+                near = index.nearest(index.lifted(_matrix(part.column(1)), True), index.ratio, own, k + 1)
                 at, cells, chosen = [], [], []
-                for i, d in enumerate(dist):
-                    order = np.argsort(d, kind="stable")
-                    held = np.cumsum(own[order])
-                    keep = (d[order] <= index.ratio * d[order[0]] + 1e-12) | (np.concatenate([[0], held[:-1]]) < k + 1)
+                for i, (nodes, d) in enumerate(zip(*near, strict=True)):
+                    nodes, d = nodes[nodes >= 0], d[nodes >= 0]
+                    held = np.cumsum(own[nodes])
+                    keep = (d <= index.ratio * max(d[0], 1e-300) + 1e-12) | (np.concatenate([[0], held[:-1]]) < k + 1)
                     by: dict[int, list[int]] = {}
-                    for x in order[keep & np.isfinite(d[order])]:
+                    for x in nodes[keep]:
                         for c in range(start[x], start[x] + parts[x]):
                             by.setdefault(int(c), []).append(int(x))
                     at += [i] * len(by)
