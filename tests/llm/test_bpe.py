@@ -65,3 +65,33 @@ def test_query_on_table(spark, plain):
     for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
         ids = plain.encode_ordinary(r.text or "")
         assert (rows[r.doc_id].n_tokens, rows[r.doc_id].ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(ALPHABET, max_size=80).map("".join), st.integers(2, 24))
+def test_other_pattern(text, leaf):
+    """Cuts are known for one pattern only; any other one gives the library's ids too."""
+    pattern = r"[a-z]+[0-9]+|\s|."
+    own = bpe.BpeCodec(RANKS, pattern, leaf_chars=leaf) if pattern not in CODECS else CODECS[pattern]
+    own._leaf = leaf
+    CODECS[pattern] = own
+    assert own.encode(text) == own._base.encode_ordinary(text)
+
+
+CODECS = {}
+
+
+def test_known_pattern():
+    assert bpe.CUT_PATTERN == P.PATTERN
+
+
+def test_small_flushes(spark, monkeypatch):
+    """Results do not depend on where a worker hands on; a bare file name is found on the worker."""
+    texts = [(i, "word " * i if i % 7 else None, i) for i in range(60)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, n_tokens long").coalesce(1)
+    whole = sorted(map(tuple, bpe.tokenize_documents(df).collect()))
+    monkeypatch.setattr(bpe, "FLUSH_BYTES", 100)
+    own = bpe.BpeCodec(RANKS, P.PATTERN)
+    got = bpe.round_trip(df, "byte_bpe_50k.tiktoken", P.PATTERN)
+    assert [(r.doc_id, r.n_tokens, list(r.ids)) for r in got.orderBy("doc_id").collect()] == [(i, len(own.encode(t)), own.encode(t)) for i, t, _ in texts]
+    assert [r[:2] for r in whole] == [(i, len(own.encode(t))) for i, t, _ in texts]

@@ -10,7 +10,8 @@ provably keep their place:
 * inside one long run of letters (no cut for hundreds of characters) the window is counted in tokens.
   A sequence of tokens is the encoding of its bytes if and only if each adjacent pair is the encoding
   of its own bytes, so the join is settled as soon as both pairs at the window's edges are;
-* when a window would reach the ends of its node, the node is encoded anew.
+* when a window would reach the ends of its node, the node is encoded anew; so it is for a splitting pattern
+  other than CUT_PATTERN, as the cuts are known for that one only.
 
 Decoding cuts the ids into leaves and concatenates their bytes up the tree.
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,6 +35,10 @@ from pyspark.sql import functions as F
 
 from verbatlas.session import ship, table
 
+#: The splitting pattern whose cuts are known. Fixed value.
+CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Bytes of texts after which a worker hands on what it has encoded.
+FLUSH_BYTES = 4_000_000
 #: A cut lies before the matched character: see the module's text. Unassigned and control characters
 #: take no part, as their class may differ between versions of Unicode.
 _CUT = regex.compile(
@@ -50,6 +56,8 @@ _CODECS: dict[tuple, BpeCodec] = {}
 class BpeCodec:
     """Encodes and decodes whole texts by a file of ranks and a splitting pattern."""
 
+    _cuts = True
+
     def __init__(self, rank_path: str, pattern: str, leaf_chars: int = 2048, leaf_ids: int = 4096):
         if leaf_chars < 2 or leaf_ids < 1:
             raise ValueError("leaf_chars must be 2 at least and leaf_ids 1")
@@ -57,6 +65,7 @@ class BpeCodec:
             ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
         self._base = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self._leaf, self._leaf_ids = leaf_chars, leaf_ids
+        self._cuts = pattern == CUT_PATTERN
 
     # -- encoding -----------------------------------------------------------------------------
     def encode(self, text: str | None) -> list[int]:
@@ -70,6 +79,8 @@ class BpeCodec:
 
     def _join(self, text: str, lo: int, mid: int, hi: int, left: list[int], right: list[int]) -> list[int]:
         encode = self._base.encode_ordinary
+        if not self._cuts:
+            return encode(text[lo:hi])
         size = 32
         while True:
             a, b = max(lo, mid - size), min(hi, mid + size)
@@ -122,10 +133,14 @@ class BpeCodec:
 
 
 def codec(rank_path: str, pattern: str, leaf_chars: int = 2048) -> BpeCodec:
-    """One codec for each Python worker."""
+    """One codec for each Python worker. A rank_path without a folder names a file of the public tokenizers, wherever this machine has them."""
     key = (rank_path, pattern, leaf_chars)
     if key not in _CODECS:
-        _CODECS[key] = BpeCodec(*key)
+        if not os.path.dirname(rank_path):
+            import public_tokenizers
+
+            rank_path = public_tokenizers.path(rank_path)
+        _CODECS[key] = BpeCodec(rank_path, pattern, leaf_chars)
     return _CODECS[key]
 
 
@@ -158,13 +173,17 @@ def round_trip(
         own = codec(rank_path, pattern, leaf_chars)
         for batch in batches:
             columns: list[list] = [[] for _ in picked]
-            for text in batch.column(1):
+            start, held = 0, 0
+            for at, text in enumerate(batch.column(1), 1):
                 ids = own.encode(text.as_py())
                 raw = own.decode(ids)
                 for column, (_, _, _, make) in zip(columns, picked, strict=True):
                     column.append(make(ids, raw))
-            arrays = [batch.column(0)] + [pa.array(c, t) for c, (_, _, t, _) in zip(columns, picked, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", *outputs])
+                held += len(raw)
+                if held >= FLUSH_BYTES or at == batch.num_rows:
+                    arrays = [batch.column(0).slice(start, at - start)] + [pa.array(c, t) for c, (_, _, t, _) in zip(columns, picked, strict=True)]
+                    yield pa.RecordBatch.from_arrays(arrays, ["id", *outputs])
+                    columns, start, held = [[] for _ in picked], at, 0
 
     return narrow.mapInArrow(work, ", ".join([f"id {kind}", *(f"{n} {t}" for n, t, _, _ in picked)])).withColumnRenamed("id", id_col)
 
@@ -190,7 +209,7 @@ def tokenize_documents(docs: DataFrame) -> DataFrame:
 
     return round_trip(
         docs,
-        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        "byte_bpe_50k.tiktoken",
         public_tokenizers.PATTERN,
         outputs=("n_tokens", "ids_sha256", "decoded_sha256"),
     )
