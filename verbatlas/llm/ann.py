@@ -52,7 +52,7 @@ BATCH = 256
 #: Centroids that a point keeps at first while the graph is searched.
 WIDTH = 64
 #: Centroids expanded at least before a vector is put into lists.
-ASSIGN_LEAST = 32
+ASSIGN_LEAST = 16
 
 
 @dataclass
