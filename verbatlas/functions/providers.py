@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verbatlas.functions.text import as_column, canonical_token, filled, strip, tiles
+from verbatlas.session import stash
 
 #: Auxiliary verbs: each form with its lemma.
 AUXILIARIES = {
@@ -237,6 +238,7 @@ class ContextCountLM:
     def __init__(self, trigrams: DataFrame):
         """trigrams: left, word, right of every word of a corpus."""
         self.trigrams = trigrams
+        self._counts: DataFrame | None = None
 
     @staticmethod
     def _ranked(counts: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -256,13 +258,18 @@ class ContextCountLM:
         """rows with preds: array<struct<token, prob>>, at most k, best first.
 
         Only contexts that occur in rows are ranked, each once; the rows meet their context's list in one join.
+        The counts feed all three levels and are written once, so the corpus is cut into words once.
         """
         context = rows.select(F.col(left_col).alias("left"), F.col(right_col).alias("right")).distinct()
-        fine = self.trigrams.groupBy("left", "right", "word").agg(F.count("*").alias("c"))
-        by_left = fine.groupBy("left", "word").agg(F.sum("c").alias("c"))
-        by_word = by_left.groupBy("word").agg(F.sum("c").alias("c"))
-        both = self._ranked(fine.join(context, ["left", "right"], "left_semi"), ["left", "right"], k).withColumnRenamed("preds", "_p2")
-        one = self._ranked(by_left.join(context.select("left").distinct(), "left", "left_semi"), ["left"], k).withColumnRenamed("preds", "_p1")
+        if self._counts is None:
+            self._counts = stash(self.trigrams.groupBy("left", "right", "word").agg(F.count("*").alias("c")))
+        fine = self._counts
+        both = stash(self._ranked(fine.join(context, ["left", "right"], "left_semi"), ["left", "right"], k)).withColumnRenamed("preds", "_p2")
+        # only contexts that the finest level does not know are looked up by their left word
+        unknown = context.join(both, ["left", "right"], "left_anti").select("left").distinct()
+        by_left = fine.join(unknown, "left", "left_semi").groupBy("left", "word").agg(F.sum("c").alias("c"))
+        one = self._ranked(by_left, ["left"], k).withColumnRenamed("preds", "_p1")
+        by_word = fine.groupBy("word").agg(F.sum("c").alias("c"))
         none = self._ranked(by_word, [], k).withColumnRenamed("preds", "_p0")
         lists = context.join(both, ["left", "right"], "left").join(one, "left", "left").crossJoin(F.broadcast(none))
         lists = lists.select(F.col("left").alias("_l"), F.col("right").alias("_r"), F.coalesce("_p2", "_p1", "_p0").alias("preds"))
