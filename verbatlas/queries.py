@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbatlas import table_queries
+from verbatlas import stream_queries, table_queries
 from verbatlas.functions.providers import AUXILIARIES, ContextCountLM
 from verbatlas.functions.text import masked
 from verbatlas.operators import extract, frequency, groups, spelling, textgroups
@@ -336,7 +336,7 @@ QUERIES = {
         run_stats, lemma_lookup, lookup_by_lemma, inflection_match, context_patterns, spell_unknown, spell_auto, spell_suggestions,
     )
 }
-QUERIES |= table_queries.QUERIES
+QUERIES |= table_queries.QUERIES | stream_queries.QUERIES
 #: Queries whose join is too slow in SQL; tests hold them against brute force.
 WITHOUT_SQL = {f.__name__: f for f in (spell_suggestions_all, spell_auto_all)}
 
@@ -534,5 +534,5 @@ FROM k WHERE before IS NULL OR before <> sent_start OR last <> sentence""",
     + " SELECT c.conv_id, c.turn, c.role, coalesce(total, 0) AS total_verb_count, coalesce(am, 0) AS group_count_a_m, coalesce(nz, 0) AS group_count_n_z FROM c LEFT JOIN vg ON c.conv_id = vg.conv_id AND c.turn = vg.turn AND c.role = vg.role AND c.sentence = vg.sentence",
     "group_prob_joined": f"WITH {_LM}, {_MANY}, h AS (SELECT {_KEYS}, lemma, prob, {_lemma_sql('token')} AS k FROM p) SELECT {_KEYS}, lemma, round(coalesce(sum(prob) FILTER (WHERE grp = 'a_m'), 0), 9) AS group_prob_a_m, round(coalesce(sum(prob) FILTER (WHERE grp = 'n_z'), 0), 9) AS group_prob_n_z FROM h LEFT JOIN g ON h.k = g.k GROUP BY {_KEYS}, lemma",
 }
-ORACLE_SQL |= table_queries.ORACLE_SQL
+ORACLE_SQL |= table_queries.ORACLE_SQL | stream_queries.ORACLE_SQL
 ORACLE_SQL |= {"tagger_of_workers": ORACLE_SQL["verb_lemma_counts"], "stream_verbs": ORACLE_SQL["verb_lemma_counts"]}
