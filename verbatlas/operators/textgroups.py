@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verbatlas.functions.automata import WholeWords
 from verbatlas.functions.providers import Lemmatizer, RuleInflector, RuleLemmatizer, Tagger, lemmatized, verbs_of
 from verbatlas.functions.text import canonical_token, filled, holds_word, strip
 from verbatlas.operators.frequency import running_count
 from verbatlas.operators.groups import labels_of, small
 from verbatlas.operators.naming import free_name, free_names
 from verbatlas.plans.rowpred import compile_predicate
-from verbatlas.session import stash
+from verbatlas.session import ship, stash
 
 #: Groups' lemmas up to which counting takes no join.
 INLINE_LEMMAS = 5_000
@@ -94,17 +99,54 @@ def qualifying_lemmas(freqs: DataFrame, least: int = 10, excluded: tuple[str, ..
     return freqs.where((F.col(freq_col).try_cast("bigint") >= least) & ~F.col(lemma_col).isin(*excluded)).select(F.col(lemma_col).alias("lemma")).distinct()
 
 
+#: Bytes of all forms up to which every worker holds them as an automaton.
+FORMS_BYTES = 64_000_000
+_AUTOMATA: dict[str, WholeWords] = {}
+
+
 def inflection_matches(clauses: DataFrame, lemmas: DataFrame, inflector: RuleInflector | None = None, lemma_col: str = "lemma", text_col: str = "sentence_text") -> DataFrame:
     """clauses with inflected_form: those whose text holds, as a whole word, exactly one form of their lemma.
 
-    Forms are few for each lemma, so they are made in place and filtered; there is no join of forms.
+    Forms of all lemmas are one automaton, and each text is passed once, however many forms there are. More than
+    FORMS_BYTES of them are tested lemma by lemma instead. Both give the same rows.
     """
-    kept = clauses.join(lemmas.select(F.col("lemma").alias("_l")).distinct(), clauses[lemma_col] == F.col("_l"), "left_semi")
-    forms = (inflector or RuleInflector()).forms(F.col(lemma_col))
+    listed = lemmas.select(F.col("lemma").alias("_l")).distinct()
+    forms = (inflector or RuleInflector()).forms(F.col("_l"))
+    listed = stash(listed.select("_l", forms.alias("_forms")))
+    if (listed.agg(F.sum(F.octet_length(F.array_join("_forms", " ")) + F.octet_length("_l"))).first()[0] or 0) > FORMS_BYTES:
+        return _matches_by_lemma(clauses, listed, lemma_col, text_col)
+    spark = clauses.sparkSession
+    ship(spark)
+    sent, key = spark.sparkContext.broadcast({r._l: r._forms for r in listed.collect()}), uuid.uuid4().hex  # bounded by FORMS_BYTES
+    names = clauses.columns
+    plain = [f"c{i}" for i in range(len(names))]  # mapInArrow takes no dots in names
+    kinds = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(plain, clauses.schema, strict=True))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forms_of = sent.value
+        if key not in _AUTOMATA:  # one for each worker, for the list in use
+            _AUTOMATA.clear()
+            _AUTOMATA[key] = WholeWords(f for forms in forms_of.values() for f in forms)
+        held, before, words = _AUTOMATA[key], None, set()
+        for batch in batches:
+            keep, found = [], []
+            for at, (lemma, text) in enumerate(zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True)):
+                if lemma in forms_of:
+                    if text != before:
+                        before, words = text, held(text)
+                    own = [f for f in forms_of[lemma] if f in words]
+                    if len(own) == 1:
+                        keep.append(at)
+                        found.append(own[0])
+            part = batch.take(pa.array(keep, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(found, pa.string())], [*plain, "inflected_form"])
+
+    rows = clauses.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(names, plain, strict=True)), F.col(lemma_col).alias("_lemma"), F.lower(filled(text_col)).alias("_low"))
+    return rows.mapInArrow(work, f"{kinds}, inflected_form string").toDF(*names, "inflected_form")
+
+
+def _matches_by_lemma(clauses: DataFrame, listed: DataFrame, lemma_col: str, text_col: str) -> DataFrame:
+    kept = clauses.join(listed, clauses[lemma_col] == F.col("_l"))
     text = F.lower(filled(text_col))
-    found = F.filter(forms, lambda f: _whole(text, f))
-    return kept.withColumn("_f", found).where(F.size("_f") == 1).select(*clauses.columns, F.get("_f", F.lit(0)).alias("inflected_form"))
-
-
-def _whole(text: Column, word: Column) -> Column:
-    return holds_word(text, word)
+    kept = kept.withColumn("_f", F.filter("_forms", lambda f: F.contains(text, f) & holds_word(text, f)))
+    return kept.where(F.size("_f") == 1).select(*clauses.columns, F.get("_f", F.lit(0)).alias("inflected_form"))

@@ -7,6 +7,7 @@ functions.providers), so that both sides can say what a word, a verb and a lemma
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verbatlas import stream_queries, table_queries
@@ -303,6 +304,25 @@ def spell_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def _answers(tokens: DataFrame) -> DataFrame:
+    """Decisions as someone who is asked for unknown words one by one may give them: by how often a word has come and its length."""
+    asked = tokens.withColumn("n", F.row_number().over(W.partitionBy("word").orderBy("row", "at"))).where("n <= 4")
+    at_second = F.when(F.length("word") % 3 == 0, "ignore_all").when(F.length("word") % 3 == 1, "add").otherwise("replace_all")
+    action = F.when(F.col("n") == 1, F.when(F.length("word") % 2 == 0, "replace")).when(F.col("n") == 2, at_second).when(F.col("n") == 3, "replace_all").otherwise("ignore_once")
+    out = asked.select("row", "at", "word", action.alias("action"), F.when(F.col("n") == 1, F.upper("word")).otherwise(F.concat("word", F.col("n").cast("string"))).alias("replacement"))
+    return out.where("action is not null")
+
+
+def spell_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations corrected by decisions that each hold from their place on."""
+    rows = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("row"), "text")
+    known = stash(_known_words(spark, sf_dir))
+    tokens = spelling.checked_tokens(rows, "row", "text").where("word rlike '^[a-z]+$'")
+    unknown = tokens.join(spelling.unknown_words(tokens, known), "word")
+    out = spelling.corrected_in_order(rows, "row", "text", _answers(unknown), known)
+    return out.withColumn("row", F.concat_ws("/", "row.conv_id", "row.turn"))
+
+
 def spell_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(w,) for w in ("thng", "iss", "wass", "blee", "zzzzzz")], "word string")
     return spelling.suggestions(rows, _known_words(spark, sf_dir), most_edits=1, n=3).select("word", F.concat_ws(" ", "suggestions").alias("suggestions"))
@@ -333,11 +353,11 @@ QUERIES = {
         distinct_values, value_counts, sample_exact_n, mask_sentences, masked_topk, groups_long, tag_pivot, group_prob_rows, group_prob_short_running,
         group_prob_fused, lemma_group_means, lemma_best_group, lemma_ambiguous, groups_ranked, groups_ragged, text_verb_group_counts, where_filtered_counts,
         lookup_sentences, lookup_limited, verb_rows_no_aux, bounded_dedupe, masked_back_off, verb_group_counts_joined, group_prob_joined,
-        run_stats, lemma_lookup, lookup_by_lemma, inflection_match, context_patterns, spell_unknown, spell_auto, spell_suggestions,
+        run_stats, lemma_lookup, lookup_by_lemma, inflection_match, context_patterns, spell_unknown, spell_auto, spell_suggestions, spell_in_order, spell_suggestions_all, spell_auto_all,
     )
 }
 QUERIES |= table_queries.QUERIES | stream_queries.QUERIES
-#: Queries whose join is too slow in SQL; tests hold them against brute force.
+#: Queries that tests also hold against brute force.
 WITHOUT_SQL = {f.__name__: f for f in (spell_suggestions_all, spell_auto_all)}
 
 # -- the same in SQL ------------------------------------------------------------------------------
@@ -498,6 +518,39 @@ FROM c LEFT JOIN fix ON c.row = fix.row GROUP BY c.row""",
 n AS (SELECT w.word, known.word AS k, row_number() OVER (PARTITION BY w.word ORDER BY freq DESC, known.word) AS rank FROM w JOIN known ON levenshtein(w.word, known.word) = 1)
 SELECT word, string_agg(k, ' ' ORDER BY rank) AS suggestions FROM n WHERE rank <= 3 GROUP BY word""",
 }
+#: Pairs of words within two edits share what is left of them without two letters at most.
+_NEAREST = (
+    _TOKENS
+    + """, u AS (SELECT DISTINCT lower(core) AS word FROM x WHERE regexp_matches(lower(core), '^[a-z]+$') AND lower(core) NOT IN (SELECT word FROM known)),
+b AS (SELECT word, true AS mine FROM u UNION ALL SELECT word, false FROM known),
+b1 AS (SELECT word, mine, word AS part FROM b UNION SELECT word, mine, left(word, i - 1) || substring(word, i + 1) FROM b, unnest(range(1, 100)) AS t(i) WHERE i <= length(word)),
+b2 AS (SELECT * FROM b1 UNION SELECT word, mine, left(part, i - 1) || substring(part, i + 1) FROM b1, unnest(range(1, 100)) AS t(i) WHERE i <= length(part)),
+m AS (SELECT DISTINCT l.word, r.word AS k FROM b2 l JOIN b2 r ON l.part = r.part WHERE l.mine AND NOT r.mine),
+e AS (SELECT m.word, k, freq, levenshtein(m.word, k) AS edits FROM m JOIN known ON known.word = k),
+s AS (SELECT word, k, row_number() OVER (PARTITION BY word ORDER BY edits, freq DESC, k) AS rank FROM e WHERE edits BETWEEN 1 AND 2)"""
+)
+ORACLE_SQL |= {
+    "spell_suggestions_all": f"WITH {_NEAREST} SELECT word, string_agg(k, ' ' ORDER BY rank) AS suggestions FROM s WHERE rank <= 5 GROUP BY word",
+    "spell_auto_all": f"""WITH {_NEAREST},
+fix AS (SELECT x.*, CASE WHEN s.k IS NOT NULL THEN replace(token, core, s.k) ELSE token END AS fixed FROM x LEFT JOIN s ON s.word = lower(core) AND s.rank = 1)
+SELECT c.row, coalesce(string_agg(fixed, ' ' ORDER BY ofs), '') AS corrected, CAST(count(*) FILTER (WHERE fixed <> token) AS BIGINT) AS corrections, CAST(count(*) FILTER (WHERE core <> '') AS BIGINT) AS words_checked
+FROM c LEFT JOIN fix ON c.row = fix.row GROUP BY c.row""",
+    "spell_in_order": f"""WITH {_TOKENS},
+o AS (SELECT x.*, lower(core) AS word, row_number() OVER (ORDER BY conv_id, turn, ofs) AS place FROM x JOIN (SELECT conv_id, turn, conv_id || '/' || turn AS row FROM conversations) AS y ON y.row = x.row),
+a AS (SELECT word, place, row_number() OVER (PARTITION BY word ORDER BY place) AS n FROM o WHERE regexp_matches(word, '^[a-z]+$') AND word NOT IN (SELECT word FROM known)),
+d AS (
+  SELECT word, place, CASE n WHEN 1 THEN CASE WHEN length(word) % 2 = 0 THEN 'replace' END WHEN 2 THEN ['ignore_all', 'add', 'replace_all'][length(word) % 3 + 1] WHEN 3 THEN 'replace_all' ELSE 'ignore_once' END AS action,
+    CASE WHEN n = 1 THEN upper(word) ELSE word || n END AS new
+  FROM a WHERE n <= 4),
+r AS (SELECT word, min(place) AS right_at FROM d WHERE action IN ('ignore_all', 'add') GROUP BY word),
+l AS (SELECT d.* FROM d LEFT JOIN r ON r.word = d.word WHERE action IN ('replace_all', 'ignore_all', 'add') AND (right_at IS NULL OR place <= right_at)),
+j AS (
+  SELECT o.*, coalesce(o.place > r.right_at, false) AS done, q.action AS once, q.new AS once_new, l.action AS held, l.new AS held_new
+  FROM o ASOF LEFT JOIN l ON o.word = l.word AND o.place >= l.place LEFT JOIN r ON r.word = o.word LEFT JOIN d q ON q.place = o.place AND q.action IN ('replace', 'ignore_once')),
+f AS (SELECT *, CASE WHEN done THEN NULL WHEN once = 'replace' THEN once_new WHEN once IS NULL AND held = 'replace_all' THEN held_new END AS new FROM j)
+SELECT c.row, coalesce(string_agg(CASE WHEN new IS NULL THEN token ELSE replace(token, core, new) END, ' ' ORDER BY ofs), '') AS corrected, CAST(count(new) AS BIGINT) AS corrections, CAST(count(*) FILTER (WHERE core <> '') AS BIGINT) AS words_checked
+FROM c LEFT JOIN f ON c.row = f.row GROUP BY c.row""",
+}
 _LETTERS = "(SELECT chr(CAST(97 + range AS INT)) AS c FROM range(26))"
 _MANY = f"""g AS (SELECT DISTINCT {_lemma_sql('x')} AS k, CASE WHEN x >= 'n' THEN 'n_z' ELSE 'a_m' END AS grp
   FROM (SELECT a.c || b.c AS x FROM {_LETTERS} a, {_LETTERS} b UNION ALL SELECT a.c || b.c || d.c FROM {_LETTERS} a, {_LETTERS} b, {_LETTERS} d))"""
