@@ -148,5 +148,6 @@ def inflection_matches(clauses: DataFrame, lemmas: DataFrame, inflector: RuleInf
 def _matches_by_lemma(clauses: DataFrame, listed: DataFrame, lemma_col: str, text_col: str) -> DataFrame:
     kept = clauses.join(listed, clauses[lemma_col] == F.col("_l"))
     text = F.lower(filled(text_col))
-    kept = kept.withColumn("_f", F.filter("_forms", lambda f: F.contains(text, f) & holds_word(text, f)))
-    return kept.where(F.size("_f") == 1).select(*clauses.columns, F.get("_f", F.lit(0)).alias("inflected_form"))
+    found = F.filter("_forms", lambda f: F.contains(text, f) & holds_word(text, f))
+    # as a generator, as Spark cannot bind a filter with a lambda that it moves into the join
+    return kept.select(*clauses.columns, F.explode(F.transform(F.array(found), lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0))))).alias("inflected_form")).where("inflected_form is not null")
