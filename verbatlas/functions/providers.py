@@ -7,6 +7,7 @@ lemmatizer or language model is plugged in with the same methods (see `ArrowTagg
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -123,14 +124,27 @@ class RuleTagger:
             marked = F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("text"), self._pos(F.lower(w)).alias("pos")))
 
             def placed(x: Column) -> Column:
-                before = F.aggregate(F.slice(parts, F.lit(1), 2 * x["i"] + shift), F.lit(0), lambda n, p: n + F.length(p))
-                return F.struct(x["i"].alias("i"), before.alias("start"), x["text"].alias("text"), x["pos"].alias("pos"), self.lemmatizer.lemma(F.lower(x["text"])).alias("lemma"))
+                return F.struct(x["i"].alias("i"), x["start"].alias("start"), x["text"].alias("text"), x["pos"].alias("pos"), self.lemmatizer.lemma(F.lower(x["text"])).alias("lemma"))
 
-            return F.transform(F.filter(marked, lambda x: x["pos"].isin(*kinds)), placed)
+            return F.transform(_starts(parts, F.filter(marked, lambda x: x["pos"].isin(*kinds)), shift), placed)
 
         return F.transform(F.array(F.regexp_extract_all(filled(sentence), F.lit(WORD), F.lit(0))), found)[0]
 
 
+def _starts(parts: Column, verbs: Column, shift: Column) -> Column:
+    """verbs with their start: what lies between two verbs is added up once, from the one to the next."""
+    none = F.expr("cast(null as array<struct<i: int, start: int, text: string, pos: string>>)")
+    first = F.struct(F.lit(0).alias("parts"), F.lit(0).alias("chars"), F.coalesce(none, F.array()).cast("array<struct<i: int, start: int, text: string, pos: string>>").alias("done"))
+
+    def step(held: Column, x: Column) -> Column:
+        upto = 2 * x["i"] + shift
+        chars = held["chars"] + F.aggregate(F.slice(parts, held["parts"] + 1, upto - held["parts"]), F.lit(0), lambda n, p: n + F.length(p))
+        made = F.struct(x["i"].alias("i"), chars.alias("start"), x["text"].alias("text"), x["pos"].alias("pos"))
+        return F.struct(upto.alias("parts"), chars.alias("chars"), F.concat(held["done"], F.array(made)).alias("done"))
+
+    return F.aggregate(verbs, first, step, lambda held: held["done"])
+
+
 def words_of(tagger: Tagger | None, sentence: Column | str) -> Column:
     """The words of a sentence in lower case, as the tagger sees them."""
     tagger = tagger or RuleTagger()
@@ -147,6 +161,19 @@ def verbs_of(tagger: Tagger | None, sentence: Column | str, include_aux: bool) -
     return F.filter(tagger.tokens(sentence), lambda t: (t["pos"] == "VERB") | (F.lit(include_aux) & (t["pos"] == "AUX")))
 
 
+#: What loaders gave on this worker, by the tagger or model that they belong to.
+_LOADED: dict[str, object] = {}
+
+
+def _loaded(key: str, loader: Callable[[], object]) -> object:
+    """What the loader gives, called once for each worker, however many tasks it runs; the last two are kept."""
+    if key not in _LOADED:
+        while len(_LOADED) > 1:
+            del _LOADED[next(iter(_LOADED))]
+        _LOADED[key] = loader()
+    return _LOADED[key]
+
+
 class ArrowTagger:
     """A tagger from a loader that each Python worker calls once: loader() -> (list of sentences -> tokens of each).
 
@@ -157,14 +184,14 @@ class ArrowTagger:
     KIND = "array<struct<i:int,start:int,text:string,pos:string,lemma:string>>"
 
     def __init__(self, loader: Callable[[], Callable[[list[str]], list[list[tuple]]]]):
-        self.loader = loader
+        self.loader, self.key = loader, uuid.uuid4().hex
 
     def tokens(self, sentence: Column | str) -> Column:
-        loader = self.loader
+        loader, key = self.loader, self.key
 
         @F.pandas_udf(self.KIND)
         def tag(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            model = loader()
+            model = _loaded(key, loader)
             for batch in batches:
                 yield pd.Series([[dict(zip(("i", "start", "text", "pos", "lemma"), t, strict=True)) for t in ts] for ts in model(batch.fillna("").tolist())])
 
@@ -238,7 +265,6 @@ class ContextCountLM:
     def __init__(self, trigrams: DataFrame):
         """trigrams: left, word, right of every word of a corpus."""
         self.trigrams = trigrams
-        self._counts: DataFrame | None = None
 
     @staticmethod
     def _ranked(counts: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -257,25 +283,37 @@ class ContextCountLM:
     def predict(self, rows: DataFrame, k: int, left_col: str = "left", right_col: str = "right") -> DataFrame:
         """rows with preds: array<struct<token, prob>>, at most k, best first.
 
-        Only contexts that occur in rows are ranked, each once; the rows meet their context's list in one join.
-        The counts feed all three levels and are written once, so the corpus is cut into words once.
+        Only contexts that occur in rows are counted and ranked, each once; the rows meet their context's list in one
+        join. The corpus is passed once for them, once more for the left words of contexts that it does not have, and
+        once more for all words if it does not have one of these either.
         """
-        context = rows.select(F.col(left_col).alias("left"), F.col(right_col).alias("right")).distinct()
-        if self._counts is None:
-            self._counts = stash(self.trigrams.groupBy("left", "right", "word").agg(F.count("*").alias("c")))
-        fine = self._counts
-        both = stash(self._ranked(fine.join(context, ["left", "right"], "left_semi"), ["left", "right"], k)).withColumnRenamed("preds", "_p2")
-        # only contexts that the finest level does not know are looked up by their left word
-        unknown = context.join(both, ["left", "right"], "left_anti").select("left").distinct()
-        by_left = fine.join(unknown, "left", "left_semi").groupBy("left", "word").agg(F.sum("c").alias("c"))
-        one = self._ranked(by_left, ["left"], k).withColumnRenamed("preds", "_p1")
-        by_word = fine.groupBy("word").agg(F.sum("c").alias("c"))
-        none = self._ranked(by_word, [], k).withColumnRenamed("preds", "_p0")
-        lists = context.join(both, ["left", "right"], "left").join(one, "left", "left").crossJoin(F.broadcast(none))
-        lists = lists.select(F.col("left").alias("_l"), F.col("right").alias("_r"), F.coalesce("_p2", "_p1", "_p0").alias("preds"))
+        context = stash(rows.select(F.col(left_col).alias("left"), F.col(right_col).alias("right")).distinct())
+        fine = _semi(self.trigrams, context, ["left", "right"]).groupBy("left", "right", "word").agg(F.count("*").alias("c"))
+        lists = stash(self._ranked(stash(fine), ["left", "right"], k))
+        unknown = stash(context.join(lists, ["left", "right"], "left_anti"))
+        if not unknown.isEmpty():
+            lefts = stash(unknown.where("left is not null").select("left").distinct())
+            one = stash(self._ranked(stash(_semi(self.trigrams, lefts, ["left"]).groupBy("left", "word").agg(F.count("*").alias("c"))), ["left"], k))
+            found = unknown.join(one, "left")
+            lists = lists.union(found.select("left", "right", "preds"))
+            rest = stash(unknown.join(one.select("left"), "left", "left_anti"))
+            if not rest.isEmpty():
+                none = self._ranked(self.trigrams.groupBy("word").agg(F.count("*").alias("c")), [], k)
+                lists = lists.union(rest.select("left", "right").crossJoin(F.broadcast(none)))  # one row
+        lists = lists.select(F.col("left").alias("_l"), F.col("right").alias("_r"), "preds")
         return rows.join(lists, F.col(left_col).eqNullSafe(F.col("_l")) & F.col(right_col).eqNullSafe(F.col("_r")), "left").drop("_l", "_r")
 
 
+#: Bytes of contexts up to which they are sent to all tasks that count.
+CONTEXT_BYTES = 32_000_000
+
+
+def _semi(trigrams: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The trigrams whose keys are wanted; wanted (a stashed table) is broadcast if it has few bytes."""
+    size = wanted.agg(F.sum(sum((F.octet_length(F.coalesce(k, F.lit(""))) for k in keys), F.lit(64)))).first()[0] or 0
+    return trigrams.join(F.broadcast(wanted) if size <= CONTEXT_BYTES else wanted, keys, "left_semi")
+
+
 class ArrowMaskedLM:
     """A masked language model from a loader that each Python worker calls once.
 
@@ -287,14 +325,14 @@ class ArrowMaskedLM:
     KIND = "array<struct<token:string,prob:double>>"
 
     def __init__(self, loader: Callable[[], Callable[[list[str], int], list]], batch: int = 16):
-        self.loader, self.batch = loader, batch
+        self.loader, self.batch, self.key = loader, batch, uuid.uuid4().hex
 
     def predict(self, rows: DataFrame, k: int, text_col: str = "masked_text") -> DataFrame:
-        loader, size = self.loader, self.batch
+        loader, size, key = self.loader, self.batch, self.key
 
         @F.pandas_udf(self.KIND)
         def top(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            model = loader()
+            model = _loaded(key, loader)
             for batch in batches:
                 texts, out = batch.fillna("").tolist(), []
                 for i in range(0, len(texts), size):

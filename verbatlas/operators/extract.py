@@ -140,6 +140,15 @@ def trigrams(rows: DataFrame, tagger: Tagger | None = None, sentence_col: str =
     return rows.select(F.explode(made).alias("x")).select("x.left", "x.right", "x.word")
 
 
+def word_trigrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """trigrams of the sentences of whole texts, for the built-in splitter and tagger: words and sentence ends are found in one pass."""
+    parts = F.regexp_extract_all(filled(text_col), F.lit("[A-Za-z]+|[.!?]+"), F.lit(0))
+    low = F.transform(parts, lambda p: F.when(p.rlike("^[A-Za-z]"), F.lower(p)).otherwise(""))
+    near = lambda w: F.transform(w, lambda x, i: F.struct(F.coalesce(F.get(w, i - 1), F.lit("")).alias("left"), x.alias("word"), F.coalesce(F.get(w, i + 1), F.lit("")).alias("right")))
+    rows = docs.select(F.explode(F.transform(F.array(low), near)[0]).alias("x"))
+    return rows.where("x.word != ''").select("x.left", "x.right", "x.word")
+
+
 def _neighbours(words: str, at: Column) -> list[Column]:
     return [F.coalesce(F.get(words, at - 1), F.lit("")).alias("left"), F.coalesce(F.get(words, at + 1), F.lit("")).alias("right")]
 

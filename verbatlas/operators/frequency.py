@@ -7,8 +7,10 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from verbatlas.functions.text import ROW_ORD
+from verbatlas.session import stash
 
 
 def counts(df: DataFrame, field: str, order_col: str | None = None) -> DataFrame:
@@ -84,12 +86,17 @@ RUN_BLOCK = 65_536
 
 
 def running_count(df: DataFrame, field: str, order_col: str, out_col: str) -> DataFrame:
-    """How often the row's value was seen so far, itself included, in the order of an integer column.
+    """How often the row's value was seen so far, itself included, in the order of a column of any type that has one.
 
-    Each value's rows are numbered in blocks of RUN_BLOCK places of the order, and running sums of the
-    blocks' counts are added, so that a very common value is not numbered by one task.
+    Each value's rows are numbered in blocks of the order, and running sums of the blocks' counts are added, so that a very
+    common value is not numbered by one task. Blocks are RUN_BLOCK places of an integer column, else ranges of the
+    column as Spark cuts them (df is written once then).
     """
-    cut = df.withColumn("_block", F.floor(F.col(order_col) / RUN_BLOCK))
+    if isinstance(df.schema[order_col].dataType, IntegralType):
+        cut = df.withColumn("_block", F.floor(F.col(order_col) / RUN_BLOCK))
+    else:
+        ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        cut = stash(df.repartitionByRange(ranges, order_col).withColumn("_block", F.spark_partition_id()))
     sizes = cut.groupBy(F.col("_block").alias("_b"), F.col(field).alias("_f")).agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(W.partitionBy("_f").orderBy("_b")) - F.col("_n")).drop("_n")
     own = cut.withColumn("_own", F.row_number().over(W.partitionBy(field, "_block").orderBy(order_col)))

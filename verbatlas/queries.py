@@ -109,10 +109,11 @@ def mask_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "sent_start", "token_index", masked("sentence", "span.start", "span.end").alias("masked_text"))
 
 
-def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sents = _sentences(spark, sf_dir)
-    rows = stash(extract.with_context(extract.verbs(sents), sentence_col="sentence"))  # read twice: for their contexts, and to meet the lists
-    return ContextCountLM(extract.trigrams(sents)).predict(rows, TOP)
+def _predicted(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """doc_id, sent_start, token_index, lemma, more, preds of each verb of the documents."""
+    rows = extract.with_context(_verbs(spark, sf_dir), sentence_col="sentence").select("doc_id", "sent_start", "token_index", "lemma", *more, "left", "right")
+    rows = stash(rows)  # read twice: for their contexts, and to meet the lists
+    return ContextCountLM(extract.word_trigrams(_docs(spark, sf_dir))).predict(rows, TOP)
 
 
 def masked_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,13 +152,13 @@ def group_prob_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ordered(df: DataFrame) -> DataFrame:
-    """row_ord, an integer in the order of document, sentence and token."""
-    return df.withColumn("row_ord", F.col("doc_id") * F.lit(10**9) + F.col("sent_start") * 1000 + F.col("token_index"))
+    """row_ord, in the order of document, sentence and token."""
+    return df.withColumn("row_ord", F.struct("doc_id", "sent_start", "token_index"))
 
 
 def group_prob_short_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _ordered(_probabilities(spark, sf_dir))
-    return groups.short_form(rows, _group_names(), "row_ord").select("row_ord", "lemma", "lemma_count", *_rounded(_group_names()))
+    return groups.short_form(rows, _group_names(), "row_ord").select("row_ord.*", "lemma", "lemma_count", *_rounded(_group_names()))
 
 
 def group_prob_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,9 +209,9 @@ def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lemma_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _ordered(_predicted(spark, sf_dir))
+    rows = _ordered(_predicted(spark, sf_dir, "sentence"))
     hits = textgroups.lookup(rows, LOOKED_UP, "row_ord", top_k=2)
-    return hits.select("row_ord", "lemma", "sentence", F.concat_ws(" ", F.transform("preds", lambda p: p["token"])).alias("tokens"))
+    return hits.select("row_ord.*", "lemma", "sentence", F.concat_ws(" ", F.transform("preds", lambda p: p["token"])).alias("tokens"))
 
 
 def lookup_by_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,7 +227,7 @@ def lookup_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lookup_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 50 hits in input order."""
-    return textgroups.lookup(_ordered(_verbs(spark, sf_dir)), LOOKED_UP, "row_ord", limit=50)
+    return textgroups.lookup(_ordered(_verbs(spark, sf_dir)), LOOKED_UP, "row_ord", limit=50).select("row_ord.*", "lemma", "sentence")
 
 
 def verb_rows_no_aux(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,7 +244,7 @@ def masked_back_off(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verbs of the conversations predicted from the documents: contexts that no document has fall back to the word on the left, then to all words."""
     rows = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("row"), "role", "text")
     verbs = extract.with_context(extract.verbs_of_rows(rows, "row", "text"), sentence_col="sentence")
-    out = ContextCountLM(extract.trigrams(_sentences(spark, sf_dir))).predict(verbs, TOP)
+    out = ContextCountLM(extract.word_trigrams(_docs(spark, sf_dir))).predict(verbs, TOP)
     out = out.select("row", "sent_index", "token_index", F.posexplode("preds").alias("at", "p"))
     return out.select("row", "sent_index", "token_index", (F.col("at") + 1).alias("rank"), F.col("p.token").alias("token"), F.round("p.prob", 9).alias("prob"))
 
@@ -426,7 +427,7 @@ h AS (SELECT {_KEYS}, lemma, token, prob, {_lemma_sql('token')} AS k FROM p),
 gp AS (
   SELECT {_KEYS}, lemma, {', '.join(f"round(coalesce(sum(CASE WHEN EXISTS (SELECT 1 FROM g WHERE g.k = h.k AND g.grp = '{x}') THEN prob END), 0), 9) AS group_prob_{x}" for x in GROUPS)}
   FROM h GROUP BY {_KEYS}, lemma),
-ord AS (SELECT *, doc_id * 1000000000 + sent_start * 1000 + token_index AS row_ord FROM gp)"""
+ord AS (SELECT *, {{'d': doc_id, 's': sent_start, 't': token_index}} AS row_ord FROM gp)"""
 )
 _MEANS = (
     _GROUPED
@@ -492,7 +493,7 @@ u AS (SELECT ord, lemma, CASE WHEN g1 = '1' THEN 'g1' ELSE 'g2' END AS grp FROM
 n AS (SELECT *, CAST(row_number() OVER (PARTITION BY grp ORDER BY ord) AS INT) AS rank FROM u)
 SELECT rank, coalesce(max(CASE WHEN grp = 'g1' THEN lemma END), '') AS g1, coalesce(max(CASE WHEN grp = 'g2' THEN lemma END), '') AS g2 FROM n GROUP BY rank""",
     "group_prob_rows": f"WITH {_GROUPED} SELECT {_KEYS}, lemma, {_NAMES} FROM ord",
-    "group_prob_short_running": f"WITH {_GROUPED} SELECT row_ord, lemma, CAST(row_number() OVER (PARTITION BY lemma ORDER BY row_ord) AS BIGINT) AS lemma_count, {_NAMES} FROM ord",
+    "group_prob_short_running": f"WITH {_GROUPED} SELECT doc_id, sent_start, token_index, lemma, CAST(row_number() OVER (PARTITION BY lemma ORDER BY row_ord) AS BIGINT) AS lemma_count, {_NAMES} FROM ord",
     "group_prob_fused": f"WITH {_FUSED} SELECT {_KEYS}, {', '.join(FUSED_GROUPS)}, CAST({' + '.join(f'CAST({x} > 0 AS INT)' for x in FUSED_GROUPS)} AS INT) AS group_count FROM gp",
     "lemma_group_means": f"WITH {_MEANS} SELECT lemma, grp AS \"group\", mean, n FROM m",
     "lemma_best_group": f"WITH {_MEANS} SELECT lemma, best, mean, second, n FROM b",
@@ -502,7 +503,7 @@ SELECT rank, coalesce(max(CASE WHEN grp = 'g1' THEN lemma END), '') AS g1, coale
     "text_verb_group_counts": f"WITH {_CONV_COUNTS} SELECT * EXCLUDE (text) FROM counted",
     "where_filtered_counts": f"WITH {_CONV_COUNTS} SELECT * EXCLUDE (text) FROM counted WHERE role IN ('user', 'system') AND text <> ''",
     "run_stats": f"WITH {_CONV_COUNTS}, z AS (SELECT *, {' + '.join(f'group_count_{x}' for x in GROUPS)} AS hits FROM counted) SELECT count(*) AS rows_written, CAST(count(*) FILTER (WHERE total_verb_count > 0) AS BIGINT) AS rows_with_verbs, CAST(count(*) FILTER (WHERE hits > 0) AS BIGINT) AS rows_with_hits, CAST(sum(total_verb_count) AS BIGINT) AS verbs, CAST(sum(hits) AS BIGINT) AS group_verbs FROM z",
-    "lemma_lookup": f"WITH {_LM} SELECT doc_id * 1000000000 + sent_start * 1000 + token_index AS row_ord, lemma, sentence, string_agg(token, ' ' ORDER BY rank) AS tokens FROM p WHERE lemma IN ('be', 'have', 'er', 'missing') AND rank <= 2 GROUP BY ALL",
+    "lemma_lookup": f"WITH {_LM} SELECT doc_id, sent_start, token_index, lemma, sentence, string_agg(token, ' ' ORDER BY rank) AS tokens FROM p WHERE lemma IN ('be', 'have', 'er', 'missing') AND rank <= 2 GROUP BY ALL",
     "lookup_by_lemma": f"WITH {_DOC_VERBS} SELECT upper(lemma) AS lemma, count(*) AS n, arg_min(sentence, doc_id * 1000000000 + sent_start * 1000 + i) AS first_sentence FROM v WHERE lemma IN ('be', 'have', 'er', 'missing') GROUP BY 1",
     "inflection_match": f"WITH {_DOC_VERBS}, q AS (SELECT lemma FROM v WHERE lemma <> 'be' GROUP BY lemma HAVING count(*) >= 10)," + _FORMS + """,
 cl AS (SELECT DISTINCT doc_id, sent_start, lemma, sentence FROM v WHERE lemma IN (SELECT lemma FROM q)),
@@ -554,7 +555,7 @@ FROM c LEFT JOIN f ON c.row = f.row GROUP BY c.row""",
 _LETTERS = "(SELECT chr(CAST(97 + range AS INT)) AS c FROM range(26))"
 _MANY = f"""g AS (SELECT DISTINCT {_lemma_sql('x')} AS k, CASE WHEN x >= 'n' THEN 'n_z' ELSE 'a_m' END AS grp
   FROM (SELECT a.c || b.c AS x FROM {_LETTERS} a, {_LETTERS} b UNION ALL SELECT a.c || b.c || d.c FROM {_LETTERS} a, {_LETTERS} b, {_LETTERS} d))"""
-_HITS = f"WITH {_DOC_VERBS}, h AS (SELECT doc_id * 1000000000 + sent_start * 1000 + i AS row_ord, lemma, sentence FROM v WHERE lemma IN ('be', 'have', 'er', 'missing')) "
+_HITS = f"WITH {_DOC_VERBS}, h AS (SELECT doc_id, sent_start, i AS token_index, lemma, sentence FROM v WHERE lemma IN ('be', 'have', 'er', 'missing')) "
 _BACK_OFF = (
     _DOC_WORDS
     + """, n AS (SELECT w, coalesce(lag(w) OVER z, '') AS l, coalesce(lead(w) OVER z, '') AS r FROM t WINDOW z AS (PARTITION BY doc_id, sent_start ORDER BY i)),
@@ -573,8 +574,8 @@ b AS (
   UNION ALL SELECT row, sent_index, i, rank, token, prob FROM lev, (SELECT * FROM top0 WHERE rank <= {TOP}) AS top0 WHERE NOT has2 AND NOT has1)"""
 )
 ORACLE_SQL |= {
-    "lookup_sentences": _HITS + "SELECT upper(lemma) AS lemma, CAST(row_number() OVER (PARTITION BY lemma ORDER BY row_ord) AS BIGINT) AS place, sentence FROM h",
-    "lookup_limited": _HITS + "SELECT * FROM h ORDER BY row_ord LIMIT 50",
+    "lookup_sentences": _HITS + "SELECT upper(lemma) AS lemma, CAST(row_number() OVER (PARTITION BY lemma ORDER BY doc_id, sent_start, token_index) AS BIGINT) AS place, sentence FROM h",
+    "lookup_limited": _HITS + "SELECT * FROM h ORDER BY doc_id, sent_start, token_index LIMIT 50",
     "verb_rows_no_aux": f"WITH {_DOC_VERBS} SELECT doc_id, sent_start, i AS token_index, lemma, start || '-' || (start + length(w)) AS span FROM v WHERE NOT {_IS_AUX}",
     "bounded_dedupe": f"WITH {_CHUNKS}," + _sentence_sql("c", "doc_id, chunk_start", "chunk_text", "s0") + """,
 o AS (SELECT doc_id, chunk_start, CAST(chunk_start + rel AS BIGINT) AS sent_start, sentence FROM s0),
