@@ -2,6 +2,9 @@ import base64
 import gzip
 import hashlib
 import random
+import time
+import uuid
+from html.parser import HTMLParser
 
 import pytest
 
@@ -144,3 +147,98 @@ def test_damage_is_skipped(spark, tmp_path):
     for r in out:
         about = list(warc.parse_records(bytes(r.warc)))[0][1]
         assert b"source-warc-payload-digest: sha1:SOURCE" in about and b"source-warc-ip-address: 1.2.3.4" in about and b"source-http-server: s" in about and b"source-block-digest: sha1:" in about
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a href='", '<a href="', "<!--", "<template>", "<nav>", "</nav", "<", "</", "<![", "<x y=\"'", "<p title='>", "&", "<head>", "<title>"])
+def test_damaged_markup_takes_linear_time(unit):
+    """1 MB of a tag that is never closed, with as many end tags where elements stay open."""
+    page = "<html><body>" + unit * (1_000_000 // len(unit)) + ("</nav>" * 150_000 if unit in ("<template>", "<nav>") else "")
+    start = time.process_time()
+    warc.read_page(page)
+    assert time.process_time() - start < 6
+
+
+@pytest.mark.parametrize(
+    ("page", "text", "links"),
+    [
+        ("<p>a <b <i>c", "a c", []),
+        ('<a href="x>y">in</a> <a href=z>out', "in out", ["x>y", "z"]),
+        ("<a href='u&amp;v' title=\"it's\">q</a>", "q", ["u&v"]),
+        ('<a href="never closed>one<a href=two>t', "onet", ["two"]),
+        ("1 < 2 &lt; 3 <4", "1 < 2 < 3 <4", []),
+        ("a<!-- x > y --!> z -->b<!-->c<!--->d", "abcd", []),
+        ("a<script>if (a < b) '</scr'</SCRIPT >b", "ab", []),
+        ("a<?php x ?>b</ x>c</>d", "abcd", []),
+        ("<DIV>A<BR/>B</DIV><A HREF=q>c</A>", "A\nB\nc", ["q"]),
+    ],
+)
+def test_tags(page, text, links):
+    assert warc.read_page(page)[1:] == (text, links)
+
+
+def test_navigation_and_footers_stand_beside_the_text():
+    title, text, aside, links = warc.read_whole_page(PAGE)
+    assert (title, text, aside, links) == ("A & B", "One <two>\nthree\nfour five six again", "menu\nend", ["/x", "/y"])
+    assert warc.read_whole_page("<footer>a<nav>b</nav>c</footer>d")[1:3] == ("d", "b\na\nc")
+    assert "never" not in warc.read_whole_page("<template><nav>never shown</nav></template>x")[2]
+
+
+class _Plain(HTMLParser):
+    """Another reader, for pages that are well formed: what stands where is told by the open elements."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.title, self.links, self.seen = [], "", [], {"text": "", "aside": ""}
+
+    def _to(self):
+        if {"script", "style", "noscript", "template", "head"} & set(self.open):
+            return None
+        return "aside" if {"nav", "footer"} & set(self.open) else "text"
+
+    def _cut(self, tag):
+        if tag in ("p", "div", "br", "li", "ul", "ol", "tr", "table", "td", "th", "pre", "hr", "nav", "footer", "header", "form", "main", "section", "article", "aside", "blockquote") or (tag[0] == "h" and tag[1:].isdigit()):
+            for k in self.seen:
+                self.seen[k] += "\n"
+
+    def handle_starttag(self, tag, attrs):
+        self._cut(tag)
+        if tag == "a" and dict(attrs).get("href") and dict(attrs)["href"].strip() not in self.links:
+            self.links.append(dict(attrs)["href"].strip())
+        if tag not in ("br", "hr", "img", "input", "meta", "link"):
+            self.open.append(tag)
+
+    def handle_endtag(self, tag):
+        self._cut(tag)
+        if tag in self.open:
+            del self.open[len(self.open) - 1 - self.open[::-1].index(tag) :]
+
+    def handle_data(self, data):
+        if "title" in self.open:
+            self.title += data
+        elif self._to():
+            self.seen[self._to()] += data
+
+
+def test_query_against_another_reader(spark):
+    """Every record of the pages, from texts and digests that are made here."""
+    sf = "/root/testdata/sf0.001"
+    space = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
+    urn = lambda *parts: f"<urn:uuid:{uuid.uuid5(space, chr(31).join(parts))}>"
+    sha = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    got = {(r.page_id, r.kind): r for r in warc.op6_warc(spark, sf).collect()}
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    assert len(got) == 2 * len(pages) > 0
+    for p in pages:
+        reader = _Plain()
+        reader.feed(p.html)
+        reader.close()
+        flat = lambda s: "\n".join(x for x in (" ".join(line.split()) for line in s.split("\n")) if x)
+        text, aside = flat(reader.seen["text"]), flat(reader.seen["aside"])
+        payload = p.html.encode()
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
+        source = urn("response", str(p.page_id), p.url, sha(block))
+        one, two = got[p.page_id, "conversion"], got[p.page_id, "metadata"]
+        assert (one.n_chars, one.block_digest, one.aside_text, one.title) == (len(text), sha(text.encode()), aside, " ".join(reader.title.split()))
+        assert one.n_links == two.n_links == len(reader.links)
+        for r in (one, two):
+            assert (r.refers_to, r.target_uri, r.source_digest, r.source_status, r.record_id) == (source, p.url, sha(payload), 200, urn(r.kind, source, p.url))

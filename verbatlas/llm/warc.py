@@ -6,7 +6,7 @@ A response record is read from the bytes of a WARC file (`read_responses`) or ma
 * `metadata`: application/warc-fields, with the fetched status, the source's media type, length, block
   and payload digest, all other fields of its record's header (the digests that it came with too) and of
   its HTTP head, the title, and the outlinks in order of first appearance;
-* `conversion`: text/plain, the visible text.
+* `conversion`: text/plain, the visible text. What navigation and footers hold stands beside it in `aside_text`.
 
 Both carry WARC-Refers-To with the response's record id, its target URI and date, a digest of their own
 block, and the source's payload digest. Record ids are made from the source's id and the kind, so a job
@@ -23,12 +23,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import html
 import json
 import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -173,77 +173,163 @@ def split_http(block: bytes) -> tuple[int, dict[str, str], bytes]:
 
 
 # -- text -----------------------------------------------------------------------------------------
-class _Page(HTMLParser):
-    """Title, visible text and outlinks. Hidden parts, navigation and footers give no text.
+_NAME = re.compile(r"[A-Za-z][^\s/><\x00]*")
+#: The inside of a tag up to its end, a quote, or the next tag's beginning.
+_INSIDE = re.compile(r"[^<>\"']*")
+_ATTRIBUTE = re.compile(r"([^\s/>=\"'][^\s/>=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*|))?")
+_RAW_END = {tag: re.compile(f"</{tag}(?=[\\s/>])[^>]*>?", re.IGNORECASE) for tag in ("script", "style")}
+
+
+def scan_markup(source: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, inside) of the parts of a page, in one pass forward: kinds are text, start and end.
+
+    A tag that does not end before the next `<` ends there. Comments, declarations and what scripts and styles hold
+    are left out; one that is never closed takes the rest of the page.
+    """
+    at, n = 0, len(source)
+    open_quote = {'"': True, "'": True}  # whether one may still be closed
+
+    def tag_end(k: int) -> int:
+        while True:
+            k = _INSIDE.match(source, k).end()
+            if k >= n or source[k] in "<>":
+                return k
+            quote = source[k]
+            close = source.find(quote, k + 1) if open_quote[quote] else -1
+            open_quote[quote] = close >= 0
+            k = close + 1 if close >= 0 else k + 1
+
+    while at < n:
+        k = source.find("<", at)
+        if k < 0:
+            yield "text", html.unescape(source[at:]), ""
+            return
+        if k > at:
+            yield "text", html.unescape(source[at:k]), ""
+        if m := _NAME.match(source, k + 1):
+            end = tag_end(m.end())
+            tag = m[0].lower()
+            yield "start", tag, source[m.end() : end]
+            at = end + (end < n and source[end] == ">")
+            if tag in _RAW_END:
+                closed = _RAW_END[tag].search(source, at)
+                if not closed:
+                    return
+                yield "end", tag, ""
+                at = closed.end()
+        elif source.startswith("</", k):
+            m = _NAME.match(source, k + 2)
+            end = tag_end(m.end()) if m else source.find(">", k + 2)
+            if end < 0:
+                return
+            if m:
+                yield "end", m[0].lower(), ""
+            at = end + (end < n and source[end] == ">")
+        elif source.startswith("<!--", k):
+            end = 0 if source.startswith((">", "->"), k + 4) else source.find("-->", k + 4)
+            if end < 0:
+                return
+            at = end + 3 if end else source.index(">", k) + 1
+        elif source.startswith(("<!", "<?"), k):
+            end = source.find(">", k + 2)
+            if end < 0:
+                return
+            at = end + 1
+        else:
+            yield "text", "<", ""
+            at = k + 1
+
+
+class _Page:
+    """Title, visible text and outlinks. Hidden parts give no text; navigation and footers give theirs apart.
 
     What a hidden element holds is taken back at its end tag, so one that is never closed hides nothing
     (but for scripts and styles, whose rest is no text). A head ends at the first tag or text of a body too.
     """
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.parts: list[str] = []
+        self.aside: list[str] = []
         self.title: list[str] = []
         self.links: dict[str, None] = {}
-        #: Open hidden elements, and how many parts there were before each.
-        self.hidden: list[tuple[str, int]] = []
+        #: Open hidden elements, how many parts there were before each, and how many of them are open by name.
+        self.hidden: list[tuple[str, int, int]] = []
+        self.open: dict[str, int] = {}
         self.in_title = False
 
-    def _end_hidden(self, k: int) -> None:
-        """Ends the k-th open hidden element and those opened within it: their text goes."""
-        tag, at = self.hidden[k]
-        del self.parts[at:], self.hidden[k:]
+    def _end_hidden(self, tag: str) -> None:
+        """Ends the last open hidden element of this name and those opened within it: their text goes."""
+        while True:
+            name, at, aside = self.hidden.pop()
+            self.open[name] -= 1
+            if name == tag:
+                break
         if tag in ("nav", "footer"):
+            self.aside += [*self.parts[at:], "\n"]
+            del self.parts[at:]
             self.parts.append("\n")
+        else:
+            del self.parts[at:], self.aside[aside:]
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+    def start(self, tag: str, inside: str) -> None:
         if tag == "a":
-            for name, value in attrs:
-                if name == "href" and value:
+            for name, value in _ATTRIBUTE.findall(inside):
+                value = html.unescape(value[1:-1] if value[:1] in ('"', "'") and value[-1:] == value[:1] and len(value) > 1 else value)
+                if name.lower() == "href" and value:
                     self.links.setdefault(value.strip())
         if tag not in _HEAD:
             self.in_title = False
         if self.hidden and self.hidden[0][0] == "head" and (tag == "body" or (len(self.hidden) == 1 and tag not in _HEAD)):
-            self._end_hidden(0)
+            while self.open.get("head"):
+                self._end_hidden("head")
         if tag == "title":
             self.in_title = True
-        elif tag in _HIDDEN and tag not in _VOID:
-            self.hidden.append((tag, len(self.parts)))
+        elif tag in _HIDDEN:
+            self.hidden.append((tag, len(self.parts), len(self.aside)))
+            self.open[tag] = self.open.get(tag, 0) + 1
         if tag in _BLOCKS:
             self.parts.append("\n")
 
-    def handle_endtag(self, tag: str) -> None:
+    def end(self, tag: str) -> None:
         if tag == "title":
             self.in_title = False
-        else:
-            for k in reversed(range(len(self.hidden))):
-                if self.hidden[k][0] == tag:
-                    self._end_hidden(k)
-                    break
+        elif self.open.get(tag):
+            self._end_hidden(tag)
         if tag in _BLOCKS:
             self.parts.append("\n")
 
-    def parse_marked_section(self, i: int, report: int = 1) -> int:
-        """`<![...` is a comment up to the next `>`, or up to the end, whatever it holds."""
-        end = self.rawdata.find(">", i + 3)
-        return end + 1 if end >= 0 else len(self.rawdata)
-
-    def handle_data(self, data: str) -> None:
+    def text(self, data: str) -> None:
         if self.in_title:
             self.title.append(data)
-        elif self.cdata_elem not in ("script", "style"):
+        else:
             if len(self.hidden) == 1 and self.hidden[0][0] == "head" and data.strip():
-                self._end_hidden(0)
+                self._end_hidden("head")
             self.parts.append(data)
 
 
-def read_page(source: str) -> tuple[str, str, list[str]]:
-    """Title, text (a line for each block, white space collapsed) and outlinks of a page."""
+def _lines(parts: list[str]) -> str:
+    """A line for each block, white space collapsed."""
+    lines = (" ".join(line.split()) for line in "".join(parts).split("\n"))
+    return "\n".join(line for line in lines if line)
+
+
+def read_whole_page(source: str) -> tuple[str, str, str, list[str]]:
+    """Title, text, text of navigation and footers, and outlinks of a page, in time that grows with its length."""
     page = _Page()
-    page.feed(source)
-    page.close()
-    lines = (" ".join(line.split()) for line in "".join(page.parts).split("\n"))
-    return " ".join("".join(page.title).split()), "\n".join(line for line in lines if line), list(page.links)
+    for kind, name, inside in scan_markup(source):
+        if kind == "text":
+            page.text(name)
+        elif kind == "start":
+            page.start(name, inside)
+        else:
+            page.end(name)
+    return " ".join("".join(page.title).split()), _lines(page.parts), _lines(page.aside), list(page.links)
+
+
+def read_page(source: str) -> tuple[str, str, list[str]]:
+    """Title, text and outlinks of a page."""
+    title, text, _, links = read_whole_page(source)
+    return title, text, links
 
 
 # -- tables ---------------------------------------------------------------------------------------
@@ -255,7 +341,7 @@ _OWN = {"warc-type", "warc-record-id", "warc-target-uri", "warc-date", "content-
 MOST_HEADER, BATCH_BYTES = 1 << 20, 4_000_000
 DERIVED = (
     "page_id long, source_id string, kind string, record_id string, refers_to string, target_uri string, date string, content_type string, "
-    "block_digest string, source_digest string, source_status int, source_type string, title string, n_links int, n_chars long, warc binary"
+    "block_digest string, source_digest string, source_status int, source_type string, title string, n_links int, n_chars long, aside_text string, warc binary"
 )
 
 
@@ -329,7 +415,7 @@ def _pair(page_id, source_id: str | None, uri: str | None, date: str | None, fie
     except LookupError:
         source = payload.decode("utf-8", "replace")
     is_html = "html" in kind or not kind
-    title, text, links = read_page(source) if is_html else ("", source, [])
+    title, text, aside, links = read_whole_page(source) if is_html else ("", source, "", [])
     payload_digest, source_digest = digest(payload), digest(block or b"")
     source_fields = [(f"source-{k}", v) for k, v in json.loads(fields_json or "{}").items() if k not in _OWN]
     facts = [("source-status", str(status) if status else ""), ("source-content-type", kind), ("source-length", str(len(payload))), ("source-block-digest", source_digest), ("source-payload-digest", payload_digest)]
@@ -342,14 +428,14 @@ def _pair(page_id, source_id: str | None, uri: str | None, date: str | None, fie
             ("WARC-Type", name), ("WARC-Record-ID", own), ("WARC-Refers-To", source_id), ("WARC-Target-URI", uri), ("WARC-Date", date),
             ("WARC-Block-Digest", digest(made)), ("WARC-Source-Block-Digest", source_digest), ("WARC-Source-Payload-Digest", payload_digest), ("WARC-Source-Content-Type", kind), ("Content-Type", media),
         ]
-        out.append((page_id, source_id, name, own, source_id, uri or None, date, media, digest(made), payload_digest, status, kind, title, len(links), len(made.decode()), to_bytes(headers, made)))
+        out.append((page_id, source_id, name, own, source_id, uri or None, date, media, digest(made), payload_digest, status, kind, title, len(links), len(made.decode()), aside if name == "conversion" else "", to_bytes(headers, made)))
     return out
 
 
 def derive(responses: DataFrame) -> DataFrame:
     """Two rows of DERIVED for each response (page_id and the columns of RESPONSE): its metadata and its conversion record."""
     ship(responses.sparkSession)
-    types = [pa.int64(), *[pa.string()] * 9, pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
+    types = [pa.int64(), *[pa.string()] * 9, pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.binary()]
     names = [x.split()[0] for x in DERIVED.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
