@@ -7,7 +7,8 @@ whole sequence. Pieces that fill a sequence stand alone; the others are packed:
   REGION_ITEMS, so that all regions have the same mix of lengths, and one is about as hard to pack as the whole.
 * A region is packed on ISLANDS islands, each a row of Spark's. An individual is a packing, its genes are whole bins.
   Crossover injects well-filled bins of one parent into the other, takes out the bins that hold an injected document a
-  second time, and puts the displaced documents into the fullest bins that have room (best fit, longest first). An epoch is one
+  second time, lets displaced documents replace smaller ones where that fills a bin better, and puts the rest into
+  the fullest bins that have room (best fit, longest first). An epoch is one
   job over all islands of all regions; between epochs the best of each island goes to the next one. An island rests once
   it has reached the lower bound of its region.
 * The emptier bins of all regions are dealt out and packed again in rounds, as long as that saves bins, until one region holds them.
@@ -23,6 +24,7 @@ import os
 import random
 import re
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -160,7 +162,7 @@ class Packing:
         return self
 
     def crossed(self, other: Packing, sizes: list[int], capacity: int, rng: random.Random) -> Packing:
-        """A child: well-filled bins of other injected whole, bins of self that repeat their items taken out, the displaced best-fitted."""
+        """A child: well-filled bins of other injected whole, bins of self that repeat their items taken out, the displaced put in place of smaller ones or best-fitted."""
         picked = sorted(rng.sample(range(len(other.bins)), max(1, len(other.bins) // 2)), key=other.rooms.__getitem__)
         picked = picked[: max(1, len(picked) * 3 // 4)]
         injected = {i for b in picked for i in other.bins[b]}
@@ -172,8 +174,32 @@ class Packing:
             else:
                 bins.append(list(own))
                 rooms.append(self.rooms[b])
+        child = Packing(bins, rooms)
+        displaced = child._tightened(displaced, sizes)
         displaced.sort(key=lambda i: -sizes[i])
-        return Packing(bins, rooms).filled(displaced, sizes, capacity)
+        return child.filled(displaced, sizes, capacity)
+
+    def _tightened(self, displaced: list[int], sizes: list[int]) -> list[int]:
+        """Puts a displaced item in place of one or two smaller ones of a bin where that fills the bin better; what is displaced then."""
+        free = sorted((sizes[i], i) for i in displaced)
+        for b, own in enumerate(self.bins):
+            room, best = self.rooms[b], None
+            if not room:
+                continue
+            out = [(x,) for x in own] + [(x, y) for k, x in enumerate(own[:8]) for y in own[k + 1 : 8]]
+            for gone in out:
+                size = sum(sizes[x] for x in gone)
+                k = bisect_right(free, (size + room, len(sizes))) - 1
+                if k >= 0 and free[k][0] > size and (best is None or free[k][0] - size > best[0]):
+                    best = free[k][0] - size, k, gone
+            if best:
+                gain, k, gone = best
+                own.append(free.pop(k)[1])
+                for x in gone:
+                    own.remove(x)
+                    insort(free, (sizes[x], x))
+                self.rooms[b] -= gain
+        return [i for _, i in free]
 
     def numbers(self, n: int) -> list[int]:
         """The bin of each item."""
@@ -210,8 +236,8 @@ def evolved(sizes: list[int], population: list[Packing], capacity: int, rng: ran
 
 
 # -- islands --------------------------------------------------------------------------------------
-def _epoch(regions: DataFrame, state: DataFrame | None, capacity: int, islands: int, turn: int, crossovers: int, wanted: int) -> DataFrame:
-    """region, island, population after one epoch; the best of the island before comes in."""
+def _epoch(regions: DataFrame, count: int, state: DataFrame | None, capacity: int, islands: int, turn: int, crossovers: int, wanted: int) -> DataFrame:
+    """region, island, population after one epoch; the best of the island before comes in. count: of regions."""
     numbers = "array<array<int>>"
     if state is None:
         island = F.explode(F.array(*map(F.lit, range(islands)))).alias("island")
@@ -228,8 +254,10 @@ def _epoch(regions: DataFrame, state: DataFrame | None, capacity: int, islands:
                 columns = [pa.array([region], pa.int64()), pa.array([island], pa.int32()), pa.array([[p.numbers(len(sizes)) for p in best]], pa.list_(pa.list_(pa.int32())))]
                 yield pa.RecordBatch.from_arrays(columns, ["region", "island", "population"])
 
-    dealt = rows.select("region", "island", "sizes", "population").repartition("region", "island")
-    return stash(dealt.mapInArrow(work, f"region long, island int, population {numbers}"))
+    # the rows are few and each is a second's work, so their tasks are not left to the bytes that they read
+    tasks = min(count * islands, 8 * int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = rows.select("region", "island", "sizes", "population").repartition(tasks, "region", "island")
+    return stash(spread.mapInArrow(work, f"region long, island int, population {numbers}"))
 
 
 def _placed(regions: DataFrame, state: DataFrame, capacity: int, loose: int) -> DataFrame:
@@ -278,7 +306,7 @@ def packed(
         regions, count, total = dealt(items, region_items)
         state = None
         for epoch in range(epochs):
-            state = _epoch(regions, state, capacity, islands, epoch, crossovers, population)
+            state = _epoch(regions, count, state, capacity, islands, epoch, crossovers, population)
         found = _placed(regions, state, capacity, loose_room)
         sequence = (F.lit(turn) * (1 << 56) + F.col("region") * (1 << 20) + F.col("bin")).alias("sequence_id")
         made = found.select("item", "size", sequence, F.col("place").alias("offset"), "loose")
