@@ -45,6 +45,8 @@ STEPS = 1_000
 #: Targets that follow from the data: shares of the domains to this power.
 TEMPER = 0.7
 MOST_ROUNDS, TOLERANCE = 80, 1e-6
+#: Rounds after which the rates so far are written, so that no round computes many earlier ones again.
+STASHED_ROUNDS = 10
 #: The descent ends when that many steps together lower the squared error by less than a thousandth.
 PATIENCE = 6
 
@@ -174,14 +176,16 @@ def solve(members: DataFrame, domains: list[str], targets: dict[str, float] | No
     size = len(domains)
     if not size:
         return Plan([], *(np.zeros(0),) * 3, [], least)
-    groups = stash(members.groupBy("part").agg(F.sum("n_words").cast("double").alias("t")))
-    p = F.expr(_posterior("part"))
-    first = groups.select("t", p.alias("p")).agg(
-        *(F.sum(F.col("t") * F.col("p")[i]) for i in range(size)),
-        *(F.sum(F.col("t") * F.col("p")[i] * F.col("p")[j]) for i in range(size) for j in range(size)),
-    ).first()
-    values = np.array([x or 0.0 for x in first])
-    start, second = values[:size], values[size:].reshape(size, size)
+    groups = members.groupBy("part").agg(F.sum("n_words").cast("double").alias("t"))
+    groups = stash(groups.select("part", "t", F.expr(_posterior("part")).alias("p")))
+    # most posteriors hold few domains, so moments are summed over what is there: once for each pair
+    first = groups.select("t", F.posexplode("p").alias("i", "x")).where("x > 0").groupBy("i").agg(F.sum(F.col("t") * F.col("x")).alias("s")).collect()
+    pairs = groups.select("t", "p", F.posexplode("p").alias("i", "x")).where("x > 0").select("t", "i", "x", F.posexplode("p").alias("j", "y")).where("y > 0 and j >= i")
+    start, second = np.zeros(size), np.zeros((size, size))
+    for r in first:
+        start[r.i] = r.s
+    for r in pairs.groupBy("i", "j").agg(F.sum(F.col("t") * F.col("x") * F.col("y")).alias("s")).collect():  # size * size numbers at most
+        second[r.i, r.j] = second[r.j, r.i] = r.s
     if targets is None:
         weights = np.where(start > 0, np.maximum(start, 1e-300) ** TEMPER, 0.0)
     else:
@@ -197,15 +201,23 @@ def solve(members: DataFrame, domains: list[str], targets: dict[str, float] | No
     pace = 1.0 / np.linalg.eigvalsh(root[:, None] * second * root[None, :]).max()
     plan = Plan(domains, start, goal, start * max(1.0, least), [], least, groups.select("part"))
     before, moment, errors = plan.reached, 1.0, []
-    for _ in range(MOST_ROUNDS):
+    # the rate of each posterior after the last two steps; one step is added in each round
+    begin = F.lit(max(1.0, least))
+    state = groups.select("t", "p", begin.alias("r"), begin.alias("q"))
+    for turn in range(1, MOST_ROUNDS + 1):
         if np.abs(plan.reached - goal).max() <= TOLERANCE * goal.max():
             break
         after = (1 + math.sqrt(1 + 4 * moment * moment)) / 2
         push = (moment - 1) / after
         ahead = plan.reached + push * (plan.reached - before)  # totals are linear in the rates
         plan.steps.append((push, pace * scale * (ahead - goal)))
-        rows = groups.select((F.col("t") * plan.rate("part")).alias("t"), p.alias("p"))
-        now = np.array([x or 0.0 for x in rows.agg(*(F.sum(F.col("t") * F.col("p")[i]) for i in range(size))).first()])
+        slope = F.array(*(F.lit(float(x)) for x in plan.steps[-1][1]))
+        down = F.aggregate(F.zip_with("p", slope, lambda u, v: u * v), F.lit(0.0), lambda x, v: x + v)
+        state = state.select("t", "p", F.greatest(F.lit(float(least)), F.col("r") + push * (F.col("r") - F.col("q")) - down).alias("r"), F.col("r").alias("q"))
+        if turn % STASHED_ROUNDS == 0:
+            state = stash(state)
+        weight = F.col("t") * F.round("r", 6)
+        now = np.array([x or 0.0 for x in state.select(weight.alias("t"), "p").agg(*(F.sum(F.col("t") * F.col("p")[i]) for i in range(size))).first()])
         # momentum that leads away from the targets is dropped
         errors.append((scale * (now - goal) ** 2).sum())
         worse = errors[-1] > (scale * (plan.reached - goal) ** 2).sum()
