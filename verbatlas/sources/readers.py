@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from verbatlas.functions.text import ROW_ORD, filled, unix_lines
 from verbatlas.operators.naming import require
+from verbatlas.sources import blocks
 
 
 def path_list(paths: list[str] | None = None, paths_file: str | None = None) -> list[str]:
@@ -59,36 +60,45 @@ def delimited(spark: SparkSession, paths: str | list[str], sep: str = ",", encod
     """A table with a header: all cells are text, missing ones empty, quotes doubled inside quotes, line breaks allowed in quotes.
 
     row_ord follows the file's order (several files: by path, then place). A header with a repeated name is
-    an error, as its cells could not be told apart.
+    an error, as its cells could not be told apart. A file in UTF-8 is read by many tasks, each a byte range of it (see
+    `blocks`); any other encoding makes it one task.
     """
     many = [paths] if isinstance(paths, str) else list(paths)
     if len(many) > 1:
         same_columns(spark, many, sep, encoding)
-    first = spark.read.text(many[0]).limit(1).collect()
-    header = _split_header(first[0].value if first else "", sep)
+    header = _header(spark, many[0], sep, encoding)
     if len(set(header)) < len(header):
         raise ValueError("a column name is repeated")
-    df = spark.read.csv(many, sep=sep, header=True, inferSchema=False, multiLine=True, escape='"', encoding=encoding, maxCharsPerColumn=-1, enforceSchema=False)
     if needed:
-        require(df.columns, needed)
+        require(header, needed)
+    if encoding.lower().replace("_", "-") in ("utf-8", "utf8") and header:
+        rows = blocks.in_order(blocks.records(spark, many, sep), ROW_ORD)
+        names = [f"c{i}" for i in range(len(header))]
+        cells = F.from_csv("text", ", ".join(f"{n} string" for n in names), {"sep": sep, "escape": '"', "maxCharsPerColumn": "-1"})
+        out = rows.select(cells.alias("c"), ROW_ORD).select(*(filled(f"c.{n}").alias(c) for n, c in zip(names, header, strict=True)), ROW_ORD)
+        return out if order else out.drop(ROW_ORD)
+    df = spark.read.csv(many, sep=sep, header=True, inferSchema=False, multiLine=True, escape='"', encoding=encoding, maxCharsPerColumn=-1, enforceSchema=False)
     out = df.select(*(filled(f"`{c}`").alias(c) for c in df.columns))
     return out.withColumn(ROW_ORD, F.monotonically_increasing_id()) if order else out
 
 
-def _split_header(line: str, sep: str) -> list[str]:
-    import csv
-
-    return next(csv.reader([line.lstrip("﻿")], delimiter=sep), [])
+def _header(spark: SparkSession, path: str, sep: str, encoding: str) -> list[str]:
+    """The cells of a file's first record, which may hold line breaks."""
+    first = spark.read.csv(path, sep=sep, header=False, inferSchema=False, multiLine=True, escape='"', encoding=encoding, maxCharsPerColumn=-1).first()
+    return [] if first is None else [("" if x is None else x) for x in first]
 
 
 def same_columns(spark: SparkSession, paths: list[str], sep: str = ",", encoding: str = "utf-8", text_col: str | None = None) -> None:
     """All tables must have the same set of columns, and the text column if one is named."""
     sets = {p: set(spark.read.csv(p, sep=sep, header=True, encoding=encoding, multiLine=True, escape='"').columns) for p in paths}
+    first = _header(spark, paths[0], sep, encoding)
     for p, own in sets.items():
         if text_col and text_col not in own:
             raise ValueError(f"{p} has no column {text_col}")
         if own != sets[paths[0]]:
             raise ValueError(f"{p} and {paths[0]} have different columns")
+        if _header(spark, p, sep, encoding) != first:
+            raise ValueError(f"{p} has its columns in another order than {paths[0]}")
 
 
 def numbered_rows(df: DataFrame, text_col: str, order_col: str = ROW_ORD) -> DataFrame:
