@@ -41,8 +41,8 @@ CAPACITY, END_ID = 1_024, 2
 REGION_ITEMS, ISLANDS, POPULATION, CROSSOVERS, EPOCHS = 2_048, 3, 4, 24, 2
 #: Bins of less than this share of the capacity are packed again with those of other regions.
 LOOSE = 0.97
-#: Pieces that a worker hands on at once.
-FLUSH_PIECES = 20_000
+#: Characters up to which a text is encoded in one piece, and pieces that a worker hands on at once.
+LEAF_CHARS, FLUSH_PIECES = 16_384, 20_000
 _ENCODERS: dict[str, Ids] = {}
 
 
@@ -62,7 +62,7 @@ class Ids:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._ranks = codec(ranks, pattern)
+        self._ranks = codec(ranks, pattern, LEAF_CHARS)
 
     def __call__(self, text: str) -> bytes:
         if self._ODD.search(text) or any(x in text for x in self._added):
