@@ -50,22 +50,28 @@ def inside_after(line: str, inside: bool, sep: str) -> bool:
             at += len(sep)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], Iterator[str]]]:
-    """The lines of each range."""
-    rows = ((f, s, v) for b in batches for f, s, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], Iterator[tuple]]]:
+    """The rows of each range (first two columns), without these."""
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
     ahead = next(rows, None)
     while ahead is not None:
         key = ahead[:2]
 
-        def own() -> Iterator[str]:
+        def own() -> Iterator[tuple]:
             nonlocal ahead
             while ahead is not None and ahead[:2] == key:
-                yield ahead[2]
+                yield ahead[2:]
                 ahead = next(rows, None)
 
         yield key, own()
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], Iterator[str]]]:
+    """The lines of each range."""
+    for key, own in _rows_of(batches):
+        yield key, (value for (value,) in own)
+
+
 def records(spark: SparkSession, paths: list[str], sep: str = ",") -> DataFrame:
     """file, start, place, text: the records of delimited files, without blank ones; the first of a file is its header.
 
@@ -138,3 +144,79 @@ def in_order(rows: DataFrame, out_col: str) -> DataFrame:
     ranked = starts.select(F.col("file").alias("_f"), F.col("start").alias("_s"), "_least", (F.row_number().over(W.orderBy("file", "start")) - 1).cast("long").alias("_range"))  # a row for each range
     met = rows.join(ranked, (rows["file"] == ranked["_f"]) & (rows["start"] == ranked["_s"]))
     return met.select(*rows.columns, (F.shiftleft("_range", 33) + F.col("place") - F.col("_least")).alias(out_col))
+
+
+# -- chunks of characters -------------------------------------------------------------------------
+#: Characters that a task gathers before it hands on the pieces of chunks in them.
+GATHERED = 1_000_000
+
+
+def _unix(line: str, ended: bool) -> str:
+    """A line (cut at LF) with LF line ends; ended: an LF stood behind it."""
+    if not ended:
+        return line.replace("\r\n", "\n").replace("\r", "\n")
+    return line.removesuffix("\r").replace("\r", "\n") + "\n"
+
+
+def char_chunks(spark: SparkSession, paths: list[str], size: int = 2_000_000, overlap: int = 5_000) -> DataFrame:
+    """doc_path, chunk_start, chunk_text: the chunks that `extract.char_chunks` cuts of each file's text, for files of any length.
+
+    A byte range hands on the pieces of the chunks that its characters lie in, and a chunk's pieces meet; no task holds more of a
+    file than GATHERED characters, a line, or a chunk. Files are in UTF-8; bytes that are no text are replaced.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("the overlap must be 0 or more and less than the size")
+    ship(spark)
+    step = size - overlap
+    read = _lines(spark, paths)
+    lines = read.select("file", "start", F.make_valid_utf8("value").alias("value"), F.octet_length("value").alias("n"), "size")
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (file, start), own in _rows_of(batches):
+            chars, octets, size_, last = 0, 0, 0, ""
+            for value, n, size_ in own:
+                value = value.removeprefix("﻿") if start == 0 and not octets else value
+                chars, octets, last = chars + len(_unix(value, True)), octets + n + 1, value
+            less = len(_unix(last, True)) - len(_unix(last, False))  # if no line end stands behind the last line of the file
+            columns = [pa.array([file]), *(pa.array([x], pa.int64()) for x in (start, chars, octets, size_, less))]
+            yield pa.RecordBatch.from_arrays(columns, ["file", "start", "chars", "octets", "size", "less"])
+
+    ranges = stash(lines.mapInArrow(measured, "file string, start long, chars long, octets long, size long, less long"))
+    behind, whole = W.partitionBy("file").orderBy("start"), W.partitionBy("file")
+    ranges = ranges.withColumns({"before": F.sum("chars").over(behind) - F.col("chars"), "total": F.sum("chars").over(whole), "octets": F.sum("octets").over(whole), "last": F.col("start") == F.max("start").over(whole)})
+    open_end = F.col("octets") > F.col("size")
+    less = F.max(F.when(F.col("last") & open_end, F.col("less")).otherwise(0)).over(whole)
+    ranges = ranges.select(F.col("file").alias("_f"), F.col("start").alias("_s"), "before", (F.col("total") - less).alias("total"), (F.col("last") & open_end).alias("open_end"))
+    # a row for each range, so for some MB; the lines stay where and in the order they are
+    met = lines.join(F.broadcast(ranges), (F.col("file") == F.col("_f")) & (F.col("start") == F.col("_s")))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (file, start), own in _rows_of(batches):
+            held, n, at, total, ahead, fresh = [], 0, None, 0, None, start == 0
+            for value, before, total, open_end in own:
+                at = before if at is None else at
+                if ahead is not None:
+                    held.append(_unix(ahead, True))
+                    n += len(held[-1])
+                ahead, fresh = value.removeprefix("﻿") if fresh else value, False
+                if n >= GATHERED:
+                    yield pieces(file, at, "".join(held), total)
+                    held, at, n = [], at + n, 0
+            held.append(_unix(ahead, not open_end))
+            yield pieces(file, at, "".join(held), total)
+
+    def pieces(file: str, at: int, text: str, total: int) -> pa.RecordBatch:
+        last = max(0, -(-(total - size) // step))
+        rows = []
+        for k in range(max(0, (at - size) // step + 1), min(last, (at + len(text) - 1) // step) + 1):
+            begin = max(k * step, at)
+            piece = text[begin - at : k * step + size - at]
+            if piece:
+                rows.append((k, begin, piece))
+        k, begin, piece = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array([file] * len(rows), pa.string()), pa.array(k, pa.int64()), pa.array(begin, pa.int64()), pa.array(piece, pa.string())], ["file", "k", "begin", "piece"])
+
+    found = met.select("file", "start", "value", "before", "total", "open_end").mapInArrow(cut, "file string, k long, begin long, piece string")
+    joined = found.groupBy("file", "k").agg(F.array_sort(F.collect_list(F.struct("begin", "piece"))).alias("x"))
+    text = F.array_join(F.transform("x", lambda p: p["piece"]), "")
+    return joined.select(F.regexp_replace("file", "^file:/+", "/").alias("doc_path"), (F.col("k") * step).alias("chunk_start"), text.alias("chunk_text"))

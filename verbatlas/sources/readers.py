@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,10 +73,19 @@ def delimited(spark: SparkSession, paths: str | list[str], sep: str = ",", encod
     if needed:
         require(header, needed)
     if encoding.lower().replace("_", "-") in ("utf-8", "utf8") and header:
-        rows = blocks.in_order(blocks.records(spark, many, sep), ROW_ORD)
-        names = [f"c{i}" for i in range(len(header))]
-        cells = F.from_csv("text", ", ".join(f"{n} string" for n in names), {"sep": sep, "escape": '"', "maxCharsPerColumn": "-1"})
-        out = rows.select(cells.alias("c"), ROW_ORD).select(*(filled(f"c.{n}").alias(c) for n, c in zip(names, header, strict=True)), ROW_ORD)
+        # files may have the columns in other orders; most often there is one
+        orders: dict[tuple[str, ...], list[str]] = {}
+        for p in many:
+            orders.setdefault(tuple(_header(spark, p, sep, encoding)) or tuple(header), []).append(p)
+        found = [blocks.records(spark, own, sep).withColumn("_h", F.lit(k)) for k, own in enumerate(orders.values())]
+        rows = blocks.in_order(reduce(DataFrame.union, found), ROW_ORD)
+        options = {"sep": sep, "escape": '"', "maxCharsPerColumn": "-1"}
+        tables = []
+        for k, own in enumerate(orders):
+            names = {c: f"c{i}" for i, c in enumerate(own)}
+            part = rows.where(F.col("_h") == k).select(F.from_csv("text", ", ".join(f"{n} string" for n in names.values()), options).alias("c"), ROW_ORD)
+            tables.append(part.select(*(filled(f"c.{names[c]}").alias(c) for c in header), ROW_ORD))
+        out = reduce(DataFrame.union, tables)
         return out if order else out.drop(ROW_ORD)
     df = spark.read.csv(many, sep=sep, header=True, inferSchema=False, multiLine=True, escape='"', encoding=encoding, maxCharsPerColumn=-1, enforceSchema=False)
     out = df.select(*(filled(f"`{c}`").alias(c) for c in df.columns))
@@ -91,14 +101,11 @@ def _header(spark: SparkSession, path: str, sep: str, encoding: str) -> list[str
 def same_columns(spark: SparkSession, paths: list[str], sep: str = ",", encoding: str = "utf-8", text_col: str | None = None) -> None:
     """All tables must have the same set of columns, and the text column if one is named."""
     sets = {p: set(spark.read.csv(p, sep=sep, header=True, encoding=encoding, multiLine=True, escape='"').columns) for p in paths}
-    first = _header(spark, paths[0], sep, encoding)
     for p, own in sets.items():
         if text_col and text_col not in own:
             raise ValueError(f"{p} has no column {text_col}")
         if own != sets[paths[0]]:
             raise ValueError(f"{p} and {paths[0]} have different columns")
-        if _header(spark, p, sep, encoding) != first:
-            raise ValueError(f"{p} has its columns in another order than {paths[0]}")
 
 
 def numbered_rows(df: DataFrame, text_col: str, order_col: str = ROW_ORD) -> DataFrame:

@@ -34,6 +34,17 @@ def write_delimited(df: DataFrame, path: str, sep: str = ",", one_file: bool = F
     (out.coalesce(1) if one_file else out).write.csv(path, sep=sep, header=True, escape='"', emptyValue='""', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, mode="overwrite")
 
 
+def write_by_value(df: DataFrame, path: str, col: str, sep: str = ",") -> list[str]:
+    """A folder of files for each value of col, all by one job; the folders' paths. Values are few, as in all partitioned tables."""
+    spark = df.sparkSession
+    key = F.md5(F.coalesce(F.col(f"`{col}`").cast("string"), F.lit("\x00null")))
+    out = flat(df.drop(ROW_ORD)).withColumn("_of", key)
+    out.write.partitionBy("_of").csv(path, sep=sep, header=True, escape='"', emptyValue='""', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, mode="overwrite")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    return sorted(str(f.getPath()) for f in found if f.getPath().getName().startswith("_of="))
+
+
 def write_local(df: DataFrame, path: str, sep: str = ",", order_col: str | None = None) -> int:
     """One file on the driver, rows streamed to it by partition; the number of rows."""
     import csv
@@ -48,14 +59,16 @@ def write_local(df: DataFrame, path: str, sep: str = ",", order_col: str | None
     return n
 
 
-def write_lines(df: DataFrame, path: str, value_col: str, order_col: str = ROW_ORD) -> None:
-    """One text file in the order given."""
-    df.orderBy(order_col).select(F.col(value_col).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+def write_lines(df: DataFrame, path: str, value_col: str, order_col: str = ROW_ORD, one_file: bool = True) -> None:
+    """Text in the order given: one file, or a folder of files whose names are in that order."""
+    out = df.orderBy(order_col).select(F.col(value_col).alias("value"))
+    (out.coalesce(1) if one_file else out).write.mode("overwrite").text(path)
 
 
-def write_words(words: DataFrame, path: str) -> None:
+def write_words(words: DataFrame, path: str, one_file: bool = True) -> None:
     """Sorted, a word each line."""
-    words.select(F.lower("word").alias("word")).distinct().orderBy("word").coalesce(1).write.mode("overwrite").text(path)
+    out = words.select(F.lower("word").alias("word")).distinct().orderBy("word")
+    (out.coalesce(1) if one_file else out).write.mode("overwrite").text(path)
 
 
 def patch(before: Iterable[str], after: Iterable[str], name: str) -> Iterator[str]:

@@ -16,10 +16,14 @@ from verbatlas.functions.providers import AUXILIARIES, ArrowMaskedLM, ArrowTagge
 from verbatlas.functions.text import ROW_ORD, cell_for_sheet, human_bytes, masked, number, percent, sheet_title, span, ten_digits, word_arguments
 from verbatlas.operators import extract, frequency, groups, naming, spelling
 from verbatlas.session import local_scratch, scratch, ship, table
-from verbatlas.sources import grouptables, manifest, readers, sinks, xlsx
+from verbatlas.sources import blocks, grouptables, manifest, readers, sinks, xlsx
 from verbatlas.streaming import files
 
 
+#: Characters of the chunks of files, and of their overlap.
+CHUNK, CHUNK_OVERLAP = 20_000, 500
+
+
 def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
 
@@ -30,25 +34,21 @@ def _in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- delimited tables -----------------------------------------------------------------------------
 def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as one file, in order, with line breaks and quotes in cells; read with row numbers."""
+    """Conversations as files in order, with line breaks and quotes in cells; read by byte ranges, with row numbers."""
     path = scratch(spark)
-    sinks.write_delimited(_in_order(spark, sf_dir), path, one_file=True, order_col=ROW_ORD)
+    sinks.write_delimited(_in_order(spark, sf_dir), path, order_col=ROW_ORD)
     return readers.numbered_rows(readers.delimited(spark, path, needed=["text"]), "text")
 
 
 def csv_single_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
-    sinks.write_delimited(_in_order(spark, sf_dir), path, one_file=True, order_col=ROW_ORD)
+    sinks.write_delimited(_in_order(spark, sf_dir), path, order_col=ROW_ORD)
     return frequency.counts(readers.single_column(spark, path, "role"), "role", ROW_ORD)
 
 
 def csv_many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table for each role (few), read as one after their columns were compared."""
-    rows = _conversations(spark, sf_dir)
-    paths = []
-    for r in rows.select("role").distinct().orderBy("role").limit(100).collect():
-        paths.append(scratch(spark))
-        sinks.write_delimited(rows.where(F.col("role").eqNullSafe(r.role)), paths[-1])
+    """A table for each role, written by one job, read as one after their columns were compared."""
+    paths = sinks.write_by_value(_conversations(spark, sf_dir), scratch(spark), "role")
     return readers.delimited(spark, paths).drop(ROW_ORD)
 
 
@@ -69,13 +69,22 @@ def local_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- text -----------------------------------------------------------------------------------------
 def word_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
-    sinks.write_words(_conversations(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word")), path)
+    sinks.write_words(_conversations(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word")), path, one_file=False)
     return readers.word_list(spark, path)
 
 
+def file_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in eight files, each cut into overlapping chunks of characters by many tasks."""
+    path = scratch(spark)
+    rows = table(spark, sf_dir, "documents").select(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(8)).alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    rows.repartition(8, "part").sortWithinPartitions("part", "doc_id", "value").select("part", "value").write.partitionBy("part").text(path)
+    out = blocks.char_chunks(spark, [path], CHUNK, CHUNK_OVERLAP)
+    return out.select(F.regexp_extract("doc_path", "part=([0-9]+)", 1).cast("int").alias("part"), "chunk_start", F.md5("chunk_text").alias("chunk_md5"), F.length("chunk_text").alias("chars"))
+
+
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
-    sinks.write_lines(_in_order(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit(""))), path, "text")
+    sinks.write_lines(_in_order(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit(""))), path, "text", one_file=False)
     return readers.lines(spark, path).groupBy("value").agg(F.count("*").alias("n"))
 
 
@@ -345,7 +354,7 @@ def stream_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        csv_rows, csv_single_column, csv_many_files, tsv_clauses, local_rows, word_list, text_lines, text_files, workbook_table, workbook_groups, members_by_group, wide_predictions, wide_round_trip,
+        csv_rows, csv_single_column, csv_many_files, tsv_clauses, local_rows, word_list, file_chunks, text_lines, text_files, workbook_table, workbook_groups, members_by_group, wide_predictions, wide_round_trip,
         wide_means, fused_means, tag_matrix, tag_odd_flags, span_parse, ten_digit_cells, number_cells, sheet_cells, driver_values, spell_two_columns, tagger_of_workers, masked_model, run_records,
         stream_verbs, stream_windows, stream_unique,
     )
@@ -376,6 +385,10 @@ ORACLE_SQL = {
     "local_rows": "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_size || '-' || (p_size + 2) AS size, count(*) OVER () AS rows FROM part",
     "word_list": "SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM conversations)",
     "text_lines": "SELECT value, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(coalesce(text, ''), '\\r\\n?|\\n')) AS value FROM conversations) GROUP BY value",
+    "file_chunks": f"""WITH t AS (SELECT CAST(((coalesce(doc_id, 0) % 8) + 8) % 8 AS INT) AS part, string_agg(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') || chr(10), '' ORDER BY doc_id NULLS FIRST, coalesce(text, '')) AS text FROM documents GROUP BY 1),
+k AS (SELECT part, text, unnest(range(0, greatest(0, CAST(ceil((length(text) - {CHUNK}) / {CHUNK - CHUNK_OVERLAP}.0) AS BIGINT)) + 1)) * {CHUNK - CHUNK_OVERLAP} AS chunk_start FROM t),
+c AS (SELECT part, chunk_start, substring(text, chunk_start + 1, {CHUNK}) AS x FROM k)
+SELECT part, chunk_start, md5(x) AS chunk_md5, CAST(length(x) AS INT) AS chars FROM c""",
     "text_files": "SELECT n_regionkey AS region, string_agg(n_name || chr(10), '' ORDER BY n_name) AS text FROM nation GROUP BY n_regionkey",
     "workbook_table": "SELECT p_partkey, p_name || '<&>' AS name, p_retailprice FROM part",
     "workbook_groups": "SELECT p_type AS \"group\", row_number() OVER (PARTITION BY p_type ORDER BY p_brand) AS place, p_brand AS lemma FROM (SELECT DISTINCT p_type, p_brand FROM part)",
