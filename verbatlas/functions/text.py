@@ -142,6 +142,32 @@ def ten_digits(c: Column | str) -> Column:
     return write(as_column(c).cast("double"))
 
 
+def printed_bytes(n: Column | str) -> Column:
+    """human_bytes of a column of whole numbers."""
+    c = as_column(n).cast("long")
+    out = F.when(c < 1024, F.format_string("%d B", c))
+    for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+        shown = F.format_string(f"%.1f {unit}", F.bround(c / F.lit(float(1024**k)), 1))
+        out = out.when(c < 1024 ** (k + 1), shown) if unit != "TB" else out.otherwise(shown)
+    return out
+
+
+def share(done: Column | str, total: Column | str) -> Column:
+    """percent of two columns."""
+    d, t = as_column(done).cast("double"), as_column(total).cast("double")
+    return F.when(t > 0, F.least(F.lit(100.0), 100.0 * d / t)).otherwise(0.0)
+
+
+def title_for_sheet(c: Column | str) -> Column:
+    """sheet_title of a column."""
+    return F.substring(F.regexp_replace(filled(c), r"[\[\]:*?/\\]", "_"), 1, 31)
+
+
+def listed_words(c: Column | str) -> Column:
+    """word_arguments of a column: an array."""
+    return F.array_distinct(F.filter(F.transform(F.split(filled(c), "[,\n]"), strip), lambda w: w != ""))
+
+
 # -- on the driver --------------------------------------------------------------------------------
 def sheet_title(text: str) -> str:
     return re.sub(r"[\[\]:*?/\\]", "_", text)[:31]

@@ -14,8 +14,8 @@ from verbatlas import stream_queries, table_queries
 from verbatlas.functions.providers import AUXILIARIES, ContextCountLM
 from verbatlas.functions.text import masked
 from verbatlas.operators import extract, frequency, groups, spelling, textgroups
-from verbatlas.session import spread, stash, table
-from verbatlas.sources import grouptables
+from verbatlas.session import scratch, spread, stash, table
+from verbatlas.sources import grouptables, sinks
 
 SIZE, OVERLAP = 1_000, 100
 TOP = 5
@@ -122,16 +122,27 @@ def masked_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def groups_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [["a", " ", "b ", "c"], ["run", "x", "think, know", ""], ["walk", "run", " y"], ["run", "", "", "go"]]
-    std = grouptables.from_rows(spark, rows).withColumn("profile", F.lit("standard"))
-    return std.union(grouptables.from_rows(spark, rows, "fused").withColumn("profile", F.lit("fused")))
-
-
-_TAGS = [("think", "100", "1", "", ""), ("run", "50", "", "1", ""), ("jump", "x", "1", "", ""), ("both", "5", "1", "1", ""), ("none", "5", "0", "", "#N/A"), ("walk", "9", "1", "", ""), ("", "3", "1", "", "")]
+    """A ragged group table of parts, with a blank label in the middle, written as a file and read in both profiles."""
+    part = table(spark, sf_dir, "part")
+    some = lambda test, x: F.when(F.expr(test), x).otherwise("")
+    cells = part.select(
+        some("p_size % 2 = 0", F.col("p_brand")).alias("a"), some("p_size % 3 = 0", F.concat(F.lit(" "), "p_type")).alias(" "),
+        some("p_size % 5 = 0", F.concat_ws(", ", "p_brand", "p_type")).alias("b "), some("p_size > 45", F.col("p_name")).alias("c"),
+    )
+    path = scratch(spark)
+    sinks.write_delimited(cells, path)
+    std = grouptables.read(spark, path).withColumn("profile", F.lit("standard"))
+    return std.union(grouptables.read(spark, path, "fused").withColumn("profile", F.lit("fused")))
 
 
 def tag_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matrix = spark.createDataFrame([(i, *r) for i, r in enumerate(_TAGS)], "row_ord long, Lemma string, Freq string, g1 string, g2 string, skipme string")
+    """A tag matrix of customers with odd frequencies and flags, and a column that is skipped."""
+    rows = table(spark, sf_dir, "customer")
+    flag = lambda test: F.when(F.expr(test), "1").otherwise("")
+    matrix = rows.select(
+        F.col("c_custkey").alias("row_ord"), F.when(F.expr("c_nationkey = 7"), "").otherwise(F.col("c_name")).alias("Lemma"), F.when(F.expr("c_nationkey = 8"), "x").otherwise(F.col("c_custkey").cast("string")).alias("Freq"),
+        flag("c_nationkey % 2 = 0").alias("g1"), flag("c_nationkey % 3 = 0").alias("g2"), F.when(F.expr("c_nationkey % 5 = 0"), "#N/A").otherwise("1").alias("skipme"),
+    )
     return grouptables.tags_to_columns(grouptables.tags_long(matrix, ["skipme"]), ["g1", "g2"])
 
 
@@ -486,10 +497,12 @@ ORACLE_SQL = {
     "sample_exact_n": "SELECT doc_id, lang, n_chars FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 100",
     "mask_sentences": f"WITH {_DOC_VERBS} SELECT doc_id, sent_start, i AS token_index, ' ' || regexp_replace(regexp_replace(left(sentence, start) || '<mask>' || substring(sentence, start + length(w) + 1), '^\\s+', ''), '\\s+$', '') AS masked_text FROM v",
     "masked_topk": f"WITH {_LM} SELECT {_KEYS}, rank, token, round(prob, 9) AS prob FROM p",
-    "groups_long": "SELECT * FROM (VALUES ('run', 'a', 0, 'standard'), ('x', 'b', 1, 'standard'), ('think, know', 'c', 2, 'standard'), ('walk', 'a', 0, 'standard'), ('run', 'b', 1, 'standard'), ('y', 'c', 2, 'standard'), "
-    "('run', 'a', 0, 'fused'), ('x', ' ', 1, 'fused'), ('think', 'b ', 2, 'fused'), ('know', 'b ', 2, 'fused'), ('walk', 'a', 0, 'fused'), ('run', ' ', 1, 'fused'), ('y', 'b ', 2, 'fused'), ('go', 'c', 3, 'fused')) AS q(lemma, \"group\", group_pos, profile)",
-    "tag_pivot": "WITH t AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{a}', '{b}', '{c}', '{d}')" for i, (a, b, c, d, _) in enumerate(_TAGS)) + """) AS q(ord, lemma, freq, g1, g2)),
-u AS (SELECT ord, lemma, CASE WHEN g1 = '1' THEN 'g1' ELSE 'g2' END AS grp FROM t WHERE lemma <> '' AND TRY_CAST(freq AS BIGINT) IS NOT NULL AND (g1 = '1') <> (g2 = '1')),
+    "groups_long": """WITH c AS (
+  SELECT CASE WHEN p_size % 2 = 0 THEN p_brand END AS c0, CASE WHEN p_size % 3 = 0 THEN p_type END AS c1, CASE WHEN p_size % 5 = 0 THEN p_brand || ', ' || p_type END AS c2, CASE WHEN p_size > 45 THEN p_name END AS c3 FROM part),
+l AS (SELECT c0 AS x, 0 AS k FROM c UNION ALL SELECT c1, 1 FROM c UNION ALL SELECT c2, 2 FROM c UNION ALL SELECT c3, 3 FROM c)
+SELECT DISTINCT trim(x) AS lemma, ['a', 'b', 'c'][k + 1] AS "group", k AS group_pos, 'standard' AS profile FROM l WHERE trim(x) <> '' AND k < 3
+UNION ALL SELECT DISTINCT trim(y), ['a', ' ', 'b ', 'c'][k + 1], k, 'fused' FROM (SELECT unnest(string_split(x, ',')) AS y, k FROM l) WHERE trim(y) <> ''""",
+    "tag_pivot": """WITH u AS (SELECT c_custkey AS ord, c_name AS lemma, CASE WHEN c_nationkey % 2 = 0 THEN 'g1' ELSE 'g2' END AS grp FROM customer WHERE c_nationkey NOT IN (7, 8) AND (c_nationkey % 2 = 0) <> (c_nationkey % 3 = 0)),
 n AS (SELECT *, CAST(row_number() OVER (PARTITION BY grp ORDER BY ord) AS INT) AS rank FROM u)
 SELECT rank, coalesce(max(CASE WHEN grp = 'g1' THEN lemma END), '') AS g1, coalesce(max(CASE WHEN grp = 'g2' THEN lemma END), '') AS g2 FROM n GROUP BY rank""",
     "group_prob_rows": f"WITH {_GROUPED} SELECT {_KEYS}, lemma, {_NAMES} FROM ord",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbatlas.functions.text import ROW_ORD, filled, strip, whole_number
+from verbatlas.sources import readers
 
 LONG = "lemma string, group string, group_pos int"
 
@@ -37,12 +38,26 @@ def from_rows(spark: SparkSession, rows: list[list[str]], profile: str = "standa
     return spark.createDataFrame([(x, labels[k], k) for x, k in found], LONG)
 
 
-def read(spark: SparkSession, path: str, profile: str = "standard", encoding: str = "utf-8") -> DataFrame:
-    """from_rows of a file. Group tables are made by hand and small: the driver reads it."""
-    import csv
+def from_cells(rows: DataFrame, labels: list[str], profile: str = "standard", cells_col: str = "cells") -> DataFrame:
+    """from_rows of a table whose rows hold an array of cells, below a header with these labels; without repeats."""
+    if not labels:
+        raise ValueError("the group table is empty")
+    kept = list(labels) if profile == "fused" else [c.strip() for c in labels if c.strip()]
+    if len(set(kept)) < len(kept):
+        raise ValueError("group labels must differ")
+    if not kept:
+        return rows.sparkSession.createDataFrame([], LONG)
+    cells = rows.select(F.posexplode(F.slice(cells_col, 1, len(kept))).alias("group_pos", "cell"))
+    if profile == "fused":
+        cells = cells.select("group_pos", F.explode(F.split(filled("cell"), ",")).alias("cell"))
+    names = F.array(*map(F.lit, kept))
+    return cells.select(strip("cell").alias("lemma"), F.get(names, F.col("group_pos")).alias("group"), "group_pos").where("lemma != ''").distinct()
 
-    text = "\n".join(r.value for r in spark.read.option("encoding", encoding).text(path).coalesce(1).toLocalIterator())
-    return from_rows(spark, list(csv.reader(text.lstrip("﻿").splitlines())), profile)
+
+def read(spark: SparkSession, path: str, profile: str = "standard", encoding: str = "utf-8") -> DataFrame:
+    """from_rows of a delimited file, or a folder of such files with one header."""
+    header, cells = readers.cell_rows(spark, path, encoding=encoding)
+    return from_cells(cells, header, profile)
 
 
 def tags_long(matrix: DataFrame, ignore: list[str] | None = None, order_col: str = ROW_ORD) -> DataFrame:

@@ -92,6 +92,19 @@ def delimited(spark: SparkSession, paths: str | list[str], sep: str = ",", encod
     return out.withColumn(ROW_ORD, F.monotonically_increasing_id()) if order else out
 
 
+def cell_rows(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8") -> tuple[list[str], DataFrame]:
+    """The header of a delimited file as it stands (blank and repeated names too), and its rows as arrays of as many cells."""
+    header = _header(spark, path, sep, encoding)
+    names = [f"c{i}" for i in range(len(header))]
+    schema = ", ".join(f"{n} string" for n in names) or "c0 string"
+    if encoding.lower().replace("_", "-") in ("utf-8", "utf8"):
+        rows = blocks.records(spark, [path], sep).where("start > 0 or place > 0")
+        rows = rows.select(F.from_csv("text", schema, {"sep": sep, "escape": '"', "maxCharsPerColumn": "-1"}).alias("c")).select("c.*")
+    else:
+        rows = spark.read.csv(path, sep=sep, header=True, schema=schema, multiLine=True, escape='"', encoding=encoding, maxCharsPerColumn=-1)
+    return header, rows.select(F.array(*map(filled, names or ["c0"])).alias("cells"))
+
+
 def _header(spark: SparkSession, path: str, sep: str, encoding: str) -> list[str]:
     """The cells of a file's first record, which may hold line breaks."""
     first = spark.read.csv(path, sep=sep, header=False, inferSchema=False, multiLine=True, escape='"', encoding=encoding, maxCharsPerColumn=-1).first()

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbatlas.functions.providers import AUXILIARIES, ArrowMaskedLM, ArrowTagger, masked_lm_loader
-from verbatlas.functions.text import ROW_ORD, cell_for_sheet, human_bytes, masked, number, percent, sheet_title, span, ten_digits, word_arguments
+from verbatlas.functions.text import ROW_ORD, cell_for_sheet, listed_words, masked, number, printed_bytes, share, span, ten_digits, title_for_sheet
 from verbatlas.operators import extract, frequency, groups, naming, spelling
 from verbatlas.session import local_scratch, scratch, ship, table
 from verbatlas.sources import blocks, grouptables, manifest, readers, sinks, xlsx
@@ -222,10 +222,12 @@ def sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def driver_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes, shares, titles and word arguments as they are printed."""
-    total = table(spark, sf_dir, "nation").count()
-    rows = [(k, human_bytes(n), percent(k, total), sheet_title(f"a/b:{k}" + "x" * 40), " ".join(word_arguments(f"w{k}, be\nw{k},, go"))) for k, n in enumerate((0, 1023, 1536, 5 * 1024**2, 1024**4))]
-    return spark.createDataFrame(rows, "k long, bytes string, share double, title string, words string")
+    """Sizes, shares, titles and word arguments of documents, as they are printed."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("n"), "lang", "source")
+    size = F.col("n") * F.pow(F.lit(1024), F.pmod(F.col("doc_id"), F.lit(4))).cast("long")
+    title = F.concat(F.lit("a/b:"), F.col("doc_id").cast("string"), F.lit("x" * 40))
+    words = F.concat(F.lit("w, "), F.coalesce("lang", F.lit("")), F.lit("\nw,, "), F.coalesce("source", F.lit("")))
+    return docs.select("doc_id", printed_bytes(size).alias("bytes"), share("n", F.lit(2000)).alias("share"), title_for_sheet(title).alias("title"), F.array_join(listed_words(words), " ").alias("words"))
 
 
 def spell_two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -406,7 +408,9 @@ SELECT rank, coalesce(max(CASE WHEN grp = 'cheap' THEN lemma END), '') AS cheap,
     "ten_digit_cells": "SELECT l_orderkey, l_linenumber, format('{:.10g}', l_extendedprice / 7) AS cell FROM lineitem",
     "number_cells": "SELECT c_custkey, CASE c_nationkey % 4 WHEN 0 THEN c_acctbal WHEN 3 THEN 1000.0 END AS value FROM customer",
     "sheet_cells": "SELECT conv_id, turn, md5(coalesce(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '')) AS cell FROM conversations",
-    "driver_values": "SELECT k, ['0 B', '1023 B', '1.5 KB', '5.0 MB', '1.0 TB'][k + 1] AS bytes, 100.0 * k / (SELECT count(*) FROM nation) AS share, left('a_b_' || k || repeat('x', 40), 31) AS title, 'w' || k || ' be go' AS words FROM (SELECT unnest(range(5)) AS k)",
+    "driver_values": """WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, CAST(octet_length(encode(coalesce(text, ''))) * pow(1024, doc_id % 4) AS BIGINT) AS size, lang, source FROM documents)
+SELECT doc_id, CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN format('{:.1f} KB', size / 1024) WHEN size < 1073741824 THEN format('{:.1f} MB', size / 1048576) WHEN size < 1099511627776 THEN format('{:.1f} GB', size / 1073741824) ELSE format('{:.1f} TB', size / 1099511627776) END AS bytes,
+  least(100.0, 100.0 * n / 2000) AS share, left('a_b_' || doc_id || repeat('x', 40), 31) AS title, array_to_string(list_filter(['w', lang, source], lambda x: x <> ''), ' ') AS words FROM d""",
     "spell_two_columns": """WITH c AS (SELECT conv_id || '/' || turn AS row, coalesce(text, '') AS text FROM conversations),
 k AS (SELECT row, unnest(p) AS token, generate_subscripts(p, 1) AS ofs FROM (SELECT row, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS p FROM c)),
 x AS (SELECT *, regexp_replace(regexp_replace(token, '^[.,!?;:"''()\\[\\]{}]+', ''), '[.,!?;:"''()\\[\\]{}]+$', '') AS core FROM k),
