@@ -5,7 +5,8 @@
 
 `--model` names a trained tagger (extract, textcount) or a masked model (predict) that the workers load; without
 it the built-in rules and counts are used. Rows that cannot be used are left out one by one, counted in the
-record and warned of.
+record, warned of, and written with their reason where `--dead-letters` says so. A record of an earlier step given by
+`--load-record` makes its output the input.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import argparse
 import logging
 import sys
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from verbatlas.functions.text import ROW_ORD, masked, span, ten_digits, word_arguments
 from verbatlas.functions.providers import ArrowMaskedLM, ArrowTagger, ContextCountLM, RuleTagger, Tagger, masked_lm_loader, spacy_loader, transformers_pair
 from verbatlas.session import ship
-from verbatlas.operators import extract, frequency, groups, naming, spelling, textgroups
+from verbatlas.operators import extract, frequency, groups, letters, naming, spelling, textgroups
 from verbatlas.plans.rowpred import compile_predicate
 from verbatlas.sources import grouptables, manifest, readers, sinks, xlsx
 
@@ -34,12 +36,12 @@ STEPS: dict[str, dict] = {
     "count": {"field": "lemma"},
     "filter": {"field": "lemma", "least": None, "most": None},
     "sample": {"n": 100, "seed": 0},
-    "predict": {"top_k": 10, "mask": "<mask>", "limit_rows": 0, "model": None},
+    "predict": {"top_k": 10, "mask": "<mask>", "limit_rows": 0, "model": None, "dead_letters": None},
     "tags": {"ignore": []},
-    "aggregate": {"groups": None, "profile": "standard", "short": False, "lemma_count": False, "lemma_column": "lemma"},
+    "aggregate": {"groups": None, "profile": "standard", "short": False, "lemma_count": False, "lemma_column": "lemma", "dead_letters": None},
     "means": {"lemma_column": "lemma", "threshold": 0.5, "profile": "standard", "group_columns": []},
     "lookup": {"lemmas": "", "limit": 0, "top_k": 0, "lemma_column": "lemma", "sentence_column": "sentence", "print": False},
-    "textcount": {"groups": None, "text_column": "text", "where": None, "include_aux": False, "model": None},
+    "textcount": {"groups": None, "text_column": "text", "where": None, "include_aux": False, "model": None, "dead_letters": None},
     "inflect": {"clauses": None, "least": 10},
     "spell": {"words": None, "custom": None, "ignore": None, "decisions": None, "column": "text", "mode": "complete", "patch": None, "save_words": None},
 }
@@ -104,8 +106,8 @@ def _spanned(spark: SparkSession, inputs: list[str], s: dict) -> DataFrame:
     return rows.withColumn("_span", span("span_in_sentence_char", "-:")).withColumn("masked_text", masked("sentence", F.col("_span.start"), F.col("_span.end"), s["mask"]))
 
 
-def _predict(spark: SparkSession, inputs: list[str], s: dict) -> DataFrame:
-    rows = _spanned(spark, inputs, s).where("masked_text is not null")
+def _predict(rows: DataFrame, s: dict) -> DataFrame:
+    spark = rows.sparkSession
     if s["model"]:
         ship(spark)
         out = ArrowMaskedLM(masked_lm_loader(transformers_pair(s["model"]))).predict(rows, s["top_k"])
@@ -118,15 +120,15 @@ def _predict(spark: SparkSession, inputs: list[str], s: dict) -> DataFrame:
     return _wide(out.drop("_span", "masked_text", "left", "right", "token_index"), s["top_k"]).orderBy(ROW_ORD)
 
 
-def _aggregate(spark: SparkSession, inputs: list[str], s: dict) -> DataFrame:
-    rows = groups.wide_to_array(_table(spark, inputs))
-    table = grouptables.read(spark, s["groups"], s["profile"])
+def _aggregate(rows: DataFrame, s: dict) -> DataFrame:
+    columns, rows = rows.columns, groups.wide_to_array(rows)
+    table = grouptables.read(rows.sparkSession, s["groups"], s["profile"])
     out = groups.row_probabilities(rows, table, s["profile"], lemma_col=s["lemma_column"], count_active=s["lemma_count"] and s["profile"] == "fused")
     names = [c for c in out.columns if c not in rows.columns and c != "group_count"]
     written = {c: ten_digits(f"`{c}`") for c in names}
     if s["short"]:
         return groups.short_form(out, names, ROW_ORD if s["lemma_count"] else None, s["lemma_column"]).withColumns(written)
-    k = naming.top_k_of(_table(spark, inputs).columns)
+    k = naming.top_k_of(columns)
     own = [c for c in rows.columns if c != "preds"]
     wide = groups.array_to_wide(out.select(*own, "preds", *out.columns[len(rows.columns) :]), k)
     return wide.withColumns(written | {f"prob_{i}": ten_digits(f"prob_{i}") for i in range(1, k + 1)}).orderBy(ROW_ORD)
@@ -160,21 +162,29 @@ def _spell(spark: SparkSession, inputs: list[str], s: dict) -> DataFrame:
     return spelling.output_mode(out, s["column"], "corrected", s["mode"])
 
 
-def unusable(spark: SparkSession, step: str, inputs: list[str], s: dict) -> dict[str, int]:
-    """How many rows a step read, and how many of them it leaves out, for the steps that may leave some out."""
+def checked(spark: SparkSession, step: str, inputs: list[str], s: dict) -> letters.Checked | None:
+    """The rows of the steps that may leave some out, with those that they leave out."""
     if step == "predict":
-        rows, name, out = _spanned(spark, inputs, s), "rows_skipped", F.col("masked_text").isNull()
-    elif step == "aggregate":
-        rows, name, out = _table(spark, inputs), "rows_skipped", groups.row_lemma(F.col(s["lemma_column"]), s["profile"]) == ""
-    elif step == "textcount" and s["where"]:
+        rows = _spanned(spark, inputs, s)
+        return letters.Checked(rows, {"no_span": F.col("_span").isNull(), "span_outside": F.col("masked_text").isNull()})
+    if step == "aggregate":
+        return letters.Checked(_table(spark, inputs), {"no_lemma": groups.row_lemma(F.col(s["lemma_column"]), s["profile"]) == ""})
+    if step == "textcount" and s["where"]:
         rows = _table(spark, inputs)
-        name, out = "rows_filtered", ~F.coalesce(compile_predicate(s["where"], rows.columns), F.lit(False))
-    else:
+        return letters.Checked(rows, {"filtered": ~F.coalesce(compile_predicate(s["where"], rows.columns), F.lit(False))})
+    return None
+
+
+def counters(found: letters.Checked | None) -> dict[str, int]:
+    """What a record says of the rows read: rows_skipped cannot be used, rows_filtered are not wanted."""
+    if found is None:
         return {}
-    r = rows.agg(F.count("*").alias("n"), F.sum(out.cast("int")).alias("out")).first()
-    if r.out and name == "rows_skipped":
-        log.warning("%d of %d rows cannot be used and are left out", r.out, r.n)
-    return {"rows_read": r.n, name: r.out or 0}
+    read, wanted = found.counts["rows_read"], sum(n for k, n in found.counts.items() if k != "rows_read")
+    if "filtered" in found.counts:
+        return {"rows_read": read, "rows_filtered": wanted}
+    if wanted:
+        log.warning("%d of %d rows cannot be used and are left out", wanted, read)
+    return {"rows_read": read, "rows_skipped": wanted}
 
 
 def _save_spelling(spark: SparkSession, inputs: list[str], s: dict) -> None:
@@ -189,18 +199,19 @@ def _save_spelling(spark: SparkSession, inputs: list[str], s: dict) -> None:
         sinks.write_words(known, s["save_words"])
 
 
-def build(spark: SparkSession, step: str, inputs: list[str], s: dict) -> DataFrame:
-    """The DataFrame that a step writes."""
+def build(spark: SparkSession, step: str, inputs: list[str], s: dict, found: letters.Checked | None = None) -> DataFrame:
+    """The DataFrame that a step writes. found: its rows, if they were checked already."""
+    found = found or checked(spark, step, inputs, s)
     simple: dict[str, Callable[[], DataFrame]] = {
         "extract": lambda: _extract(spark, inputs, s),
         "count": lambda: frequency.counts(_table(spark, inputs), s["field"], ROW_ORD),
         "filter": lambda: frequency.filter_by_count(_table(spark, inputs), s["field"], s["least"], s["most"]).orderBy(ROW_ORD),
         "sample": lambda: frequency.sample(_table(spark, inputs), s["n"], ROW_ORD, s["seed"]).orderBy(ROW_ORD),
-        "predict": lambda: _predict(spark, inputs, s),
-        "aggregate": lambda: _aggregate(spark, inputs, s),
+        "predict": lambda: _predict(found.usable, s),
+        "aggregate": lambda: _aggregate(found.usable, s),
         "means": lambda: _means_table(_means(spark, inputs, s)),
         "lookup": lambda: textgroups.lookup(groups.wide_to_array(_table(spark, inputs)) if s["top_k"] else _table(spark, inputs), word_arguments(s["lemmas"]), ROW_ORD, s["lemma_column"], s["sentence_column"], s["limit"], s["top_k"]),
-        "textcount": lambda: textgroups.verb_group_counts(_table(spark, inputs), grouptables.read(spark, s["groups"]), s["text_column"], s["where"], _tagger(spark, s), include_aux=s["include_aux"]).orderBy(ROW_ORD),
+        "textcount": lambda: textgroups.verb_group_counts(found.usable if found else _table(spark, inputs), grouptables.read(spark, s["groups"]), s["text_column"], None, _tagger(spark, s), include_aux=s["include_aux"]).orderBy(ROW_ORD),
         "inflect": lambda: textgroups.inflection_matches(readers.clause_database(spark, s["clauses"]), textgroups.qualifying_lemmas(_table(spark, inputs), s["least"])).orderBy(ROW_ORD),
         "spell": lambda: _spell(spark, inputs, s),
     }
@@ -217,15 +228,17 @@ def main(argv: list[str] | None = None) -> int:
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(message)s")
     step, defaults = args["step"], STEPS[args["step"]]
     record = manifest.load(args["load_record"]) if args["load_record"] else None
-    s = manifest.resolved({k: args[k] for k in defaults}, record, defaults)
-    inputs = manifest.inputs_of(args["inputs"], record)
-    output = args["output"] or (record or {}).get("output", {}).get("path")
+    own = record if (record or {}).get("tool") == step else None  # that of another step names the input only
+    s = manifest.resolved({k: args[k] for k in defaults}, own, defaults)
+    inputs = manifest.inputs_of(args["inputs"], record, step)
+    output = args["output"] or (own or {}).get("output", {}).get("path")
     if not output or not (inputs or s.get("paths_file")):
         log.error("inputs and --output are needed")
         return 2
     if record:
         manifest.version_changes(record)
-        manifest.changed_inputs(record, strict=args["strict_checksum"])
+        if own:
+            manifest.changed_inputs(record, strict=args["strict_checksum"])
     upstream = manifest.parent_of(inputs[0]) if inputs else None
     if upstream and Path(inputs[0]).exists():
         manifest.check_upstream(inputs[0], upstream, args["strict_checksum"])
@@ -235,8 +248,15 @@ def main(argv: list[str] | None = None) -> int:
         handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
     run.write()
     spark = SparkSession.builder.appName(f"verbatlas {step}").getOrCreate()
+    tag = f"verbatlas-{uuid.uuid4().hex}"
+    spark.sparkContext.addJobTag(tag)
+    found, stats = None, {}
     try:
-        left_out = unusable(spark, step, inputs, s)
+        found = checked(spark, step, inputs, s)
+        left_out = counters(found)
+        run.left_out = {k: n for k, n in found.counts.items() if k != "rows_read"} if found else None
+        if found and s["dead_letters"]:
+            sinks.write_local(found.dead.drop("_span", "masked_text"), s["dead_letters"], order_col=ROW_ORD)
         if step in ("aggregate", "textcount"):
             table = grouptables.read(spark, s["groups"], s.get("profile", "standard"))
             run.groups = {r.group: r.lemmas for r in groups.members_of(table).orderBy("group_pos").collect()}  # made by hand, and read by the driver before
@@ -244,19 +264,21 @@ def main(argv: list[str] | None = None) -> int:
             xlsx.write_report(_means(spark, inputs, s), output, s["threshold"], s["profile"])
             stats = {}
         elif output.endswith(".xlsx"):
-            table = build(spark, step, inputs, s)
+            table = build(spark, step, inputs, s, found)
             xlsx.write_table(table, output, "verb_group_counts" if step == "textcount" else "Aggregated", grouptables.read(spark, s["groups"], s.get("profile", "standard")) if step == "aggregate" else None)
             stats = {}
         else:
-            stats = {"rows_written": sinks.write_local(build(spark, step, inputs, s), output, "\t" if output.endswith(".tsv") or s.get("tsv") else ",")}
+            sinks.write_local(build(spark, step, inputs, s, found), output, "\t" if output.endswith(".tsv") or s.get("tsv") else ",", tally=stats)
         if step == "lookup" and s["print"]:
             print(*sinks.hit_lines(build(spark, step, inputs, s), ROW_ORD), sep="\n")
         if step == "spell":
             _save_spelling(spark, inputs, s)
     except KeyboardInterrupt:
-        spark.sparkContext.cancelAllJobs()
-        run.finish({}, "stopped")
+        spark.sparkContext.cancelJobsWithTag(tag)  # other work of the session goes on
+        run.finish(counters(found) | stats, "stopped")
         return 130
+    finally:
+        spark.sparkContext.removeJobTag(tag)
     run.finish(left_out | stats)
     log.info("%s: %s", output, stats)
     return 0

@@ -47,6 +47,8 @@ class Manifest:
     settings: dict[str, Any] = field(default_factory=dict)
     statistics: dict[str, Any] = field(default_factory=dict)
     groups: dict[str, list[str]] | None = None
+    #: How many rows were left out, by reason.
+    left_out: dict[str, int] | None = None
     status: str = "incomplete"
     timestamp: str = ""
     versions: dict[str, str] = field(default_factory=versions)
@@ -125,9 +127,17 @@ def resolved(given: dict[str, Any], record: dict[str, Any] | None, defaults: dic
     return {k: given[k] if given.get(k) is not None else old.get(k, d) if old.get(k) is not None else d for k, d in defaults.items()}
 
 
-def inputs_of(given: list[str], record: dict[str, Any] | None) -> list[str]:
-    """Inputs given, or those of the record: a run can be repeated from its record alone."""
-    return given or [x["path"] for x in (record or {}).get("inputs", [])]
+def inputs_of(given: list[str], record: dict[str, Any] | None, tool: str | None = None) -> list[str]:
+    """Inputs given; else those of the record, so that a run can be repeated from its record alone.
+
+    A record of another tool than the one named is that of a step before: its output is the input.
+    """
+    if given or not record:
+        return given
+    if tool and record.get("tool") != tool:
+        path = record.get("output", {}).get("path")
+        return [path] if path else []
+    return [x["path"] for x in record.get("inputs", [])]
 
 
 def command_line(tool: str, inputs: list[str], output: str, settings: dict[str, Any], defaults: dict[str, Any]) -> str:

@@ -45,8 +45,11 @@ def write_by_value(df: DataFrame, path: str, col: str, sep: str = ",") -> list[s
     return sorted(str(f.getPath()) for f in found if f.getPath().getName().startswith("_of="))
 
 
-def write_local(df: DataFrame, path: str, sep: str = ",", order_col: str | None = None) -> int:
-    """One file on the driver, rows streamed to it by partition; the number of rows."""
+def write_local(df: DataFrame, path: str, sep: str = ",", order_col: str | None = None, tally: dict[str, int] | None = None) -> int:
+    """One file on the driver, rows streamed to it by partition; the number of rows.
+
+    tally: told rows_written after each row, so that a run that is stopped knows how many stand in the file.
+    """
     import csv
 
     out = flat((df.orderBy(order_col) if order_col else df).drop(ROW_ORD))
@@ -56,6 +59,10 @@ def write_local(df: DataFrame, path: str, sep: str = ",", order_col: str | None
         w.writerow(out.columns)
         for n, row in enumerate(out.toLocalIterator(), 1):
             w.writerow(["" if x is None else x for x in row])
+            if tally is not None:
+                tally["rows_written"] = n
+    if tally is not None:
+        tally["rows_written"] = n
     return n
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from verbatlas.functions.providers import AUXILIARIES, ArrowMaskedLM, ArrowTagger, masked_lm_loader
 from verbatlas.functions.text import ROW_ORD, cell_for_sheet, listed_words, masked, number, printed_bytes, share, span, ten_digits, title_for_sheet
-from verbatlas.operators import extract, frequency, groups, naming, spelling
+from verbatlas.operators import extract, frequency, groups, letters, naming, spelling
 from verbatlas.session import local_scratch, scratch, ship, table
 from verbatlas.sources import blocks, grouptables, manifest, readers, sinks, xlsx
 from verbatlas.streaming import files
@@ -327,6 +327,14 @@ def stream_verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.counts_so_far(spark, target)
 
 
+def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of conversations that a step with these tests leaves out, with the first reason, and how many it read."""
+    rows = _conversations(spark, sf_dir)
+    text = F.trim(F.coalesce("text", F.lit("")))
+    found = letters.Checked(rows, {"blank": text == "", "no_word": ~text.rlike("[A-Za-z]"), "too_long": F.length("text") > 700})
+    return found.dead.select("conv_id", "turn", "reason", F.lit(found.counts["rows_read"]).cast("long").alias("rows_read"))
+
+
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = scratch(spark)
     rows = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", F.col("event_type").alias("lemma"))
@@ -358,7 +366,7 @@ QUERIES = {
     for f in (
         csv_rows, csv_single_column, csv_many_files, tsv_clauses, local_rows, word_list, file_chunks, text_lines, text_files, workbook_table, workbook_groups, members_by_group, wide_predictions, wide_round_trip,
         wide_means, fused_means, tag_matrix, tag_odd_flags, span_parse, ten_digit_cells, number_cells, sheet_cells, driver_values, spell_two_columns, tagger_of_workers, masked_model, run_records,
-        stream_verbs, stream_windows, stream_unique,
+        stream_verbs, stream_windows, stream_unique, dead_letters,
     )
 }
 
@@ -423,6 +431,7 @@ r AS (SELECT *, e / sum(e) OVER (PARTITION BY conv_id, turn) AS p, row_number()
 SELECT conv_id, turn, CAST(rank AS INT) AS rank, CASE WHEN lost THEN '' ELSE 't' || j END AS token, CASE WHEN lost THEN 0.0 ELSE round(p, 9) END AS prob FROM r WHERE rank <= 2""",
     "run_records": "WITH c AS (SELECT CAST(count(*) AS VARCHAR) AS n, CAST(count(DISTINCT role) AS VARCHAR) AS roles FROM conversations) "
     + " UNION ALL ".join(f"SELECT '{k}' AS fact, {v} AS value FROM c" for k, v in {"began": "'incomplete'", "rows": "n", "values": "roles", "status": "'complete'", "chained": "n", "fits": "'True'", "changed_before": "'0'", "changed_after": "'1'", "least": "'0'", "versions": "'0'", "inputs": "'1'", "command": "'python -m verbatlas.cli count rows.csv --output counts.csv --least 0'"}.items()),
+    "dead_letters": "SELECT conv_id, turn, CASE WHEN trim(coalesce(text, '')) = '' THEN 'blank' WHEN NOT regexp_matches(text, '[A-Za-z]') THEN 'no_word' ELSE 'too_long' END AS reason, (SELECT count(*) FROM conversations) AS rows_read FROM conversations WHERE trim(coalesce(text, '')) = '' OR NOT regexp_matches(text, '[A-Za-z]') OR length(text) > 700",
     "stream_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start_at, event_type AS lemma, count(*) AS freq FROM events GROUP BY ALL",
     "stream_unique": "SELECT DISTINCT user_id, event_type AS lemma FROM events",
 }
