@@ -109,3 +109,55 @@ def test_driver_helpers():
     assert T.sheet_title("a/b[c]" + "x" * 40) == "a_b_c_" + "x" * 25
     assert T.word_arguments("a, b\nc,,a") == ["a", "b", "c"]
     assert T.percent(5, 0) == 0 and T.percent(9, 3) == 100
+
+
+class _Cutter:
+    """Sentences of two words each."""
+
+    @staticmethod
+    def parse(texts):
+        import re
+
+        out = []
+        for t in texts:
+            own = [(m.start(), m[0], [(0, 0, m[0].split()[0], "VERB", m[0].split()[0].upper())]) for m in re.finditer(r"\S+ \S+", t)]
+            out.append(own)
+        return out
+
+
+def test_pipeline_gives_sentences_and_tokens(spark):
+    """A model that knows sentences cuts them; one that only tags gets those of the rule; both are loaded once for a worker."""
+    from verbatlas.functions.providers import ArrowPipeline, ArrowTagger, CarriedTokens
+    from verbatlas.operators import extract
+
+    docs = spark.createDataFrame([("d", "a b c d. e f"), ("e", None), ("f", "")], "doc_id string, text string")
+    rows = extract.verbs_of_documents(docs, "doc_id", "text", 8, 4, pipeline=ArrowPipeline(_Cutter), include_aux=False).collect()
+    assert {(r.doc_id, r.sent_start, r.sentence, r.lemma) for r in rows} >= {("d", 0, "a b", "a"), ("d", 4, "c d.", "c"), ("d", 9, "e f", "e")}
+    tag = lambda: lambda texts: [[(0, 0, t.split()[0], "VERB", t.split()[0])] for t in texts]
+    chunks = docs.withColumnRenamed("text", "chunk_text").selectExpr("*", "0L as chunk_start")
+    cut = extract.parsed_sentences(chunks, ArrowPipeline(tag))
+    assert sorted((r.sent_start, r.sentence, r.tokens[0].text) for r in cut.collect()) == [(0, "a b c d.", "a"), (9, "e f", "e")]
+    assert extract.verbs(cut, CarriedTokens()).count() == 2
+    table = spark.createDataFrame([(1, "x y x y z"), (2, " ")], "row int, text string")
+    assert [(r.sent_index, r.lemma) for r in extract.verbs_of_rows(table, "row", "text", pipeline=ArrowPipeline(_Cutter)).collect()] == [(0, "x")]
+
+
+def test_loaders_run_once_for_each_worker(spark, tmp_path):
+    from verbatlas.functions.providers import ArrowTagger
+    from pyspark.sql import functions as F
+
+    folder = str(tmp_path)
+
+    def load():
+        import os
+        import uuid
+
+        open(os.path.join(folder, f"{os.getpid()}-{uuid.uuid4().hex}"), "w").close()
+        return lambda texts: [[(0, 0, t, "VERB", t)] for t in texts]
+
+    rows = spark.range(80).repartition(20).select(F.col("id").cast("string").alias("t"))
+    assert rows.select(F.size(ArrowTagger(load).tokens("t")).alias("n")).agg(F.sum("n")).first()[0] == 80
+    import os
+
+    workers = [f.split("-")[0] for f in os.listdir(folder)]
+    assert len(workers) == len(set(workers)) < 20

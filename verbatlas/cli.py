@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbatlas.functions.text import ROW_ORD, masked, span, ten_digits, word_arguments
-from verbatlas.functions.providers import ArrowMaskedLM, ArrowTagger, ContextCountLM, RuleTagger, Tagger, masked_lm_loader, spacy_loader, transformers_pair
+from verbatlas.functions.providers import ArrowMaskedLM, ArrowPipeline, ArrowTagger, ContextCountLM, RuleTagger, Tagger, masked_lm_loader, spacy_loader, transformers_pair
 from verbatlas.session import ship
 from verbatlas.operators import extract, frequency, groups, letters, naming, spelling, textgroups
 from verbatlas.plans.rowpred import compile_predicate
@@ -38,10 +38,10 @@ STEPS: dict[str, dict] = {
     "sample": {"n": 100, "seed": 0},
     "predict": {"top_k": 10, "mask": "<mask>", "limit_rows": 0, "model": None, "dead_letters": None},
     "tags": {"ignore": []},
-    "aggregate": {"groups": None, "profile": "standard", "short": False, "lemma_count": False, "lemma_column": "lemma", "dead_letters": None},
-    "means": {"lemma_column": "lemma", "threshold": 0.5, "profile": "standard", "group_columns": []},
-    "lookup": {"lemmas": "", "limit": 0, "top_k": 0, "lemma_column": "lemma", "sentence_column": "sentence", "print": False},
-    "textcount": {"groups": None, "text_column": "text", "where": None, "include_aux": False, "model": None, "dead_letters": None},
+    "aggregate": {"groups": None, "profile": "standard", "short": False, "lemma_count": False, "lemma_column": "lemma", "dead_letters": None, "csv_only": False, "keep_csv": False},
+    "means": {"lemma_column": "lemma", "threshold": 0.5, "profile": "standard", "group_columns": [], "csv_only": False, "keep_csv": False},
+    "lookup": {"lemmas": "", "limit": 0, "top_k": 0, "lemma_column": "lemma", "sentence_column": "sentence", "print": False, "table": False},
+    "textcount": {"groups": None, "text_column": "text", "where": None, "include_aux": False, "model": None, "dead_letters": None, "csv_only": False, "keep_csv": False},
     "inflect": {"clauses": None, "least": 10},
     "spell": {"words": None, "custom": None, "ignore": None, "decisions": None, "column": "text", "mode": "complete", "patch": None, "save_words": None},
 }
@@ -85,13 +85,21 @@ def _tagger(spark: SparkSession, s: dict) -> Tagger | None:
     return ArrowTagger(spacy_loader(s["model"]))
 
 
+def _pipeline(spark: SparkSession, s: dict) -> ArrowPipeline | None:
+    """The trained pipeline that is named, for sentences and tokens in one pass, or None for the built-in rules."""
+    if not s.get("model"):
+        return None
+    ship(spark)
+    return ArrowPipeline(spacy_loader(s["model"]))
+
+
 def _extract(spark: SparkSession, inputs: list[str], s: dict) -> DataFrame:
     if s["text_column"]:
         rows = readers.numbered_rows(readers.delimited(spark, inputs, encoding=s["encoding"], needed=[s["text_column"]]), s["text_column"])
-        found = extract.verbs_of_rows(rows, "csv_row_number", "text", tagger=_tagger(spark, s), include_aux=s["include_aux"])
+        found = extract.verbs_of_rows(rows, "csv_row_number", "text", pipeline=_pipeline(spark, s), include_aux=s["include_aux"])
         return found.orderBy("csv_row_number", "sent_index", "token_index").drop("span").withColumnRenamed("span_text", "span_in_sentence_char")
     docs = readers.text_documents(spark, readers.path_list(inputs, s["paths_file"]), s["encoding"])
-    found = extract.verbs_of_documents(docs, "doc_path", "text", s["size"], s["overlap"], tagger=_tagger(spark, s), include_aux=s["include_aux"])
+    found = extract.verbs_of_documents(docs, "doc_path", "text", s["size"], s["overlap"], pipeline=_pipeline(spark, s), include_aux=s["include_aux"])
     return found.orderBy("doc_path", "sent_index", "token_index").select(
         "doc_path", F.col("chunk_start").alias("chunk_start_char"), F.col("sent_start").alias("sent_start_char_in_doc"), F.col("sent_index").alias("sent_index_in_doc_approx"),
         F.col("token_index").alias("token_index_in_sent"), "lemma", "surface_lower", F.col("span_text").alias("span_in_sentence_char"), "sentence",
@@ -260,17 +268,20 @@ def main(argv: list[str] | None = None) -> int:
         if step in ("aggregate", "textcount"):
             table = grouptables.read(spark, s["groups"], s.get("profile", "standard"))
             run.groups = {r.group: r.lemmas for r in groups.members_of(table).orderBy("group_pos").collect()}  # made by hand, and read by the driver before
-        if step == "means" and output.endswith(".xlsx"):
+        between = sinks.intermediate_path(output, bool(s.get("csv_only")), bool(s.get("keep_csv"))) if output.endswith(".xlsx") else None
+        if between:  # the table behind a workbook
+            sinks.write_local(build(spark, step, inputs, s, found), between, tally=stats)
+        if between and s["csv_only"]:
+            pass
+        elif step == "means" and output.endswith(".xlsx"):
             xlsx.write_report(_means(spark, inputs, s), output, s["threshold"], s["profile"])
-            stats = {}
         elif output.endswith(".xlsx"):
             table = build(spark, step, inputs, s, found)
             xlsx.write_table(table, output, "verb_group_counts" if step == "textcount" else "Aggregated", grouptables.read(spark, s["groups"], s.get("profile", "standard")) if step == "aggregate" else None)
-            stats = {}
         else:
             sinks.write_local(build(spark, step, inputs, s, found), output, "\t" if output.endswith(".tsv") or s.get("tsv") else ",", tally=stats)
         if step == "lookup" and s["print"]:
-            print(*sinks.hit_lines(build(spark, step, inputs, s), ROW_ORD), sep="\n")
+            print(*sinks.hit_lines(build(spark, step, inputs, s), ROW_ORD, s["table"]), sep="\n")
         if step == "spell":
             _save_spelling(spark, inputs, s)
     except KeyboardInterrupt:

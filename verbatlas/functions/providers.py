@@ -7,6 +7,7 @@ lemmatizer or language model is plugged in with the same methods (see `ArrowTagg
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -198,6 +199,54 @@ class ArrowTagger:
         return tag(as_column(sentence))
 
 
+class ArrowPipeline:
+    """Sentences with their tokens from one pass of a model over whole texts; the loader is called once for each worker.
+
+    loader() -> a model with parse(list of texts) -> for each text its sentences (start, text, tokens), tokens as ArrowTagger
+    has them. A model without `parse` is a tagger of sentences: texts are then cut by the built-in rule on the worker.
+    """
+
+    KIND = f"array<struct<start:int,text:string,tokens:{ArrowTagger.KIND}>>"
+
+    def __init__(self, loader: Callable[[], object]):
+        self.loader, self.key = loader, uuid.uuid4().hex
+
+    def sentences(self, text: Column | str) -> Column:
+        """KIND of a text; sentences without any text are left out."""
+        loader, key = self.loader, self.key
+
+        @F.pandas_udf(self.KIND)
+        def parse(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            model = _loaded(key, loader)
+            names = ("i", "start", "text", "pos", "lemma")
+            for batch in batches:
+                texts = batch.fillna("").tolist()
+                found = model.parse(texts) if hasattr(model, "parse") else _cut_and_tagged(texts, model)
+                yield pd.Series([[{"start": s, "text": t, "tokens": [dict(zip(names, x, strict=True)) for x in tokens]} for s, t, tokens in own if t.strip()] for own in found])
+
+        return parse(as_column(text))
+
+
+def _cut_and_tagged(texts: list[str], tagger: Callable[[list[str]], list[list[tuple]]]) -> list[list[tuple]]:
+    """RuleSplitter's sentences with the tokens of a tagger."""
+    cut = []
+    for text in texts:
+        found = [(m.start() + len(m[0]) - len(m[0].lstrip()), m[0].strip()) for m in re.finditer(SENTENCE, text)]
+        cut.append([x for x in found if x[1]])
+    tagged = iter(tagger([t for own in cut for _, t in own]))
+    return [[(s, t, next(tagged)) for s, t in own] for own in cut]
+
+
+class CarriedTokens:
+    """A tagger for rows that have their tokens in a column, as ArrowPipeline leaves them."""
+
+    def __init__(self, column: str = "tokens"):
+        self.column = column
+
+    def tokens(self, sentence: Column | str) -> Column:
+        return F.col(self.column)
+
+
 def device() -> str:
     """Where a model should run on this worker: cuda, mps or cpu, by what torch finds; cpu without torch."""
     try:
@@ -209,18 +258,46 @@ def device() -> str:
     return "mps" if torch.backends.mps.is_available() else "cpu"
 
 
-def spacy_loader(model: str = "en_core_web_sm") -> Callable[[], Callable[[list[str]], list[list[tuple]]]]:
-    """A loader for ArrowTagger; needs spaCy and the model on the workers, and never downloads."""
+#: Components that verbs, lemmas and sentences need, by the names that trained pipelines give them.
+_COMPONENTS = ("transformer", "tok2vec", "tagger", "morphologizer", "parser", "senter", "attribute_ruler", "lemmatizer")
+
+
+class SpacyModel:
+    """A spaCy pipeline as a tagger of sentences and as a parser of whole texts."""
+
+    def __init__(self, nlp):
+        wanted = [c for c in _COMPONENTS if c in nlp.pipe_names]
+        if wanted:
+            nlp.select_pipes(enable=wanted)
+        if not {"parser", "senter", "sentencizer"} & set(nlp.pipe_names):
+            nlp.add_pipe("sentencizer")  # a pipeline that does not know sentences
+        self._nlp = nlp
+
+    def __call__(self, texts: list[str]) -> list[list[tuple]]:
+        return [[(t.i, t.idx, t.text, t.pos_, t.lemma_.lower()) for t in doc] for doc in self._nlp.pipe(texts)]
+
+    def parse(self, texts: list[str]) -> list[list[tuple]]:
+        out = []
+        for doc in self._nlp.pipe(texts):
+            own = []
+            for sent in doc.sents:
+                tokens = [(k, t.idx - sent.start_char, t.text, t.pos_, t.lemma_.lower()) for k, t in enumerate(sent)]
+                own.append((sent.start_char, sent.text, tokens))
+            out.append(own)
+        return out
+
+
+def spacy_loader(model: str = "en_core_web_sm") -> Callable[[], SpacyModel]:
+    """A loader for ArrowTagger and ArrowPipeline; needs spaCy and the model on the workers, and never downloads."""
 
-    def load() -> Callable[[list[str]], list[list[tuple]]]:
+    def load() -> SpacyModel:
         try:
             import spacy
         except ImportError as e:
             raise RuntimeError("spaCy is not installed on the workers") from e
         if device() != "cpu":
             spacy.prefer_gpu()
-        nlp = spacy.load(model, disable=["ner"])
-        return lambda texts: [[(t.i, t.idx, t.text, t.pos_, t.lemma_.lower()) for t in doc] for doc in nlp.pipe(texts)]
+        return SpacyModel(spacy.load(model, disable=["ner"]))
 
     return load
 

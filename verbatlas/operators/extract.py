@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from verbatlas.functions.providers import RuleSplitter, RuleTagger, Tagger, verbs_of, words_of
+from verbatlas.functions.providers import ArrowPipeline, CarriedTokens, RuleSplitter, RuleTagger, Tagger, verbs_of, words_of
 from verbatlas.functions.text import filled, span_text, strip, unix_lines
 from verbatlas.operators.frequency import counts
 
@@ -35,14 +35,21 @@ def sentences(chunks: DataFrame, text_col: str = "chunk_text", start_col: str =
     return chunks.withColumn("_s", found).select(*rest, (F.col(start_col) + F.col("_s.start")).cast("long").alias("sent_start"), F.col("_s.text").alias("sentence"))
 
 
-def unique_sentences(rows: DataFrame, keys: list[str], size: int | None = None, overlap: int | None = None, drop_edge_fragments: bool = False) -> DataFrame:
+def parsed_sentences(chunks: DataFrame, pipeline: ArrowPipeline, text_col: str = "chunk_text", start_col: str = "chunk_start") -> DataFrame:
+    """sentences() by a model, with the tokens that its pass gave: `tokens` is for CarriedTokens."""
+    rest = [c for c in chunks.columns if c != text_col]
+    rows = chunks.withColumn("_found", pipeline.sentences(text_col)).select(*rest, F.explode("_found").alias("_s"))
+    return rows.select(*rest, (F.col(start_col) + F.col("_s.start")).cast("long").alias("sent_start"), F.col("_s.text").alias("sentence"), F.col("_s.tokens").alias("tokens"))
+
+
+def unique_sentences(rows: DataFrame, keys: list[str], size: int | None = None, overlap: int | None = None, drop_edge_fragments: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
     """One row for each (keys, sent_start, sentence), that of the first chunk, with its number in the document.
 
     Chunks overlap, so a sentence may be found twice. A sentence cut off at a chunk's edge differs from the
     whole one and stays, unless drop_edge_fragments is set: then a row is dropped that another row of the
-    same keys and start extends.
+    same keys and start extends. carried: columns of the first chunk's row that stay.
     """
-    first = rows.groupBy(*keys, "sent_start", "sentence").agg(F.min("chunk_start").alias("chunk_start"))
+    first = rows.groupBy(*keys, "sent_start", "sentence").agg(F.min("chunk_start").alias("chunk_start"), *(F.min_by(c, "chunk_start").alias(c) for c in carried))
     if drop_edge_fragments:
         longest = F.max(F.length("sentence")).over(W.partitionBy(*keys, "sent_start"))
         first = first.withColumn("_n", longest).where(F.length("sentence") == F.col("_n")).drop("_n")
@@ -98,9 +105,12 @@ def verbs(rows: DataFrame, tagger: Tagger | None = None, include_aux: bool = Tru
 
 
 def verbs_of_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2_000_000, overlap: int = 5_000, **options) -> DataFrame:
-    """Chunks, sentences, their numbers and verbs of plain documents."""
-    found = sentences(char_chunks(docs.select(id_col, text_col), text_col, size, overlap))
-    return verbs(unique_sentences(found, [id_col]), **options)
+    """Chunks, sentences, their numbers and verbs of plain documents. pipeline: sentences and tokens come from its pass."""
+    chunks, pipeline = char_chunks(docs.select(id_col, text_col), text_col, size, overlap), options.pop("pipeline", None)
+    if pipeline is None:
+        return verbs(unique_sentences(sentences(chunks), [id_col]), **options)
+    found = unique_sentences(parsed_sentences(chunks, pipeline), [id_col], carried=("tokens",))
+    return verbs(found, **(options | {"tagger": CarriedTokens()})).drop("tokens")
 
 
 def verbs_of_rows(rows: DataFrame, row_col: str, text_col: str, **options) -> DataFrame:
@@ -108,13 +118,20 @@ def verbs_of_rows(rows: DataFrame, row_col: str, text_col: str, **options) -> Da
 
     The table's other columns stay beside their row's verbs, by name.
     """
-    splitter = options.pop("splitter", None) or RuleSplitter()
-    found = F.array_distinct(F.transform(splitter.sentences(text_col), lambda x: x["text"]))
+    splitter, pipeline = options.pop("splitter", None) or RuleSplitter(), options.pop("pipeline", None)
     carried = [c for c in rows.columns if c not in (row_col, text_col)]
-    numbered = rows.where(strip(text_col) != "").select(row_col, *carried, F.posexplode(found).alias("sent_index", "sentence"))
+    rows = rows.where(strip(text_col) != "")
+    if pipeline is None:
+        found = F.array_distinct(F.transform(splitter.sentences(text_col), lambda x: x["text"]))
+        numbered = rows.select(row_col, *carried, F.posexplode(found).alias("sent_index", "sentence"))
+    else:
+        rows = rows.withColumn("_p", pipeline.sentences(text_col)).withColumn("_x", F.transform("_p", lambda x: x["text"]))
+        first = F.filter("_p", lambda x, i: F.array_position(F.col("_x"), x["text"]) == i + 1)
+        numbered = rows.select(row_col, *carried, F.posexplode(first).alias("sent_index", "_s")).select(row_col, *carried, "sent_index", F.col("_s.text").alias("sentence"), F.col("_s.tokens").alias("tokens"))
+        options["tagger"] = CarriedTokens()
     nothing = F.lit(0).cast("long")
     numbered = numbered.withColumns({"sent_index": F.col("sent_index").cast("long"), "chunk_start": nothing, "sent_start": nothing})
-    return verbs(numbered, **options)
+    return verbs(numbered, **options).drop("tokens")
 
 
 def verb_counts(docs: DataFrame, field: str = "lemma", text_col: str = "text", tagger: Tagger | None = None, include_aux: bool = True) -> DataFrame:

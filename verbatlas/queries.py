@@ -603,3 +603,5 @@ FROM k WHERE before IS NULL OR before <> sent_start OR last <> sentence""",
 }
 ORACLE_SQL |= table_queries.ORACLE_SQL | stream_queries.ORACLE_SQL
 ORACLE_SQL |= {"tagger_of_workers": ORACLE_SQL["verb_lemma_counts"], "stream_verbs": ORACLE_SQL["verb_lemma_counts"]}
+#: Sentences end at commas there.
+ORACLE_SQL["pipeline_verbs"] = f"WITH {_DOC_VERBS.replace('[^.!?]*[.!?]+|[^.!?]+', '[^,]*,+|[^,]+')} SELECT doc_id, sent_start, i AS token_index, lemma, start || '-' || (start + length(w)) AS span FROM v"

@@ -98,12 +98,14 @@ def predictions_table(preds: list[tuple[str, float]]) -> str:
     return "\n".join([rule, f"| {'token':<{a}} | {'probability':>{b}} |", rule, *body, rule])
 
 
-def hit_lines(hits: DataFrame, order_col: str) -> Iterator[str]:
-    """Lines to print for a lookup: each sentence, then its predictions; at last the count."""
+def hit_lines(hits: DataFrame, order_col: str, as_table: bool = False) -> Iterator[str]:
+    """Lines to print for a lookup: each sentence, then its predictions (as a table with rules, if wanted); at last the count."""
     n = 0
     for n, r in enumerate(hits.orderBy(order_col).toLocalIterator(), 1):
         yield r.sentence
-        if "preds" in hits.columns:
+        if "preds" in hits.columns and as_table:
+            yield predictions_table([(p.token, p.prob) for p in r.preds])
+        elif "preds" in hits.columns:
             yield from (f"  {p.token:>15} {p.prob:.6g}" for p in r.preds)
     yield f"{n} sentences"
 

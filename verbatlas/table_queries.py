@@ -12,10 +12,10 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbatlas.functions.providers import AUXILIARIES, ArrowMaskedLM, ArrowTagger, masked_lm_loader
+from verbatlas.functions.providers import AUXILIARIES, ArrowMaskedLM, ArrowPipeline, ArrowTagger, CarriedTokens, masked_lm_loader
 from verbatlas.functions.text import ROW_ORD, cell_for_sheet, listed_words, masked, number, printed_bytes, share, span, ten_digits, title_for_sheet
 from verbatlas.operators import extract, frequency, groups, letters, naming, spelling
-from verbatlas.session import local_scratch, scratch, ship, table
+from verbatlas.session import local_scratch, scratch, ship, spread, table
 from verbatlas.sources import blocks, grouptables, manifest, readers, sinks, xlsx
 from verbatlas.streaming import files
 
@@ -260,6 +260,23 @@ def tagger_of_workers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.verb_counts(table(spark, sf_dir, "documents").select("text"), tagger=ArrowTagger(lambda: _tag))
 
 
+class _ByCommas:
+    """A made-up pipeline whose sentences end at commas, not where the built-in rule ends them."""
+
+    @staticmethod
+    def parse(texts: list[str]) -> list[list[tuple]]:
+        cut = [[(m.start() + len(m[0]) - len(m[0].lstrip()), m[0].strip()) for m in re.finditer("[^,]*,+|[^,]+", t)] for t in texts]
+        return [[(s, t, tokens) for (s, t), tokens in zip(own, _tag([t for _, t in own]), strict=True)] for own in cut]
+
+
+def pipeline_verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verbs of documents with sentences and tokens from one pass of a pipeline that Python workers load."""
+    ship(spark)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("chunk_text"))).withColumn("chunk_start", F.lit(0).cast("long"))
+    rows = extract.parsed_sentences(docs, ArrowPipeline(_ByCommas))
+    return extract.verbs(rows, CarriedTokens()).select("doc_id", "sent_start", "token_index", "lemma", F.col("span_text").alias("span"))
+
+
 class _Tokens:
     """Words by number: 0 is the mask, others follow from their length."""
 
@@ -365,7 +382,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         csv_rows, csv_single_column, csv_many_files, tsv_clauses, local_rows, word_list, file_chunks, text_lines, text_files, workbook_table, workbook_groups, members_by_group, wide_predictions, wide_round_trip,
-        wide_means, fused_means, tag_matrix, tag_odd_flags, span_parse, ten_digit_cells, number_cells, sheet_cells, driver_values, spell_two_columns, tagger_of_workers, masked_model, run_records,
+        wide_means, fused_means, tag_matrix, tag_odd_flags, span_parse, ten_digit_cells, number_cells, sheet_cells, driver_values, spell_two_columns, tagger_of_workers, pipeline_verbs, masked_model, run_records,
         stream_verbs, stream_windows, stream_unique, dead_letters,
     )
 }
