@@ -39,6 +39,8 @@ MOST_DOMAINS, OTHERS = 64, "(others)"
 SCALE, LARGEST, SUMMED = 64, 4_095, 1 << 20
 #: Different posteriors up to which their rates are a broadcast table; beyond, each row computes its own.
 BROADCAST_ROWS = 100_000
+#: Posteriors that one task takes through the descent; more of them are dealt to more tasks. With one task a round has no shuffle.
+ROUND_ROWS = 20_000
 #: Words that count fully; the log-odds of longer texts are scaled down to as many.
 EVIDENCE = 20
 STEPS = 1_000
@@ -116,7 +118,8 @@ def with_membership(docs: DataFrame, model: Classifier, text_col: str = "text",
     size = len(model.domains)
 
     def parts(at: Column) -> Column:
-        sums = [_looked_up(at, F.expr(f"array({', '.join(f'{v}L' for v in packed)})")) for packed in model.packed]
+        # one literal for Spark's planner, not one for each bucket
+        sums = [_looked_up(at, F.expr(f"cast(split('{','.join(map(str, packed))}', ',') as array<bigint>)")) for packed in model.packed]
         # both halves of each sum, as log-odds for EVIDENCE words at most
         damp = F.greatest(F.lit(1.0), F.size(at) / F.lit(float(EVIDENCE))) * float(SCALE)
         logits = F.transform(F.slice(F.flatten(F.array(*sums)), 1, size), lambda x: x / damp)
@@ -167,6 +170,12 @@ class Plan:
         )
 
 
+def _dealt(groups: DataFrame) -> DataFrame:
+    """A written table in no more pieces than a round of the descent needs tasks: the shuffle that made it may have left many."""
+    pieces = 1 + groups.count() // ROUND_ROWS
+    return stash(groups.coalesce(pieces)) if pieces < groups.rdd.getNumPartitions() else groups
+
+
 def solve(members: DataFrame, domains: list[str], targets: dict[str, float] | None = None, least: float = 0.0) -> Plan:
     """Fits rates of `least` or more to (n_words, part) rows.
 
@@ -177,7 +186,7 @@ def solve(members: DataFrame, domains: list[str], targets: dict[str, float] | No
     if not size:
         return Plan([], *(np.zeros(0),) * 3, [], least)
     groups = members.groupBy("part").agg(F.sum("n_words").cast("double").alias("t"))
-    groups = stash(groups.select("part", "t", F.expr(_posterior("part")).alias("p")))
+    groups = _dealt(stash(groups.select("part", "t", F.expr(_posterior("part")).alias("p"))))
     # most posteriors hold few domains, so moments are summed over what is there: once for each pair
     first = groups.select("t", F.posexplode("p").alias("i", "x")).where("x > 0").groupBy("i").agg(F.sum(F.col("t") * F.col("x")).alias("s")).collect()
     pairs = groups.select("t", "p", F.posexplode("p").alias("i", "x")).where("x > 0").select("t", "i", "x", F.posexplode("p").alias("j", "y")).where("y > 0 and j >= i")

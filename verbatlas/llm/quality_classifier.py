@@ -358,6 +358,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     found = np.array(found, np.int64)
     taken = np.maximum(np.bincount(found, minlength=len(codes)), 1)
     weights, bias = train_linear(rows, posterior[found], counts=(counts / taken)[found])
+    rows.clear()  # the driver goes on to other work
+    release()
     return Model(weights, bias, lexicon, chances, share)
 
 
